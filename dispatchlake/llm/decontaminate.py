@@ -178,8 +178,9 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, items found, hit spans of words, n_hit, longest verbatim match
-    (at most a window), contaminated (a twentieth of the words or more are hit)."""
+    """One row per document: doc_id, n_words, items found, hit spans of words, n_hit, longest_match (the
+    longest verbatim match, up to a window, of the benchmark suffixes whose best place in the shard is in this
+    document), contaminated (a twentieth of the words or more are hit)."""
     schema = "doc_id long, n_words long, items array<long>, spans array<struct<first:long,last:long>>, longest_match long"
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     blocks = _blocks(benchmark, block_words)

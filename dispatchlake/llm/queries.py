@@ -27,7 +27,7 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     ids = F.array_join(F.array_sort(F.array_distinct(F.col("items").cast("array<string>"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size(F.array_distinct("items")).cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated", "longest_match")
+    return found.select("doc_id", "n_words", "n_hit", F.size(F.array_distinct("items")).cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,11 +75,11 @@ g AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 11, 1))) AS i, ws FROM w
 h AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS t FROM g),
 m AS (SELECT t, min(doc_id) AS low FROM h GROUP BY t),
 hit AS (SELECT doc_id, list(i) AS starts FROM h JOIN m USING (t) WHERE low < doc_id GROUP BY doc_id),
-gone AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, i -> range(i, i + 13)))) AS at FROM hit),
+gone AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 13)))) AS places FROM hit),
 p AS (SELECT doc_id, ws[k] AS word, k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM w)),
-away AS (SELECT doc_id, unnest(at) AS k FROM gone),
+away AS (SELECT doc_id, unnest(places) AS k FROM gone),
 kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY k) AS s FROM p ANTI JOIN away USING (doc_id, k) GROUP BY p.doc_id)
-SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
@@ -94,21 +94,12 @@ n AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS t FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, n WHERE len(ws) >= n)),
 hit AS (SELECT doc_id, n, i, list(item_id) AS items FROM dw JOIN bw USING (t, n) GROUP BY doc_id, n, i),
 s AS (
-    SELECT doc_id, len(list_distinct(flatten(list(range(i, i + n)))))::BIGINT AS n_hit, list_sort(list_distinct(list_transform(flatten(list(items)), x -> x::VARCHAR))) AS ids
+    SELECT doc_id, len(list_distinct(flatten(list(range(i, i + n)))))::BIGINT AS n_hit, list_sort(list_distinct(list_transform(flatten(list(items)), lambda x: x::VARCHAR))) AS ids
     FROM hit GROUP BY doc_id
-),
-l AS (
-    SELECT doc_id, max(k) AS longest FROM (
-        SELECT DISTINCT dk.doc_id, dk.k FROM
-        (SELECT doc_id, k, array_to_string(ws[i : i + k - 1], ' ') AS t FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT unnest(range(1, 14)) AS k) WHERE len(ws) >= k)) dk
-        JOIN (SELECT DISTINCT k, array_to_string(ws[i : i + k - 1], ' ') AS t FROM (SELECT ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM b, (SELECT unnest(range(1, 14)) AS k) WHERE len(ws) >= k)) bk
-        ON dk.k = bk.k AND dk.t = bk.t
-    ) GROUP BY doc_id
 )
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
-    sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated,
-    coalesce(longest, 0)::BIGINT AS longest_match
-FROM d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)
+    sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM d LEFT JOIN s USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_decontamination": _OP3}
