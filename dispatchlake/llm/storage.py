@@ -23,7 +23,8 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The files outlive any executor, so what follows never recomputes what came before; the folder is
-    deleted when the driver's JVM ends.
+    deleted when the driver's JVM ends. Shuffle files of what was cut off are of no more use; a collection of
+    the driver's garbage lets Spark's cleaner delete them now.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
@@ -31,4 +32,13 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     df.write.option("compression", "zstd").parquet(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def uncut(df: DataFrame) -> None:
+    """Delete the table that :func:`cut` wrote, once nothing will read it again."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

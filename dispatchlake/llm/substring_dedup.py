@@ -1,14 +1,20 @@
 """Substring dedup: seed and extend on winnowed anchors.
 
 A window is ``length`` consecutive words. Its seed is the least hash of the ``seed_words``-word runs inside
-it, so that two equal windows always have the same seed (winnowing's guarantee). Seeds that lie in one
-document only can't begin a repeat and go; around the others each document is extended to both sides, word
-by word, over every window that holds the seed, and the windows are matched by a 128-bit hash. Overlapping
-matched windows join to maximal repeats.
+it, so that two equal windows always have the same seed (winnowing's guarantee). Consecutive windows with one seed
+are a stretch: the seed extended to both sides as far as it stays the least.
 
-Shuffles: seeds by hash (counts combined map-side), the seeds kept to their documents, the windows around
-them by hash (least document, combined map-side), and the repeats to their documents. No step pairs documents:
-each window meets only the smallest doc_id that has it, so a passage in a third of all rows costs a row each.
+1. Seeds of each document. A task sees which seeds several of its documents share, and passes only one row a seed
+   on to the shuffle, where seeds of several tasks meet. Seeds that lie in one document only can't begin a repeat
+   and go.
+2. Each document is extended around its shared seeds. A stretch whose words are also those of a smaller document's
+   stretch is matched whole, so copies cost a row a stretch. Only where a seed has different stretches the
+   extension goes on word by word, over the windows of each different stretch.
+3. Overlapping matched windows join to maximal repeats, which are taken out.
+
+No step pairs documents: a stretch or window meets only the smallest doc_id that has it, so a passage in a third
+of all rows costs a row each. Equality of windows and stretches is that of 64-bit hashes of their words together
+with the 64-bit hash of their seed.
 
 Edge cases: null or empty text has no words and stays empty; texts shorter than a window lose nothing; rows
 with a null doc_id are returned whole and are no source of repeats; rows that share a doc_id are one document
@@ -21,12 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .storage import cut
-from .tokens import NON_SPACE, Words, chunks, mixed, sequence_hashes, sliding_min, utf8
+from .storage import cut, uncut
+from .tokens import NON_SPACE, Words, chunks, mixed, sequence_hashes, sliding_min, span_hashes, utf8
 
 LENGTH = 13
 SEED_WORDS = 6
+#: Seeds that a task compares among themselves before it passes them on.
+CHUNK_SEEDS = 2_000_000
+LONE, SHARED, MORE = 0, 1, 2
 
 
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
@@ -44,7 +54,23 @@ def _windows(words: Words, length: int, seed_words: int) -> tuple[np.ndarray, np
 
 
 def _seeds(length: int, seed_words: int):
+    """(seed, doc_id, kind): one row for each seed and chunk of documents, LONE or SHARED if several of them have it; MORE for the others."""
+
+    def reduced(seeds: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((docs, seeds))
+        seeds, docs = seeds[order], docs[order]
+        fresh = np.ones(len(seeds), bool)
+        fresh[1:] = (seeds[1:] != seeds[:-1]) | (docs[1:] != docs[:-1])
+        seeds, docs = seeds[fresh], docs[fresh]
+        first = np.ones(len(seeds), bool)
+        first[1:] = seeds[1:] != seeds[:-1]
+        alone = first & np.append(first[1:], True)
+        kind = np.where(alone, LONE, np.where(first, SHARED, MORE)).astype(np.int8)
+        back = np.argsort(docs, kind="stable")
+        return pa.record_batch({"seed": seeds[back].view(np.int64), "doc_id": docs[back], "kind": kind[back]})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for first, _, words in _batches(batch):
@@ -52,12 +78,19 @@ def _seeds(length: int, seed_words: int):
                 docs = ids[first + words.text_of[at]].astype(np.int64)
                 new = np.ones(len(at), bool)
                 new[1:] = (seeds[1:] != seeds[:-1]) | (docs[1:] != docs[:-1])
-                yield pa.record_batch({"seed": seeds[new].view(np.int64), "doc_id": docs[new]})
+                held.append((seeds[new], docs[new]))
+            if sum(len(s) for s, _ in held) > CHUNK_SEEDS:
+                yield reduced(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield reduced(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _extended(length: int, seed_words: int):
+def _stretches(length: int, seed_words: int):
+    """(seed, words, doc_id, place, windows): the stretches of shared seeds; words and windows are hashes, place is the first word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
@@ -65,47 +98,69 @@ def _extended(length: int, seed_words: int):
             bounds = bounds - bounds[0]
             for first, last, words in _batches(batch):
                 at, seeds, hashes = _windows(words, length, seed_words)
+                if not len(at):
+                    continue
                 row = first + words.text_of[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (seeds[1:] != seeds[:-1]) | (row[1:] != row[:-1])
+                begin = np.flatnonzero(new)
+                size = np.diff(np.append(begin, len(at)))
+                # a seed is looked up among those of its own document
                 mine = np.repeat(np.arange(first, last), np.diff(bounds[first : last + 1]))
-                keep = np.isin(seeds ^ mixed(row.astype(np.uint64)), shared[bounds[first] : bounds[last]] ^ mixed(mine.astype(np.uint64)))
-                at, row = at[keep], row[keep]
-                one, two = (sequence_hashes(hashes, length, which)[at].view(np.int64) for which in (0, 1))
-                docs = ids[row].astype(np.int64)
-                place = (at - words.offsets[row - first]).astype(np.int32)
-                for k in range(0, len(at), 50_000):
-                    s = slice(k, k + 50_000)
-                    yield pa.record_batch({"one": one[s], "two": two[s], "doc_id": docs[s], "place": place[s]})
+                keep = np.isin(seeds[begin] ^ mixed(row[begin].astype(np.uint64)), shared[bounds[first] : bounds[last]] ^ mixed(mine.astype(np.uint64)))
+                begin, size = begin[keep], size[keep]
+                whole = span_hashes(hashes, at[begin], at[begin] + size + length - 1).view(np.int64)
+                windows = sequence_hashes(hashes, length).view(np.int64)
+                offsets = np.concatenate(([0], np.cumsum(size)))
+                inner = np.repeat(at[begin] - offsets[:-1], size) + np.arange(offsets[-1])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(windows[inner]))
+                out = pa.record_batch({"seed": seeds[begin].view(np.int64), "words": whole, "doc_id": ids[row[begin]].astype(np.int64), "place": (at[begin] - words.offsets[row[begin] - first]).astype(np.int32), "windows": lists})
+                for k in range(0, len(out), 20_000):
+                    yield out.slice(k, 20_000)
 
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS) -> DataFrame:
-    """(doc_id, place): windows, by their first word, whose words also start in a document with a smaller doc_id."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS) -> DataFrame:
+    """(doc_id, place, n): runs of n windows, by the first one's first word, whose words all start in smaller documents too."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    seeds = cut(docs.mapInArrow(_seeds(length, seed_words), "seed long, doc_id long"))
-    shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
-    by_doc = seeds.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    around = cut(docs.join(by_doc, "doc_id").mapInArrow(_extended(length, seed_words), "one long, two long, doc_id long, place int"))
-    first = around.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    return around.join(first, ["one", "two"]).where("doc_id > low").select("doc_id", "place")
+    seeds = cut(docs.mapInArrow(_seeds(length, seed_words), "seed long, doc_id long, kind byte"))
+    # at most a row for each seed and chunk, however many documents share it
+    met = seeds.where(F.col("kind") != MORE).withColumn("n", F.count("*").over(Window.partitionBy("seed"))).where((F.col("n") > 1) | (F.col("kind") == SHARED))
+    hits = cut(met.select("doc_id", "seed").unionByName(seeds.where(F.col("kind") == MORE).select("doc_id", "seed")))
+    uncut(seeds)
+    by_doc = hits.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    found = cut(docs.join(by_doc, "doc_id").mapInArrow(_stretches(length, seed_words), "seed long, words long, doc_id long, place int, windows array<long>"))
+    uncut(hits)
+    key = ["seed", "words"]
+    first = found.groupBy(*key).agg(F.min("doc_id").alias("low"), F.count("*").alias("times"))
+    # stretches of a seed that has several different ones
+    first = first.withColumn("mixed", F.count("*").over(Window.partitionBy("seed")) > 1).where("mixed or times > 1")
+    open_ = F.col("mixed") & (F.col("doc_id") == F.col("low"))
+    settled = cut(found.join(first, key).where(open_ | (F.col("doc_id") > F.col("low"))).select("seed", "doc_id", "place", F.size("windows").alias("n"), F.when(open_, F.col("windows")).alias("windows")))
+    uncut(found)
+    single = settled.where("windows is not null").select("seed", "doc_id", "place", F.posexplode("windows").alias("i", "window"))
+    least = single.groupBy("seed", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    single = single.join(least, ["seed", "window"]).where("doc_id > low").select("doc_id", (F.col("place") + F.col("i")).alias("place"), F.lit(1).alias("n"))
+    return settled.where("windows is null").select("doc_id", "place", "n").unionByName(single)
 
 
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": [], "spans": []}
-            places = batch["places"].to_pylist()
-            for text, at in zip(utf8(batch["text"]), places, strict=True):
+            for text, spans in zip(utf8(batch["text"]), batch["repeats"].to_pylist(), strict=True):
                 words = text.split()
                 gone = np.zeros(len(words) + 1, np.int32)
-                if at:
-                    np.add.at(gone, np.array(at), 1)
-                    np.add.at(gone, np.minimum(np.array(at) + length, len(words)), -1)
+                if spans:
+                    at = np.array([(s["place"], s["n"]) for s in spans])
+                    np.add.at(gone, at[:, 0], 1)
+                    np.add.at(gone, np.minimum(at.sum(1) + length - 1, len(words)), -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 edges = np.flatnonzero(np.diff(gone, prepend=False, append=False)).reshape(-1, 2)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(gone.sum()))
-                out["kept_text"].append(b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode() if at else b" ".join(words).decode())
+                out["kept_text"].append(b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode())
                 out["spans"].append([{"first": int(a), "last": int(b) - 1} for a, b in edges])
             spans = pa.array(out["spans"], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
             yield pa.record_batch({"doc_id": batch["doc_id"], "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_text": pa.array(out["kept_text"], pa.string()), "spans": spans})
@@ -115,7 +170,7 @@ def _kept(length: int):
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text and the maximal repeats removed, as word spans."""
-    places = repeated_windows(docs, length, seed_words).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    whole = docs.select(F.col("doc_id").cast("long"), "text").join(places, "doc_id", "left")
+    repeats = repeated_spans(docs, length, seed_words).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("repeats"))
+    whole = docs.select(F.col("doc_id").cast("long"), "text").join(repeats, "doc_id", "left")
     return whole.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first:long,last:long>>")
 

@@ -89,6 +89,14 @@ def sequence_hashes(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     return mixed((sums[n:] - sums[:-n]) * powers(pow(base, -1, 1 << 64), count))
 
 
+def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of entries."""
+    base = _SEQ_BASES[1]
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(base, len(words)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * powers(pow(base, -1, 1 << 64), len(words) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` consecutive values."""
     have, out = 1, values
