@@ -4,15 +4,15 @@ A sentence is judged by its units: its words without outer punctuation, words wi
 taken out, and runs of single letters read as one word, so an insult may be gapped or have characters put in. The
 gap-weighted subsequence kernel (Lodhi et al. 2002: all common subsequences of ``ORDER`` characters, each character
 of their span costing a factor ``DECAY``) compares a unit with the landmarks; the Nystroem map turns the kernel
-values into features, and a linear machine trained with hinge loss gives the unit's margin. A sentence's margin is
-its worst unit's, a text's its worst sentence's, and a logistic curve fitted on the texts of the sample turns it
-into a score.
+values into features, and a linear machine trained with hinge loss gives the unit's margin. A text is judged by the
+worst margin of its sentences, by how many of its different units are on the wrong side, how far, and how densely; a
+logistic curve over these turns them into a score.
 
-Fitting uses at most ``SAMPLE`` labelled rows (least hashes of doc_id first): character runs that mark toxic
-texts significantly are counted over the sample in parallel; the landmarks are a cover of the toxic texts by such
-runs, and harmless units closest to them. Kernel values of unit and landmark that share under half of the
-landmark's ordered character pairs count as zero, which spares most evaluations; every word of every text is
-judged.
+Fitting uses at most ``SAMPLE`` labelled rows (least hashes of doc_id first), two thirds for the machine, the rest
+for the curve: character runs that mark toxic texts significantly are counted in parallel; the landmarks are a cover
+of the toxic texts by such runs, and harmless units closest to them. Units weigh by the share of toxic and of clean
+texts that have them. Kernel values of unit and landmark that share under half of the landmark's ordered character
+pairs count as zero, which spares most evaluations; every word of every text is judged.
 
 Edge cases: null and empty texts have no unit and get the score of the least margin; rows whose labels are null
 aren't learned from, and of several labels of a document the greatest counts; with no toxic or no clean labelled
@@ -40,6 +40,7 @@ DECAY = 0.6
 THRESHOLD = 0.3
 #: Longer words are judged in overlapping parts.
 UNIT = 24
+START = "^"
 _PAIR_BUCKETS, _PAIR_GAP = 512, 3
 _CACHE = 400_000
 _LETTERS = re.compile(r"[\W_]+")
@@ -47,10 +48,13 @@ _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]+){2,}[^\W\d_](?!\w)")
 
 
 def units(word: str) -> list[str]:
-    """What is judged of a white-space-separated, lower-cased word."""
+    """What is judged of a white-space-separated, lower-cased word; its start is marked, as a character of its own."""
     bare = _LETTERS.sub("", word)
+    if len(bare) < ORDER:
+        return []
+    bare = START + bare
     if len(bare) <= UNIT:
-        return [bare] if len(bare) >= ORDER else []
+        return [bare]
     return [bare[i : i + UNIT] for i in range(0, len(bare) - UNIT // 2, UNIT // 2)]
 
 
@@ -129,27 +133,30 @@ class Model:
     kernel: Kernel
     weights: np.ndarray  # of the kernel values: the Nystroem map and the machine's weights in one
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
+    curve: np.ndarray | None = None  # of the text's features, and a constant
 
     def margins(self, strings: list[str]) -> np.ndarray:
         return self.kernel(strings) @ self.weights + self.bias
 
-    def texts(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
-        """The worst unit's margin of each text; at least that of a unit like no landmark."""
+    def features(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
+        """Of each text: worst margin (at least that of a unit like no landmark), units on the wrong side, how far, how densely."""
         bags = [words_of(t) for t in texts]
         if len(cache) > _CACHE:
             cache.clear()
         new = list(set().union(*bags) - cache.keys()) if bags else []
         parts = [units(w) for w in new]
-        flat = [u for p in parts for u in p]
-        values = iter(self.margins(flat).tolist()) if flat else iter(())
+        values = iter(self.margins([u for p in parts for u in p]).tolist())
         for word, p in zip(new, parts, strict=True):
             cache[word] = max((next(values) for _ in p), default=self.bias)
-        return np.array([max(map(cache.__getitem__, bag), default=self.bias) for bag in bags])
+        out = np.empty((len(bags), 5))
+        for i, bag in enumerate(bags):
+            m = np.fromiter(map(cache.__getitem__, bag), np.float64, len(bag))
+            over = m[m > 0]
+            out[i] = max(m.max(initial=self.bias), self.bias), np.log1p(len(over)), np.log1p(over.sum()), np.log1p(1000 * over.sum() / (20 + len(bag))), 1
+        return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+    def score(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.curve, -40, 40)))
 
 
 def _runs(unit: str) -> set[str]:
@@ -176,7 +183,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(runs: list[str]):
-    """(unit, toxic, runs): units of toxic texts that hold a marking run; of clean texts, units by hash."""
+    """(unit, toxic, runs): units of toxic texts that hold a marking run, with those runs; all units of clean texts."""
     found = re.compile("|".join(map(re.escape, sorted(runs, key=len, reverse=True))))
     known = set(runs)
 
@@ -214,7 +221,8 @@ def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) ->
     return w
 
 
-def _fit_units(bad: list[str], good: list[str], landmarks: list[str]) -> Model:
+def _fit_units(counts: dict[str, tuple[float, float]], landmarks: list[str]) -> Model:
+    """The machine, from units and the shares of toxic and of clean texts that have them."""
     kernel = Kernel(landmarks)
     # the kernel among landmarks must be whole to be a Gram matrix
     pairs = np.array([(i, j) for i in range(len(landmarks)) for j in range(len(landmarks))])
@@ -223,41 +231,44 @@ def _fit_units(bad: list[str], good: list[str], landmarks: list[str]) -> Model:
     value, vector = np.linalg.eigh(gram.astype(np.float64))
     keep = value > 1e-4
     nystroem = vector[:, keep] / np.sqrt(value[keep])
-    strings = bad + good
+    strings = list(counts)
+    shares = np.array([counts[u] for u in strings])
     features = np.hstack([kernel(strings) @ nystroem, np.ones((len(strings), 1))])
-    y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
-    cost = np.where(y > 0, 10.0 * max(1, len(good) / max(1, len(bad))), 10.0)
-    w = _hinge(features, y, cost)
+    x = np.vstack([features[shares[:, 0] > 0], features[shares[:, 1] > 0]])
+    cost = np.concatenate([shares[shares[:, 0] > 0, 0], shares[shares[:, 1] > 0, 1]])
+    y = np.repeat([1.0, -1.0], [(shares[:, 0] > 0).sum(), (shares[:, 1] > 0).sum()])
+    w = _hinge(x, y, 1000 * cost)
     return Model(kernel, nystroem @ w[:-1], float(w[-1]))
 
 
-def _margins(model: Model, columns: tuple[str, ...]):
+def _judged(model: Model, columns: tuple[str, ...], result, name: str, kind: pa.DataType):
+    """The columns, and what ``result`` makes of the texts' features."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
             for k in range(0, len(batch), 64):
                 part = batch.slice(k, 64)
-                yield pa.record_batch({**{c: part[c] for c in columns}, "margin": pa.array(model.texts(part["text"].to_pylist(), cache), pa.float64())})
+                found = result(model.features(part["text"].to_pylist(), cache))
+                yield pa.record_batch({**{c: part[c] for c in columns}, name: pa.array(found.tolist(), kind)})
 
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's curve: targets drawn in by one count, Newton steps, a slope above zero."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a curve with Platt's targets (drawn in by one count), by damped Newton steps."""
     hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
     target = np.where(y > 0, hi, lo)
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        g = np.array([((p - target) * x).sum() + 1e-3 * a, (p - target).sum() + 1e-3 * b])
-        q = np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(q * x * x).sum() + 1e-3, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
+    w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        q = np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve((x * q[:, None]).T @ x + ridge, x.T @ (p - target) + ridge @ w)
+        step *= min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    return (float(a), float(b)) if a > 0 else (1.0, float(np.log(target.mean() / (1 - target.mean()))))
+    return w
 
 
 def fold() -> str:
@@ -272,66 +283,59 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     n_toxic, n = texts.agg(F.count_if(F.col("toxic") > 0), F.count("*")).first()
     if not n_toxic or n_toxic == n:
         return None
-    base = n_toxic / n
-    counts = texts.mapInArrow(_counted, "run string, toxic long, clean long").groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
+    fit, rest = texts.where(part > 0), texts.where(part == 0)
+    fit_toxic, fit_all, both_classes = texts.agg(F.count_if((F.col("toxic") > 0) & (part > 0)), F.count_if(part > 0), F.count_if((F.col("toxic") > 0) & (part == 0)) * F.count_if((F.col("toxic") == 0) & (part == 0)) > 0).first()
+    if not fit_toxic or fit_toxic == fit_all or not both_classes:
+        fit, rest, fit_toxic, fit_all = texts, texts, n_toxic, n
+    base = fit_toxic / fit_all
+    counts = fit.mapInArrow(_counted, "run string, toxic long, clean long").groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     both = F.col("toxic") + F.col("clean")
     share = F.least(F.col("toxic") / both, F.lit(1 - 1e-9))
-    # Chernoff's bound on so large a toxic share by chance, over all runs tried
+    # Chernoff's bound on so large a toxic share by chance
     gain = both * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
-    top = counts.where((share > 0.8) & (F.col("toxic") >= 2)).withColumn("gain", gain).where(F.col("gain") > 8).orderBy(F.desc("gain"), F.desc(F.length("run")), "run").limit(3000).collect()
-    if not top:
-        top = counts.where("toxic > 0").withColumn("gain", gain).orderBy(F.desc("gain"), "run").limit(50).collect()
-    runs = [r["run"] for r in top]
-    seen = cut(texts.mapInArrow(_marked(runs), "unit string, toxic int, text_no long, runs array<string>"))
-    # a greedy cover of the toxic texts by runs; what the longest run explains need not be explained twice
-    held = [set(r["runs"]) for r in seen.where("toxic = 1").groupBy("text_no").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")).collect()]
-    bad_rows = seen.where("toxic = 1").groupBy("unit").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "unit").limit(3000).collect()
-    clean = seen.where("toxic = 0").select("unit").distinct()
+    ranked = counts.where((F.col("toxic") >= 1) & (share > base)).withColumns({"gain": gain, "lift": share / base}).orderBy(F.desc("gain"), F.desc(F.length("run")), "run").limit(3000).collect()
+    top = [r for r in ranked if r["gain"] > 12 and r["lift"] > 2] or ranked[:50]
+    seen = cut(fit.mapInArrow(_marked([r["run"] for r in top]), "unit string, toxic int, text_no long, runs array<string>"))
+    # a cover of the toxic texts, each up to three times, by runs that don't overlap
+    held = [[set(r["runs"]), 3] for r in seen.where("toxic = 1").groupBy("text_no").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")).collect()]
+    strength = {r["run"]: np.log(r["lift"]) for r in top}
     landmarks: list[str] = []
-    free = held
-    gains = {r["run"]: r["gain"] for r in top}
-    while free and len(landmarks) < LANDMARKS - HARMLESS:
-        cover = Counter(r for runs_ in free for r in runs_)
+    while strength and len(landmarks) < LANDMARKS - HARMLESS:
+        cover = Counter(r for runs, open_ in held if open_ for r in runs if r in strength)
         if not cover:
             break
-        best = max(cover, key=lambda r: (cover[r], len(r), gains.get(r, 0), r))
+        best = max(cover, key=lambda r: (cover[r] * strength[r], len(r), r))
         landmarks.append(best)
-        free = [h for h in free if best not in h]
-    good = [r["unit"] for r in clean.orderBy(F.xxhash64("unit")).limit(6000).collect()]
-    # harmless units that are nearest to the landmarks, from all clean texts of the sample
+        for h in held:
+            h[1] -= best in h[0] and h[1] > 0
+        strength = {r: v for r, v in strength.items() if r not in best and best not in r and not any(best[i : i + 4] in r for i in range(len(best) - 3))}
+    clean = seen.where("toxic = 0").groupBy("unit").agg(F.count("*").alias("n"))
+    # harmless units that are nearest to the landmarks, from all clean texts of the sample, and others by hash
     kernel = Kernel(landmarks)
 
     def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             strings = batch["unit"].to_pylist()
-            yield pa.record_batch({"unit": batch["unit"], "near": pa.array(kernel(strings).max(1) if strings else np.zeros(0, np.float32), pa.float32())})
-
-    hard = [r["unit"] for r in clean.mapInArrow(nearness, "unit string, near float").orderBy(F.desc("near"), "unit").limit(3000).collect()]
-    landmarks += [u for u in hard if u not in landmarks][:HARMLESS]
-    known_clean = set(hard) | set(good)
-    bad = [r["unit"] for r in bad_rows if r["unit"] not in known_clean]
-    model = _fit_units(bad or landmarks[:1], sorted(known_clean), landmarks)
-    got = texts.mapInArrow(_margins(model, ("toxic",)), "toxic int, margin double").collect()
-    model.slope, model.shift = _logistic(np.array([r["margin"] for r in got]), np.array([float(r["toxic"] > 0) for r in got]))
+            yield pa.record_batch({"unit": batch["unit"], "n": batch["n"], "near": pa.array(kernel(strings).max(1) if strings else np.zeros(0, np.float32), pa.float32())})
+
+    hard = clean.mapInArrow(nearness, "unit string, n long, near float").orderBy(F.desc("near"), F.desc("n"), "unit").limit(4000).collect()
+    good = clean.orderBy(F.xxhash64("unit")).limit(4000).collect()
+    bad = seen.where("toxic = 1").groupBy("unit").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "unit").limit(4000).collect()
+    units_ = {r["unit"]: (0.0, r["n"] / (fit_all - fit_toxic)) for r in [*good, *hard]}
+    units_ |= {r["unit"]: (r["n"] / fit_toxic, units_.get(r["unit"], (0, 0.0))[1]) for r in bad}
+    model = _fit_units(units_, landmarks + [r["unit"] for r in hard if r["unit"] not in landmarks][:HARMLESS])
+    got = rest.mapInArrow(_judged(model, ("toxic",), lambda x: x, "features", pa.list_(pa.float64())), "toxic int, features array<double>").collect()
+    model.curve = _logistic(np.array([r["features"] for r in got]), np.array([float(r["toxic"] > 0) for r in got]))
     return model
 
 
-def _scored(model: Model):
-    judge = _margins(model, ("doc_id",))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in judge(batches):
-            yield out.set_column(1, "score", pa.array(model.score(out["margin"].to_numpy()), pa.float64()))
-
-    return run
-
-
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score) of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    return docs.mapInArrow(_scored(model), "doc_id long, score double")
+    return docs.mapInArrow(_judged(model, ("doc_id",), model.score, "score", pa.float64()), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -344,6 +348,6 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
         for batch in batches:
             for k in range(0, len(batch), 64):
                 part = batch.slice(k, 64)
-                yield part.filter(pa.array(model.score(model.texts(part["text"].to_pylist(), cache)) < threshold))
+                yield part.filter(pa.array(model.score(model.features(part["text"].to_pylist(), cache)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
