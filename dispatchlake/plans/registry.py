@@ -1,8 +1,651 @@
-"""All queries of the delivery ledger by name, and their SQL."""
+"""All queries of the delivery ledger by name, and their SQL.
+
+A query applies an operator to a whole table made from the test data (``sources.proxies``); its SQL states the same
+result for another engine. Metres are compared as whole ones, since sines differ in the last bit between engines.
+"""
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, geo, text
+from ..operators import gazetteer, ledger, memory, merge, ocr, report, route
+from ..sources import store
+from ..sources.proxies import DAYS_SQL, DISTRICTS_SQL, INVOICES_SQL, READINGS_SQL, ROUTES_SQL, STOPS_SQL, days, districts, invoices, readings, routes, stops, table
+from ..streaming import arrivals
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_M = "2 * 6371000.0 * asin(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))"
+_WHOLE = "cast(floor({m} + 0.5) AS bigint)"
+_ORDER = "seq ASC NULLS LAST, stop_id"
+
+
+def _metres(a: str, b: str, c: str, d: str) -> str:
+    return _WHOLE.format(m=_M.format(a=a, b=b, c=c, d=d))
+
+
+def _whole(c: Column) -> Column:
+    return F.floor(c + 0.5).cast("bigint")
+
+
+def query(name: str, sql: str | None = None, *tables: str) -> Callable[[Query], Query]:
+    """Register a query under its name; ``tables``: SQL of the tables that its SQL reads."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = ("WITH " + ", ".join(tables) + " " if tables else "") + sql
+        return f
+
+    return add
+
+
+# Scans, sources, sinks
+
+
+@query("s3_point_lookup", "SELECT stop_id, name, status FROM stops WHERE stop_id = 77", STOPS_SQL)
+def _(spark, d):
+    return store.lookup(stops(spark, d), "stop_id", 77).select("stop_id", "name", "status")
+
+
+@query("s4_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_mktsegment) || '+' ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT -c_custkey - 1, 'new' FROM customer WHERE c_custkey % 5 = 0")
+def _(spark, d):
+    old = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    changed = old.where("c_custkey % 3 = 0").select("c_custkey", F.concat(F.upper("segment"), F.lit("+")).alias("segment"), F.lit(2).alias("at"))
+    earlier = changed.select("c_custkey", F.lit("old").alias("segment"), F.lit(1).alias("at"))
+    new = old.where("c_custkey % 5 = 0").select((-F.col("c_custkey") - 1).alias("c_custkey"), F.lit("new").alias("segment"), F.lit(1).alias("at"))
+    return ledger.upsert(old, changed.unionByName(earlier).unionByName(new), ["c_custkey"], "at")
+
+
+@query("s5_full_scan", "SELECT stop_id, business_date, doc_no, pieces, seq FROM stops", STOPS_SQL)
+def _(spark, d):
+    return stops(spark, d).select("stop_id", "business_date", "doc_no", "pieces", "seq")
+
+
+@query("s6_days_newest_first", "SELECT business_date, status FROM days ORDER BY business_date DESC", STOPS_SQL, DAYS_SQL)
+def _(spark, d):
+    return store.newest_first(days(spark, d))
+
+
+def _settings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("depo", '{"lat": 37.8, "lng": 29.1, "ad": "A"}'), ("ors", None)], "key string, value string")
+
+
+@query("s8_setting_default", "SELECT 'missing' AS key, '5' AS value UNION ALL SELECT 'ors', NULL")
+def _(spark, d):
+    return store.setting(_settings(spark), "missing", 5).unionByName(store.setting(_settings(spark), "ors", 5))
+
+
+@query("s9_setting_write", """SELECT 'ors' AS key, '"k"' AS value UNION ALL SELECT 'depo', '{"lat": 37.8, "lng": 29.1, "ad": "A"}'""")
+def _(spark, d):
+    return store.with_setting(_settings(spark), "ors", "k")
+
+
+@query("s14_duration_matrix", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, abs(a.n_nationkey - b.n_nationkey) * 60 + 30 AS seconds FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
+def _(spark, d):
+    points = table(spark, d, "nation").select(F.col("n_nationkey").alias("p"))
+    # a matrix of one route's points: bounded by the service's cap on points
+    times = points.select(F.col("p").alias("a")).join(points.select(F.col("p").alias("b")), F.col("a") != F.col("b"))
+    return times.withColumn("seconds", F.abs(F.col("a") - F.col("b")) * 60 + 30)
+
+
+@query("s16_deep_link", f"SELECT stop_id, concat('{report.DIRECTIONS}', cast(stop_id AS varchar), ',', cast(user_id AS varchar)) AS url FROM stops WHERE lat IS NOT NULL", STOPS_SQL)
+def _(spark, d):
+    return ledger.placed(stops(spark, d)).select("stop_id", report.directions(F.col("stop_id"), F.col("user_id")).alias("url"))
+
+
+# Projections
+
+
+@query("p1_business_date", "SELECT event_id, cast(ts - INTERVAL 4 HOUR AS date) AS business_date FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", dates.business_date(F.col("ts")).alias("business_date"))
+
+
+@query("p2_phone_key", "SELECT stop_id, CASE WHEN length(x) >= 10 THEN right(x, 10) END AS phone_key FROM (SELECT stop_id, regexp_replace(phone, '[^0-9]', '', 'g') AS x FROM stops)", STOPS_SQL)
+def _(spark, d):
+    return stops(spark, d).select("stop_id", text.phone_key(F.col("phone")).alias("phone_key"))
+
+
+@query("p3_haversine", f"SELECT stop_id, coalesce({_metres('lat', '37.760175', 'lng', '29.042555')}, -1) AS metres FROM stops", STOPS_SQL)
+def _(spark, d):
+    m = geo.metres_or_infinity(F.col("lat"), F.col("lng"), F.lit(geo.DEPOT_LAT), F.lit(geo.DEPOT_LNG))
+    return stops(spark, d).select("stop_id", F.when(m == float("inf"), -1).otherwise(_whole(m)).alias("metres"))
+
+
+@query("p3b_metres", f"SELECT stop_id, {_metres('lat', '37.760175', 'lng', '29.042555')} AS metres FROM stops", STOPS_SQL)
+def _(spark, d):
+    return stops(spark, d).select("stop_id", _whole(geo.metres(F.col("lat"), F.col("lng"), F.lit(geo.DEPOT_LAT), F.lit(geo.DEPOT_LNG))).alias("metres"))
+
+
+_PLAIN = "trim(regexp_replace(lower(translate({c}, 'Iİ', 'ıi')), '[^a-zçğıöşü0-9]+', ' ', 'g'))"
+_FOLD = f"trim(regexp_replace(lower(translate({{c}}, '{text.FOLDED_FROM}', '{text.FOLDED_TO}')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("p4_plain_name", f"SELECT stop_id, {_PLAIN.format(c='name')} AS plain FROM stops", STOPS_SQL)
+def _(spark, d):
+    return stops(spark, d).select("stop_id", text.plain_name(F.col("name")).alias("plain"))
+
+
+@query("p5_search_key", f"SELECT o_orderkey, {_FOLD.format(c='text')} AS folded FROM invoices", INVOICES_SQL)
+def _(spark, d):
+    return invoices(spark, d).select("o_orderkey", text.search_key(F.col("text")).alias("folded"))
+
+
+_ADDRESS = f"coalesce(nullif(concat_ws(' · ', nullif(quarter, '') || ' Mh.', nullif(road, ''), 'No ' || nullif(door, ''), 'D:' || nullif(flat, ''), nullif(district, '')), ''), '{text.NO_ADDRESS}')"
+
+
+@query("p6_address_line", f"SELECT stop_id, {_ADDRESS} AS address FROM (SELECT stop_id, quarter, CASE WHEN stop_id % 17 <> 0 THEN road END AS road, CASE WHEN stop_id % 17 <> 0 THEN door END AS door, CASE WHEN stop_id % 17 <> 0 THEN flat END AS flat, CASE WHEN stop_id % 17 <> 0 THEN district END AS district FROM stops)", STOPS_SQL)
+def _(spark, d):
+    some = {c: F.when(F.col("stop_id") % 17 != 0, F.col(c)) for c in ("road", "door", "flat", "district")}
+    rows = stops(spark, d).withColumns(some)
+    return rows.select("stop_id", text.address_line(*map(F.col, ("quarter", "road", "door", "flat", "district"))).alias("address"))
+
+
+@query("p7_next_date", "SELECT o_orderkey, cast(o_orderdate + INTERVAL 1 DAY AS date) AS next_date FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", dates.next_date(F.to_date("o_orderdate")).alias("next_date"))
+
+
+@query("p8_day_and_month", f"SELECT o_orderkey, day(o_orderdate) || ' ' || ({list(text.MONTHS)})[month(o_orderdate)] AS label FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.day_and_month(F.col("o_orderdate")).alias("label"))
+
+
+def _fixed_sql(x: str, digits: int) -> str:
+    n = f"cast(floor({x} * {10**digits} + 0.5) AS bigint)"
+    return f"(CASE WHEN {n} < 0 THEN '-' ELSE '' END || cast(abs({n}) // {10**digits} AS varchar) || '.' || lpad(cast(abs({n}) % {10**digits} AS varchar), {digits}, '0'))"
+
+
+_PRIOR = f"(last_value(CASE WHEN lat IS NOT NULL THEN {{'lat': lat, 'lng': lng}} END IGNORE NULLS) OVER (PARTITION BY business_date ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+_W2B = f"""w2b AS (
+    SELECT *, {_M.format(a='b_lat', b='lat', c='b_lng', d='lng')} AS leg_m FROM (
+        SELECT s.*, row_number() OVER (PARTITION BY business_date ORDER BY {_ORDER}) AS place,
+            coalesce({_PRIOR}.lat, start_lat) AS b_lat, coalesce({_PRIOR}.lng, start_lng) AS b_lng
+        FROM stops s LEFT JOIN routes USING (business_date)))"""
+_PAD_L, _PAD_R = "CASE WHEN length({x}) >= {n} THEN {x} ELSE lpad({x}, {n}, ' ') END", "CASE WHEN length({x}) >= {n} THEN {x} ELSE rpad({x}, {n}, ' ') END"
+_LINE = (
+    "SELECT business_date, place, '  ' || " + _PAD_L.format(x="coalesce(cast(seq AS varchar), '·')", n=3) + " || '. ' || " + _PAD_L.format(x=f"coalesce({_fixed_sql('(leg_m / 1000)', 1)}, '  —')", n=5)
+    + " || 'km  ' || " + _PAD_R.format(x="status", n=9) + " || " + _PAD_R.format(x=f"coalesce({_fixed_sql('lat', 5)} || ',' || {_fixed_sql('lng', 5)}, 'koordinat yok')", n=20)
+    + " || ' ' || " + _PAD_L.format(x="cast(confidence AS varchar)", n=3) + " || ' ' || " + _PAD_R.format(x="grade", n=8) + " || " + _PAD_R.format(x="precision", n=5)
+    + " || ' p' || cast(coalesce(nullif(pieces, 0), 1) AS varchar) || ' | ' || concat_ws(' / ', nullif(district, ''), nullif(quarter, ''), nullif(road, ''), 'no ' || nullif(door, ''), 'd' || nullif(flat, '')) AS line FROM w2b"
+)
+
+
+@query("p9_export_row", _LINE, STOPS_SQL, ROUTES_SQL, _W2B)
+def _(spark, d):
+    return report.export_rows(stops(spark, d), routes(spark, d))
+
+
+@query("s15_export_text", "SELECT business_date, 0 AS place, '═══ ' || cast(business_date AS varchar) || '  (' || status || ')  ' || coalesce(n, 0) || ' durak' || CASE WHEN total_m IS NULL THEN '' ELSE '  · rotada ' || coalesce(o, 0) || CASE WHEN o < n THEN '  ⚠ ' || (n - o) || ' DURAK ROTA DIŞI' ELSE '' END END AS line FROM days LEFT JOIN (SELECT business_date, count(*) AS n, count(seq) AS o FROM stops GROUP BY business_date) USING (business_date) LEFT JOIN routes USING (business_date) UNION ALL " + _LINE, STOPS_SQL, ROUTES_SQL, DAYS_SQL, _W2B)
+def _(spark, d):
+    return report.export_text(days(spark, d), stops(spark, d), routes(spark, d))
+
+
+@query("p10_html_escape", """SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped FROM documents""")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.html_escaped(F.col("text")).cast("binary")).alias("escaped"))
+
+
+@query("p11_kilometres", f"SELECT business_date, {_fixed_sql('(total_m / 1000)', 1)} AS km FROM routes", STOPS_SQL, ROUTES_SQL)
+def _(spark, d):
+    return routes(spark, d).select("business_date", text.fixed(F.col("total_m") / 1000, 1).alias("km"))
+
+
+@query("p12_depot", "SELECT 1 AS n, 37.8 AS lat, 29.1 AS lng UNION ALL SELECT 2, 37.760175, 29.042555 UNION ALL SELECT 3, 37.760175, 29.042555")
+def _(spark, d):
+    rows = spark.createDataFrame([(1, '{"lat": 37.8, "lng": 29.1}'), (2, '{"lat": "x"}'), (3, None)], "n int, value string")
+    return rows.withColumn("p", store.depot(F.col("value"), geo.DEPOT_LAT, geo.DEPOT_LNG)).select("n", "p.lat", "p.lng")
+
+
+@query("p13_route_age", "SELECT event_id, cast(floor(epoch_us(TIMESTAMP '2024-01-31 00:00:00') / 60000000.0 - epoch_us(ts) / 60000000.0 + 0.5) AS bigint) AS minutes, (floor(epoch_us(TIMESTAMP '2024-01-31 00:00:00') / 60000000.0 - epoch_us(ts) / 60000000.0 + 0.5) > 45) OR event_type IN ('purchase', 'error') AS stale FROM events")
+def _(spark, d):
+    minutes = dates.age_minutes(F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    return table(spark, d, "events").select("event_id", minutes.alias("minutes"), dates.is_stale(minutes, F.col("event_type").isin("purchase", "error")).alias("stale"))
+
+
+# Fields of document text
+
+def _trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '{text.EDGES}', '', 'g')"
+
+
+def _first_sql(*patterns: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in patterns) + ")"
+
+
+_FIELDS: dict[str, tuple[Callable[[Column], Column], str]] = {
+    "x1_doc_no": (text.document_number, _trim_sql(_first_sql(*text.DOC_NO))),
+    "x2_phone": (text.phone, _trim_sql(_first_sql(text.PHONE))),
+    "x3_recipient": (text.recipient, "nullif(" + _trim_sql(f"regexp_replace({_first_sql(*text.RECIPIENT)}, '{text.WS}{{2,}}', ' ', 'g')") + ", '')"),
+    "x4_product": (text.product, _trim_sql(_first_sql(text.PRODUCT))),
+    "x5_pieces": (text.pieces, f"coalesce(cast({_first_sql(text.PIECES)} AS int), 1)"),
+}
+for _name, (_field, _sql) in _FIELDS.items():
+    query(_name, f"SELECT o_orderkey, {_sql} AS value FROM invoices", INVOICES_SQL)(lambda spark, d, f=_field: invoices(spark, d).select("o_orderkey", f(F.col("text")).alias("value")))
+
+
+@query("x6_split_documents")
+def _(spark, d):
+    pairs = invoices(spark, d).groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    return pairs.select("o_custkey", F.posexplode(text.documents_of(F.col("text"))).alias("n", "text"))
+
+
+@query("s13_pasted_text", f"SELECT o_orderkey, length(regexp_replace(text, '{text.WS}', '', 'g')) AS n, {_FIELDS['x1_doc_no'][1]} AS doc_no FROM invoices WHERE length(regexp_replace(text, '{text.WS}', '', 'g')) > 0", INVOICES_SQL)
+def _(spark, d):
+    n = text.visible_length(F.col("text"))
+    return invoices(spark, d).where(n > 0).select("o_orderkey", n.alias("n"), text.document_number(F.col("text")).alias("doc_no"))
+
+
+# Filters
+
+_KEYS = "SELECT business_date, stop_id FROM stops WHERE "
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    return df.select("business_date", "stop_id")
+
+
+query("f1_pending", _KEYS + "status = 'pending'", STOPS_SQL)(lambda spark, d: _keys(ledger.pending(stops(spark, d))))
+query("f2_has_coordinates", _KEYS + "lat IS NOT NULL", STOPS_SQL)(lambda spark, d: _keys(ledger.placed(stops(spark, d))))
+query("f3_off_route", _KEYS + "status = 'pending' AND lat IS NOT NULL AND seq IS NULL AND business_date IN (SELECT business_date FROM routes)", STOPS_SQL, ROUTES_SQL)(lambda spark, d: _keys(ledger.off_route(stops(spark, d), routes(spark, d))))
+query("f6_doubtful", _KEYS + "lat IS NOT NULL AND grade <> 'green'", STOPS_SQL)(lambda spark, d: _keys(ledger.doubtful(stops(spark, d))))
+query("f13_display_list", f"SELECT business_date, stop_id FROM (SELECT business_date, stop_id, status, row_number() OVER (PARTITION BY business_date, status = 'pending' ORDER BY {_ORDER}) AS n FROM stops) WHERE NOT (status = 'pending' AND n = 1)", STOPS_SQL)(lambda spark, d: _keys(ledger.except_active(stops(spark, d))))
+
+
+@query("f4_blank_text", f"SELECT doc_id, length(regexp_replace(text, '{text.WS}', '', 'g')) < 12 AS too_short, length(regexp_replace(text, '{text.WS}', '', 'g')) < 6 AS too_short_box FROM documents")
+def _(spark, d):
+    n = text.visible_length(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", (n < 12).alias("too_short"), (n < 6).alias("too_short_box"))
+
+
+@query("f5_manual_box", "SELECT p_partkey FROM part WHERE p_size >= 20 AND p_partkey % 40 >= 12")
+def _(spark, d):
+    return table(spark, d, "part").where(ocr.box_is_large_enough(F.col("p_size"), F.col("p_partkey") % 40)).select("p_partkey")
+
+
+@query("f8_same_stop", f"SELECT a.stop_id AS a, b.stop_id AS b FROM stops a JOIN stops b ON a.business_date = b.business_date AND a.stop_id < b.stop_id WHERE a.doc_no = b.doc_no OR (a.lat IS NOT NULL AND b.lat IS NOT NULL AND {_M.format(a='a.lat', b='b.lat', c='a.lng', d='b.lng')} < 30 AND (a.name IS NULL OR b.name IS NULL OR {_PLAIN.format(c='a.name')} = {_PLAIN.format(c='b.name')}))", STOPS_SQL)
+def _(spark, d):
+    rows = stops(spark, d).withColumn("plain", text.plain_name(F.col("name")))
+    a, b = _sides(rows)
+    by_number = a.join(b, (F.col("a_day") == F.col("b_day")) & (F.col("a_doc_no") == F.col("b_doc_no"))).where("a < b").select("a", "b")
+    near = _near(rows, 30.0).where("a_name is null or b_name is null or a_plain = b_plain").select("a", "b")
+    return by_number.unionByName(near).distinct()
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select(F.col("stop_id").alias(s), F.col("business_date").alias(f"{s}_day"), *[F.col(c).alias(f"{s}_{c}") for c in ("doc_no", "name", "plain", "lat", "lng")]) for s in ("a", "b"))
+
+
+def _near(rows: DataFrame, radius: float) -> DataFrame:
+    """Pairs of stops of one day within ``radius``, by an equi join on grid cells."""
+    a, b = _sides(rows.where("lat is not null"))
+    a = a.withColumn("cell", F.explode(geo.around(*geo.cell(F.col("a_lat"), F.col("a_lng"), radius))))
+    y, x = geo.cell(F.col("b_lat"), F.col("b_lng"), radius)
+    b = b.withColumns({"cy": y, "cx": x})
+    pairs = a.join(b, (F.col("a_day") == F.col("b_day")) & (F.col("cell.cell_lat") == F.col("cy")) & (F.col("cell.cell_lng") == F.col("cx")))
+    return pairs.where("a < b").where(geo.metres(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) < radius)
+
+
+@query("j3_within_30_m", f"SELECT a.stop_id AS a, b.stop_id AS b FROM stops a JOIN stops b ON a.business_date = b.business_date AND a.stop_id < b.stop_id WHERE {_M.format(a='a.lat', b='b.lat', c='a.lng', d='b.lng')} < 30", STOPS_SQL)
+def _(spark, d):
+    return _near(stops(spark, d).withColumn("plain", F.col("name")), 30.0).select("a", "b")
+
+
+_SCALE = "least(2480.0 / w, 4.0, sqrt(4200000.0 / (w * h)))"
+_FRAMES = "frames AS (SELECT p_partkey, 400 + (p_partkey * 37) % 4000 AS w, 300 + (p_partkey * 53) % 3000 AS h, p_partkey % 4 * 90 AS turn FROM part)"
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").selectExpr("p_partkey", "400 + (p_partkey * 37) % 4000 as w", "300 + (p_partkey * 53) % 3000 as h", "p_partkey % 4 * 90 as turn")
+
+
+@query("f9_zoom_gate", f"SELECT p_partkey, {_SCALE} < 0.95 AS zoom FROM frames", _FRAMES)
+def _(spark, d):
+    return _frames(spark, d).select("p_partkey", ocr.zoom_helps(F.col("w"), F.col("h")).alias("zoom"))
+
+
+@query("f10_matrix_gate", "SELECT business_date, count(*) + 1 <= 50 AS within_cap FROM stops WHERE status = 'pending' AND lat IS NOT NULL GROUP BY business_date", STOPS_SQL)
+def _(spark, d):
+    rows = ledger.placed(ledger.pending(stops(spark, d)))
+    return rows.groupBy("business_date").agg((F.count("*") + 1 <= 50).alias("within_cap"))
+
+
+@query("f11_live_location_gate", "SELECT business_date FROM days WHERE status = 'open' AND business_date IN (SELECT business_date FROM stops WHERE status = 'pending')", STOPS_SQL, DAYS_SQL)
+def _(spark, d):
+    waiting = ledger.pending(stops(spark, d)).select("business_date").distinct()
+    return days(spark, d).where("status = 'open'").select("business_date").join(waiting, "business_date", "left_semi")
+
+
+@query("f12_tracking_gate", "SELECT business_date FROM routes WHERE business_date IN (SELECT business_date FROM stops WHERE status = 'pending')", STOPS_SQL, ROUTES_SQL)
+def _(spark, d):
+    waiting = ledger.pending(stops(spark, d)).select("business_date").distinct()
+    return routes(spark, d).select("business_date").join(waiting, "business_date", "left_semi")
+
+
+# Joins
+
+_ELIGIBLE = "SELECT *, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS phone_key, row_number() OVER (PARTITION BY right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) ORDER BY ts, stop_id) AS pos FROM stops WHERE length(regexp_replace(phone, '[^0-9]', '', 'g')) >= 10 AND lat IS NOT NULL"
+_MEMORY = f"""memory AS (
+    WITH e AS ({_ELIGIBLE}),
+    c AS (SELECT phone_key, min(pos) FILTER (WHERE corrected) AS since FROM e GROUP BY phone_key),
+    f AS (SELECT e.*, since IS NULL OR corrected OR pos < since AS may FROM e JOIN c USING (phone_key))
+    SELECT phone_key, arg_max(name, pos) FILTER (WHERE name <> '') AS name,
+        {', '.join(f"arg_max({c}, pos) FILTER (WHERE may AND {c} <> '') AS {c}" for c in ("district", "quarter", "road", "door", "flat"))},
+        arg_max(lat, pos) FILTER (WHERE may) AS lat, arg_max(lng, pos) FILTER (WHERE may) AS lng, arg_max(confidence, pos) FILTER (WHERE may) AS confidence,
+        bool_or(corrected) AS corrected, count(*) AS deliveries, min(ts) AS first_seen, max(ts) AS last_seen
+    FROM f GROUP BY phone_key)"""
+
+
+@query("m6_memory_upsert", "SELECT * FROM memory", STOPS_SQL, _MEMORY)
+def _(spark, d):
+    return memory.learn(stops(spark, d))
+
+
+@query("s7_customers", "SELECT phone_key, name FROM memory", STOPS_SQL, _MEMORY)
+def _(spark, d):
+    return memory.learn(stops(spark, d)).select("phone_key", "name")
+
+
+@query("a8_customer_count", "SELECT count(*) AS customers FROM memory", STOPS_SQL, _MEMORY)
+def _(spark, d):
+    return memory.learn(stops(spark, d)).agg(F.count("*").alias("customers"))
+
+
+_HIT = "(m.lat IS NOT NULL AND s.confidence < 70)"
+
+
+@query("j1_memory_recall", f"SELECT s.stop_id, CASE WHEN {_HIT} THEN m.road ELSE s.road END AS road, CASE WHEN {_HIT} THEN coalesce(nullif(m.flat, ''), s.flat) ELSE s.flat END AS flat, CASE WHEN {_HIT} THEN m.lat ELSE s.lat END AS lat, CASE WHEN {_HIT} THEN greatest(s.confidence, CASE WHEN m.corrected THEN 100 ELSE 85 END) ELSE s.confidence END AS confidence, CASE WHEN {_HIT} THEN 'green' ELSE s.grade END AS grade, {_HIT} AS from_memory FROM stops s LEFT JOIN memory m ON CASE WHEN length(regexp_replace(s.phone, '[^0-9]', '', 'g')) >= 10 THEN right(regexp_replace(s.phone, '[^0-9]', '', 'g'), 10) END = m.phone_key", STOPS_SQL, _MEMORY)
+def _(spark, d):
+    rows = stops(spark, d)
+    return memory.recall(rows, memory.learn(rows)).select("stop_id", "road", "flat", "lat", "confidence", "grade", "from_memory")
+
+
+@query("j2_named_districts", f"SELECT DISTINCT o_orderkey, oid, name FROM (SELECT o_orderkey, unnest(string_split({_FOLD.format(c='text')}, ' ')) AS word FROM invoices) JOIN districts ON word = search_key WHERE oid NOT IN (10, 14)", INVOICES_SQL, DISTRICTS_SQL)
+def _(spark, d):
+    loaded = spark.createDataFrame([(10,), (14,)], "oid int")
+    return gazetteer.named_districts(invoices(spark, d), districts(spark), "o_orderkey", "text", loaded)
+
+
+@query("s10_gazetteer_districts", f"SELECT oid, count(DISTINCT o_orderkey) AS texts FROM (SELECT o_orderkey, unnest(string_split({_FOLD.format(c='text')}, ' ')) AS word FROM invoices) JOIN districts ON word = search_key GROUP BY oid", INVOICES_SQL, DISTRICTS_SQL)
+def _(spark, d):
+    return gazetteer.named_districts(invoices(spark, d), districts(spark), "o_orderkey", "text").groupBy("oid").agg(F.count_distinct("o_orderkey").alias("texts"))
+
+
+query("s11_preload", "SELECT oid, name FROM districts WHERE oid IN (10, 14)", DISTRICTS_SQL)(lambda spark, d: districts(spark).where("oid in (10, 14)").select("oid", "name"))
+
+_REROUTE = "orders_ AS (SELECT business_date, list(stop_id ORDER BY confidence DESC, stop_id) AS stop_ids FROM stops WHERE status = 'pending' AND lat IS NOT NULL AND day(business_date) % 2 = 0 GROUP BY business_date)"
+
+
+def _reroute(rows: DataFrame) -> DataFrame:
+    key = F.struct((-F.col("confidence")).alias("c"), F.col("stop_id"))
+    chosen = rows.where("status = 'pending' and lat is not null and day(business_date) % 2 = 0")
+    return chosen.groupBy("business_date").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["stop_id"]).alias("stop_ids"))
+
+
+_M5 = "SELECT business_date, stop_id, CASE WHEN stop_ids IS NULL THEN seq ELSE nullif(list_position(stop_ids, stop_id), 0) END AS seq FROM stops LEFT JOIN orders_ USING (business_date)"
+
+
+@query("m5_save_route", _M5, STOPS_SQL, _REROUTE)
+def _(spark, d):
+    rows = stops(spark, d)
+    return ledger.save_route(rows, _reroute(rows)).select("business_date", "stop_id", "seq")
+
+
+@query("j4_route_to_stops", "SELECT business_date, stop_id, pos FROM (SELECT business_date, unnest(stop_ids) AS stop_id, generate_subscripts(stop_ids, 1) AS pos FROM orders_)", STOPS_SQL, _REROUTE)
+def _(spark, d):
+    return _reroute(stops(spark, d)).select("business_date", F.posexplode("stop_ids").alias("p", "stop_id")).select("business_date", "stop_id", (F.col("p") + 1).alias("pos"))
+
+
+query("w7_route_position", f"SELECT business_date, stop_id, seq FROM ({_M5}) WHERE seq IS NOT NULL", STOPS_SQL, _REROUTE)(lambda spark, d: QUERIES["m5_save_route"](spark, d).where("seq is not null"))
+
+
+@query("j6_points_matrix", f"SELECT a.business_date, a.stop_id AS a, b.stop_id AS b, {_metres('a.lat', 'b.lat', 'a.lng', 'b.lng')} AS metres FROM stops a JOIN stops b ON a.business_date = b.business_date AND a.stop_id <> b.stop_id WHERE a.seq <= 40 AND b.seq <= 40", STOPS_SQL)
+def _(spark, d):
+    rows = stops(spark, d).where("seq <= 40").select("business_date", "stop_id", "lat", "lng")  # the service's cap on a matrix
+    a, b = (rows.select("business_date", F.col("stop_id").alias(s), F.col("lat").alias(f"{s}_lat"), F.col("lng").alias(f"{s}_lng")) for s in ("a", "b"))
+    return a.join(b, "business_date").where("a <> b").select("business_date", "a", "b", _whole(geo.metres(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))).alias("metres"))
+
+
+@query("j7_resolve_address")
+def _(spark, d):
+    rows = stops(spark, d).where("lat is not null and door is not null")
+    places = rows.groupBy("district", "quarter", "road", "door").agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
+    asked = stops(spark, d).select("stop_id", "district", "quarter", F.concat("road", F.when(F.col("stop_id") % 4 == 0, "x").otherwise("")).alias("road"), "door")
+    return gazetteer.resolve(asked, places, "stop_id")
+
+
+# Aggregations
+
+_SUMMARY = "summary AS (SELECT business_date, count(*) AS total, count(*) FILTER (WHERE status = 'delivered') AS delivered, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'pending') AS pending, sum(coalesce(nullif(pieces, 0), 1))::BIGINT AS pieces, count(*) FILTER (WHERE grade = 'red') AS red, count(*) FILTER (WHERE grade = 'yellow') AS yellow FROM stops GROUP BY business_date)"
+
+
+@query("a1_day_summary", "SELECT business_date, status, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("total", "delivered", "failed", "pending", "pieces", "red", "yellow")) + " FROM days LEFT JOIN summary USING (business_date)", STOPS_SQL, DAYS_SQL, _SUMMARY)
+def _(spark, d):
+    return ledger.day_summary(days(spark, d), stops(spark, d))
+
+
+query("a2_route_counts", "SELECT business_date, count(seq) AS on_route, count(*) - count(seq) AS off_route FROM stops GROUP BY business_date", STOPS_SQL)(lambda spark, d: ledger.route_counts(stops(spark, d)))
+query("a3_best_confidence", "SELECT l_orderkey, max(l_quantity) AS confidence FROM lineitem GROUP BY l_orderkey")(lambda spark, d: table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("confidence")))
+
+_NEAREST = f"near AS (SELECT business_date, stop_id, seq, {_M.format(a='start_lat', b='lat', c='start_lng', d='lng')} AS m, count(*) OVER (PARTITION BY business_date) AS n, min(seq) OVER (PARTITION BY business_date) AS first_seq FROM stops JOIN routes USING (business_date) WHERE seq IS NOT NULL AND lat IS NOT NULL AND start_lat IS NOT NULL)"
+
+
+@query("a4_nearest_to_start", "SELECT business_date, stop_id, seq, cast(floor(m + 0.5) AS bigint) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY business_date ORDER BY floor(m * 1000), seq) AS k FROM near) WHERE k = 1 AND n > 2 AND seq <> first_seq", STOPS_SQL, ROUTES_SQL, _NEAREST)
+def _(spark, d):
+    return ledger.nearest_to_start(stops(spark, d), routes(spark, d))
+
+
+_POINTS = f"CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0 WHEN len(words) = 0 THEN length(regexp_replace(text, '[^{ocr.LETTERS}]', '', 'g')) / 20 ELSE len(list_filter(words, lambda w: w.confidence >= 70 AND regexp_matches(w.text, '[{ocr.LETTERS}]{{3,}}')))::DOUBLE END"
+query("a5_readable_words", f"SELECT doc_id, attempt, {_POINTS} AS points FROM readings", READINGS_SQL)(lambda spark, d: readings(spark, d).select("doc_id", "attempt", ocr.readable_words(F.col("text"), F.col("words")).alias("points")))
+
+_PIXELS = "pixels AS (SELECT l_suppkey, (299 * (l_partkey * 7 % 256) + 587 * (l_orderkey % 256) + 114 * (l_linenumber * 30)) // 1000 AS grey FROM lineitem)"
+_HIST = "hist AS (SELECT l_suppkey, grey, count(*) AS n FROM pixels GROUP BY l_suppkey, grey)"
+_CLIP = "clip AS (SELECT l_suppkey, min(grey) FILTER (WHERE up > 0.02 * total) AS low, max(grey) FILTER (WHERE down > 0.02 * total) AS high FROM (SELECT *, sum(n) OVER (PARTITION BY l_suppkey ORDER BY grey) AS up, sum(n) OVER (PARTITION BY l_suppkey ORDER BY grey DESC) AS down, sum(n) OVER (PARTITION BY l_suppkey) AS total FROM hist) GROUP BY l_suppkey)"
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    return rows.select("l_suppkey", ocr.grey(F.col("l_partkey") * 7 % 256, F.col("l_orderkey") % 256, F.col("l_linenumber") * 30).alias("grey"))
+
+
+query("a6_grey_histogram", "SELECT * FROM hist", _PIXELS, _HIST)(lambda spark, d: ocr.histogram(_pixels(spark, d), "l_suppkey", "grey"))
+query("w4_clip_levels", "SELECT * FROM clip", _PIXELS, _HIST, _CLIP)(lambda spark, d: ocr.clip_levels(ocr.histogram(_pixels(spark, d), "l_suppkey", "grey"), "l_suppkey", "grey"))
+
+
+@query("i5_grey_stretch", "SELECT l_suppkey, grey, CASE WHEN high - low > 8 THEN least(255, greatest(0, floor((grey - low) * 255 / (high - low)::DOUBLE + 0.5)))::INT ELSE grey END AS stretched, n FROM hist JOIN clip USING (l_suppkey)", _PIXELS, _HIST, _CLIP)
+def _(spark, d):
+    hist = ocr.histogram(_pixels(spark, d), "l_suppkey", "grey")
+    rows = hist.join(ocr.clip_levels(hist, "l_suppkey", "grey"), "l_suppkey")
+    return rows.select("l_suppkey", "grey", ocr.stretched(F.col("grey"), F.col("low"), F.col("high")).alias("stretched"), "n")
+
+
+query("a7_archive", "SELECT business_date, status, coalesce(total, 0) AS total, coalesce(delivered, 0) AS delivered, coalesce(failed, 0) AS failed, floor(total_m / 1000 * 10 + 0.5) / 10 AS km FROM days LEFT JOIN summary USING (business_date) LEFT JOIN routes USING (business_date)", STOPS_SQL, DAYS_SQL, ROUTES_SQL, _SUMMARY)(lambda spark, d: ledger.archive(days(spark, d), stops(spark, d), routes(spark, d)))
+
+# Windows
+
+query("w1_stop_order", f"SELECT business_date, stop_id, row_number() OVER (PARTITION BY business_date ORDER BY {_ORDER}) AS place FROM stops", STOPS_SQL)(lambda spark, d: ledger.in_order(stops(spark, d)).select("business_date", "stop_id", "place"))
+
+_LAG = "lag({c}) OVER (PARTITION BY business_date ORDER BY seq, stop_id)"
+
+
+@query("w2_legs", f"SELECT business_date, stop_id, seq, {_metres('b_lat', 'lat', 'b_lng', 'lng')} AS metres FROM (SELECT s.*, coalesce({_LAG.format(c='lat')}, start_lat) AS b_lat, coalesce({_LAG.format(c='lng')}, start_lng) AS b_lng FROM (SELECT * FROM stops WHERE seq IS NOT NULL AND lat IS NOT NULL) s LEFT JOIN routes USING (business_date))", STOPS_SQL, ROUTES_SQL)
+def _(spark, d):
+    return ledger.legs(stops(spark, d), routes(spark, d)).withColumn("metres", _whole(F.col("metres")))
+
+
+query("w2b_export_legs", "SELECT business_date, stop_id, place, cast(floor(leg_m + 0.5) AS bigint) AS metres FROM w2b", STOPS_SQL, ROUTES_SQL, _W2B)(lambda spark, d: ledger.export_legs(stops(spark, d), routes(spark, d)).select("business_date", "stop_id", "place", _whole(F.col("leg_m")).alias("metres")))
+_SAME = "SELECT business_date, stop_id, CASE WHEN lat IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY business_date, floor(lat * 100000 + 0.5), floor(lng * 100000 + 0.5)) END AS same_address FROM stops"
+query("w3_same_address", _SAME, STOPS_SQL)(lambda spark, d: ledger.same_address(stops(spark, d)).select("business_date", "stop_id", "same_address"))
+query("j5_same_coordinate", f"SELECT * FROM ({_SAME}) WHERE same_address > 1", STOPS_SQL)(lambda spark, d: QUERIES["w3_same_address"](spark, d).where("same_address > 1"))
+query("w5_next_pending", f"SELECT business_date, stop_id FROM (SELECT *, row_number() OVER (PARTITION BY business_date ORDER BY {_ORDER}) AS n FROM stops WHERE status = 'pending') WHERE n = 1", STOPS_SQL)(lambda spark, d: _keys(ledger.next_pending(stops(spark, d))))
+query("w6_last_handled_order", f"SELECT business_date, stop_id FROM (SELECT *, row_number() OVER (PARTITION BY business_date ORDER BY seq DESC NULLS FIRST, stop_id DESC) AS n FROM stops WHERE status <> 'pending' AND lat IS NOT NULL) WHERE n = 1", STOPS_SQL)(lambda spark, d: _keys(ledger.last_handled(stops(spark, d))))
+query("w6_last_handled_finished", "SELECT business_date, arg_max(stop_id, (ts, stop_id)) AS stop_id FROM stops WHERE status <> 'pending' AND lat IS NOT NULL GROUP BY business_date", STOPS_SQL)(lambda spark, d: _keys(ledger.last_handled(stops(spark, d).withColumn("finished_at", F.col("ts")), by_finish=True)))
+
+
+@query("w8_best_reading", "SELECT doc_id, attempt, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, attempt) AS k FROM (SELECT *, coalesce(max(confidence) OVER (PARTITION BY doc_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 70, false) AS done FROM readings) WHERE NOT done) WHERE k = 1", READINGS_SQL)
+def _(spark, d):
+    return ocr.best_reading(readings(spark, d).select("doc_id", "attempt", "confidence"), "doc_id", score="confidence")
+
+
+query("w9_top_two_regions", "SELECT doc_id, attempt FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, attempt) AS k FROM readings) WHERE k <= 2", READINGS_SQL)(lambda spark, d: gazetteer.best_per_group(readings(spark, d).select("doc_id", "attempt", "confidence"), "doc_id", [F.desc("confidence"), F.col("attempt")], 2).select("doc_id", "attempt"))
+
+# Changes of the ledger
+
+query("m1_merge_scans")(lambda spark, d: merge.merge_scans(merge.scans(stops(spark, d))))
+
+
+@query("m1_merge_by_number", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY business_date, doc_no ORDER BY ts, stop_id) AS pos FROM stops WHERE doc_no IS NOT NULL AND lat IS NOT NULL) SELECT business_date, doc_no, arg_max(name, pos) FILTER (WHERE name <> '') AS name, arg_max(phone, pos) FILTER (WHERE phone <> '') AS phone, max(coalesce(nullif(pieces, 0), 1)) AS pieces, max(confidence) AS confidence, arg_max(lat, confidence * 1000000 - pos) AS lat, arg_max(lng, confidence * 1000000 - pos) AS lng, arg_max(precision, confidence * 1000000 - pos) AS precision, arg_max(grade, confidence * 1000000 - pos) AS grade, count(*) AS frames FROM x GROUP BY business_date, doc_no".replace("WITH x AS", "WITH " + STOPS_SQL + ", x AS"))
+def _(spark, d):
+    return merge.by_document_number(merge.scans(stops(spark, d)))
+
+
+query("m2_delete_stops", "SELECT business_date, stop_id, seq FROM stops WHERE stop_id % 5 <> 0", STOPS_SQL)(lambda spark, d: ledger.delete_stops(stops(spark, d), stops(spark, d).where("stop_id % 5 = 0")).select("business_date", "stop_id", "seq"))
+
+
+@query("m3_correct_stops", "SELECT business_date, stop_id, CASE WHEN stop_id % 7 = 0 THEN NULL ELSE flat END AS flat, CASE WHEN stop_id % 7 = 0 THEN 'Yeni Yol' ELSE road END AS road, corrected OR stop_id % 7 = 0 AS corrected, CASE WHEN stop_id % 7 = 0 THEN 'green' ELSE grade END AS grade, CASE WHEN stop_id % 7 = 0 THEN 100 ELSE confidence END AS confidence FROM stops", STOPS_SQL)
+def _(spark, d):
+    rows = stops(spark, d)
+    overlay = F.create_map(F.lit("road"), F.lit("Yeni Yol"), F.lit("flat"), F.lit(None).cast("string"))
+    fixes = rows.where("stop_id % 7 = 0").select("business_date", "stop_id", overlay.alias("fields"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
+    return ledger.correct_stops(rows, fixes, F.lit("2024-02-01 08:00:00").cast("timestamp_ntz")).select("business_date", "stop_id", "flat", "road", "corrected", "grade", "confidence")
+
+
+@query("m4_set_status", "SELECT business_date, stop_id, CASE WHEN stop_id % 4 = 0 THEN CASE WHEN stop_id % 8 = 0 THEN 'failed' ELSE 'delivered' END ELSE status END AS status, CASE WHEN stop_id % 8 = 0 THEN 'closed' END AS status_reason, CASE WHEN stop_id % 4 = 0 THEN ts END AS finished_at FROM stops", STOPS_SQL)
+def _(spark, d):
+    rows = stops(spark, d)
+    eighth = F.col("stop_id") % 8 == 0
+    last = rows.where("stop_id % 4 = 0").select("business_date", "stop_id", F.when(eighth, "failed").otherwise("delivered").alias("new_status"), F.when(eighth, "closed").otherwise("").alias("reason"), F.col("ts").alias("at"))
+    earlier = last.select("business_date", "stop_id", F.lit("pending").alias("new_status"), F.lit("x").alias("reason"), (F.col("at") - F.expr("interval 1 hour")).alias("at"))
+    return ledger.set_status(rows, last.unionByName(earlier)).select("business_date", "stop_id", "status", "status_reason", "finished_at")
+
+
+@query("m7_customer_note", "SELECT phone_key, CASE WHEN x.k IS NOT NULL THEN 'note ' || x.k END AS note FROM memory LEFT JOIN (SELECT DISTINCT right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS k FROM stops WHERE user_id % 2 = 0 AND length(regexp_replace(phone, '[^0-9]', '', 'g')) >= 10) x ON k = phone_key", STOPS_SQL, _MEMORY)
+def _(spark, d):
+    rows = stops(spark, d)
+    notes = rows.where("user_id % 2 = 0").select("phone", F.concat(F.lit("note "), text.phone_key(F.col("phone"))).alias("note"), F.col("ts").alias("at"))
+    return memory.annotate(memory.learn(rows), notes).select("phone_key", "note")
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None)
+    return days(spark, d).select("business_date", "status", none.cast("timestamp_ntz").alias("opened_at"), none.cast("timestamp_ntz").alias("closed_at"), none.cast("string").alias("note"))
+
+
+_AT = "2024-02-01 08:00:00"
+
+
+def _now() -> Column:
+    return F.lit(_AT).cast("timestamp_ntz")
+
+
+@query("m8_open_day", f"SELECT business_date, 'closed' AS status, CASE WHEN status = 'open' THEN TIMESTAMP '{_AT}' END AS closed_at, CASE WHEN status = 'open' THEN 'closed by the next day' END AS note FROM days UNION ALL SELECT DATE '2024-02-01', 'open', NULL, NULL", STOPS_SQL, DAYS_SQL)
+def _(spark, d):
+    return ledger.open_day(_dated(spark, d), F.lit("2024-02-01").cast("date"), _now()).select("business_date", "status", "closed_at", "note")
+
+
+query("r4_day_rollover", "SELECT business_date, CASE WHEN business_date = DATE '2024-02-01' THEN 'open' ELSE 'closed' END AS status FROM (SELECT business_date FROM days UNION ALL SELECT DATE '2024-02-01')", STOPS_SQL, DAYS_SQL)(lambda spark, d: ledger.open_day(_dated(spark, d), dates.business_date(F.lit("2024-02-02 03:59:59").cast("timestamp_ntz")), _now()).select("business_date", "status"))
+
+
+@query("m9_close_day", f"SELECT business_date, CASE WHEN business_date = DATE '2024-01-10' THEN 'closed' ELSE status END AS status, CASE WHEN business_date = DATE '2024-01-10' THEN TIMESTAMP '{_AT}' END AS closed_at, CASE WHEN business_date = DATE '2024-01-10' THEN 'done' END AS note FROM days", STOPS_SQL, DAYS_SQL)
+def _(spark, d):
+    return ledger.close_day(_dated(spark, d), F.lit("2024-01-10").cast("date"), _now(), F.lit("done")).select("business_date", "status", "closed_at", "note")
+
+
+query("m10_reopen_day", "SELECT business_date, CASE WHEN business_date = DATE '2024-01-10' THEN 'open' ELSE status END AS status FROM days", STOPS_SQL, DAYS_SQL)(lambda spark, d: ledger.reopen_day(_dated(spark, d), F.lit("2024-01-10").cast("date")).select("business_date", "status"))
+query("m11_save_day", "SELECT business_date, CASE WHEN day(business_date) = 10 THEN 'saved' ELSE status END AS status FROM days", STOPS_SQL, DAYS_SQL)(lambda spark, d: ledger.upsert(days(spark, d), days(spark, d).where("day(business_date) = 10").select("business_date", F.lit("saved").alias("status"), F.lit(1).alias("at")), ["business_date"], "at"))
+
+
+@query("m12_join_readings", "SELECT a.doc_id, md5(a.text || chr(10) || coalesce(b.text, '')) AS text_md5, greatest(a.confidence, b.confidence) AS confidence, len(a.words) + len(b.words) AS n FROM readings a JOIN readings b ON a.doc_id = b.doc_id AND a.attempt = 0 AND b.attempt = 1", READINGS_SQL)
+def _(spark, d):
+    rows = readings(spark, d).select("doc_id", "attempt", F.struct("text", "confidence", "words").alias("r"))
+    pairs = rows.where("attempt = 0").join(rows.where("attempt = 1").select("doc_id", F.col("r").alias("other")), "doc_id")
+    both = pairs.withColumn("j", ocr.joined(F.col("r"), F.col("other")))
+    return both.select("doc_id", F.md5(F.col("j.text").cast("binary")).alias("text_md5"), "j.confidence", F.size("j.words").cast("bigint").alias("n"))
+
+
+query("m13_auto_reopen", "SELECT business_date, CASE WHEN business_date IN (SELECT business_date FROM stops WHERE event_like) THEN 'open' ELSE status END AS status FROM days".replace("event_like", "stop_id % 500 = 3"), STOPS_SQL, DAYS_SQL)(lambda spark, d: ledger.reopened_by_scans(days(spark, d), stops(spark, d).where("stop_id % 500 = 3")))
+query("m14_silent_reroute", "SELECT DISTINCT business_date FROM x WHERE status = 'pending' AND lat IS NOT NULL AND seq IS NULL AND business_date IN (SELECT business_date FROM routes) AND business_date NOT IN (SELECT business_date FROM x WHERE status <> 'pending')", STOPS_SQL, ROUTES_SQL, "x AS (SELECT * FROM stops WHERE status = 'pending' OR day(business_date) % 4 <> 0)")(lambda spark, d: ledger.to_reroute(stops(spark, d).where("status = 'pending' or day(business_date) % 4 <> 0"), routes(spark, d)))
+
+# Frames and crops
+
+
+@query("i1_crop_in_source", "SELECT p_partkey, CASE turn WHEN 90 THEN 20 WHEN 180 THEN w - 110 WHEN 270 THEN w - 60 ELSE 10 END AS x0, CASE turn WHEN 90 THEN h - 110 WHEN 180 THEN h - 60 WHEN 270 THEN 10 ELSE 20 END AS y0, CASE turn WHEN 90 THEN 60 WHEN 180 THEN w - 10 WHEN 270 THEN w - 20 ELSE 110 END AS x1, CASE turn WHEN 90 THEN h - 10 WHEN 180 THEN h - 20 WHEN 270 THEN 110 ELSE 60 END AS y1 FROM frames", _FRAMES)
+def _(spark, d):
+    box = [F.lit(v).cast("bigint") for v in (10, 20, 110, 60)]
+    rect = ocr.crop_in_source(*box, F.col("turn") - 360, F.col("w"), F.col("h"))
+    return _frames(spark, d).withColumn("r", rect).select("p_partkey", "r.x0", "r.y0", "r.x1", "r.y1")
+
+
+query("i2_frame_size", "SELECT p_partkey, CASE WHEN turn IN (90, 270) THEN h ELSE w END AS width, CASE WHEN turn IN (90, 270) THEN w ELSE h END AS height FROM frames", _FRAMES)(lambda spark, d: _frames(spark, d).withColumn("f", ocr.frame_size(F.col("turn"), F.col("w"), F.col("h"))).select("p_partkey", "f.width", "f.height"))
+query("i3_scale", f"SELECT p_partkey, greatest(1, floor(w * {_SCALE} + 0.5))::INT AS width, greatest(1, floor(h * {_SCALE} + 0.5))::INT AS height FROM frames", _FRAMES)(lambda spark, d: _frames(spark, d).withColumn("s", ocr.output_size(F.col("w"), F.col("h"), ocr.scale(F.col("w"), F.col("h")))).select("p_partkey", "s.width", "s.height"))
+
+
+@query("i4_blank_canvas", "SELECT p_partkey, NOT (p_partkey % 3 = 0 AND p_partkey % 2 = 1) AS blank FROM part")
+def _(spark, d):
+    pixel = lambda r, a: F.struct(r.cast("int").alias("r"), a.cast("int").alias("a"))
+    odd = F.when(F.col("p_partkey") % 3 == 0, 240).otherwise(255)
+    opaque = F.when(F.col("p_partkey") % 2 == 1, 255).otherwise(0)
+    patch = F.array(pixel(F.lit(250), opaque), pixel(odd, opaque))
+    return table(spark, d, "part").select("p_partkey", ocr.is_blank(F.array(patch, patch)).alias("blank"))
+
+
+@query("i8_flatten_tree", "SELECT l_orderkey, pos, txt AS text, 5 + x / 2.0 AS x0 FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, 'w' || l_partkey AS txt, l_suppkey AS x FROM lineitem)")
+def _(spark, d):
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    word = F.struct(F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), F.lit(80.0).alias("confidence"), *[F.col("l_suppkey").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, word.alias("w")))), lambda x: F.struct(F.array(x["w"]).alias("words"))).alias("lines"))
+    tree = lines.select("l_orderkey", F.array(F.struct(F.array(F.struct("lines")).alias("paragraphs"))).alias("blocks"))
+    origin = F.struct(F.lit(5.0).alias("x"), F.lit(7.0).alias("y"))
+    return ocr.flat_words(tree, "l_orderkey", "blocks", origin, F.lit(2.0)).select("l_orderkey", F.col("pos").cast("bigint").alias("pos"), "text", "x0")
+
+
+query("i10_zoom_gate", f"SELECT p_partkey FROM frames WHERE {_SCALE} < 0.95", _FRAMES)(lambda spark, d: _frames(spark, d).where(ocr.zoom_helps(F.col("w"), F.col("h"))).select("p_partkey"))
+
+
+@query("i11_cascade")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    stages = F.array(*[F.struct(F.lit(s).alias("stage"), ((F.col("doc_id") * k) % 100).cast("double").alias("score"), ((F.col("doc_id") * k) % 23).alias("words")) for s, k in (("page", 37), ("region1", 53), ("region2", 71), ("probe180", 17), ("page180", 29), ("region180", 91))])
+    rows = docs.withColumn("a", F.explode(stages)).select("doc_id", "a.stage", "a.score", "a.words", (F.col("doc_id") % 2 == 0).alias("zoom"))
+    return ocr.cascade(rows, "doc_id")
+
+
+# Routes and positions
+
+
+def _starts(spark: SparkSession, d: str) -> DataFrame:
+    return routes(spark, d).select("business_date", F.coalesce("start_lat", F.lit(geo.DEPOT_LAT)).alias("start_lat"), F.coalesce("start_lng", F.lit(geo.DEPOT_LNG)).alias("start_lng"))
+
+
+query("route_order")(lambda spark, d: route.build_routes(stops(spark, d), _starts(spark, d)))
+
+
+@query("route_start_points", "SELECT business_date, coalesce(l.lat, r.start_lat, 37.760175) AS start_lat, CASE WHEN l.lat IS NOT NULL THEN 'last_handled' WHEN r.start_lat IS NOT NULL THEN 'previous' ELSE 'depot' END AS start_source FROM days LEFT JOIN (SELECT business_date, arg_max(lat, (seq IS NULL, coalesce(seq, stop_id), stop_id)) AS lat FROM stops WHERE status <> 'pending' AND lat IS NOT NULL AND day(business_date) % 5 = 0 GROUP BY business_date) l USING (business_date) LEFT JOIN routes r USING (business_date)", STOPS_SQL, DAYS_SQL, ROUTES_SQL)
+def _(spark, d):
+    rows = stops(spark, d).where("day(business_date) % 5 = 0")
+    handled = ledger.last_handled(rows).join(rows.select("business_date", "stop_id", "lat", "lng"), ["business_date", "stop_id"])
+    previous = routes(spark, d).select("business_date", F.col("start_lat").alias("lat"), F.col("start_lng").alias("lng"))
+    depot = days(spark, d).select("business_date", F.lit(geo.DEPOT_LAT).alias("lat"), F.lit(geo.DEPOT_LNG).alias("lng"))
+    return route.start_points(days(spark, d), ("last_handled", handled), ("previous", previous), ("depot", depot)).select("business_date", "start_lat", "start_source")
+
+
+_TARGETS = "targets AS (SELECT business_date, stop_id, lat, lng, ts AS since, lead(ts) OVER (PARTITION BY business_date ORDER BY ts, stop_id) AS until FROM stops WHERE seq IS NOT NULL)"
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return stops(spark, d).where("seq is not null").selectExpr("business_date", "stop_id", "lat", "lng", "ts as since", "lead(ts) over (partition by business_date order by ts, stop_id) as until")
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    return stops(spark, d).where("lat is not null").selectExpr("business_date", "ts + interval 1 second as ts", "lat + 0.0005 as lat", "lng")
+
+
+_ARRIVED = f"SELECT business_date, stop_id, min(pts) AS ts FROM (SELECT t.business_date, t.stop_id, p.ts + INTERVAL 1 SECOND AS pts, {_M.format(a='p.lat + 0.0005', b='t.lat', c='p.lng', d='t.lng')} AS m FROM stops p JOIN targets t ON p.business_date = t.business_date AND p.ts + INTERVAL 1 SECOND >= t.since AND (t.until IS NULL OR p.ts + INTERVAL 1 SECOND < t.until) WHERE p.lat IS NOT NULL) WHERE m < 120 GROUP BY business_date, stop_id"
+query("r3_arrivals", _ARRIVED, STOPS_SQL, _TARGETS)(lambda spark, d: arrivals.arrivals(_positions(spark, d), _targets(spark, d)).select("business_date", "stop_id", "ts"))
+query("f7_arrived", _ARRIVED.replace("SELECT business_date, stop_id, min(pts) AS ts FROM", "SELECT DISTINCT business_date, stop_id FROM").replace(" GROUP BY business_date, stop_id", ""), STOPS_SQL, _TARGETS)(lambda spark, d: _keys(arrivals.arrivals(_positions(spark, d), _targets(spark, d))))
+query("r1_live_positions", "SELECT p.business_date, p.ts + INTERVAL 1 SECOND AS ts FROM stops p WHERE lat IS NOT NULL AND business_date IN (SELECT business_date FROM days WHERE status = 'open') AND business_date IN (SELECT business_date FROM stops WHERE status = 'pending')", STOPS_SQL, DAYS_SQL)(lambda spark, d: arrivals.live(_positions(spark, d), days(spark, d), ledger.pending(stops(spark, d)).select("business_date").distinct()).select("business_date", "ts"))
