@@ -16,7 +16,7 @@ def metres(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Haversine distance; null if a coordinate is."""
     half_lat, half_lng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     h = F.sin(half_lat) * F.sin(half_lat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_lng) * F.sin(half_lng)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # least() would hide a null
 
 
 def metres_or_infinity(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
