@@ -133,7 +133,8 @@ def _day(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def build_routes(stops: DataFrame, starts: DataFrame) -> DataFrame:
     """A route per day over its pending stops with coordinates. ``starts``: business_date, start_lat, start_lng."""
     rows = stops.where("status = 'pending' and lat is not null").join(starts.where("start_lat is not null"), DAY)
-    return rows.select(DAY, F.col("stop_id").cast("long"), "lat", "lng", "quarter", "start_lat", "start_lng").groupBy(DAY).applyInPandas(_day, ROUTE_SCHEMA)
+    points = [F.col(c).cast("double").alias(c) for c in ("lat", "lng", "start_lat", "start_lng")]
+    return rows.select(DAY, F.col("stop_id").cast("long"), "quarter", *points).groupBy(DAY).applyInPandas(_day, ROUTE_SCHEMA)
 
 
 def start_points(days: DataFrame, *ranked: tuple[str, DataFrame]) -> DataFrame:
