@@ -203,10 +203,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     blocks = _blocks(benchmark, block_words)
     if len(blocks) == 1:
         return docs.mapInArrow(_clean(Items(blocks[0].collect(), window), window), docs.schema)
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    ids = contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, block_words)
-    bad = ids.where("contaminated").select(F.col("doc_id").alias("_row"))
-    return keyed.join(bad, "_row", "left_anti").drop("_row")
+    # columns go by number within, so that no name can clash
+    names = docs.columns
+    keyed = cut(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("row")))
+    ids = contamination(keyed.select(F.col("row").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text")), benchmark, window, block_words)
+    bad = ids.where("contaminated").select(F.col("doc_id").alias("row"))
+    return keyed.join(bad, "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _clean(items: Items, window: int):

@@ -83,7 +83,9 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY,
     """The mixed corpus: a row for each time a document is taken, with epoch (from 0), source_weight and mix_order."""
     added = ("epoch", "source_weight", "mix_order")
     kept = [c for c in docs.columns if c not in added]
-    counted = docs.select(*kept, tokens(F.col("text")).alias("_n"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_none"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
+    # the input's columns go by number within, so that no name of theirs can clash
+    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(kept)]
+    counted = docs.select(*carried, tokens(F.col("text")).alias("_n"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_none"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
     counted = counted.withColumn("_b", F.pmod("_h", F.lit(blocks)).cast("int"))
     sizes = cut(counted.groupBy("_s", "_none", "_b").agg(F.sum("_n").alias("n"), F.count("*").alias("docs")))
     sources = sizes.groupBy("_s", "_none").agg(F.sum("n").alias("tokens"), F.sum("docs").alias("documents"))
@@ -106,4 +108,4 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY,
     epochs = F.explode(F.when(taken > 0, F.sequence(F.lit(0), taken - 1)).otherwise(F.array().cast("array<int>")))
     # where in its epoch a block, and in its block a document, stands; all sources interleave by it
     mixed = settled.withColumn("epoch", epochs).withColumn("mix_order", F.xxhash64(F.lit(seed), "epoch", "_s", "_b"))
-    return mixed.select(*kept, *added)
+    return mixed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *added)

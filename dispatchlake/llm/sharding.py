@@ -123,7 +123,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, c
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = cut(
         docs.select(
-            *kept,
+            *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)],  # by number, so that no name can clash
             (F.octet_length(text).cast("long") + 1).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("_k1"),
@@ -136,4 +136,4 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, c
     for key in found:
         number = number + _at_or_after(key).cast("int")
     placed = keyed.withColumn("law", F.lit("bytes")).withColumn("shard", number)
-    return _slots(placed, keyed.count()).withColumn("grown_shard", F.lit(None).cast("int")).select(*kept, *added)
+    return _slots(placed, keyed.count()).withColumn("grown_shard", F.lit(None).cast("int")).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *added)

@@ -178,7 +178,7 @@ def simhash(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
 def _with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = np.array([fingerprint(t) for t in utf8(batch["text"])], np.uint64)
-        yield batch.append_column("_mark", pa.array(marks.view(np.int64)))
+        yield batch.drop_columns(["text"]).append_column("mark", pa.array(marks.view(np.int64)))
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -186,16 +186,19 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> D
 
     A component whose doc_ids are all null keeps one row. Of rows with one doc_id and component, one stays.
     """
+    names = docs.columns
     marked = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, mark long"))
     groups = _grouped(marked, radius, bucket)
     odd = cut(marked.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"))
     kept = marked.join(groups, "mark").where("doc_id = component_id").select("doc_id").join(odd, "doc_id", "left_anti")
-    plain = docs.join(kept, "doc_id", "left_semi")
-    doubtful = docs.where("doc_id is null").unionByName(docs.join(odd, "doc_id", "left_semi"))
-    schema = f"{docs._jdf.schema().toDDL()}, _mark long"
-    doubtful = doubtful.mapInArrow(_with_marks, schema).join(groups.withColumnRenamed("mark", "_mark").withColumnsRenamed({"group": "_group", "component_id": "_least"}), "_mark")
-    doubtful = doubtful.where("doc_id <=> _least").dropDuplicates(["_group"])
-    return plain.select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+    plain = docs.join(kept, "doc_id", "left_semi").select(*names)
+    # rows that share a doc_id or have none are told apart by their own fingerprints; columns go by number within
+    doubtful = docs.where("doc_id is null").unionByName(docs.join(odd, "doc_id", "left_semi").select(*names))
+    doubtful = doubtful.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("id"), "text")
+    fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+    doubtful = doubtful.mapInArrow(_with_marks, f"{fields}, id long, mark long").join(groups, "mark")
+    doubtful = doubtful.where("id <=> component_id").dropDuplicates(["group"])
+    return plain.unionByName(doubtful.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)]))
 
 
 def as_hex(mark: Column) -> Column:
