@@ -34,13 +34,17 @@ from .storage import cut
 
 SAMPLE = 20_000
 LANDMARKS = 96
-HARMLESS = 32
+HARMLESS = 40
 ORDER = 3
 DECAY = 0.6
 THRESHOLD = 0.3
 #: Longer words are judged in overlapping parts.
 UNIT = 24
 START = "^"
+#: Margin of a unit that is like no landmark: almost all units are harmless.
+PLAIN = -1.0
+#: How much worse it is to blame a clean text's unit than to miss a toxic one's.
+HARM = 2.0
 _PAIR_BUCKETS, _PAIR_GAP = 512, 3
 _CACHE = 400_000
 _LETTERS = re.compile(r"[\W_]+")
@@ -204,14 +208,15 @@ def _marked(runs: list[str]):
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """A linear machine by dual coordinate descent; ``cost``: each row's bound."""
+    """A linear machine by dual coordinate descent, with its threshold given: y * (w x + PLAIN) >= 1; ``cost``: each row's bound."""
+    wanted = 1 - PLAIN * y
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
     square = (x**2).sum(1) + 1e-12
     rng = np.random.default_rng(5)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
-            step = np.clip(alpha[i] - (y[i] * (w @ x[i]) - 1) / square[i], 0, cost[i]) - alpha[i]
+            step = np.clip(alpha[i] - (y[i] * (w @ x[i]) - wanted[i]) / square[i], 0, cost[i]) - alpha[i]
             if step:
                 alpha[i] += step
                 w += step * y[i] * x[i]
@@ -233,12 +238,15 @@ def _fit_units(counts: dict[str, tuple[float, float]], landmarks: list[str]) ->
     nystroem = vector[:, keep] / np.sqrt(value[keep])
     strings = list(counts)
     shares = np.array([counts[u] for u in strings])
-    features = np.hstack([kernel(strings) @ nystroem, np.ones((len(strings), 1))])
-    x = np.vstack([features[shares[:, 0] > 0], features[shares[:, 1] > 0]])
-    cost = np.concatenate([shares[shares[:, 0] > 0, 0], shares[shares[:, 1] > 0, 1]])
-    y = np.repeat([1.0, -1.0], [(shares[:, 0] > 0).sum(), (shares[:, 1] > 0).sum()])
+    features = kernel(strings) @ nystroem
+    like = features.any(1)  # the others' margin is PLAIN whatever the weights
+    more = shares[:, 0] - shares[:, 1]  # what toxic texts have of a unit beyond what any text has
+    bad, good = like & (more > 0), like & (shares[:, 1] > 0)
+    x = np.vstack([features[bad], features[good]])
+    cost = np.concatenate([more[bad], HARM * shares[good, 1]])
+    y = np.repeat([1.0, -1.0], [bad.sum(), good.sum()])
     w = _hinge(x, y, 1000 * cost)
-    return Model(kernel, nystroem @ w[:-1], float(w[-1]))
+    return Model(kernel, nystroem @ w, PLAIN)
 
 
 def _judged(model: Model, columns: tuple[str, ...], result, name: str, kind: pa.DataType):
@@ -319,7 +327,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             strings = batch["unit"].to_pylist()
             yield pa.record_batch({"unit": batch["unit"], "n": batch["n"], "near": pa.array(kernel(strings).max(1) if strings else np.zeros(0, np.float32), pa.float32())})
 
-    hard = clean.mapInArrow(nearness, "unit string, n long, near float").orderBy(F.desc("near"), F.desc("n"), "unit").limit(4000).collect()
+    # by how much they would weigh if they were taken for the landmark
+    hard = clean.mapInArrow(nearness, "unit string, n long, near float").orderBy(F.desc(F.col("near") * F.col("n")), F.desc("near"), "unit").limit(6000).collect()
     good = clean.orderBy(F.xxhash64("unit")).limit(4000).collect()
     bad = seen.where("toxic = 1").groupBy("unit").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "unit").limit(4000).collect()
     units_ = {r["unit"]: (0.0, r["n"] / (fit_all - fit_toxic)) for r in [*good, *hard]}
