@@ -9,7 +9,7 @@ are a stretch: the seed extended to both sides as far as it stays the least.
    and go.
 2. Each document is extended around its shared seeds. A stretch whose words are also those of a smaller document's
    stretch is matched whole, so copies cost a row a stretch. Only where a seed has different stretches the
-   extension goes on word by word, over the windows of each different stretch.
+   extension goes on word by word, over the windows of each different stretch (read from its first document once more).
 3. Overlapping matched windows join to maximal repeats, which are taken out.
 
 No step pairs documents: a stretch or window meets only the smallest doc_id that has it, so a passage in a third
@@ -89,7 +89,7 @@ def _seeds(length: int, seed_words: int):
 
 
 def _stretches(length: int, seed_words: int):
-    """(seed, words, doc_id, place, windows): the stretches of shared seeds; words and windows are hashes, place is the first word."""
+    """(seed, words, doc_id, place, n): the stretches of shared seeds; words is a hash, place the first word, n the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,13 +110,32 @@ def _stretches(length: int, seed_words: int):
                 keep = np.isin(seeds[begin] ^ mixed(row[begin].astype(np.uint64)), shared[bounds[first] : bounds[last]] ^ mixed(mine.astype(np.uint64)))
                 begin, size = begin[keep], size[keep]
                 whole = span_hashes(hashes, at[begin], at[begin] + size + length - 1).view(np.int64)
-                windows = sequence_hashes(hashes, length).view(np.int64)
-                offsets = np.concatenate(([0], np.cumsum(size)))
-                inner = np.repeat(at[begin] - offsets[:-1], size) + np.arange(offsets[-1])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(windows[inner]))
-                out = pa.record_batch({"seed": seeds[begin].view(np.int64), "words": whole, "doc_id": ids[row[begin]].astype(np.int64), "place": (at[begin] - words.offsets[row[begin] - first]).astype(np.int32), "windows": lists})
-                for k in range(0, len(out), 20_000):
-                    yield out.slice(k, 20_000)
+                yield pa.record_batch({"seed": seeds[begin].view(np.int64), "words": whole, "doc_id": ids[row[begin]].astype(np.int64), "place": (at[begin] - words.offsets[row[begin] - first]).astype(np.int32), "n": size.astype(np.int32)})
+
+    return run
+
+
+def _opened(length: int):
+    """(seed, window, doc_id, place): each window, as a hash, of the stretches given for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            given, bounds = batch["stretches"].flatten(), batch["stretches"].offsets.to_numpy()
+            seed, place, size = (given.field(k).to_numpy() for k in range(3))
+            bounds = bounds - bounds[0]
+            for first, last, words in _batches(batch):
+                mine = slice(bounds[first], bounds[last])
+                row = np.repeat(np.arange(last - first), np.diff(bounds[first : last + 1]))
+                n = size[mine].astype(np.int64)
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(words.offsets[row] + place[mine], n) + inner
+                windows = sequence_hashes(words.hashes(), length).view(np.int64)
+                # a row that shares its doc_id with another may be too short for the other's places
+                ok = at + length <= np.repeat(words.offsets[row + 1], n)
+                out = pa.record_batch({"seed": np.repeat(seed[mine], n)[ok], "window": windows[at[ok]], "doc_id": np.repeat(ids[first + row], n)[ok].astype(np.int64), "place": (np.repeat(place[mine], n) + inner)[ok].astype(np.int32)})
+                for k in range(0, len(out), 100_000):
+                    yield out.slice(k, 100_000)
 
     return run
 
@@ -130,19 +149,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED
     hits = cut(met.select("doc_id", "seed").unionByName(seeds.where(F.col("kind") == MORE).select("doc_id", "seed")))
     uncut(seeds)
     by_doc = hits.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    found = cut(docs.join(by_doc, "doc_id").mapInArrow(_stretches(length, seed_words), "seed long, words long, doc_id long, place int, windows array<long>"))
+    found = cut(docs.join(by_doc, "doc_id").mapInArrow(_stretches(length, seed_words), "seed long, words long, doc_id long, place int, n int"))
     uncut(hits)
     key = ["seed", "words"]
     first = found.groupBy(*key).agg(F.min("doc_id").alias("low"), F.count("*").alias("times"))
     # stretches of a seed that has several different ones
     first = first.withColumn("mixed", F.count("*").over(Window.partitionBy("seed")) > 1).where("mixed or times > 1")
     open_ = F.col("mixed") & (F.col("doc_id") == F.col("low"))
-    settled = cut(found.join(first, key).where(open_ | (F.col("doc_id") > F.col("low"))).select("seed", "doc_id", "place", F.size("windows").alias("n"), F.when(open_, F.col("windows")).alias("windows")))
+    settled = cut(found.join(first, key).where(open_ | (F.col("doc_id") > F.col("low"))).select(F.when(open_, F.col("seed")).alias("open"), "doc_id", "place", "n"))
     uncut(found)
-    single = settled.where("windows is not null").select("seed", "doc_id", "place", F.posexplode("windows").alias("i", "window"))
+    stretches = settled.where("open is not null").groupBy("doc_id").agg(F.collect_list(F.struct("open", "place", "n")).alias("stretches"))
+    single = cut(docs.join(stretches, "doc_id").mapInArrow(_opened(length), "seed long, window long, doc_id long, place int"))
     least = single.groupBy("seed", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    single = single.join(least, ["seed", "window"]).where("doc_id > low").select("doc_id", (F.col("place") + F.col("i")).alias("place"), F.lit(1).alias("n"))
-    return settled.where("windows is null").select("doc_id", "place", "n").unionByName(single)
+    single = single.join(least, ["seed", "window"]).where("doc_id > low").select("doc_id", "place", F.lit(1).alias("n"))
+    return settled.where("open is null").select("doc_id", "place", "n").unionByName(single)
 
 
 def _kept(length: int):
