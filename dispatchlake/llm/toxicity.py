@@ -47,6 +47,8 @@ PLAIN = -1.0
 HARM = 2.0
 _PAIR_BUCKETS, _PAIR_GAP = 512, 3
 _CACHE = 400_000
+#: Pairs of strings compared at a time.
+_BLOCK = 2048
 _LETTERS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]+){2,}[^\W\d_](?!\w)")
 
@@ -122,12 +124,20 @@ class Kernel:
             row, mark = np.nonzero(_pairs(codes) @ self.pairs.T >= self.need)
             if not len(row):
                 continue
+            # strings of like lengths together, so that little of a block is padding
+            long, wide = (codes > 0).sum(1), (self.codes >= 0).sum(1)
             used = np.unique(row)
+            used = used[np.argsort(long[used], kind="stable")]
             own = np.zeros(len(part), np.float32)
-            own[used] = np.sqrt(subsequence_kernel(codes[used], np.where(codes[used] == 0, -1, codes[used])))
-            for j in range(0, len(row), 16384):
-                r, m = row[j : j + 16384], mark[j : j + 16384]
-                value = subsequence_kernel(codes[r], self.codes[m])
+            for j in range(0, len(used), _BLOCK):
+                u = used[j : j + _BLOCK]
+                same = codes[u, : long[u].max()]
+                own[u] = np.sqrt(subsequence_kernel(same, np.where(same == 0, -1, same)))
+            by = np.lexsort((long[row], wide[mark]))
+            row, mark = row[by], mark[by]
+            for j in range(0, len(row), _BLOCK):
+                r, m = row[j : j + _BLOCK], mark[j : j + _BLOCK]
+                value = subsequence_kernel(codes[r, : long[r].max()], self.codes[m, : wide[m].max()])
                 out[k + r, m] = value / np.maximum(own[r] * self.norm[m], 1e-12)
         return out
 
