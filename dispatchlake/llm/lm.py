@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, tidy
 from .tokens import utf8
 
 END = b"\n"  # no word holds white space
@@ -110,7 +110,7 @@ def _units(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _rows(name: str, values: np.ndarray, used: np.ndarray, extra: dict | None = None) -> pa.RecordBatch:
-    columns = {name: pa.array(used.astype(np.int32))} | {f"v{i}": pa.array(values[used, i].astype(np.float64)) for i in range(values.shape[1])}
+    columns = {name: pa.array(used.astype(np.int32))} | {f"v{i}": pa.array(values[used, i].astype(np.float32)) for i in range(values.shape[1])}
     return pa.record_batch(columns | (extra or {}))
 
 
@@ -118,6 +118,7 @@ def _summed(df: DataFrame, name: str, width: int, shape_: tuple[int, int]) -> tu
     """Column sums by row number, and how many tasks had the row: a matrix of fixed size."""
     out, tasks = np.zeros(shape_), np.zeros(shape_[0])
     found = df.groupBy(name).agg(F.count("*").alias("n"), *[F.sum(f"v{i}").cast("float").alias(f"v{i}") for i in range(width)]).toArrow()
+    tidy(df.sparkSession)  # a round's partial sums are of no more use
     at = found[name].to_numpy()
     tasks[at] = found["n"].to_numpy()
     for i in range(width):
@@ -275,7 +276,7 @@ def scored(docs: DataFrame, head_words: int = HEAD, rounds: int = ROUNDS) -> Dat
     texts = cut(docs.mapInArrow(_numbered(head, head_counts), "doc_id long, held_out boolean, learn boolean, units binary, n_head long, log_head double, tail array<struct<word:string,n:int>>").withColumn("row", F.monotonically_increasing_id()))
     learn = texts.where("learn")
 
-    columns = ", ".join(f"v{i} double" for i in range(PROFILE + 1))
+    columns = ", ".join(f"v{i} float" for i in range(PROFILE + 1))
     profiles, _ = _summed(learn.select("units").mapInArrow(_profiles, f"unit int, {columns}"), "unit", PROFILE + 1, (UNITS, PROFILE + 1))
     end = head.index(END) if END in head[: UNITS - SHAPES] else -1
     classes = _classes(profiles, end)
@@ -286,7 +287,7 @@ def scored(docs: DataFrame, head_words: int = HEAD, rounds: int = ROUNDS) -> Dat
     bias = np.log((in_class + 1) / (in_class.sum() + CLASSES)).astype(np.float32)
 
     weights = np.zeros((2 * UNITS + PAIRS, CLASSES), np.float32)
-    columns = ", ".join(f"v{i} double" for i in range(CLASSES))
+    columns = ", ".join(f"v{i} float" for i in range(CLASSES))
     for k in range(rounds):  # each round takes its own share of the documents, all of them once
         part = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("units")
         change, tasks = _summed(part.mapInArrow(_stepped(weights, bias, classes), f"feature int, {columns}"), "feature", CLASSES, weights.shape)

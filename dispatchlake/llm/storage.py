@@ -32,10 +32,15 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     df.write.option("compression", "zstd").parquet(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    jvm.System.gc()
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files that nothing refers to any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def uncut(df: DataFrame) -> None:
     """Delete the table that :func:`cut` wrote, once nothing will read it again."""
     context = df.sparkSession.sparkContext
