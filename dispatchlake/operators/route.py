@@ -19,6 +19,8 @@ from .ledger import DAY
 # Fixed values.
 ROAD_FACTOR, SPLIT_M = 1.35, 1000.0
 EXACT = 8
+#: Beyond so many stops only changes that shorten the path are tried.
+LARGE = 60
 SPEED_M_PER_MIN = 500.0
 ROUTE_SCHEMA = "business_date date, stop_ids array<long>, split_groups array<string>, total_m double, total_min double, method string"
 
@@ -78,7 +80,7 @@ def solve(legs: np.ndarray, groups: list[str | None]) -> tuple[list[int], str]:
         free.discard(at)
         order.append(at)
     best = cost(order, legs, groups)
-    for _ in range(3 if n > 60 else 10):
+    for _ in range(3 if n > LARGE else 10):
         before = best
         path = np.array([0, *order])
         for i in range(n):
@@ -88,7 +90,10 @@ def solve(legs: np.ndarray, groups: list[str | None]) -> tuple[list[int], str]:
             after = np.append(path, -1)[j + 2]
             now = legs[a, b] + np.where(after >= 0, legs[path[j + 1], after], 0)
             then = legs[a, path[j + 1]] + np.where(after >= 0, legs[b, after], 0)
-            for k in j[np.argsort(then - now, kind="stable")][:3]:
+            longer = then - now
+            for k in j[np.argsort(longer, kind="stable")][:3]:
+                if n > LARGE and longer[k - i - 1] >= 0:
+                    break
                 trial = order[:i] + order[i : k + 1][::-1] + order[k + 1 :]
                 if (c := cost(trial, legs, groups)) < best - 1e-9:
                     order, best = trial, c
@@ -96,8 +101,12 @@ def solve(legs: np.ndarray, groups: list[str | None]) -> tuple[list[int], str]:
                     break
         for i in range(n):
             stop, rest = order[i], order[:i] + order[i + 1 :]
-            near = sorted(range(n), key=lambda k: legs[stop, rest[k]] if k < n - 1 else legs[rest[-1], stop])[:3]
-            for k in near:
+            # metres that the stop adds at each place
+            before_, after_ = np.array([0, *rest]), np.array([*rest, 0])
+            added = legs[before_, stop] + np.append((legs[stop, after_] - legs[before_, after_])[:-1], 0)
+            for k in np.argsort(added, kind="stable")[:3].tolist():
+                if n > LARGE and added[k] >= added[i]:
+                    break
                 trial = [*rest[:k], stop, *rest[k:]]
                 if (c := cost(trial, legs, groups)) < best - 1e-9:
                     order, best = trial, c
