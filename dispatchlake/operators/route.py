@@ -74,13 +74,13 @@ def solve(legs: np.ndarray, groups: list[str | None]) -> tuple[list[int], str]:
     n = len(legs) - 1
     if n <= EXACT:
         return _exact(legs, groups), "exact"
-    free, at, order = set(range(1, n + 1)), 0, []
-    while free:
-        at = min(free, key=lambda i: (legs[at, i], i))
-        free.discard(at)
+    open_, at, order = np.append(np.inf, np.zeros(n)), 0, []
+    for _ in range(n):
+        at = int((legs[at] + open_).argmin())  # ties to the earlier stop
+        open_[at] = np.inf
         order.append(at)
     best = cost(order, legs, groups)
-    for _ in range(3 if n > LARGE else 10):
+    for _ in range(10 if n <= LARGE else max(1, 1000 // n)):
         before = best
         path = np.array([0, *order])
         for i in range(n):
