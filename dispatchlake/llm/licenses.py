@@ -2,9 +2,9 @@
 
 Every licence is a template: the words of a sentence that its notices share, and the key phrases that must stand
 in it. The document frequency of the templates' words is counted over all documents; each template is indexed
-under its rarest words, as postings (word, template, place in the template). A file's own occurrences of its
-rarest indexed words, at most ``TOKENS`` different ones, meet these postings; the difference of the two places is
-an alignment of the template with the file. Along each alignment the template is compared word by word: the share
+under its rarest words, as postings (word, template, place in the template). All occurrences of indexed words in a
+file meet these postings; the difference of the two places is an alignment of the template with the file. The index
+has a fixed size, so the alignments of a file are at most a fixed multiple of its words. Along each alignment the template is compared word by word: the share
 of its IDF weight that agrees is the alignment's score, and all key phrases must stand where the template has
 them. The label of an alignment that passes both is given.
 
@@ -50,8 +50,6 @@ TEMPLATES = [
 ]
 #: Each template is indexed under so many of its rarest words.
 RARE = 4
-#: So many of a file's rarest indexed words are looked up.
-TOKENS = 12
 #: Least share of a template's IDF weight that must agree.
 AGREE = 0.6
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -118,12 +116,12 @@ def scan(docs: DataFrame) -> DataFrame:
     places = {p: _base_places(F.col("posts"), p.split()) for p in BASE}
     rows = rows.withColumns({f"base{k}": v for k, v in enumerate(places.values())})
 
-    # the file's rarest indexed words
-    order = [w for w in sorted(index, key=lambda w: (-weight[w], w))]
-    rows = rows.withColumn("own", F.slice(F.array_intersect(_strings(order), F.transform("posts", lambda x: x["w"])), 1, TOKENS))
-    postings = F.create_map(*[x for w, ps in sorted(index.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("t"), F.lit(i).alias("i")) for n, i in ps]))])
-    aligned = F.flatten(F.transform(F.filter("posts", lambda x: F.array_contains("own", x["w"])), lambda x: F.transform(postings[x["w"]], lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["i"]).alias("start")))))
-    rows = rows.withColumn("aligned", F.array_distinct(aligned))
+    # an alignment is a number, start * templates + template: distinct numbers are found by hashing, structs pair by pair
+    n = F.lit(len(TEMPLATES))
+    postings = F.create_map(*[x for w, ps in sorted(index.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in ps]))])
+    indexed = F.filter("posts", lambda x: x["w"].isin(sorted(index)))
+    aligned = F.flatten(F.transform(indexed, lambda x: F.transform(postings[x["w"]], lambda p: (x["i"] - p["i"]).cast("long") * n + p["t"])))
+    rows = rows.withColumn("aligned", F.transform(F.array_distinct(aligned), lambda a: F.struct(F.pmod(a, n).cast("int").alias("t"), F.floor(a / n).cast("int").alias("start"))))
 
     templates = F.array(*[F.struct(F.lit(label).alias("label"), _strings(text.split()).alias("words"), F.array(*[F.lit(weight[w]) for w in text.split()]).alias("weights"), F.lit(sum(weight[w] for w in text.split())).alias("whole"), F.array(*[F.struct(F.lit(k).alias("at"), _strings(p).alias("words")) for k, p in _keys(n)]).alias("keys")) for n, (label, text, _) in enumerate(TEMPLATES)])
 

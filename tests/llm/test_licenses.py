@@ -63,5 +63,16 @@ def test_every_template_is_found_and_needs_its_key_phrases(spark, n):
     assert rows[2]["labels"] == rows[2]["base_labels"]
 
 
+def test_a_file_with_all_notices_has_all_their_labels(spark):
+    notices = " | ".join(text for _, text, _ in op.TEMPLATES)
+    words = " ".join(sorted({w for _, text, _ in op.TEMPLATES for w in text.split()}))
+    texts = [notices, *[f"{words} {text}" for _, text, _ in op.TEMPLATES]]
+    table = spark.createDataFrame([*enumerate(texts), *[(i, "nothing here at all") for i in range(50, 90)]], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in op.scan(table).where("doc_id < 50").collect()}
+    assert set(rows[0]["labels"].split(",")) == {label for label, _, _ in op.TEMPLATES} and rows[0]["score"] == 1
+    for k, (label, text, _) in enumerate(op.TEMPLATES, 1):
+        assert label in rows[k]["labels"].split(",") and rows[k]["score"] > 0.999, text
+
+
 def test_empty_table(no_docs):
     assert op.scan(no_docs).collect() == []
