@@ -10,8 +10,10 @@ more than ``COVERED`` are boilerplate. Blocks shorter than a run count as covere
 What an article's own markup encloses is never taken for boilerplate, however often it is repeated: copies of
 an article keep their text.
 
-A host's pages are dealt to groups of about ``GROUP`` pages, so a host with a third of all pages is many groups;
-what is found to repeat in a group is true of its pages alone, and boilerplate repeats in every group.
+A host's different contents are dealt to sets of about ``GROUP`` by a hash of the content, so a host with a third
+of all pages is many sets. A set only proposes: its suffix array gives each of its runs and the number of its
+contents with it. These numbers are summed over all sets of the host, and every set's blocks are judged by the sums,
+so a page's text depends neither on how pages are dealt nor on how the table is partitioned.
 
 Edge cases: null and empty html gives an empty text; null urls are one host; equal pages (by content) count once
 in the evidence; unclosed and stray tags are read as browsers do where it matters here (a block tag ends the
@@ -141,27 +143,31 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"page_id": batch["page_id"], "url": batch["url"], "text": pa.array(texts, pa.string()), "blocks": pa.array(candidates, pa.list_(pa.string()))})
 
 
-def boilerplate(pages: list[list[str]], run: int = RUN, pages_least: int = PAGES, covered: float = COVERED) -> list[list[bool]]:
-    """For pages of one host: which of their blocks are covered by runs that other pages share."""
-    content: dict[tuple[str, ...], int] = {}
-    kind = [content.setdefault(tuple(p), len(content)) for p in pages]
-    first = {k: i for i, k in reversed(list(enumerate(kind)))}
-    numbers: dict[str, int] = {}
-    codes, places = [], []  # of the distinct pages: words, 0 after each block
-    for k in range(len(content)):
-        for b, text in enumerate(pages[first[k]]):
-            for w in text.split():
-                codes.append(numbers.setdefault(w, len(numbers) + 1))
-                places.append((k, b))
-            codes.append(0)
-            places.append((k, -1))
-    decided: list[list[bool]] = [[False] * len(pages[first[k]]) for k in range(len(content))]
-    if len(content) >= pages_least and codes:
+class Runs:
+    """The runs of different pages of one host, found by a suffix array: ``RUN`` words, or a whole block that has fewer."""
+
+    def __init__(self, pages: list[list[str]], run: int = RUN):
+        self.sizes, self.run = [len(p) for p in pages], run
+        numbers: dict[str, int] = {}
+        codes, places = [], []  # words, 0 after each block
+        for k, page in enumerate(pages):
+            for b, text in enumerate(page):
+                for w in text.split():
+                    codes.append(numbers.setdefault(w, len(numbers) + 1))
+                    places.append((k, b))
+                codes.append(0)
+                places.append((k, -1))
+        self.places = places
+        self.keys, self.spread = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not numbers:
+            self.places = []
+            return
         seq = np.array(codes)
         page = np.array([p for p, _ in places])
         # words to the block's end
         ends = np.flatnonzero(seq == 0)
-        left = ends[np.searchsorted(ends, np.arange(len(seq)))] - np.arange(len(seq))
+        self.left = ends[np.searchsorted(ends, np.arange(len(seq)))] - np.arange(len(seq))
+        starts = np.concatenate(([True], seq[:-1] == 0))
         order = suffix_array(seq, run)
         padded = np.concatenate([seq, np.zeros(run, seq.dtype)])
         same = np.ones(len(order) - 1, bool)
@@ -171,44 +177,83 @@ def boilerplate(pages: list[list[str]], run: int = RUN, pages_least: int = PAGES
             same &= done | (a == b)
             done |= same & (a == 0)
         group = np.concatenate(([0], np.cumsum(~same)))
+        whole = (self.left >= run) | ((self.left > 0) & starts)
+        self.at, group = order[whole[order]], group[whole[order]]
+        _, first, self.group = np.unique(group, return_index=True, return_inverse=True)
         # distinct pages of each group of equal runs
-        pairs = np.unique(group * (len(content) + 1) + page[order])
-        spread = np.bincount(pairs // (len(content) + 1), minlength=group[-1] + 1)
-        starts = np.concatenate(([True], seq[:-1] == 0))[order]
-        whole = (left[order] >= run) | ((left[order] > 0) & starts)
-        hit = order[(spread[group] >= pages_least) & whole]
-        mark = np.zeros(len(seq) + 1, np.int32)
+        pairs = np.unique(self.group * len(pages) + page[self.at])
+        self.spread = np.bincount(pairs // len(pages), minlength=len(first))
+        # the same key for a run in every set
+        words = np.concatenate((np.zeros(1, np.uint64), pd.util.hash_array(np.array(list(numbers), object), categorize=False)))
+        key, at = np.zeros(len(first), np.uint64), self.at[first]
+        for k in range(run):
+            here = np.where(k < self.left[at], words[padded[at + k]], np.uint64(0))
+            key = (key ^ here) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        self.keys = key.view(np.int64)
+
+    def covered(self, common: np.ndarray, share: float = COVERED) -> list[list[bool]]:
+        """Which blocks the common runs (a flag for each of ``keys``) cover by more than ``share``."""
+        decided = [[False] * n for n in self.sizes]
+        if not self.places:
+            return decided
+        hit = self.at[common[self.group]]
+        mark = np.zeros(len(self.places) + 1, np.int32)
         np.add.at(mark, hit, 1)
-        np.add.at(mark, hit + np.minimum(run, left[hit]), -1)
+        np.add.at(mark, hit + np.minimum(self.run, self.left[hit]), -1)
         cover = np.cumsum(mark)[:-1] > 0
         total: dict[tuple[int, int], list[int]] = {}
-        for place, c in zip(places, cover.tolist(), strict=True):
+        for place, c in zip(self.places, cover.tolist(), strict=True):
             if place[1] >= 0:
                 t = total.setdefault(place, [0, 0])
                 t[0] += 1
                 t[1] += c
         for (k, b), (n, c) in total.items():
-            decided[k][b] = c > covered * n
+            decided[k][b] = c > share * n
+        return decided
+
+
+def boilerplate(pages: list[list[str]], run: int = RUN, pages_least: int = PAGES, covered: float = COVERED) -> list[list[bool]]:
+    """For all pages of one host: which of their blocks are covered by runs that other pages share."""
+    content: dict[tuple[str, ...], int] = {}
+    kind = [content.setdefault(tuple(p), len(content)) for p in pages]
+    runs = Runs([list(p) for p in content], run)
+    decided = runs.covered(runs.spread >= pages_least, covered)
     return [decided[k] for k in kind]
 
 
-def _hosts(rows: pd.DataFrame) -> pd.DataFrame:
+def _proposed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    runs = Runs([list(b) for b in rows["blocks"]])
+    found = pd.DataFrame({"host": key[0], "part": key[1], "run": runs.keys, "n": runs.spread})
+    # the only set of a host has the host's sums
+    return found[found["n"] >= PAGES] if key[2] == 1 else found
+
+
+def _judged(rows: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
     pages = [list(b) for b in rows["blocks"]]
-    drop = boilerplate(pages)
+    runs = Runs(pages)
+    drop = runs.covered(np.isin(runs.keys, common["run"].to_numpy(np.int64)))
     keep = ["\n\n".join(t for t, d in zip(p, ds, strict=True) if not d) for p, ds in zip(pages, drop, strict=True)]
-    found = pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": keep})
-    return found[rows["undecided"]]
+    return pd.DataFrame({"host": rows["host"], "content": rows["content"], "text": keep})
 
 
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     schema = "page_id long, url string, text string"
-    parsed = cut(pages.select("page_id", "url", "html").mapInArrow(_parsed, f"{schema}, blocks array<string>").withColumn("row", F.monotonically_increasing_id()))
+    parsed = cut(pages.select("page_id", "url", "html").mapInArrow(_parsed, f"{schema}, blocks array<string>"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
     undecided = F.col("text").isNull()
-    named = parsed.select("row", "page_id", "url", "blocks", undecided.alias("undecided"), host.alias("host"))
-    # hosts with pages that need its evidence
-    sizes = named.groupBy("host").agg(F.count("*").alias("n"), F.bool_or("undecided").alias("open")).where("open").select("host", F.ceil(F.col("n") / group).cast("long").alias("groups"))
-    dealt = named.join(sizes, "host").withColumn("set", F.struct("host", F.pmod(F.xxhash64("row"), F.col("groups")).alias("part")))
-    judged = dealt.select("set", "page_id", "url", "blocks", "undecided").groupBy("set").applyInPandas(_hosts, schema)
-    return parsed.where(~undecided).select("page_id", "url", "text").unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
+    # no block holds a line's end
+    content = F.md5(F.array_join("blocks", "\n").cast("binary"))
+    named = parsed.withColumns({"host": host, "content": content})
+    open_ = named.where(undecided).select("page_id", "url", "host", "content")
+    # the different contents of hosts with pages that need their evidence
+    contents = cut(named.join(open_.select("host").distinct(), "host", "left_semi").groupBy("host", "content").agg(F.first("blocks").alias("blocks")))
+    sizes = contents.groupBy("host").agg(F.ceil(F.count("*") / group).cast("long").alias("groups"))
+    dealt = contents.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("content"), F.col("groups")))
+    proposed = dealt.groupBy("host", "part", "groups").applyInPandas(_proposed, "host string, part long, run long, n long")
+    sums = proposed.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where(F.col("n") >= PAGES)
+    common = sums.select("host", F.explode("parts").alias("part"), "run")
+    judged = dealt.groupBy("host", "part").cogroup(common.groupBy("host", "part")).applyInPandas(_judged, "host string, content string, text string")
+    found = open_.join(judged, ["host", "content"]).select("page_id", "url", "text")
+    return parsed.where(~undecided).select("page_id", "url", "text").unionByName(found).withColumn("n_chars", F.length("text").cast("long"))

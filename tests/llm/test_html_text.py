@@ -52,6 +52,20 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark):
         assert got == {i: (t, len(t)) for i, _, _, t in rows}
 
 
+def test_a_menu_on_part_of_a_host_goes_however_its_pages_are_dealt(spark):
+    rng = random.Random(5)
+    say = lambda k: " ".join(rng.choices([f"v{i}" for i in range(500)], k=k))
+    menu, short, rows, want = say(12), "Sign in here", [], {}
+    for i in range(60):
+        own = say(30)
+        top = f"<div>{menu}</div><div>{short}</div>" if i % 20 == 0 else ""
+        want[i] = own
+        rows.append((i, "https://example.org/p", f"<html><body>{top}<p>{own}</p></body></html>", None, None))
+    for group, parts in ((op.GROUP, 1), (5, 4), (1, 7)):
+        table = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        assert {r["page_id"]: r["text"] for r in op.extract(table, group).collect()} == want, group
+
+
 def test_copies_keep_their_text_and_other_hosts_do_not_count(spark):
     rows = site(random.Random(4), 2)
     pages = [(k, f"https://h{k % 2}.org/", rows[k % 2][2]) for k in range(12)] + [(50, None, "<p>alone</p>"), (51, "no url", None), (52, "", "")]
