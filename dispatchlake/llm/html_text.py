@@ -2,8 +2,10 @@
 
 A page is read into blocks: runs of text between block-level tags, with character references decoded and white
 space made one. Markup that names its role (navigation, headers, footers, asides, notices, adverts, forms,
-scripts, styles, comments) takes its blocks away. If the page marks an article (or main part), the blocks outside
-it are no candidates; where it doesn't, the host decides: the candidate blocks' words of many pages of one host
+scripts, styles, comments) takes its blocks away; a class or role names it as a whole, not by a part of its name. If
+the page marks an article (or main part), the blocks outside it are no candidates. An article is taken from within
+elements whose class names another role only if the page has no other article text; elements that are dropped by
+their name or hidden drop what is in them. Where a page marks no article, or one without any text left, the host decides: the candidate blocks' words of many pages of one host
 are concatenated to one stream, its suffix array (prefix doubling, to the depth of ``RUN`` words) shows which runs
 of ``RUN`` or more words occur on ``PAGES`` or more pages of different content, and blocks that such runs cover by
 more than ``COVERED`` are boilerplate. Blocks shorter than a run count as covered if the whole block is repeated so.
@@ -40,7 +42,7 @@ COVERED = 0.7
 GROUP = 1000
 
 # Element names by role.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "button", "canvas", "title", "head", "xmp", "noframes"}
+RAW = {"script", "style", "template", "textarea", "iframe", "svg", "select", "button", "canvas", "title", "head", "xmp", "noframes"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "label", "input", "option", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -51,37 +53,48 @@ ROLES = {"ad", "ads", "advert", "adverts", "advertisement", "adsbygoogle", "bann
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<decl>[!?][^>]*)>|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.DOTALL)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f\v  -     　]+")
-_PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def _set_aside(name: str, attrs: str) -> bool:
+def _set_aside(name: str, attrs: str) -> int:
+    """0: not at all, 1: by a role in its attributes, 2: by its name or because it is hidden."""
     if name in DROPPED:
-        return True
+        return 2
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return 0
+    found = 0
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id", "role") and not ROLES.isdisjoint(_PARTS.split(value)):
-            return True
-    return False
+            return 2
+        if key in ("class", "id", "role") and not ROLES.isdisjoint(value.split()):
+            found = 1
+    return found
+
+
+def _settled(found: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool, bool]]:
+    """Blocks with one mark each: by all that is round them, or by what is in their article if nothing is left so."""
+    if any(inside and not around for _, inside, around, _ in found):
+        return [(t, inside, around > 0) for t, inside, around, _ in found]
+    if any(inside and not within for _, inside, _, within in found):
+        return [(t, inside, (within if inside else around) > 0) for t, inside, around, within in found]
+    # no article, or none with text: what isn't dropped there is for the host to judge
+    return [(t, False, within > 1 if inside else around > 0) for t, inside, around, within in found]
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
     """The page's blocks of text in order: text, whether in an article, whether set aside by its markup."""
     page = page or ""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, article within, set aside within
-    inside = aside = False
+    stack: list[tuple[str, bool, int, int]] = []  # element, article within, set aside within by all around and since the article's start
+    inside, around, within = False, 0, 0
 
     def end_block() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
             parts.clear()
             if text:
-                out.append((text, inside, aside))
+                out.append((text, inside, around, within))
 
     at = 0
     while True:
@@ -89,7 +102,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         if m is None:
             parts.append(page[at:])
             end_block()
-            return out
+            return _settled(out)
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
@@ -105,12 +118,12 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
                     if name not in BLOCK and any(s[0] in BLOCK for s in stack[i + 1 :]):
                         break  # an inline end tag doesn't close blocks
                     del stack[i:]
-                    inside, aside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    inside, around, within = stack[-1][1:] if stack else (False, 0, 0)
                     break
             continue
         if name in RAW and name != "head":
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            if name in ("title", "select", "button", "svg", "math", "object", "textarea", "iframe", "template", "noscript", "canvas", "script", "style", "xmp", "noframes"):
+            if name in ("title", "select", "button", "svg", "textarea", "iframe", "template", "canvas", "script", "style", "xmp", "noframes"):
                 at = end.end() if end else len(page)
             continue
         if name in BLOCK:
@@ -118,13 +131,16 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             # an open paragraph or item ends where a block begins
             if stack and stack[-1][0] == "p" or (stack and name in ("li", "dd", "dt", "td", "th", "tr") and stack[-1][0] == name):
                 stack.pop()
-                inside, aside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                inside, around, within = stack[-1][1:] if stack else (False, 0, 0)
         elif name == "br":
             parts.append(" ")
         if name in VOID:
             continue
-        inside, aside = inside or name in ARTICLE, aside or _set_aside(name, m["attrs"])
-        stack.append((name, inside, aside))
+        own = _set_aside(name, m["attrs"])
+        if name in ARTICLE and not inside:
+            inside, within = True, 2 if within > 1 else 0
+        around, within = max(around, own), max(within, own)
+        stack.append((name, inside, around, within))
 
 
 def article_text(found: list[tuple[str, bool, bool]]) -> str | None:

@@ -32,6 +32,27 @@ def test_pages_that_mark_their_article(page, want):
     assert want is None or got == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *[(f"<div {a}><article><p>kept</p><div class='ad'>no</div></article></div>", "kept") for a in ("class='layout has-sidebar'", "class='header-fixed'", "class='with-comments'", "id='widget-area'", "class='page sidebar'", "role=menu")],
+        ("<article><p>main text</p></article><div class='related'><article><p>teaser</p></article></div>", "main text"),
+        ("<article><p>own</p><div class='comments'><article><p>no</p></article></div></article>", "own"),
+        ("<div class='sidebar'><article><p>own</p><div class='comments'><article><p>no</p></article></div></article></div>", "own"),
+        ("<article><p>a <math><mi>x</mi></math> b</p><noscript><p>n</p></noscript><object>o</object></article>", "a x b\n\nn\n\no"),
+        ("<aside><article><p>x</p></article></aside><main><p>y</p></main>", "y"),
+    ],
+)
+def test_what_stands_round_an_article_does_not_empty_it(page, want):
+    assert text_of(page) == want
+
+
+def test_pages_whose_article_is_empty_go_to_the_host(spark):
+    pages = [(k, "https://e.org/", f"<main><nav>menu</nav></main><div>body of page number {k}</div>") for k in range(4)] + [(9, "https://e.org/", "<article><div class='notice'>all of it</div></article>")]
+    got = {r["page_id"]: r["text"] for r in op.extract(spark.createDataFrame([(*p, None, None) for p in pages], SCHEMA)).collect()}
+    assert got == {**{k: f"body of page number {k}" for k in range(4)}, 9: "all of it"}
+
+
 def site(rng: random.Random, n: int) -> list[tuple]:
     words = [f"v{i}" for i in range(500)]
     say = lambda k: " ".join(rng.choices(words, k=k))
