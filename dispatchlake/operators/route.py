@@ -3,7 +3,10 @@
 An open path from the start. A leg costs its matrix entry, or ROAD_FACTOR times the straight line; every further
 run of a quarter that was left before costs SPLIT_M. Up to EXACT stops the order is optimal (dynamic programming
 over subsets would ignore runs, so it is a branch-and-bound); beyond that nearest neighbour, then 2-opt and moves
-of single stops, while they help. Ties go to the earlier stop.
+of single stops, while any of them helps, for days of any length. Ties go to the earlier stop.
+
+A run costs half its price where it begins and half where it ends, so the whole objective is a sum over the path's
+edges, and what a change saves is known from the edges that it replaces.
 """
 
 import math
@@ -19,8 +22,6 @@ from .ledger import DAY
 # Fixed values.
 ROAD_FACTOR, SPLIT_M = 1.35, 1000.0
 EXACT = 8
-#: Beyond so many stops only changes that shorten the path are tried.
-LARGE = 60
 SPEED_M_PER_MIN = 500.0
 ROUTE_SCHEMA = "business_date date, stop_ids array<long>, split_groups array<string>, total_m double, total_min double, method string"
 
@@ -69,6 +70,46 @@ def _exact(legs: np.ndarray, groups: list[str | None]) -> list[int]:
     return best[1]
 
 
+def _edges(legs: np.ndarray, groups: list[str | None]) -> np.ndarray:
+    """The price of each edge; the last point is the path's end. Along a path they add up to its ``cost`` and the price of each group's first run."""
+    n = len(legs)
+    numbers: dict[str, int] = {}
+    group = np.array([-1 if g is None else numbers.setdefault(g, len(numbers)) for g in groups] + [-1])
+    own = group >= 0
+    out = SPLIT_M / 2 * np.where(group[:, None] == group, 0.0, own[:, None] * 1.0 + own)
+    out[:n, :n] += legs
+    return out
+
+
+def _improved(path: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A path from the first point to the last that no 2-opt and no move of a single stop makes cheaper."""
+    n = len(path) - 2
+
+    def turning(path: np.ndarray) -> np.ndarray:
+        # what the edges up to each place cost more when they are walked the other way
+        return np.concatenate(([0.0], np.cumsum(edges[path[1:], path[:-1]] - edges[path[:-1], path[1:]])))
+
+    while True:
+        better = False
+        turned = turning(path)
+        for i in range(n - 1):
+            # path[i + 1..j] turned round
+            a, b, c, d = path[i], path[i + 1], path[i + 2 : n + 1], path[i + 3 :]
+            more = edges[a, c] + edges[b, d] - edges[a, b] - edges[c, d] + turned[i + 2 : n + 1] - turned[i + 1]
+            k = int(more.argmin())
+            if more[k] < -1e-6:
+                path[i + 1 : i + 3 + k] = path[i + 1 : i + 3 + k][::-1].copy()
+                turned, better = turning(path), True
+        for i in range(1, n + 1):
+            stop, rest = path[i], np.delete(path, i)
+            added = edges[rest[:-1], stop] + edges[stop, rest[1:]] - edges[rest[:-1], rest[1:]]
+            k = int(added.argmin())
+            if added[k] < added[i - 1] - 1e-6:
+                path, better = np.insert(rest, k + 1, stop), True
+        if not better:
+            return path
+
+
 def solve(legs: np.ndarray, groups: list[str | None]) -> tuple[list[int], str]:
     """The order of the points 1..n, and the method."""
     n = len(legs) - 1
@@ -79,41 +120,8 @@ def solve(legs: np.ndarray, groups: list[str | None]) -> tuple[list[int], str]:
         at = int((legs[at] + open_).argmin())  # ties to the earlier stop
         open_[at] = np.inf
         order.append(at)
-    best = cost(order, legs, groups)
-    for _ in range(10 if n <= LARGE else max(1, 1000 // n)):
-        before = best
-        path = np.array([0, *order])
-        for i in range(n):
-            # change of length if order[i..j] is turned round
-            j = np.arange(i + 1, n)
-            a, b = path[i], path[i + 1]
-            after = np.append(path, -1)[j + 2]
-            now = legs[a, b] + np.where(after >= 0, legs[path[j + 1], after], 0)
-            then = legs[a, path[j + 1]] + np.where(after >= 0, legs[b, after], 0)
-            longer = then - now
-            for k in j[np.argsort(longer, kind="stable")][:3]:
-                if n > LARGE and longer[k - i - 1] >= 0:
-                    break
-                trial = order[:i] + order[i : k + 1][::-1] + order[k + 1 :]
-                if (c := cost(trial, legs, groups)) < best - 1e-9:
-                    order, best = trial, c
-                    path = np.array([0, *order])
-                    break
-        for i in range(n):
-            stop, rest = order[i], order[:i] + order[i + 1 :]
-            # metres that the stop adds at each place
-            before_, after_ = np.array([0, *rest]), np.array([*rest, 0])
-            added = legs[before_, stop] + np.append((legs[stop, after_] - legs[before_, after_])[:-1], 0)
-            for k in np.argsort(added, kind="stable")[:3].tolist():
-                if n > LARGE and added[k] >= added[i]:
-                    break
-                trial = [*rest[:k], stop, *rest[k:]]
-                if (c := cost(trial, legs, groups)) < best - 1e-9:
-                    order, best = trial, c
-                    break
-        if best > before - 1e-6:
-            break
-    return order, "nearest neighbour, 2-opt"
+    path = _improved(np.array([0, *order, n + 1]), _edges(legs, [None, *groups[1:]]))
+    return path[1:-1].tolist(), "nearest neighbour, 2-opt"
 
 
 def split_groups(order: list[int], groups: list[str | None]) -> list[str]:

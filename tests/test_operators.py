@@ -137,6 +137,24 @@ def test_short_routes_are_the_shortest():
     assert route.cost(order, many, [None] * 40) <= route.cost(list(range(1, 40)), many, [None] * 40)
 
 
+def test_long_routes_are_improved_while_anything_helps():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n = 120
+    legs = route.matrix(37 + rng.random(n + 1) / 10, 29 + rng.random(n + 1) / 10)
+    groups = [None, *[[None, "a", "b", "c", "d"][k] for k in rng.integers(0, 5, n)]]
+    order, _ = route.solve(legs, groups)
+    assert sorted(order) == list(range(1, n + 1))
+    best = route.cost(order, legs, groups)
+    for i in range(n):
+        for j in range(i + 1, n):
+            assert route.cost(order[:i] + order[i : j + 1][::-1] + order[j + 1 :], legs, groups) > best - 1e-3
+        rest = order[:i] + order[i + 1 :]
+        for k in range(n):
+            assert route.cost([*rest[:k], order[i], *rest[k:]], legs, groups) > best - 1e-3
+
+
 def test_export_names_nobody(spark):
     stops = spark.createDataFrame([(DAY, 1, None, 37.0, 29.0, "pending", 80, "green", "kapi", 0, "d", "", None, "5", "2", "SECRET", "0532")], "business_date date, stop_id int, seq int, lat double, lng double, status string, confidence int, grade string, precision string, pieces int, district string, quarter string, road string, door string, flat string, name string, phone string")
     routes = spark.createDataFrame([], "business_date date, start_lat double, start_lng double, total_m double")
