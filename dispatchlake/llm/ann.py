@@ -6,8 +6,9 @@ pivots only, and each posting found lowers the vector's footrule distance (the s
 difference of their places, where a pivot beyond the prefix counts as place ``prefix``). The best
 ``rerank`` + ties by footrule distance, in each block, are ranked by exact Euclidean distance.
 
-Every vector is indexed. Queries go to the blocks in sets of at most ``query_set`` (bounded memory), and a block
-returns ``k`` rows a query, so nothing near queries x vectors is ever shuffled. A query for which a block's files
+Every vector is indexed. Queries go to the blocks in sets of about ``QUERY_SET``: one set is collected, its pass over
+the index is written to the shared folder, and only then the next is collected, so the driver holds one set however
+many queries there are. A block returns ``k`` rows a query, so nothing near queries x vectors is ever shuffled. A query for which a block's files
 hold fewer than ``k`` vectors is compared with that whole block.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
@@ -16,6 +17,7 @@ vec_id; repeated rows are one candidate per vec_id and vector; with fewer candid
 extra columns are not read.
 """
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import cut
+from .storage import append, cut, shared_folder
 
 K = 10
 PIVOTS = 256
@@ -109,6 +111,11 @@ def _searched(query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k:
     return run
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of ``vectors`` found for each row of ``queries``."""
     spark = vectors.sparkSession
@@ -121,17 +128,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PI
     index = cut(index.where(F.size("v") == width))
     sample = index.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
     points = np.array([r[0] for r in sample])
-    asked = usable(queries).where(F.size("v") == width)
+    asked = usable(queries).where(F.size("v") == width).distinct()
     sets = -(-asked.count() // QUERY_SET)
-    found = None
+    if sets == 0:
+        return spark.createDataFrame([], schema)
+    # sets stand together in the files, so reading one skips most of the others
+    place = F.pmod(F.xxhash64("vec_id", "v"), F.lit(sets)).alias("set")
+    asked = cut(asked.select("*", place).repartitionByRange("set").sortWithinPartitions("set")) if sets > 1 else asked.select("*", F.lit(0).alias("set"))
+    path = f"{shared_folder(spark)}/found-{uuid.uuid4().hex}"
     for i in range(sets):  # each set is bounded; a pass over the index answers it
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(sets)) == i).collect()
-        if not rows:
+        rows = asked.where(F.col("set") == i).select("vec_id", "v").collect()
+        if not rows and sets > 1:
             continue
         ids, x = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows])
-        part = index.mapInArrow(_searched(ids, x, points, k, prefix, rerank), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        found = index.mapInArrow(_searched(ids, x, points, k, prefix, rerank), "query_id long, vec_id long, score double")
+        if sets > 1:
+            append(_ranked(found, k).drop("rank"), path)
+    if sets > 1:  # rows of one vec_id may be in several sets
+        found = spark.read.schema(found.schema).parquet(path)
+    return _ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -36,6 +36,15 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Add the rows of ``df`` to the table in ``path``, a folder in the shared one that is deleted as :func:`cut`'s are."""
+    spark = df.sparkSession
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    tidy(spark)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files that nothing refers to any more."""
     spark.sparkContext._jvm.System.gc()

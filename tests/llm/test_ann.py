@@ -49,6 +49,19 @@ def test_recall_and_exact_scores(spark, rerank):
     assert hits >= (1.0 if rerank > len(rows) else 0.9) * 10 * len(asked)
 
 
+def test_sets_of_queries_are_answered_one_after_another(spark, monkeypatch):
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet").limit(120).localCheckpoint()
+    asked = table.where("vec_id % 5 = 0")
+    asked = asked.unionByName(asked.limit(3))
+    want = sorted(map(tuple, op.nearest(table, asked).collect()))
+    monkeypatch.setattr(op, "QUERY_SET", 6)
+    found = op.nearest(table, asked)
+    assert len({r[0] for r in want}) > 18
+    # the result is read from the shared folder: no set's vectors are in its plan
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert op.nearest(none, none).collect() == []
