@@ -14,6 +14,7 @@ nothing; an item shorter than a window is one window; items with null item_id co
 repeated rows are judged one by one; extra columns are not read.
 """
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import append, cut, shared_folder
 from .tokens import ALNUM, Words, chunks, utf8
 
 WINDOW = 13
@@ -187,11 +188,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     if len(blocks) > 1:
         docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
         schema += ", _row long"
-    passes = [docs.mapInArrow(_judged(Items(block.collect(), window), window), schema) for block in blocks]
-    out = passes[0]
-    if len(blocks) > 1:
-        for more in passes[1:]:
-            out = out.unionByName(more)
+    if len(blocks) == 1:
+        out = docs.mapInArrow(_judged(Items(blocks[0].collect(), window), window), schema)
+    else:
+        # a block's pass is written before the next block is collected
+        path = f"{shared_folder(docs.sparkSession)}/passes-{uuid.uuid4().hex}"
+        for block in blocks:
+            out = docs.mapInArrow(_judged(Items(block.collect(), window), window), schema)
+            append(out, path)
+        out = docs.sparkSession.read.schema(out.schema).parquet(path)
         out = out.groupBy("_row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.max("longest_match").alias("longest_match")).drop("_row")
     # spans of one pass don't overlap; those of several are joined word by word
     words = "size(array_distinct(flatten(transform(spans, s -> sequence(s.first, s.last)))))" if len(blocks) > 1 else "aggregate(spans, 0L, (a, s) -> a + s.last - s.first + 1)"

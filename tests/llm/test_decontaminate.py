@@ -54,6 +54,12 @@ def test_blocks_of_items_give_the_same(docs, items):
     assert Counter(one) == Counter(many)
 
 
+def test_blocks_of_items_are_searched_one_after_another(docs, items):
+    found = op.contamination(docs, items, block_words=100)
+    # the result is read from the shared folder: no block's items are in its plan
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("block_words", [op.BLOCK_WORDS, 100])
 def test_contaminated_rows_go_and_the_others_stay_whole(docs, items, block_words):
     bad = Counter(r["doc_id"] for r in op.contamination(docs, items).where("contaminated").collect())
