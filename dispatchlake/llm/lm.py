@@ -1,17 +1,29 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-The probability of a token is that of its class given the two tokens before it, times that of the token in its
-class. The first factor is a softmax over ``CLASSES`` classes whose logits sum weights of an n-gram feature (the
-word before), a skip feature (the word before that) and a hashed feature of the pair; it is trained by gradient
-steps: in each round every task takes AdaGrad steps over its documents, starting from the common weights, and the
-changes are averaged over the tasks. The second factor's maximum-entropy solution for its only feature, the word
-itself, is the class's relative frequency; it is smoothed by one.
-
-Words are counted over all training documents. The ``HEAD`` most frequent are known to every task (a bounded
-list); the counts of all other words come by a join on the word, as (document, word, occurrences). Context
-features and classes use units: the ``UNITS - SHAPES`` most frequent words, and for other words one of
-``SHAPES`` buckets by their first and last letters. Classes are clusters of units by the company they keep: the
-profile of ``PROFILE`` frequent words in the documents where they occur, summed over all training documents.
+The probability of a token is that of its class given the two tokens before it, times that of the token in its class
+given the token before it. Both factors are softmaxes over sums of feature weights:
+
+* class: weights of the word before (n-gram), of the word before that (skip), and of the pair of both;
+* word in its class: on top of its relative frequency, a weight of (word before, word). Of a word that is very frequent,
+  it and a bucket of the word before that are the feature, so no feature gathers more than a part of a shard.
+
+Weights of n-gram and skip features of the class are shared: ``UNITS`` rows, the most frequent words' own and hashed
+buckets for the others. The pairs' and the in-class weights are sparse: one for every context that occurs in the
+corpus, so their number grows with it. They live in shards by the hash of the word before. Words are known by number:
+the ``HEAD`` most frequent, and for others one of ``SHAPES`` hashed buckets. Words beyond the head have no in-class
+weight, but their relative frequency in the class.
+
+1. Words are counted over all training documents.
+2. (word before that, word before, word) of every training token are counted by task and shuffled by shard, as
+   compressed blocks; a shard's counts are one row of a table.
+3. Classes are clusters of units by the frequent words that stand before them.
+4. In ``ROUNDS`` rounds every shard fits its pairs' weights to the shared ones by gradient steps, and gives the gradient of
+   the shared ones over all its contexts; the sums over all shards move the shared weights. The first round is the
+   features' own optimum. So the weights don't depend on how the documents are dealt to tasks.
+5. The tokens of all documents go to the shards the same way; a shard fits its weights to its counts, scores what it
+   gets, and sends each block's sums by document back.
+
+Counts of words beyond the head come by a join on the word.
 
 Edge cases: null and empty texts are the end token alone; rows with null doc_ids are scored and not learned from
 (and not held out); with nothing to learn from, every token has c = 0 in a vocabulary of none; repeated rows are
@@ -22,25 +34,40 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut, tidy
-from .tokens import utf8
+from .tokens import mixed, utf8
 
 END = b"\n"  # no word holds white space
 HEAD = 262_144
-UNITS, SHAPES = 16_384, 4_096
+SHAPES = 4_096
+#: Most frequent words with a row of shared weights of their own.
+OWN = 12_288
+UNITS = OWN + SHAPES + 1
 PROFILE = 64
 CLASSES = 32
-PAIRS = 16_384
 ROUNDS = 2
-RATE = 0.25
-BATCH = 4_096
+#: Tokens that are sorted together in a task, and (about) those of a shard.
+CHUNK, SHARD = 1_000_000, 1_000_000
+#: Precision of the weights' Gaussian priors: shared and pairs', and in-class.
+RIDGE, RIDGE_WORD = 1.0, 0.3
+PAIR_STEPS, WORD_STEPS = 4, 6
+#: How much of the skip features' own optimum is taken at first.
+SKIP = 0.5
+_BITS = 19  # of a word's number
+_MASK = (1 << _BITS) - 1
+_PAIRS = 16_384  # contexts worked on at a time
+_BLOCK = 512  # rows of a matrix that are sent together
+_LN10 = math.log(10)
 
 
 def fold() -> str:
@@ -54,8 +81,18 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def shape(word: bytes) -> int:
-    """The unit of a word that has none of its own."""
-    return UNITS - SHAPES + zlib.crc32(word[:2] + b" " + word[-2:]) % SHAPES
+    """The bucket of a word beyond the head."""
+    return zlib.crc32(word[:2] + b" " + word[-2:]) % SHAPES
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array of integers or floats, by planes of bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return raw.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,77 +111,207 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _numbered(head: list[bytes], counts: np.ndarray):
-    """Each row's units, and what its words add: known words of the head, their log counts, and the other words."""
+def head_of(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, at most ``most``: all with a count from a bound on, which a histogram of counts gives."""
+    # counts below 1,024 have a bin of their own, greater ones 64 to a doubling: a few thousand bins at any size
+    bin_ = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(384) + F.floor(64 * F.log2("n"))).cast("long")
+    bins = counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).toArrow().sort_by([("bin", "descending")])
+    fits = np.cumsum(bins["words"].to_numpy()) <= most
+    if not fits.any():
+        return [], np.zeros(0)
+    least = int(bins["least"].to_numpy()[fits].min())
+    found = counts.where(F.col("n") >= least).toArrow()
+    words, n = [w.encode() for w in found["word"].to_pylist()], found["n"].to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    return [words[i] for i in order], n[order].astype(np.float64)
+
+
+class Vocabulary:
+    """Words by number: those of the head, then buckets, then what stands before a text."""
+
+    def __init__(self, head: list[bytes], counts: np.ndarray, tokens_: int):
+        n = len(head)
+        self.head, self.counts = head, counts
+        self.start = n + SHAPES
+        if self.start > _MASK:
+            raise ValueError(f"at most {_MASK - SHAPES} words in the head")
+        self.unit = np.empty(self.start + 1, np.int64)
+        self.unit[:n] = [i if i < OWN else OWN + shape(w) for i, w in enumerate(head)]
+        self.unit[n : self.start] = OWN + np.arange(SHAPES)
+        self.unit[self.start] = UNITS - 1
+        self.shards = max(1, -(-tokens_ // SHARD))
+        #: buckets of the word before the one before, so that none is more than a quarter of a shard
+        self.split = np.ones(self.start + 1, np.int64)
+        self.split[:n] = np.maximum(1, np.ceil(4 * counts / SHARD))
+
+    def feature(self, pairs: np.ndarray) -> np.ndarray:
+        """The in-class feature of a context (word before, word before that): the former, and a bucket of the latter."""
+        before, skip = pairs >> _BITS, pairs & _MASK
+        buckets = self.split[before]
+        bucket = np.where(buckets > 1, (mixed(skip.astype(np.uint64)) % buckets.astype(np.uint64)).astype(np.int64), 0)
+        return before << 24 | bucket
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(self.feature(keys >> _BITS).astype(np.uint64)) % np.uint64(self.shards)).astype(np.int32)
+
+
+def _keys(rows: list[np.ndarray], start: int) -> np.ndarray:
+    """(word before, word before that, word) of all tokens of the texts, as one number each."""
+    w = np.concatenate(rows).astype(np.int64)
+    first = np.cumsum([0, *map(len, rows[:-1])])
+    one = np.concatenate(([start], w[:-1]))
+    one[first] = start
+    two = np.concatenate(([start], one[:-1]))
+    two[first] = start
+    return one << 2 * _BITS | two << _BITS | w
+
+
+def _dealt(vocabulary: Vocabulary, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Bounds of the keys of each shard; keys are in order of shards."""
+    shards = vocabulary.shard(keys)
+    bounds = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True])))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield int(shards[a]), slice(a, b)
+
+
+def _by_shard(vocabulary: Vocabulary, keys: np.ndarray) -> np.ndarray:
+    """Their order by shard and key."""
+    order = np.argsort(keys, kind="stable")
+    return order[np.argsort(vocabulary.shard(keys[order]), kind="stable")]
+
+
+def _numbers(vocabulary: Vocabulary):
+    rank, n = {w: i for i, w in enumerate(vocabulary.head)}, len(vocabulary.head)
+
+    def numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The words' numbers, and those beyond the head."""
+        at = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
+        other = np.flatnonzero(at < 0)
+        rest = [words[i] for i in other.tolist()]
+        at[other] = [n + shape(w) for w in rest]
+        return at, rest
+
+    return numbered
+
+
+def _events(vocabulary: Vocabulary):
+    """(shard, keys, n): counts of the task's training tokens by context and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = {w: i for i, w in enumerate(head)}
-        own = UNITS - SHAPES
-        units = np.array([i if i < own else shape(w) for i, w in enumerate(head)], np.uint16)
-        logs = np.log10(counts + 1.0)
-        tail = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+        numbered = _numbers(vocabulary)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(_keys(held, vocabulary.start), return_counts=True)
+            order = np.argsort(vocabulary.shard(keys), kind="stable")
+            keys, n = keys[order], n[order]
+            parts = list(_dealt(vocabulary, keys))
+            return pa.record_batch({
+                "shard": pa.array([s for s, _ in parts], pa.int32()),
+                "keys": pa.array([packed(np.diff(keys[at], prepend=0)) for _, at in parts], pa.binary()),
+                "n": pa.array([packed(n[at]) for _, at in parts], pa.binary()),
+            })
+
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                part = batch.slice(k, 64)
-                out: dict[str, list] = {"units": [], "n_head": [], "log_head": [], "tail": []}
-                for text in utf8(part["text"]):
-                    words = tokens(text)
-                    at = np.fromiter(map(rank.get, words, repeat(-1)), np.int32, len(words))
-                    other = np.flatnonzero(at < 0)
-                    row = units[at] if len(units) else np.zeros(len(at), np.uint16)
-                    rest = [words[i] for i in other.tolist()]
-                    row[other] = [shape(w) for w in rest]
-                    known = at[at >= 0]
-                    out["units"].append(row.tobytes())
-                    out["n_head"].append(len(known))
-                    out["log_head"].append(float(logs[known].sum()))
-                    out["tail"].append([{"word": w.decode(), "n": n} for w, n in Counter(rest).items()])
-                yield pa.record_batch({"doc_id": part["doc_id"], "held_out": part["held_out"], "learn": part["learn"], "units": pa.array(out["units"], pa.binary()), "n_head": pa.array(out["n_head"], pa.int64()), "log_head": pa.array(out["log_head"], pa.float64()), "tail": pa.array(out["tail"], tail)})
+            for text in utf8(batch["text"]):
+                held.append(numbered(tokens(text))[0])
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
     return run
 
 
-def _units(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for raw in batch["units"].to_pylist():
-        yield np.frombuffer(raw, np.uint16).astype(np.int64)
+def _summed_counts(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, m = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(k, kind="stable")
+    k, m = k[order], m[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    return k[first], np.add.reduceat(m, first)
 
 
-def _rows(name: str, values: np.ndarray, used: np.ndarray, extra: dict | None = None) -> pa.RecordBatch:
-    columns = {name: pa.array(used.astype(np.int32))} | {f"v{i}": pa.array(values[used, i].astype(np.float32)) for i in range(values.shape[1])}
-    return pa.record_batch(columns | (extra or {}))
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shard; rows of a shard come together."""
+    at, keys, n = None, [], []
 
+    def flush() -> pa.RecordBatch:
+        k, m = _summed_counts(keys, n)
+        return pa.record_batch({"shard": pa.array([at], pa.int32()), "keys": pa.array([packed(np.diff(k, prepend=0))], pa.binary()), "n": pa.array([packed(m)], pa.binary())})
 
-def _summed(df: DataFrame, name: str, width: int, shape_: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Column sums by row number, and how many tasks had the row: a matrix of fixed size."""
-    out, tasks = np.zeros(shape_), np.zeros(shape_[0])
-    found = df.groupBy(name).agg(F.count("*").alias("n"), *[F.sum(f"v{i}").cast("float").alias(f"v{i}") for i in range(width)]).toArrow()
-    tidy(df.sparkSession)  # a round's partial sums are of no more use
-    at = found[name].to_numpy()
-    tasks[at] = found["n"].to_numpy()
-    for i in range(width):
-        out[at, i] = found[f"v{i}"].to_numpy()
-    return out, tasks
+    for batch in batches:
+        for shard, k, m in zip(batch["shard"].to_pylist(), batch["keys"], batch["n"], strict=True):
+            if shard != at and keys:
+                yield flush()
+                keys, n = [], []
+            at = shard
+            keys.append(np.cumsum(unpacked(k.as_py())))
+            n.append(unpacked(m.as_py()))
+            if len(keys) > 1 and sum(map(len, keys)) > 4 * max(SHARD, len(keys[0])):
+                keys, n = ([x] for x in _summed_counts(keys, n))
+    if keys:
+        yield flush()
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((UNITS, PROFILE + 1))
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
-        for row in _units(batch):
-            kinds, n = np.unique(row, return_counts=True)
-            seen = np.zeros(PROFILE + 1)
-            low = kinds < PROFILE
-            seen[kinds[low]] = n[low]
-            seen[:PROFILE] /= max(1, seen.sum())
-            seen[PROFILE] = 1
-            total[kinds] += n[:, None] * seen
-    yield _rows("unit", total, np.flatnonzero(total[:, PROFILE]))
+        for k, m in zip(batch["keys"], batch["n"], strict=True):
+            yield np.cumsum(unpacked(k.as_py())), unpacked(m.as_py())
+
+
+def _sent(x: np.ndarray) -> pa.RecordBatch:
+    """A matrix in blocks of rows."""
+    blocks = [(i, x[i * _BLOCK : (i + 1) * _BLOCK].astype(np.float32)) for i in range(-(-len(x) // _BLOCK))]
+    blocks = [(i, b) for i, b in blocks if b.any()]
+    return pa.record_batch({"block": pa.array([i for i, _ in blocks], pa.int32()), "data": pa.array([packed(b.ravel()) for _, b in blocks], pa.binary())})
+
+
+def _total(parts: DataFrame, shape_: tuple[int, int]) -> np.ndarray:
+    """The sum of the tasks' matrices, added up block by block: of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, data in zip(batch["block"].to_pylist(), batch["data"], strict=True):
+                x = unpacked(data.as_py(), np.float32).astype(np.float64)
+                held[i] = held[i] + x if i in held else x
+        yield pa.record_batch({"block": pa.array(list(held), pa.int32()), "data": pa.array([x.tobytes() for x in held.values()], pa.binary())})
+
+    out = np.zeros(shape_)
+    found = parts.repartition(16, "block").mapInArrow(run, "block int, data binary").toArrow()
+    for i, data in zip(found["block"].to_pylist(), found["data"], strict=True):
+        block = out[i * _BLOCK : (i + 1) * _BLOCK]
+        block[:] = np.frombuffer(data.as_py()).reshape(block.shape)
+    tidy(parts.sparkSession)  # the tasks' matrices are of no more use
+    return out
+
+
+def _profiles(vocabulary: Vocabulary):
+    """For each unit, how often each frequent word stands right before it, and two before it, and the unit itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 * PROFILE + 1
+        total = np.zeros(UNITS * width)
+        for keys, n in _shards(batches):
+            unit = vocabulary.unit[keys & _MASK] * width
+            total += np.bincount(unit + 2 * PROFILE, n, len(total))
+            for k, at in enumerate((keys >> 2 * _BITS, keys >> _BITS & _MASK)):
+                low = np.flatnonzero(at < min(PROFILE, len(vocabulary.head)))
+                total += np.bincount(unit[low] + k * PROFILE + at[low], n[low], len(total))
+        yield _sent(total.reshape(UNITS, width))
+
+    return run
 
 
 def _classes(profiles: np.ndarray, end: int) -> np.ndarray:
     """Each unit's class: weighted k-means of profiles in the chi-squared metric; the end token's class is its own."""
-    weight = profiles[:, PROFILE]
-    mean = profiles[:, :PROFILE].sum(0) / max(1.0, weight.sum())
-    x = (profiles[:, :PROFILE] / np.maximum(weight, 1)[:, None] - mean) / np.sqrt(mean + 1e-6)
+    weight = profiles[:, -1]
+    mean = profiles[:, :-1].sum(0) / max(1.0, weight.sum())
+    x = (profiles[:, :-1] + 5 * mean) / (weight + 5)[:, None]
+    x = (x - mean) / np.sqrt(mean + 1e-6)
     rng = np.random.default_rng(3)
     live = np.flatnonzero(weight > 0)
     k = CLASSES - 1
@@ -173,133 +340,305 @@ def _classes(profiles: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def features(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the weight matrix for each token of a text; before its first token stands the last unit's bucket."""
-    start = UNITS - 1
-    one = np.concatenate(([start], units[:-1]))
-    two = np.concatenate(([start, start], units[:-2]))[: len(units)]
-    pair = (one * 40_503 + two * 30_011 + (one * two) % 8_191) % PAIRS
-    return one, UNITS + two, 2 * UNITS + pair
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, f: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    out = weights[f[0]]
-    out += weights[f[1]]
-    out += weights[f[2]]
-    out += bias
-    return out
+@dataclass
+class Model:
+    """What all shards share: classes by number, sizes of the classes, weights of the n-gram and skip features."""
+
+    vocabulary: Vocabulary
+    classes: np.ndarray
+    bias: np.ndarray
+    sizes: np.ndarray  # tokens and words of each class, and one
+    one: np.ndarray
+    two: np.ndarray
 
+    def logits(self, pairs: np.ndarray) -> np.ndarray:
+        unit = self.vocabulary.unit
+        out = self.one[unit[pairs >> _BITS]]
+        out += self.two[unit[pairs & _MASK]]
+        out += self.bias
+        return out
 
-def _stepped(weights: np.ndarray, bias: np.ndarray, classes: np.ndarray):
-    """The change of each row of weights after a task's documents, in AdaGrad steps of BATCH tokens."""
+    def contexts(self, keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Contexts of a shard, some at a time, and how often each class follows."""
+        pair = keys >> _BITS
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        of = self.classes[keys & _MASK]
+        for k in range(0, len(first), _PAIRS):
+            part = first[k : k + _PAIRS]
+            end = first[k + _PAIRS] if k + _PAIRS < len(first) else len(keys)
+            row = np.repeat(np.arange(len(part)), np.diff(np.append(part, end)))
+            found = np.bincount(row * CLASSES + of[part[0] : end], n[part[0] : end], len(part) * CLASSES)
+            yield pair[part], found.reshape(-1, CLASSES).astype(np.float32)
+
+    def fitted_pairs(self, pairs: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All logits, the contexts that have weights (they occur more than once), and these."""
+        logits, n = self.logits(pairs), found.sum(1, keepdims=True)
+        own = np.flatnonzero(n[:, 0] > 1)
+        base, target, m = logits[own], found[own], n[own]
+        weights = np.zeros_like(base)
+        for _ in range(PAIR_STEPS):  # a bound on the curvature, so every step is uphill
+            weights += (target - m * _softmax(base + weights) - RIDGE * weights) / (m / 2 + RIDGE)
+        logits[own] += weights
+        return logits, own, weights
+
+
+def _unit_sums(units: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    order = np.argsort(units, kind="stable")
+    sorted_ = units[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    out[sorted_[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def _gradient(model: Model, first_round: bool):
+    """For each unit, as the word before and as the one before that: gradient and curvature of its classes' weights. At first: its counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, seen = weights.copy(), np.full(len(weights), 1e-2, np.float32)
-        held: list[np.ndarray] = []
+        total = np.zeros((2 * UNITS, CLASSES if first_round else 2 * CLASSES), np.float32)
+        for keys, n in _shards(batches):
+            for pairs, found in model.contexts(keys, n):
+                rows = found
+                if not first_round:
+                    m = found.sum(1, keepdims=True)
+                    p = _softmax(model.fitted_pairs(pairs, found)[0])
+                    rows = np.concatenate((found - m * p, m * p * (1 - p)), axis=1)
+                unit = model.vocabulary.unit
+                _unit_sums(unit[pairs >> _BITS], rows, total[:UNITS])
+                _unit_sums(unit[pairs & _MASK], rows, total[UNITS:])
+        yield _sent(total)
+
+    return run
+
+
+class Shard:
+    """The weights that a shard's counts decide: of pairs for classes, and of features for words."""
+
+    def __init__(self, model: Model, keys: np.ndarray, n: np.ndarray):
+        self.model = model
+        pairs, weights = [np.zeros(0, np.int64)], [np.zeros((0, CLASSES), np.float32)]
+        for p, found in model.contexts(keys, n) if len(keys) else ():
+            _, own, w = model.fitted_pairs(p, found)
+            pairs.append(p[own])
+            weights.append(w)
+        self.pairs, self.weights = np.concatenate(pairs), np.concatenate(weights)
+        # features' words
+        feature, word = model.vocabulary.feature(keys >> _BITS), keys & _MASK
+        self.features, at = np.unique(feature, return_inverse=True)
+        group = at * CLASSES + model.classes[word]
+        self.groups, group = np.unique(group, return_inverse=True)
+        total = np.bincount(group, n, len(self.groups))
+        known = np.flatnonzero(word < len(model.vocabulary.head))
+        self.words, first, of = np.unique(at[known] << _BITS | word[known], return_index=True, return_inverse=True)
+        times, group, word = np.bincount(of, n[known], len(self.words)), group[known][first], word[known][first]
+        share = (model.vocabulary.counts[word] + 1) / model.sizes[model.classes[word]]
+        v = np.minimum(np.log(np.maximum(1, times / (total[group] * share))), times / RIDGE_WORD) if len(word) else np.zeros(0)
+        for _ in range(WORD_STEPS):
+            p = share * np.exp(v) / self._norm(share, v, group)[group]
+            v += np.clip((times - total[group] * p - RIDGE_WORD * v) / (total[group] * p * (1 - p) + RIDGE_WORD), -1, 1)
+        self.v, self.log_norm = v, np.log(self._norm(share, v, group))
+
+    def _norm(self, share: np.ndarray, v: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return 1 + np.bincount(group, share * (np.exp(v) - 1), len(self.groups))
+
+    def scores(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of the tokens' probabilities, less that of (count + 1): what the caller knows. ``keys`` in order."""
+        model, pair, word = self.model, keys >> _BITS, keys & _MASK
+        kind = model.classes[word]
+        out = -np.log10(model.sizes)[kind]
+        pairs, row = np.unique(pair, return_inverse=True)
+        for k in range(0, len(pairs), _PAIRS):
+            part = pairs[k : k + _PAIRS]
+            logits = model.logits(part)
+            at, ok = _found(self.pairs, part)
+            logits[ok] += self.weights[at[ok]]
+            logits -= logits.max(1, keepdims=True)
+            logits -= np.log(np.exp(logits).sum(1, keepdims=True, dtype=np.float64)).astype(np.float32)
+            mine = (row >= k) & (row < k + _PAIRS)
+            out[mine] += logits[row[mine] - k, kind[mine]] / _LN10
+        at, ok = _found(self.features, model.vocabulary.feature(pair))
+        for table, values, key, sign in ((self.groups, self.log_norm, at * CLASSES + kind, -1), (self.words, self.v, at << _BITS | word, 1)):
+            place, here = _found(table, key)
+            here &= ok
+            out[here] += sign * values[place[here]] / _LN10
+        return out
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would stand in a sorted table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+_INFO = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("log_head", pa.float64()), ("tail", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
+_SENT = "kind byte, shard int, chunk long, keys binary, n binary, docs binary"
+_BACK = "kind byte, chunk long, docs binary, sums binary"
+_OUT = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, log_head double, tail array<string>, times array<int>, local double"
+_COUNTS, _TOKENS, _TEXTS = 0, 1, 2
 
-        def step(rows: list[np.ndarray]) -> None:
-            fs = tuple(np.concatenate(f) for f in zip(*map(features, rows), strict=True))
-            y = classes[np.concatenate(rows)]
-            for k in range(0, len(y), BATCH):
-                f, target = tuple(x[k : k + BATCH] for x in fs), y[k : k + BATCH]
-                g = _logits(w, bias, f)
-                g -= g.max(1, keepdims=True)
-                np.exp(g, out=g)
-                g /= g.sum(1, keepdims=True)
-                g[np.arange(len(target)), target] -= 1
-                for x in f:
-                    by = np.argsort(x)
-                    kinds, first = np.unique(x[by], return_index=True)
-                    change = np.add.reduceat(g[by], first, axis=0)
-                    seen[kinds] += (change**2).mean(1)
-                    w[kinds] -= RATE * change / np.sqrt(seen[kinds])[:, None]
 
+def _asked(vocabulary: Vocabulary):
+    """The tokens of all documents for the shards, and a row for each chunk of documents with what is known of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbered, logs = _numbers(vocabulary), np.log10(vocabulary.counts + 1.0)
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[np.ndarray] = []
+        info: list[tuple] = []
         size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys = _keys(held, vocabulary.start)
+            docs = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
+            order = _by_shard(vocabulary, keys)
+            keys, docs = keys[order], docs[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            n, kinds = np.diff(np.append(first, len(keys))), keys[first]
+            bounds = np.append(first, len(keys))
+            rows = [(_TOKENS, s, chunk, packed(np.diff(kinds[at], prepend=0)), packed(n[at]), packed(docs[bounds[at.start] : bounds[at.stop]])) for s, at in _dealt(vocabulary, kinds)]
+            known = pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*info, strict=True), _INFO, strict=True)], schema=_INFO)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _INFO) as writer:
+                writer.write_batch(known)
+            rows.append((_TEXTS, int(mixed(np.array([chunk], np.uint64))[0] % np.uint64(vocabulary.shards)), chunk, None, None, sink.getvalue().to_pybytes()))
+            kinds_ = (pa.int8(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds_, strict=True)], names=[c.split()[0] for c in _SENT.split(", ")])
+
         for batch in batches:
-            for row in _units(batch):
-                held.append(row)
-                size += len(row)
-                if size >= 16 * BATCH:
-                    step(held)
-                    held, size = [], 0
+            for doc_id, held_out, text in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), utf8(batch["text"]), strict=True):
+                at, rest = numbered(tokens(text))
+                tail, known = Counter(rest), at[at < len(logs)]
+                held.append(at)
+                info.append((doc_id, held_out, len(at), len(known), float(logs[known].sum()), [w.decode() for w in tail], list(tail.values())))
+                size += len(at)
+                if size >= CHUNK or len(held) == 65_535:
+                    yield flush()
+                    held, info, size, chunk = [], [], 0, chunk + 1
         if held:
-            step(held)
-        yield _rows("feature", w - weights, np.flatnonzero(seen > 1e-2))
+            yield flush()
 
     return run
 
 
-def _class_sums(classes: np.ndarray, head: list[bytes]):
+def _scored(model: Model):
+    """Each chunk's sums by document. A shard's counts come first, then the tokens that it is asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {w: i for i, w in enumerate(head[: UNITS - SHAPES])}
-        n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        at, shard = None, None
         for batch in batches:
-            at = classes[[own[w] if w in own else shape(w) for w in utf8(batch["word"])]] if len(batch) else np.zeros(0, int)
-            n += np.bincount(at, batch["n"].to_numpy(), CLASSES).astype(np.int64)
-            v += np.bincount(at, minlength=CLASSES)
-        yield pa.record_batch({"class": np.arange(CLASSES, dtype=np.int32), "n": n, "v": v})
+            rows: list[tuple] = []
+            for kind, number, chunk, keys, n, docs in zip(*(batch[i] for i in range(6)), strict=True):
+                kind, number, chunk = kind.as_py(), number.as_py(), chunk.as_py()
+                if number != at:
+                    at, shard = number, None
+                if kind == _COUNTS:
+                    shard = Shard(model, np.cumsum(unpacked(keys.as_py())), unpacked(n.as_py()))
+                elif kind == _TEXTS:
+                    rows.append((0, chunk, docs.as_py(), None))
+                else:
+                    if shard is None:  # no training token is in it
+                        shard = Shard(model, np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    score = np.repeat(shard.scores(np.cumsum(unpacked(keys.as_py()))), unpacked(n.as_py()))
+                    mine, place = np.unique(unpacked(docs.as_py(), np.uint16), return_inverse=True)
+                    rows.append((1, chunk, packed(mine), packed(np.bincount(place, score, len(mine)).astype(np.float32))))
+            kinds = (pa.int8(), pa.int64(), pa.binary(), pa.binary())
+            if rows:
+                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BACK.split(", ")])
 
     return run
 
 
-def _judged(weights: np.ndarray, bias: np.ndarray, classes: np.ndarray, within: np.ndarray):
-    """log10 of the class factors, less the classes' normalisers."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each chunk with their sums; a chunk's documents come before its sums."""
+    at, known, sums = None, None, None
+
+    def flush() -> pa.RecordBatch:
+        return pa.record_batch({"row": pa.array((at << 16) + np.arange(len(known)), pa.int64()), **{f.name: known[f.name] for f in _INFO}, "local": pa.array(sums, pa.float64())})
+
+    for batch in batches:
+        for kind, chunk, docs, part in zip(*(batch[i] for i in range(4)), strict=True):
+            if kind.as_py() == 0:
+                if known is not None:
+                    yield flush()
+                at, known = chunk.as_py(), pa.ipc.open_stream(docs.as_py()).read_all().combine_chunks().to_batches()[0]
+                sums = np.zeros(len(known))
+            else:
+                sums[unpacked(docs.as_py(), np.uint16)] += unpacked(part.as_py(), np.float32)
+    if known is not None:
+        yield flush()
+
+
+def _class_sums(classes: np.ndarray, vocabulary: Vocabulary):
+    """Tokens and words of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbered = _numbers(vocabulary)
+        n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            local, lengths = [], []
-            for row in _units(batch):
-                total = 0.0
-                fs, y = features(row), classes[row]
-                for k in range(0, len(row), 4 * BATCH):
-                    g = _logits(weights, bias, tuple(x[k : k + 4 * BATCH] for x in fs))
-                    target = y[k : k + 4 * BATCH]
-                    g -= g.max(1, keepdims=True)
-                    own = g[np.arange(len(target)), target].astype(np.float64)
-                    total += float((own - np.log(np.exp(g, out=g).sum(1, dtype=np.float64))).sum()) / math.log(10) - float(within[target].sum())
-                local.append(total)
-                lengths.append(len(row))
-            kept = {c: batch[c] for c in ("row", "doc_id", "held_out", "n_head", "log_head")}
-            yield pa.record_batch(kept | {"n_tokens": pa.array(lengths, pa.int64()), "local": pa.array(local, pa.float64())})
+            at = classes[numbered(utf8(batch["word"]))[0]]
+            n += np.bincount(at, batch["n"].to_numpy(), CLASSES).astype(np.int64)
+            v += np.bincount(at, minlength=CLASSES)
+        yield pa.record_batch({"class": np.arange(CLASSES, dtype=np.int32), "n": n, "v": v})
 
     return run
 
 
+def train(learn: DataFrame, counts: DataFrame, n_tokens: int, head_words: int = HEAD, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The shared weights, and the table of the shards' counts."""
+    head, head_counts = head_of(counts, head_words)
+    vocabulary = Vocabulary(head, head_counts, n_tokens)
+    events = learn.select("text").mapInArrow(_events(vocabulary), "shard int, keys binary, n binary")
+    table = cut(events.repartition(vocabulary.shards, "shard").sortWithinPartitions("shard").mapInArrow(_merged, "shard int, keys binary, n binary"))
+
+    matrix = "block int, data binary"
+    profiles = _total(table.select("keys", "n").mapInArrow(_profiles(vocabulary), matrix), (UNITS, 2 * PROFILE + 1))
+    classes = _classes(profiles, head.index(END) if END in head[:OWN] else -1)[vocabulary.unit]
+    sizes = counts.mapInArrow(_class_sums(classes, vocabulary), "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    in_class, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in sizes:
+        in_class[r["class"]], kinds[r["class"]] = r["n"], r["v"]
+    prior = (in_class + 1) / (in_class.sum() + CLASSES)
+    zero = np.zeros((UNITS, CLASSES), np.float32)
+    model = Model(vocabulary, classes, np.log(prior).astype(np.float32), in_class + kinds + 1, zero, zero)
+    for k in range(rounds):
+        sums = _total(table.select("keys", "n").mapInArrow(_gradient(model, k == 0), matrix), (2 * UNITS, CLASSES if k == 0 else 2 * CLASSES))
+        if k == 0:
+            # each feature's own optimum, drawn to the prior by some counts
+            step = np.log((sums + 4 * prior) / (sums.sum(1, keepdims=True) + 4)) - np.log(prior)
+            step[UNITS:] *= SKIP
+        else:
+            now = np.concatenate((model.one, model.two))
+            step = np.clip((sums[:, :CLASSES] - RIDGE * now) / (2 * sums[:, CLASSES:] + RIDGE), -1, 1)
+        model.one, model.two = model.one + step[:UNITS].astype(np.float32), model.two + step[UNITS:].astype(np.float32)
+    return model, table
+
+
 def scored(docs: DataFrame, head_words: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     held_out = F.coalesce(F.expr(f"{fold()} = 2"), F.lit(False))
-    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumns({"held_out": held_out, "learn": F.col("doc_id").isNotNull() & ~held_out})
-    counts = cut(docs.where("learn").select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held_out", held_out)
+    learn = docs.where("doc_id is not null and not held_out").select("text")
+    counts = cut(learn.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head_words).collect()
-    head, head_counts = [r["word"].encode() for r in top], np.array([r["n"] for r in top], np.float64)
-    texts = cut(docs.mapInArrow(_numbered(head, head_counts), "doc_id long, held_out boolean, learn boolean, units binary, n_head long, log_head double, tail array<struct<word:string,n:int>>").withColumn("row", F.monotonically_increasing_id()))
-    learn = texts.where("learn")
-
-    columns = ", ".join(f"v{i} float" for i in range(PROFILE + 1))
-    profiles, _ = _summed(learn.select("units").mapInArrow(_profiles, f"unit int, {columns}"), "unit", PROFILE + 1, (UNITS, PROFILE + 1))
-    end = head.index(END) if END in head[: UNITS - SHAPES] else -1
-    classes = _classes(profiles, end)
-    sizes = counts.mapInArrow(_class_sums(classes, head), "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    in_class, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in sizes:
-        in_class[r["class"]], kinds[r["class"]] = r["n"], r["v"]
-    bias = np.log((in_class + 1) / (in_class.sum() + CLASSES)).astype(np.float32)
-
-    weights = np.zeros((2 * UNITS + PAIRS, CLASSES), np.float32)
-    columns = ", ".join(f"v{i} float" for i in range(CLASSES))
-    for k in range(rounds):  # each round takes its own share of the documents, all of them once
-        part = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("units")
-        change, tasks = _summed(part.mapInArrow(_stepped(weights, bias, classes), f"feature int, {columns}"), "feature", CLASSES, weights.shape)
-        weights = weights + (change / np.maximum(tasks, 1)[:, None]).astype(np.float32)
-
-    within = np.log10(in_class + kinds + 1)
-    schema = "row long, doc_id long, held_out boolean, n_head long, log_head double, n_tokens long, local double"
-    judged = texts.select("row", "doc_id", "held_out", "n_head", "log_head", "units").mapInArrow(_judged(weights, bias, classes, within), schema)
+    model, table = train(learn, counts, n_all, head_words, rounds)
+
+    shards = model.vocabulary.shards
+    none = F.lit(None).cast("binary")
+    known = table.select(F.lit(_COUNTS).cast("byte").alias("kind"), "shard", F.lit(None).cast("long").alias("chunk"), "keys", "n", none.alias("docs"))
+    asked = docs.mapInArrow(_asked(model.vocabulary), _SENT).unionByName(known).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    back = asked.mapInArrow(_scored(model), _BACK).repartition(shards, "chunk").sortWithinPartitions("chunk", "kind")
+    texts = cut(back.mapInArrow(_gathered, _OUT))
     # words beyond the head: their counts come by a join
-    tail = texts.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
+    tail = texts.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
     tail = tail.join(counts, "word").groupBy("row").agg(F.sum("times").alias("n_tail"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_tail"))
-    both = judged.join(tail, "row", "left")
+    both = texts.drop("tail", "times").join(tail, "row", "left")
     logs = F.col("log_head") + F.coalesce("log_tail", F.lit(0.0))
     return both.select(
         "doc_id",
