@@ -57,7 +57,7 @@ PROFILE = 64
 CLASSES = 32
 ROUNDS = 2
 #: Tokens that are sorted together in a task, and (about) those of a shard.
-CHUNK, SHARD = 1_000_000, 1_000_000
+CHUNK, SHARD = 600_000, 1_000_000
 #: Precision of the weights' Gaussian priors: shared and pairs', and in-class.
 RIDGE, RIDGE_WORD = 1.0, 0.3
 PAIR_STEPS, WORD_STEPS = 4, 6
@@ -86,13 +86,43 @@ def shape(word: bytes) -> int:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """An array of integers or floats, by planes of bytes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes())
+    """An array of numbers: its planes of bytes, compressed one by one; an empty plane is left out."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    compress = zstandard.ZstdCompressor(level=1).compress
+    planes = [compress(p.tobytes()) if p.any() else b"" for p in raw]
+    return np.array([len(x), *map(len, planes)], np.int32).tobytes() + b"".join(planes)
 
 
 def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return raw.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+    width = np.dtype(kind).itemsize
+    n, *sizes = np.frombuffer(data, np.int32, 1 + width).tolist()
+    raw, at = np.zeros((n, width), np.uint8), 4 * (1 + width)
+    for k, size in enumerate(sizes):
+        if size:
+            raw[:, k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size]), np.uint8)
+        at += size
+    return raw.view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys in order: steps of the word before, steps of the one before that (from 0 for each word before), and the words."""
+    before, skip, word = (x.astype(np.int32) for x in (keys >> 2 * _BITS, keys >> _BITS & _MASK, keys & _MASK))
+    step, steps = np.diff(before, prepend=np.int32(0)), np.diff(skip, prepend=np.int32(0))
+    first = np.concatenate(([True], step[1:] != 0))[: len(keys)]
+    steps[first] = skip[first]
+    parts = [packed(step), packed(steps), packed(word)]
+    return np.array([len(p) for p in parts], np.int32).tobytes() + b"".join(parts)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    ends = 12 + np.cumsum(np.frombuffer(data, np.int32, 3))
+    step, steps, word = (unpacked(data[a:b], np.int32).astype(np.int64) for a, b in zip((12, *ends[:-1]), ends, strict=True))
+    if not len(word):
+        return word
+    first = np.flatnonzero(np.concatenate(([True], step[1:] != 0)))
+    total = np.cumsum(steps)
+    skip = total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(word))))
+    return np.cumsum(step) << 2 * _BITS | skip << _BITS | word
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +136,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in utf8(batch["text"]):
             seen.update(tokens(text))
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 yield flush()
     yield flush()
 
@@ -209,7 +239,7 @@ def _events(vocabulary: Vocabulary):
             parts = list(_dealt(vocabulary, keys))
             return pa.record_batch({
                 "shard": pa.array([s for s, _ in parts], pa.int32()),
-                "keys": pa.array([packed(np.diff(keys[at], prepend=0)) for _, at in parts], pa.binary()),
+                "keys": pa.array([packed_keys(keys[at]) for _, at in parts], pa.binary()),
                 "n": pa.array([packed(n[at]) for _, at in parts], pa.binary()),
             })
 
@@ -240,7 +270,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         k, m = _summed_counts(keys, n)
-        return pa.record_batch({"shard": pa.array([at], pa.int32()), "keys": pa.array([packed(np.diff(k, prepend=0))], pa.binary()), "n": pa.array([packed(m)], pa.binary())})
+        return pa.record_batch({"shard": pa.array([at], pa.int32()), "keys": pa.array([packed_keys(k)], pa.binary()), "n": pa.array([packed(m)], pa.binary())})
 
     for batch in batches:
         for shard, k, m in zip(batch["shard"].to_pylist(), batch["keys"], batch["n"], strict=True):
@@ -248,7 +278,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush()
                 keys, n = [], []
             at = shard
-            keys.append(np.cumsum(unpacked(k.as_py())))
+            keys.append(unpacked_keys(k.as_py()))
             n.append(unpacked(m.as_py()))
             if len(keys) > 1 and sum(map(len, keys)) > 4 * max(SHARD, len(keys[0])):
                 keys, n = ([x] for x in _summed_counts(keys, n))
@@ -259,7 +289,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for k, m in zip(batch["keys"], batch["n"], strict=True):
-            yield np.cumsum(unpacked(k.as_py())), unpacked(m.as_py())
+            yield unpacked_keys(k.as_py()), unpacked(m.as_py())
 
 
 def _sent(x: np.ndarray) -> pa.RecordBatch:
@@ -502,7 +532,7 @@ def _asked(vocabulary: Vocabulary):
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             n, kinds = np.diff(np.append(first, len(keys))), keys[first]
             bounds = np.append(first, len(keys))
-            rows = [(_TOKENS, s, chunk, packed(np.diff(kinds[at], prepend=0)), packed(n[at]), packed(docs[bounds[at.start] : bounds[at.stop]])) for s, at in _dealt(vocabulary, kinds)]
+            rows = [(_TOKENS, s, chunk, packed_keys(kinds[at]), packed(n[at]), packed(docs[bounds[at.start] : bounds[at.stop]])) for s, at in _dealt(vocabulary, kinds)]
             known = pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*info, strict=True), _INFO, strict=True)], schema=_INFO)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _INFO) as writer:
@@ -539,13 +569,13 @@ def _scored(model: Model):
                 if number != at:
                     at, shard = number, None
                 if kind == _COUNTS:
-                    shard = Shard(model, np.cumsum(unpacked(keys.as_py())), unpacked(n.as_py()))
+                    shard = Shard(model, unpacked_keys(keys.as_py()), unpacked(n.as_py()))
                 elif kind == _TEXTS:
                     rows.append((0, chunk, docs.as_py(), None))
                 else:
                     if shard is None:  # no training token is in it
                         shard = Shard(model, np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    score = np.repeat(shard.scores(np.cumsum(unpacked(keys.as_py()))), unpacked(n.as_py()))
+                    score = np.repeat(shard.scores(unpacked_keys(keys.as_py())), unpacked(n.as_py()))
                     mine, place = np.unique(unpacked(docs.as_py(), np.uint16), return_inverse=True)
                     rows.append((1, chunk, packed(mine), packed(np.bincount(place, score, len(mine)).astype(np.float32))))
             kinds = (pa.int8(), pa.int64(), pa.binary(), pa.binary())

@@ -47,7 +47,7 @@ def trained(docs, head_words):
     n = counts.agg(F.sum("n")).first()[0]
     model, table = op.train(learn, counts, n, head_words)
     (row,) = table.collect()  # so few tokens are one shard
-    return model, op.Shard(model, np.cumsum(op.unpacked(row["keys"])), op.unpacked(row["n"])), {r["word"].encode(): r["n"] for r in counts.collect()}
+    return model, op.Shard(model, op.unpacked_keys(row["keys"]), op.unpacked(row["n"])), {r["word"].encode(): r["n"] for r in counts.collect()}
 
 
 @pytest.mark.parametrize("head_words", [op.HEAD, 50])
@@ -99,7 +99,15 @@ def test_the_head_is_bounded_whatever_the_ties(spark):
     counts = spark.createDataFrame(rows, "word string, n long")
     assert op.head_of(counts, 2)[0] == [b"y", b"x"] and op.head_of(counts, 11)[0] == [b"y", b"x"]
     assert len(op.head_of(counts, 12)[0]) == 12 and len(op.head_of(counts, 100)[0]) == 32 and op.head_of(counts, 1)[0] in ([], [b"y"])
+
+
+def test_blocks_come_back_as_they_were():
+    rng = np.random.default_rng(1)
     assert np.array_equal(op.unpacked(op.packed(np.array([3, -1, 1 << 60]))), [3, -1, 1 << 60])
+    for n, most in ((0, 5), (1, 5), (500, 3), (5000, 300_000)):
+        a, b, w = rng.integers(0, most, (3, n))
+        keys = np.unique(a << 38 | b << 19 | w)
+        assert np.array_equal(op.unpacked_keys(op.packed_keys(keys)), keys)
 
 
 def test_held_out_texts_are_likelier_than_by_the_base(spark):
