@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import metres
+from ..functions.geo import around, cell, metres
+from ..functions.text import plain_name
 
 DAY = "business_date"
+# How near the same stop is, and what is added to the note of a day that the next one closes.
+NEAR_M = 30.0
+CLOSED_NOTE = " otomatik kapatıldı"
+
 
 def stop_order() -> list[Column]:
     """By route position; unrouted stops after them, by id."""
@@ -104,6 +109,38 @@ def same_address(stops: DataFrame) -> DataFrame:
     return stops.withColumn("same_address", F.when(F.col("lat").isNull(), F.lit(1)).otherwise(counted).cast("long"))
 
 
+def _near(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """Pairs (a_*, b_*) of the points of one day less than ``radius`` apart, both ways, by an equi join on grid cells."""
+    a, b = (points.select(DAY, *[F.col(c).alias(f"{s}_{c}") for c in (*keys, "lat", "lng")]) for s in ("a", "b"))
+    a = a.withColumn("cell", F.explode(around(*cell(F.col("a_lat"), F.col("a_lng"), radius)))).select("*", "cell.*").drop("cell")
+    y, x = cell(F.col("b_lat"), F.col("b_lng"), radius)
+    pairs = a.join(b.withColumns({"cell_lat": y, "cell_lng": x}), [DAY, "cell_lat", "cell_lng"])
+    return pairs.where(metres(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) < radius)
+
+
+def near_points(stops: DataFrame, radius: float) -> DataFrame:
+    """Pairs of different coordinates of a day less than ``radius`` apart, by their first stops, with the numbers of stops there."""
+    points = placed(stops).groupBy(DAY, "lat", "lng").agg(F.min("stop_id").alias("stop"), F.count("*").alias("n"))
+    return _near(points, ["stop", "n"], radius).where("a_stop < b_stop").select(DAY, F.col("a_stop").alias("a"), F.col("a_n").alias("n_a"), F.col("b_stop").alias("b"), F.col("b_n").alias("n_b"))
+
+
+def same_stop(stops: DataFrame, radius: float = NEAR_M) -> DataFrame:
+    """(day, stop_id, same_as): the day's first earlier stop that is the same, by document number, else by nearness and name.
+
+    No pairs of stops are made: numbers go by a window, and nearness joins different places and names only.
+    """
+    rows = stops.withColumn("plain", plain_name(F.col("name")))
+    number = F.when(F.col("doc_no").isNotNull(), F.min("stop_id").over(Window.partitionBy(DAY, "doc_no")))
+    rows = rows.withColumn("by_number", number).select(DAY, "stop_id", "lat", "lng", F.col("name").isNull().alias("nameless"), F.coalesce("plain", F.lit("")).alias("plain"), "by_number")
+    place = [DAY, "lat", "lng", "nameless", "plain"]
+    points = placed(rows).groupBy(*place).agg(F.min("stop_id").alias("stop"))
+    pairs = _near(points, ["nameless", "plain", "stop"], radius).where("a_nameless or b_nameless or a_plain = b_plain")
+    first = pairs.groupBy(DAY, F.col("b_lat").alias("lat"), F.col("b_lng").alias("lng"), F.col("b_nameless").alias("nameless"), F.col("b_plain").alias("plain")).agg(F.min("a_stop").alias("by_place"))
+    earlier = lambda c: F.when(F.col(c) < F.col("stop_id"), F.col(c))
+    found = rows.join(first, place, "left").withColumn("same_as", F.coalesce(earlier("by_number"), earlier("by_place")))
+    return found.where("same_as is not null").select(DAY, "stop_id", "same_as")
+
+
 def next_pending(stops: DataFrame) -> DataFrame:
     """The first pending stop of each day in order."""
     return pending(stops).withColumn("place", F.row_number().over(_by_day())).where("place = 1").drop("place")
@@ -135,23 +172,46 @@ def delete_stops(stops: DataFrame, gone: DataFrame) -> DataFrame:
     return stops.join(gone.select(DAY, "stop_id"), [DAY, "stop_id"], "left_anti")
 
 
+def _kept(table: DataFrame, column: str, kind: str) -> Column:
+    """A column's values; null where the table doesn't have it yet."""
+    return F.col(column) if column in table.columns else F.lit(None).cast(kind)
+
+
 def correct_stops(stops: DataFrame, fixes: DataFrame, at: Column) -> DataFrame:
-    """Overlay hand corrections. ``fixes``: keys and a map ``fields`` of the columns set, with null values allowed."""
-    fields = ("name", "phone", "district", "quarter", "road", "door", "flat")
-    rows = stops.join(fixes.select(DAY, "stop_id", "fields", "lat", "lng").withColumnsRenamed({"lat": "_lat", "lng": "_lng"}), [DAY, "stop_id"], "left")
+    """Overlay hand corrections. ``fixes``: keys and ``fields``, a map of column names to values as text.
+
+    Any column but the keys may be in the map, and a null there sets null. Other stops stay as they are.
+    """
+    rows = stops.join(fixes.select(DAY, "stop_id", "fields"), [DAY, "stop_id"], "left")
     hit = F.col("fields").isNotNull()
-    out = {c: F.when(hit & F.map_contains_key("fields", c), F.col("fields")[c]).otherwise(F.col(c)) for c in fields}
-    out |= {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in ("lat", "lng")}
-    out |= {"corrected": hit | F.col("corrected"), "grade": F.when(hit, "green").otherwise(F.col("grade")), "confidence": F.when(hit, 100).otherwise(F.col("confidence")), "updated_at": F.when(hit, at)}
-    return rows.withColumns(out).drop("fields", "_lat", "_lng")
+    scalar = [f for f in stops.schema.fields if f.name not in (DAY, "stop_id") and f.dataType.typeName() not in ("array", "map", "struct")]
+    out = {f.name: F.when(hit & F.map_contains_key("fields", f.name), F.col("fields")[f.name].cast(f.dataType)).otherwise(F.col(f.name)) for f in scalar}
+    out |= {"corrected": hit | F.col("corrected"), "grade": F.when(hit, "green").otherwise(F.col("grade")), "confidence": F.when(hit, 100).otherwise(F.col("confidence"))}
+    out["updated_at"] = F.when(hit, at).otherwise(_kept(stops, "updated_at", "timestamp_ntz"))
+    return rows.withColumns(out).drop("fields")
 
 
 def set_status(stops: DataFrame, changes: DataFrame) -> DataFrame:
-    """``changes`` (keys, new_status, reason, at): the latest change of a stop holds; an empty reason is null."""
+    """``changes`` (keys, new_status, reason, at): the latest change of a stop holds; an empty reason is null.
+
+    Stops without a change keep their reason and their times.
+    """
     last = changes.groupBy(DAY, "stop_id").agg(F.max_by(F.struct("new_status", "reason", "at"), F.struct("at", "new_status")).alias("c"))
     rows = stops.join(last, [DAY, "stop_id"], "left")
     hit = F.col("c").isNotNull()
-    return rows.withColumns({"status": F.coalesce("c.new_status", "status"), "status_reason": F.when(hit, F.nullif(F.col("c.reason"), F.lit(""))), "finished_at": F.when(hit, F.col("c.at"))}).drop("c")
+    old = lambda c, kind: _kept(stops, c, kind)
+    return rows.withColumns({
+        "status": F.coalesce("c.new_status", "status"),
+        "status_reason": F.when(hit, F.nullif(F.col("c.reason"), F.lit(""))).otherwise(old("status_reason", "string")),
+        "finished_at": F.when(hit, F.col("c.at")).otherwise(old("finished_at", "timestamp_ntz")),
+        "updated_at": F.when(hit, F.col("c.at")).otherwise(old("updated_at", "timestamp_ntz")),
+    }).drop("c")
+
+
+def deliveries(stops: DataFrame, changes: DataFrame) -> DataFrame:
+    """The stops of all changes to delivered, at the time of the change: what the customers' memory learns from."""
+    done = changes.where("new_status = 'delivered'").select(DAY, "stop_id", F.col("at").alias("_at"))
+    return stops.join(done, [DAY, "stop_id"]).withColumn("ts", F.col("_at")).drop("_at")
 
 
 def open_day(days: DataFrame, day: Column, at: Column) -> DataFrame:
@@ -160,13 +220,14 @@ def open_day(days: DataFrame, day: Column, at: Column) -> DataFrame:
     new = asked.join(days.select(DAY), DAY, "left_anti").select(DAY, F.lit("open").alias("status"), "opened_at", F.lit(None).cast("timestamp_ntz").alias("closed_at"), F.lit(None).cast("string").alias("note"))
     flagged = days.join(F.broadcast(new.select(F.lit(True).alias("is_new"))), F.lit(True), "left")
     closing = (F.col("status") == "open") & F.coalesce("is_new", F.lit(False))
-    old = flagged.withColumns({"closed_at": F.when(closing, at).otherwise(F.col("closed_at")), "note": F.when(closing, F.concat_ws(" ", "note", F.lit("closed by the next day"))).otherwise(F.col("note")), "status": F.when(closing, "closed").otherwise(F.col("status"))})
+    old = flagged.withColumns({"closed_at": F.when(closing, at).otherwise(F.col("closed_at")), "note": F.when(closing, F.concat(F.coalesce("note", F.lit("")), F.lit(CLOSED_NOTE))).otherwise(F.col("note")), "status": F.when(closing, "closed").otherwise(F.col("status"))})
     return old.drop("is_new").unionByName(new)
 
 
 def close_day(days: DataFrame, day: Column, at: Column, note: Column) -> DataFrame:
+    """Close a day; an empty note leaves the old one."""
     hit = F.col(DAY) == day
-    return days.withColumns({"status": F.when(hit, "closed").otherwise(F.col("status")), "closed_at": F.when(hit, at).otherwise(F.col("closed_at")), "note": F.when(hit, F.coalesce(note, F.col("note"))).otherwise(F.col("note"))})
+    return days.withColumns({"status": F.when(hit, "closed").otherwise(F.col("status")), "closed_at": F.when(hit, at).otherwise(F.col("closed_at")), "note": F.when(hit, F.coalesce(F.nullif(note, F.lit("")), F.col("note"))).otherwise(F.col("note"))})
 
 
 def reopen_day(days: DataFrame, day: Column) -> DataFrame:
@@ -175,10 +236,10 @@ def reopen_day(days: DataFrame, day: Column) -> DataFrame:
 
 
 def reopened_by_scans(days: DataFrame, scans: DataFrame) -> DataFrame:
-    """A closed day with a scan is open again."""
+    """A closed day with a scan is open again, as if it were reopened by hand: without a closing time."""
     hit = F.col("_scanned").isNotNull() & (F.col("status") == "closed")
     rows = days.join(scans.select(DAY, F.lit(True).alias("_scanned")).distinct(), DAY, "left")
-    return rows.withColumn("status", F.when(hit, "open").otherwise(F.col("status"))).drop("_scanned")
+    return rows.withColumns({"status": F.when(hit, "open").otherwise(F.col("status")), "closed_at": F.when(~hit, F.col("closed_at"))}).drop("_scanned")
 
 
 def to_reroute(stops: DataFrame, routes: DataFrame) -> DataFrame:

@@ -10,24 +10,22 @@ import math
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import DEGREE_M, EARTH_M
-from .ledger import DAY
+from .ledger import DAY, NEAR_M
 
 # Fixed values.
-NEAR_M = 30.0
 PARTS = ("district", "quarter", "road", "door", "flat", "floor")
 
-_SCAN = ["scan_id", "doc_no", "name", "plain", "phone", "product", "pieces", *PARTS, "lat", "lng", "precision", "confidence", "grade", "road_offset_m"]
+_SCAN = ["scan_id", "doc_no", "name", "plain", "phone", "product", "pieces", *PARTS, "lat", "lng", "precision", "confidence", "grade", "road_offset_m", "warnings", "raw_text"]
 STOP_SCHEMA = (
     "business_date date, stop_id int, doc_no string, name string, phone string, product string, pieces int, frames int, "
     "district string, quarter string, road string, door string, flat string, floor string, lat double, lng double, "
-    "precision string, confidence int, grade string, road_offset_m double, status string, merged_on string"
+    "precision string, confidence int, grade string, road_offset_m double, warnings array<string>, raw_text string, status string, merged_on string"
 )
 
 
@@ -35,6 +33,10 @@ def _missing(x: Any) -> bool:
     return x is None or x == "" or (isinstance(x, float) and math.isnan(x))
 
 
+def _listed(x: Any) -> list:
+    return [] if x is None or isinstance(x, float) else list(x)
+
+
 def _or(a: Any, b: Any) -> Any:
     return b if _missing(a) or a == 0 else a
 
@@ -89,8 +91,8 @@ class DayStops:
         if at is None and not _missing(scan["lat"]):
             at, how = self._near(scan), "near"
         if at is None:
-            new = {k: (None if _missing(scan[k]) else scan[k]) for k in _SCAN if k != "scan_id"}
-            new |= {"doc_no": doc, "stop_id": self.next_id, "pieces": int(_or(scan["pieces"], 1)), "frames": 1, "precision": _or(scan["precision"], "yok"), "confidence": 0 if _missing(scan["confidence"]) else int(scan["confidence"]), "grade": _or(scan["grade"], "red"), "status": "pending", "merged_on": None}
+            new = {k: (None if _missing(scan[k]) else scan[k]) for k in _SCAN if k not in ("scan_id", "warnings")}
+            new |= {"doc_no": doc, "stop_id": self.next_id, "pieces": int(_or(scan["pieces"], 1)), "frames": 1, "precision": _or(scan["precision"], "yok"), "confidence": 0 if _missing(scan["confidence"]) else int(scan["confidence"]), "grade": _or(scan["grade"], "red"), "warnings": _listed(scan["warnings"]), "status": "pending", "merged_on": None}
             self._add(new)
             return
         s = self.stops[at]
@@ -109,6 +111,7 @@ class DayStops:
                 self.cells[self._cell(s)].remove(at)
             for k in ("lat", "lng", "precision", "grade", "road_offset_m"):
                 s[k] = None if _missing(scan[k]) else scan[k]
+            s["warnings"] = _listed(scan["warnings"])
             s["confidence"] = int(scan["confidence"])
             self._place(at)
         s["frames"] += 1
@@ -122,7 +125,7 @@ class DayStops:
 
 
 def _records(rows: pd.DataFrame) -> list[dict]:
-    return rows.replace({np.nan: None}).to_dict("records")
+    return rows.astype(object).where(rows.notna(), None).to_dict("records")
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +141,7 @@ def scans(stops: DataFrame) -> DataFrame:
     from ..functions.text import plain_name
 
     have = {c: F.col(c) if c in stops.columns else F.lit(None) for c in _SCAN if c not in ("plain", "scan_id")}
-    kinds = {"pieces": "int", "confidence": "int", "lat": "double", "lng": "double", "road_offset_m": "double"}
+    kinds = {"pieces": "int", "confidence": "int", "lat": "double", "lng": "double", "road_offset_m": "double", "warnings": "array<string>"}
     return stops.select(DAY, "ts", F.col("stop_id").cast("long").alias("scan_id"), *[c.cast(kinds.get(n, "string")).alias(n) for n, c in have.items()], plain_name(F.col("name")).alias("plain"))
 
 

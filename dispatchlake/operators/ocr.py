@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 LETTERS = "A-Za-zÇĞİÖŞÜçğıöşü"
 READABLE, ENOUGH = 70, 70
 TARGET_WIDTH, MOST_GROWTH, MOST_PIXELS, ZOOM_BELOW = 2480, 4.0, 4_200_000.0, 0.95
-BLANK_DELTA, PATCHES = 6, 4
+BLANK_DELTA = 6
 TAIL, GREY_RANGE = 0.02, 8
 MANUAL_WIDTH, MANUAL_HEIGHT = 20, 12
 PROBE_FACTOR, PROBE_LEAST, FEW_WORDS = 1.4, 3, 12
@@ -32,11 +32,12 @@ def best_reading(attempts: DataFrame, key: str, score: str = "score", order: str
 
 
 def joined(a: Column, b: Column) -> Column:
-    """Two readings as one: texts by a line break, greater confidence, words of both; a missing one changes nothing."""
+    """Two readings as one: texts by a line break, greater confidence, words and lines of both; a missing one changes nothing."""
     both = F.struct(
         F.concat(F.coalesce(a["text"], F.lit("")), F.lit("\n"), F.coalesce(b["text"], F.lit(""))).alias("text"),
         F.greatest(F.coalesce(a["confidence"], F.lit(0.0)), F.coalesce(b["confidence"], F.lit(0.0))).alias("confidence"),
         F.concat(F.coalesce(a["words"], F.array()), F.coalesce(b["words"], F.array())).alias("words"),
+        F.concat(F.coalesce(a["lines"], F.array()), F.coalesce(b["lines"], F.array())).alias("lines"),
     )
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
 
@@ -76,8 +77,9 @@ def box_is_large_enough(width: Column, height: Column) -> Column:
 
 
 def is_blank(patches: Column) -> Column:
-    """``patches``: arrays of pixels struct<r, a>. Blank unless an opaque patch has reds that differ from its first by more than BLANK_DELTA."""
-    return ~F.exists(patches, lambda p: F.exists(F.filter(p, lambda x: x["a"] > 0), lambda x: F.abs(x["r"] - F.get(p, 0)["r"]) > BLANK_DELTA))
+    """``patches``: arrays of pixels struct<r, a>. Blank unless any opaque pixel's red differs by more than BLANK_DELTA from that of the first opaque one of all patches."""
+    opaque = F.filter(F.flatten(patches), lambda x: x["a"] > 0)
+    return ~F.exists(opaque, lambda x: F.abs(x["r"] - F.get(opaque, 0)["r"]) > BLANK_DELTA)
 
 
 def grey(r: Column, g: Column, b: Column) -> Column:
@@ -99,36 +101,62 @@ def clip_levels(hist: DataFrame, key: str, level: str) -> DataFrame:
 
 def stretched(level: Column, low: Column, high: Column) -> Column:
     """A grey level spread over 0..255 between the clips, if they lie more than GREY_RANGE apart."""
-    wide = F.floor((level - low) * 255 / (high - low) + 0.5)
+    wide = F.bround((level - low) * (F.lit(255.0) / (high - low)))  # bytes take halves to the even side
     return F.when(high - low > GREY_RANGE, F.least(F.lit(255), F.greatest(F.lit(0), wide))).otherwise(level).cast("int")
 
 
+def _in_frame(rows: DataFrame, key: str, item: str) -> DataFrame:
+    place = {c: F.col(f"o.{c[0]}") + F.coalesce(F.col(f"{item}.{c}"), F.lit(0.0)) / F.col("f") for c in ("x0", "y0", "x1", "y1")}
+    return rows.withColumns(place)
+
+
+def _lines(blocks: str) -> Column:
+    return F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(b["paragraphs"], lambda p: p["lines"]))))
+
+
 def flat_words(tree: DataFrame, key: str, blocks: str, origin: Column, factor: Column) -> DataFrame:
     """Words of a tree of blocks, paragraphs, lines and words, with boxes in the frame: origin + box / factor."""
-    nested = F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(b["paragraphs"], lambda p: F.flatten(F.transform(p["lines"], lambda line: line["words"]))))))
+    nested = F.flatten(F.transform(_lines(blocks), lambda line: line["words"]))
     rows = tree.select(key, F.posexplode(nested).alias("pos", "w"), origin.alias("o"), factor.alias("f"))
-    place = {c: F.col(f"o.{c[0]}") + F.col(f"w.{c}") / F.col("f") for c in ("x0", "y0", "x1", "y1")}
-    return rows.select(key, "pos", F.col("w.text").alias("text"), F.col("w.confidence").alias("confidence"), *[v.alias(c) for c, v in place.items()])
+    return _in_frame(rows, key, "w").select(key, "pos", F.col("w.text").alias("text"), F.col("w.confidence").alias("confidence"), "x0", "y0", "x1", "y1")
+
+
+def flat_lines(tree: DataFrame, key: str, blocks: str, origin: Column, factor: Column) -> DataFrame:
+    """Its lines, the same way; a line without text has an empty one."""
+    rows = tree.select(key, F.posexplode(_lines(blocks)).alias("pos", "l"), origin.alias("o"), factor.alias("f"))
+    return _in_frame(rows, key, "l").select(key, "pos", F.coalesce("l.text", F.lit("")).alias("text"), "x0", "y0", "x1", "y1")
+
+
+#: Stages of reading a page, in the order in which they are tried; of equal scores the first is kept.
+STAGES = ("manual", "page", "region1", "region2", "page180", "region180_1", "region180_2")
 
 
 def cascade(attempts: DataFrame, key: str) -> DataFrame:
     """Which stages of reading a page are run, and the one whose reading is kept.
 
-    ``attempts``: a row per stage (page, region1, region2, probe180, page180, region180) with score and words
-    (readable words), and zoom on the page's row. Regions count only below ENOUGH and where zoom helps; the upside-down page
-    only if the page has few words and the probe clearly more.
+    ``attempts``: a row per stage (STAGES and probe180) with score and words (readable words), and zoom on the page's
+    row; a stage without a row can't be run. A box chosen by hand is the only stage. Regions count only below ENOUGH
+    and where zoom helps, the second only if the first isn't enough; the upside-down page only if the page has few words
+    and the probe clearly more.
     """
     of = lambda stage, c: F.max(F.when(F.col("stage") == stage, F.col(c)))
-    rows = attempts.groupBy(key).agg(*[of(s, "score").alias(s) for s in ("page", "region1", "region2", "page180", "region180")], of("page", "words").alias("page_words"), of("probe180", "words").alias("probe_words"), F.bool_or("zoom").alias("zoom"))
-    zero = F.lit(0.0)
-    page, one, two = (F.coalesce(c, zero) for c in ("page", "region1", "region2"))
-    first = F.col("zoom") & (page < ENOUGH)
-    second = first & (F.greatest(page, one) < ENOUGH)
-    so_far = F.greatest(page, F.when(first, one).otherwise(zero), F.when(second, two).otherwise(zero))
-    turn = (so_far < ENOUGH) & (F.col("page_words") < FEW_WORDS) & (F.coalesce("probe_words", F.lit(0)) > F.greatest(F.lit(PROBE_LEAST), PROBE_FACTOR * F.col("page_words")))
-    over = F.when(turn, F.coalesce("page180", zero)).otherwise(zero)
-    over2 = F.when(turn & F.col("zoom") & (F.greatest(so_far, over) < ENOUGH), F.coalesce("region180", zero)).otherwise(zero)
-    best = F.greatest(so_far, over, over2)
-    stages = ((page, "page"), (F.when(first, one), "region1"), (F.when(second, two), "region2"), (F.when(turn, over), "page180"), (F.when(turn, over2), "region180"))
-    kept = F.coalesce(*[F.when(v == best, F.lit(n)) for v, n in stages])
-    return rows.select(key, best.alias("score"), kept.alias("kept"), turn.alias("turned"), first.alias("zoomed"))
+    rows = attempts.groupBy(key).agg(*[of(s, "score").alias(s) for s in STAGES], of("page", "words").alias("page_words"), of("probe180", "words").alias("probe_words"), F.coalesce(F.bool_or("zoom"), F.lit(False)).alias("zoom"))
+
+    def regions(before: Column, asked: Column, one: str, two: str) -> tuple[Column, Column, Column]:
+        """Whether each is run, and the score after both."""
+        first = asked & F.col("zoom") & (before < ENOUGH) & F.col(one).isNotNull()
+        after = F.greatest(before, F.when(first, F.col(one)))
+        second = first & (after < ENOUGH) & F.col(two).isNotNull()
+        return first, second, F.greatest(after, F.when(second, F.col(two)))
+
+    by_hand = F.col("manual").isNotNull()
+    page = F.coalesce("page", F.lit(0.0))
+    first, second, so_far = regions(page, ~by_hand, "region1", "region2")
+    few = F.coalesce("page_words", F.lit(0))
+    turned = ~by_hand & (so_far < ENOUGH) & (few < FEW_WORDS) & (F.coalesce("probe_words", F.lit(0)) > F.greatest(F.lit(PROBE_LEAST), PROBE_FACTOR * few))
+    over = F.coalesce("page180", F.lit(0.0))
+    third, fourth, _ = regions(over, turned, "region180_1", "region180_2")
+    run = (by_hand, ~by_hand, first, second, turned, third, fourth)
+    tried = F.filter(F.array(*[F.when(r, F.struct(F.coalesce(s, F.lit(0.0)).alias("score"), F.lit(-i).alias("n"), F.lit(s).alias("stage"))) for i, (s, r) in enumerate(zip(STAGES, run, strict=True))]), lambda x: x.isNotNull())
+    out = rows.select(key, tried.alias("t"), turned.alias("turned"), first.alias("zoomed"))
+    return out.select(key, F.array_max("t")["score"].alias("score"), F.array_max("t")["stage"].alias("kept"), "turned", "zoomed", F.transform("t", lambda x: x["stage"]).alias("stages"))

@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M
+from ..functions.geo import EARTH_M, metres
 from .ledger import DAY
 
 # Fixed values.
 ROAD_FACTOR, SPLIT_M = 1.35, 1000.0
 EXACT = 8
 SPEED_M_PER_MIN = 500.0
+#: Most points, with the start, of which the road service is asked for a matrix (its own cap isn't known).
+MATRIX_POINTS = 50
 ROUTE_SCHEMA = "business_date date, stop_ids array<long>, split_groups array<string>, total_m double, total_min double, method string"
 
 
@@ -142,9 +144,9 @@ def _day(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     groups: list[str | None] = [None, *[g if isinstance(g, str) and g else None for g in rows["quarter"]]]
     legs = matrix(lat, lng)
     order, method = solve(legs, groups)
-    metres = float(sum(legs[a, b] for a, b in zip([0, *order[:-1]], order, strict=True)))
+    total = float(sum(legs[a, b] for a, b in zip([0, *order[:-1]], order, strict=True)))
     ids = rows["stop_id"].to_numpy()
-    return pd.DataFrame({DAY: [key[0]], "stop_ids": [[int(ids[i - 1]) for i in order]], "split_groups": [split_groups(order, groups)], "total_m": [metres], "total_min": [metres / SPEED_M_PER_MIN], "method": [method]})
+    return pd.DataFrame({DAY: [key[0]], "stop_ids": [[int(ids[i - 1]) for i in order]], "split_groups": [split_groups(order, groups)], "total_m": [total], "total_min": [total / SPEED_M_PER_MIN], "method": [method]})
 
 
 def build_routes(stops: DataFrame, starts: DataFrame) -> DataFrame:
@@ -154,6 +156,19 @@ def build_routes(stops: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.select(DAY, F.col("stop_id").cast("long"), "quarter", *points).groupBy(DAY).applyInPandas(_day, ROUTE_SCHEMA)
 
 
+def within_matrix_cap(points: DataFrame, keys: list[str], most: int = MATRIX_POINTS) -> DataFrame:
+    """For each route of the points: whether they and the start are few enough for a matrix."""
+    return points.groupBy(*keys).agg((F.count("*") + 1 <= most).alias("within_cap"))
+
+
+def points_matrix(points: DataFrame, keys: list[str], most: int = MATRIX_POINTS) -> DataFrame:
+    """(keys, a, b, metres) of all ordered pairs of a route's points; routes beyond the cap have no matrix."""
+    small = within_matrix_cap(points, keys, most).where("within_cap").select(*keys)
+    rows = points.join(small, keys, "left_semi").select(*keys, "stop_id", "lat", "lng")
+    a, b = (rows.select(*keys, F.col("stop_id").alias(s), F.col("lat").alias(f"{s}_lat"), F.col("lng").alias(f"{s}_lng")) for s in ("a", "b"))
+    return a.join(b, keys).where("a <> b").select(*keys, "a", "b", metres(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")).alias("metres"))
+
+
 def start_points(days: DataFrame, *ranked: tuple[str, DataFrame]) -> DataFrame:
     """The first of the ranked candidates (name, table of business_date, lat, lng) that has coordinates."""
     rows = days.select(DAY)

@@ -181,9 +181,14 @@ def _(spark, d):
     return report.export_rows(stops(spark, d), routes(spark, d))
 
 
-@query("s15_export_text", "SELECT business_date, 0 AS place, '═══ ' || cast(business_date AS varchar) || '  (' || status || ')  ' || coalesce(n, 0) || ' durak' || CASE WHEN total_m IS NULL THEN '' ELSE '  · rotada ' || coalesce(o, 0) || CASE WHEN o < n THEN '  ⚠ ' || (n - o) || ' DURAK ROTA DIŞI' ELSE '' END END AS line FROM days LEFT JOIN (SELECT business_date, count(*) AS n, count(seq) AS o FROM stops GROUP BY business_date) USING (business_date) LEFT JOIN routes USING (business_date) UNION ALL " + _LINE, STOPS_SQL, ROUTES_SQL, DAYS_SQL, _W2B)
+_OF_DAY = "x AS (SELECT d.business_date, d.status, coalesce(n, 0) AS n, coalesce(o, 0) AS o, r.* EXCLUDE (business_date), r.business_date IS NOT NULL AS routed FROM days d LEFT JOIN (SELECT business_date, count(*) AS n, count(seq) AS o FROM stops GROUP BY business_date) c ON c.business_date = d.business_date LEFT JOIN routes r ON r.business_date = d.business_date)"
+_HEADING = "'═══ ' || cast(business_date AS varchar) || '  (' || status || ')  ' || n || ' durak' || CASE WHEN NOT routed THEN '' ELSE '  · rotada ' || o || CASE WHEN o < n THEN '  ⚠ ' || (n - o) || ' DURAK ROTA DIŞI' ELSE '' END END"
+_ROUTE_LINE = f"CASE WHEN NOT routed THEN '  rota: çıkarılmamış' ELSE '  rota: başlangıç ' || coalesce({_fixed_sql('start_lat', 5)} || ',' || {_fixed_sql('start_lng', 5)}, 'YOK') || '  kaynak=' || coalesce(start_source, '?') || coalesce(' ±' || cast(cast(floor(start_accuracy + 0.5) AS bigint) AS varchar) || 'm', '') || '  mesafe=' || matrix_source || '  yöntem=' || coalesce(method, '?') || '  toplam=' || {_fixed_sql('(total_m / 1000)', 1)} || 'km  zaman=' || built_at END"
+
+
+@query("s15_export_text", f"SELECT NULL::DATE AS business_date, -4 AS place, 'GÜN KAYDI' AS line UNION ALL SELECT NULL, -3, 'sürüm: 1.0   çıkarma: 2024-02-01T08:00:00.000Z' UNION ALL SELECT business_date, -2, '' FROM x UNION ALL SELECT business_date, -1, {_HEADING} FROM x UNION ALL SELECT business_date, 0, {_ROUTE_LINE} FROM x UNION ALL " + _LINE, STOPS_SQL, ROUTES_SQL, DAYS_SQL, _W2B, _OF_DAY)
 def _(spark, d):
-    return report.export_text(days(spark, d), stops(spark, d), routes(spark, d))
+    return report.export_text(days(spark, d), stops(spark, d), routes(spark, d), "1.0", "2024-02-01T08:00:00.000Z")
 
 
 @query("p10_html_escape", """SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped FROM documents""")
@@ -268,32 +273,14 @@ def _(spark, d):
     return table(spark, d, "part").where(ocr.box_is_large_enough(F.col("p_size"), F.col("p_partkey") % 40)).select("p_partkey")
 
 
-@query("f8_same_stop", f"SELECT a.stop_id AS a, b.stop_id AS b FROM stops a JOIN stops b ON a.business_date = b.business_date AND a.stop_id < b.stop_id WHERE a.doc_no = b.doc_no OR (a.lat IS NOT NULL AND b.lat IS NOT NULL AND {_M.format(a='a.lat', b='b.lat', c='a.lng', d='b.lng')} < 30 AND (a.name IS NULL OR b.name IS NULL OR {_PLAIN.format(c='a.name')} = {_PLAIN.format(c='b.name')}))", STOPS_SQL)
+@query("f8_same_stop", f"SELECT business_date, stop_id, coalesce(by_number, by_place) AS same_as FROM (SELECT s.business_date, s.stop_id, (SELECT min(t.stop_id) FROM stops t WHERE t.business_date = s.business_date AND t.doc_no = s.doc_no AND t.stop_id < s.stop_id) AS by_number, (SELECT min(t.stop_id) FROM stops t WHERE t.business_date = s.business_date AND t.stop_id < s.stop_id AND {_M.format(a='t.lat', b='s.lat', c='t.lng', d='s.lng')} < 30 AND (t.name IS NULL OR s.name IS NULL OR {_PLAIN.format(c='t.name')} = {_PLAIN.format(c='s.name')})) AS by_place FROM stops s) WHERE coalesce(by_number, by_place) IS NOT NULL", STOPS_SQL)
 def _(spark, d):
-    rows = stops(spark, d).withColumn("plain", text.plain_name(F.col("name")))
-    a, b = _sides(rows)
-    by_number = a.join(b, (F.col("a_day") == F.col("b_day")) & (F.col("a_doc_no") == F.col("b_doc_no"))).where("a < b").select("a", "b")
-    near = _near(rows, 30.0).where("a_name is null or b_name is null or a_plain = b_plain").select("a", "b")
-    return by_number.unionByName(near).distinct()
-
-
-def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(rows.select(F.col("stop_id").alias(s), F.col("business_date").alias(f"{s}_day"), *[F.col(c).alias(f"{s}_{c}") for c in ("doc_no", "name", "plain", "lat", "lng")]) for s in ("a", "b"))
-
+    return ledger.same_stop(stops(spark, d))
 
-def _near(rows: DataFrame, radius: float) -> DataFrame:
-    """Pairs of stops of one day within ``radius``, by an equi join on grid cells."""
-    a, b = _sides(rows.where("lat is not null"))
-    a = a.withColumn("cell", F.explode(geo.around(*geo.cell(F.col("a_lat"), F.col("a_lng"), radius))))
-    y, x = geo.cell(F.col("b_lat"), F.col("b_lng"), radius)
-    b = b.withColumns({"cy": y, "cx": x})
-    pairs = a.join(b, (F.col("a_day") == F.col("b_day")) & (F.col("cell.cell_lat") == F.col("cy")) & (F.col("cell.cell_lng") == F.col("cx")))
-    return pairs.where("a < b").where(geo.metres(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) < radius)
 
-
-@query("j3_within_30_m", f"SELECT a.stop_id AS a, b.stop_id AS b FROM stops a JOIN stops b ON a.business_date = b.business_date AND a.stop_id < b.stop_id WHERE {_M.format(a='a.lat', b='b.lat', c='a.lng', d='b.lng')} < 30", STOPS_SQL)
+@query("j3_within_30_m", f"WITH p AS (SELECT business_date, lat, lng, min(stop_id) AS stop_id, count(*) AS n FROM stops WHERE lat IS NOT NULL GROUP BY business_date, lat, lng) SELECT business_date, a.stop_id AS a, a.n AS n_a, b.stop_id AS b, b.n AS n_b FROM p a JOIN p b USING (business_date) WHERE a.stop_id < b.stop_id AND {_M.format(a='a.lat', b='b.lat', c='a.lng', d='b.lng')} < 30".replace("WITH p AS", "WITH " + STOPS_SQL + ", p AS"))
 def _(spark, d):
-    return _near(stops(spark, d).withColumn("plain", F.col("name")), 30.0).select("a", "b")
+    return ledger.near_points(stops(spark, d), 30.0)
 
 
 _SCALE = "least(2480.0 / w, 4.0, sqrt(4200000.0 / (w * h)))"
@@ -309,10 +296,9 @@ def _(spark, d):
     return _frames(spark, d).select("p_partkey", ocr.zoom_helps(F.col("w"), F.col("h")).alias("zoom"))
 
 
-@query("f10_matrix_gate", "SELECT business_date, count(*) + 1 <= 50 AS within_cap FROM stops WHERE status = 'pending' AND lat IS NOT NULL GROUP BY business_date", STOPS_SQL)
+@query("f10_matrix_gate", f"SELECT business_date, count(*) + 1 <= {route.MATRIX_POINTS} AS within_cap FROM stops WHERE status = 'pending' AND lat IS NOT NULL GROUP BY business_date", STOPS_SQL)
 def _(spark, d):
-    rows = ledger.placed(ledger.pending(stops(spark, d)))
-    return rows.groupBy("business_date").agg((F.count("*") + 1 <= 50).alias("within_cap"))
+    return route.within_matrix_cap(ledger.placed(ledger.pending(stops(spark, d))), ["business_date"])
 
 
 @query("f11_live_location_gate", "SELECT business_date FROM days WHERE status = 'open' AND business_date IN (SELECT business_date FROM stops WHERE status = 'pending')", STOPS_SQL, DAYS_SQL)
@@ -346,6 +332,14 @@ def _(spark, d):
     return memory.learn(stops(spark, d))
 
 
+@query("m6_memory_grows", "SELECT * FROM memory", STOPS_SQL, _MEMORY)
+def _(spark, d):
+    """The memory of the first half of the month, brought up to date by the second."""
+    rows = stops(spark, d)
+    late = F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    return memory.upsert(memory.learn(rows.where(~late)), rows.where(late))
+
+
 @query("s7_customers", "SELECT phone_key, name FROM memory", STOPS_SQL, _MEMORY)
 def _(spark, d):
     return memory.learn(stops(spark, d)).select("phone_key", "name")
@@ -359,10 +353,10 @@ def _(spark, d):
 _HIT = "(m.lat IS NOT NULL AND s.confidence < 70)"
 
 
-@query("j1_memory_recall", f"SELECT s.stop_id, CASE WHEN {_HIT} THEN m.road ELSE s.road END AS road, CASE WHEN {_HIT} THEN coalesce(nullif(m.flat, ''), s.flat) ELSE s.flat END AS flat, CASE WHEN {_HIT} THEN m.lat ELSE s.lat END AS lat, CASE WHEN {_HIT} THEN greatest(s.confidence, CASE WHEN m.corrected THEN 100 ELSE 85 END) ELSE s.confidence END AS confidence, CASE WHEN {_HIT} THEN 'green' ELSE s.grade END AS grade, {_HIT} AS from_memory FROM stops s LEFT JOIN memory m ON CASE WHEN length(regexp_replace(s.phone, '[^0-9]', '', 'g')) >= 10 THEN right(regexp_replace(s.phone, '[^0-9]', '', 'g'), 10) END = m.phone_key", STOPS_SQL, _MEMORY)
+@query("j1_memory_recall", f"SELECT s.stop_id, CASE WHEN {_HIT} THEN m.road ELSE s.road END AS road, CASE WHEN {_HIT} THEN coalesce(nullif(m.flat, ''), s.flat) ELSE s.flat END AS flat, CASE WHEN {_HIT} THEN m.lat ELSE s.lat END AS lat, CASE WHEN {_HIT} THEN greatest(s.confidence, CASE WHEN m.corrected THEN 100 ELSE 85 END) ELSE s.confidence END AS confidence, CASE WHEN {_HIT} THEN 'green' ELSE s.grade END AS grade, array_to_string(CASE WHEN {_HIT} THEN ['Adres hafızadan geldi — bu müşteriye daha önce ' || m.deliveries || ' kez gidilmiş'] ELSE s.warnings END, ';') AS warnings, {_HIT} AS from_memory FROM stops s LEFT JOIN memory m ON CASE WHEN length(regexp_replace(s.phone, '[^0-9]', '', 'g')) >= 10 THEN right(regexp_replace(s.phone, '[^0-9]', '', 'g'), 10) END = m.phone_key", STOPS_SQL, _MEMORY)
 def _(spark, d):
     rows = stops(spark, d)
-    return memory.recall(rows, memory.learn(rows)).select("stop_id", "road", "flat", "lat", "confidence", "grade", "from_memory")
+    return memory.recall(rows, memory.learn(rows)).select("stop_id", "road", "flat", "lat", "confidence", "grade", F.array_join("warnings", ";").alias("warnings"), "from_memory")
 
 
 @query("j2_named_districts", f"SELECT DISTINCT o_orderkey, oid, name FROM (SELECT o_orderkey, unnest(string_split({_FOLD.format(c='text')}, ' ')) AS word FROM invoices) JOIN districts ON word = search_key WHERE oid NOT IN (10, 14)", INVOICES_SQL, DISTRICTS_SQL)
@@ -404,14 +398,22 @@ def _(spark, d):
 query("w7_route_position", f"SELECT business_date, stop_id, seq FROM ({_M5}) WHERE seq IS NOT NULL", STOPS_SQL, _REROUTE)(lambda spark, d: QUERIES["m5_save_route"](spark, d).where("seq is not null"))
 
 
-@query("j6_points_matrix", f"SELECT a.business_date, a.stop_id AS a, b.stop_id AS b, {_metres('a.lat', 'b.lat', 'a.lng', 'b.lng')} AS metres FROM stops a JOIN stops b ON a.business_date = b.business_date AND a.stop_id <> b.stop_id WHERE a.seq <= 40 AND b.seq <= 40", STOPS_SQL)
+@query("j6_points_matrix", f"WITH p AS (SELECT *, count(*) OVER (PARTITION BY business_date, district) + 1 AS points FROM stops WHERE status = 'pending' AND lat IS NOT NULL) SELECT business_date, district, a.stop_id AS a, b.stop_id AS b, {_metres('a.lat', 'b.lat', 'a.lng', 'b.lng')} AS metres FROM p a JOIN p b USING (business_date, district) WHERE a.stop_id <> b.stop_id AND a.points <= {route.MATRIX_POINTS}".replace("WITH p AS", "WITH " + STOPS_SQL + ", p AS"))
 def _(spark, d):
-    rows = stops(spark, d).where("seq <= 40").select("business_date", "stop_id", "lat", "lng")  # the service's cap on a matrix
-    a, b = (rows.select("business_date", F.col("stop_id").alias(s), F.col("lat").alias(f"{s}_lat"), F.col("lng").alias(f"{s}_lng")) for s in ("a", "b"))
-    return a.join(b, "business_date").where("a <> b").select("business_date", "a", "b", _whole(geo.metres(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))).alias("metres"))
+    # a route for each day and district: most days have more points than one matrix may hold
+    rows = ledger.placed(ledger.pending(stops(spark, d)))
+    return route.points_matrix(rows, ["business_date", "district"]).withColumn("metres", _whole(F.col("metres")))
+
 
+_RESOLVED = f"""places AS (SELECT district, quarter, road, door, min(lat) AS lat, min(lng) AS lng FROM stops WHERE lat IS NOT NULL AND door IS NOT NULL GROUP BY district, quarter, road, door),
+g AS (SELECT {', '.join(f"{_FOLD.format(c=c)} AS g_{c}" for c in ('district', 'quarter', 'road', 'door'))}, quarter, road, door, lat, lng FROM places),
+q AS (SELECT stop_id, {', '.join(f"coalesce({_FOLD.format(c=c)}, '') AS q_{c}" for c in ('district', 'quarter', 'new_road', 'door'))} FROM (SELECT *, road || CASE WHEN stop_id % 4 = 0 THEN 'x' ELSE '' END AS new_road FROM stops)),
+pairs AS (SELECT stop_id, g.*, levenshtein(q_new_road, g_road) / greatest(length(g_road), 1)::DOUBLE AS road_off, levenshtein(q_quarter, g_quarter) / greatest(length(g_quarter), 1)::DOUBLE AS quarter_off, q_quarter, q_door = g_door AND q_door <> '' AS same_door FROM q JOIN g ON q_district = g_district AND left(q_new_road, 2) = left(g_road, 2)),
+judged AS (SELECT *, floor(40 * (1 - road_off) + CASE WHEN q_quarter = '' THEN 0 ELSE 30 * (1 - quarter_off) END + CASE WHEN same_door THEN 30 ELSE 0 END)::INT AS confidence FROM pairs WHERE road_off <= 0.25 AND (quarter_off <= 0.25 OR q_quarter = '')),
+best AS (SELECT stop_id, max({{'confidence': confidence, 'quarter': quarter, 'road': road, 'door': door, 'lat': lat, 'lng': lng, 'precision': CASE WHEN same_door THEN 'kapi' ELSE 'yol' END}}) AS b FROM judged GROUP BY stop_id)"""
 
-@query("j7_resolve_address")
+
+@query("j7_resolve_address", "SELECT stop_id, b.lat AS lat, b.lng AS lng, coalesce(b.confidence, 0) AS confidence, coalesce(b.precision, 'yok') AS precision, CASE WHEN coalesce(b.confidence, 0) >= 80 THEN 'green' WHEN coalesce(b.confidence, 0) >= 50 THEN 'yellow' ELSE 'red' END AS grade FROM stops LEFT JOIN best USING (stop_id)", STOPS_SQL, _RESOLVED)
 def _(spark, d):
     rows = stops(spark, d).where("lat is not null and door is not null")
     places = rows.groupBy("district", "quarter", "road", "door").agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
@@ -457,7 +459,7 @@ query("a6_grey_histogram", "SELECT * FROM hist", _PIXELS, _HIST)(lambda spark, d
 query("w4_clip_levels", "SELECT * FROM clip", _PIXELS, _HIST, _CLIP)(lambda spark, d: ocr.clip_levels(ocr.histogram(_pixels(spark, d), "l_suppkey", "grey"), "l_suppkey", "grey"))
 
 
-@query("i5_grey_stretch", "SELECT l_suppkey, grey, CASE WHEN high - low > 8 THEN least(255, greatest(0, floor((grey - low) * 255 / (high - low)::DOUBLE + 0.5)))::INT ELSE grey END AS stretched, n FROM hist JOIN clip USING (l_suppkey)", _PIXELS, _HIST, _CLIP)
+@query("i5_grey_stretch", "SELECT l_suppkey, grey, CASE WHEN high - low > 8 THEN least(255, greatest(0, round_even((grey - low) * (255.0::DOUBLE / (high - low)), 0)))::INT ELSE grey END AS stretched, n FROM hist JOIN clip USING (l_suppkey)", _PIXELS, _HIST, _CLIP)
 def _(spark, d):
     hist = ocr.histogram(_pixels(spark, d), "l_suppkey", "grey")
     rows = hist.join(ocr.clip_levels(hist, "l_suppkey", "grey"), "l_suppkey")
@@ -507,21 +509,31 @@ def _(spark, d):
 query("m2_delete_stops", "SELECT business_date, stop_id, seq FROM stops WHERE stop_id % 5 <> 0", STOPS_SQL)(lambda spark, d: ledger.delete_stops(stops(spark, d), stops(spark, d).where("stop_id % 5 = 0")).select("business_date", "stop_id", "seq"))
 
 
-@query("m3_correct_stops", "SELECT business_date, stop_id, CASE WHEN stop_id % 7 = 0 THEN NULL ELSE flat END AS flat, CASE WHEN stop_id % 7 = 0 THEN 'Yeni Yol' ELSE road END AS road, corrected OR stop_id % 7 = 0 AS corrected, CASE WHEN stop_id % 7 = 0 THEN 'green' ELSE grade END AS grade, CASE WHEN stop_id % 7 = 0 THEN 100 ELSE confidence END AS confidence FROM stops", STOPS_SQL)
+@query("m3_correct_stops", "SELECT business_date, stop_id, CASE WHEN stop_id % 7 = 0 THEN NULL ELSE flat END AS flat, CASE WHEN stop_id % 7 = 0 THEN 'Yeni Yol' ELSE road END AS road, CASE WHEN stop_id % 7 = 0 THEN 9 ELSE pieces END AS pieces, CASE WHEN stop_id % 7 = 0 THEN NULL ELSE lat END AS lat, corrected OR stop_id % 7 = 0 AS corrected, CASE WHEN stop_id % 7 = 0 THEN 'green' ELSE grade END AS grade, CASE WHEN stop_id % 7 = 0 THEN 100 ELSE confidence END AS confidence, CASE WHEN stop_id % 7 = 0 THEN TIMESTAMP '2024-02-01 08:00:00' ELSE updated_at END AS updated_at FROM stops", STOPS_SQL)
 def _(spark, d):
     rows = stops(spark, d)
-    overlay = F.create_map(F.lit("road"), F.lit("Yeni Yol"), F.lit("flat"), F.lit(None).cast("string"))
-    fixes = rows.where("stop_id % 7 = 0").select("business_date", "stop_id", overlay.alias("fields"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
-    return ledger.correct_stops(rows, fixes, F.lit("2024-02-01 08:00:00").cast("timestamp_ntz")).select("business_date", "stop_id", "flat", "road", "corrected", "grade", "confidence")
+    overlay = F.create_map(F.lit("road"), F.lit("Yeni Yol"), F.lit("flat"), F.lit(None).cast("string"), F.lit("pieces"), F.lit("9"), F.lit("lat"), F.lit(None).cast("string"))
+    fixes = rows.where("stop_id % 7 = 0").select("business_date", "stop_id", overlay.alias("fields"))
+    return ledger.correct_stops(rows, fixes, F.lit("2024-02-01 08:00:00").cast("timestamp_ntz")).select("business_date", "stop_id", "flat", "road", "pieces", "lat", "corrected", "grade", "confidence", "updated_at")
 
 
-@query("m4_set_status", "SELECT business_date, stop_id, CASE WHEN stop_id % 4 = 0 THEN CASE WHEN stop_id % 8 = 0 THEN 'failed' ELSE 'delivered' END ELSE status END AS status, CASE WHEN stop_id % 8 = 0 THEN 'closed' END AS status_reason, CASE WHEN stop_id % 4 = 0 THEN ts END AS finished_at FROM stops", STOPS_SQL)
+@query("m4_set_status", "SELECT business_date, stop_id, CASE WHEN stop_id % 4 = 0 THEN CASE WHEN stop_id % 8 = 0 THEN 'failed' ELSE 'delivered' END ELSE status END AS status, CASE WHEN stop_id % 8 = 0 THEN 'closed' WHEN stop_id % 4 <> 0 THEN status_reason END AS status_reason, CASE WHEN stop_id % 4 = 0 THEN ts ELSE finished_at END AS finished_at, CASE WHEN stop_id % 4 = 0 THEN ts ELSE updated_at END AS updated_at FROM stops", STOPS_SQL)
 def _(spark, d):
     rows = stops(spark, d)
+    return ledger.set_status(rows, _changes(rows)).select("business_date", "stop_id", "status", "status_reason", "finished_at", "updated_at")
+
+
+def _changes(rows: DataFrame) -> DataFrame:
     eighth = F.col("stop_id") % 8 == 0
     last = rows.where("stop_id % 4 = 0").select("business_date", "stop_id", F.when(eighth, "failed").otherwise("delivered").alias("new_status"), F.when(eighth, "closed").otherwise("").alias("reason"), F.col("ts").alias("at"))
     earlier = last.select("business_date", "stop_id", F.lit("pending").alias("new_status"), F.lit("x").alias("reason"), (F.col("at") - F.expr("interval 1 hour")).alias("at"))
-    return ledger.set_status(rows, last.unionByName(earlier)).select("business_date", "stop_id", "status", "status_reason", "finished_at")
+    return last.unionByName(earlier)
+
+
+@query("m4_delivered_to_memory", "SELECT phone_key, deliveries, last_seen FROM memory", STOPS_SQL.replace("FROM events)", "FROM events WHERE event_id % 8 = 4)"), _MEMORY)
+def _(spark, d):
+    rows = stops(spark, d)
+    return memory.learn(ledger.deliveries(rows, _changes(rows))).select("phone_key", "deliveries", "last_seen")
 
 
 @query("m7_customer_note", "SELECT phone_key, CASE WHEN x.k IS NOT NULL THEN 'note ' || x.k END AS note FROM memory LEFT JOIN (SELECT DISTINCT right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS k FROM stops WHERE user_id % 2 = 0 AND length(regexp_replace(phone, '[^0-9]', '', 'g')) >= 10) x ON k = phone_key", STOPS_SQL, _MEMORY)
@@ -531,9 +543,13 @@ def _(spark, d):
     return memory.annotate(memory.learn(rows), notes).select("phone_key", "note")
 
 
+_DATED = "dated AS (SELECT business_date, status, business_date + INTERVAL 8 HOUR AS opened_at, CASE WHEN status = 'closed' THEN business_date + INTERVAL 20 HOUR END AS closed_at, CASE WHEN day(business_date) % 3 <> 0 THEN 'old' END AS note FROM days)"
+
+
 def _dated(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None)
-    return days(spark, d).select("business_date", "status", none.cast("timestamp_ntz").alias("opened_at"), none.cast("timestamp_ntz").alias("closed_at"), none.cast("string").alias("note"))
+    start = F.col("business_date").cast("timestamp_ntz")
+    closed = F.when(F.col("status") == "closed", start + F.expr("interval 20 hours"))
+    return days(spark, d).select("business_date", "status", (start + F.expr("interval 8 hours")).alias("opened_at"), closed.alias("closed_at"), F.when(F.dayofmonth("business_date") % 3 != 0, "old").alias("note"))
 
 
 _AT = "2024-02-01 08:00:00"
@@ -543,7 +559,7 @@ def _now() -> Column:
     return F.lit(_AT).cast("timestamp_ntz")
 
 
-@query("m8_open_day", f"SELECT business_date, 'closed' AS status, CASE WHEN status = 'open' THEN TIMESTAMP '{_AT}' END AS closed_at, CASE WHEN status = 'open' THEN 'closed by the next day' END AS note FROM days UNION ALL SELECT DATE '2024-02-01', 'open', NULL, NULL", STOPS_SQL, DAYS_SQL)
+@query("m8_open_day", f"SELECT business_date, 'closed' AS status, CASE WHEN status = 'open' THEN TIMESTAMP '{_AT}' ELSE closed_at END AS closed_at, CASE WHEN status = 'open' THEN coalesce(note, '') || '{ledger.CLOSED_NOTE}' ELSE note END AS note FROM dated UNION ALL SELECT DATE '2024-02-01', 'open', NULL, NULL", STOPS_SQL, DAYS_SQL, _DATED)
 def _(spark, d):
     return ledger.open_day(_dated(spark, d), F.lit("2024-02-01").cast("date"), _now()).select("business_date", "status", "closed_at", "note")
 
@@ -551,24 +567,25 @@ def _(spark, d):
 query("r4_day_rollover", "SELECT business_date, CASE WHEN business_date = DATE '2024-02-01' THEN 'open' ELSE 'closed' END AS status FROM (SELECT business_date FROM days UNION ALL SELECT DATE '2024-02-01')", STOPS_SQL, DAYS_SQL)(lambda spark, d: ledger.open_day(_dated(spark, d), dates.business_date(F.lit("2024-02-02 03:59:59").cast("timestamp_ntz")), _now()).select("business_date", "status"))
 
 
-@query("m9_close_day", f"SELECT business_date, CASE WHEN business_date = DATE '2024-01-10' THEN 'closed' ELSE status END AS status, CASE WHEN business_date = DATE '2024-01-10' THEN TIMESTAMP '{_AT}' END AS closed_at, CASE WHEN business_date = DATE '2024-01-10' THEN 'done' END AS note FROM days", STOPS_SQL, DAYS_SQL)
+@query("m9_close_day", f"SELECT business_date, CASE WHEN day(business_date) IN (10, 11) THEN 'closed' ELSE status END AS status, CASE WHEN day(business_date) IN (10, 11) THEN TIMESTAMP '{_AT}' ELSE closed_at END AS closed_at, CASE WHEN day(business_date) = 10 THEN 'done' ELSE note END AS note FROM dated", STOPS_SQL, DAYS_SQL, _DATED)
 def _(spark, d):
-    return ledger.close_day(_dated(spark, d), F.lit("2024-01-10").cast("date"), _now(), F.lit("done")).select("business_date", "status", "closed_at", "note")
+    rows = ledger.close_day(_dated(spark, d), F.lit("2024-01-10").cast("date"), _now(), F.lit("done"))
+    return ledger.close_day(rows, F.lit("2024-01-11").cast("date"), _now(), F.lit("")).select("business_date", "status", "closed_at", "note")
 
 
-query("m10_reopen_day", "SELECT business_date, CASE WHEN business_date = DATE '2024-01-10' THEN 'open' ELSE status END AS status FROM days", STOPS_SQL, DAYS_SQL)(lambda spark, d: ledger.reopen_day(_dated(spark, d), F.lit("2024-01-10").cast("date")).select("business_date", "status"))
+query("m10_reopen_day", "SELECT business_date, CASE WHEN day(business_date) = 10 THEN 'open' ELSE status END AS status, CASE WHEN day(business_date) <> 10 THEN closed_at END AS closed_at FROM dated", STOPS_SQL, DAYS_SQL, _DATED)(lambda spark, d: ledger.reopen_day(_dated(spark, d), F.lit("2024-01-10").cast("date")).select("business_date", "status", "closed_at"))
 query("m11_save_day", "SELECT business_date, CASE WHEN day(business_date) = 10 THEN 'saved' ELSE status END AS status FROM days", STOPS_SQL, DAYS_SQL)(lambda spark, d: ledger.upsert(days(spark, d), days(spark, d).where("day(business_date) = 10").select("business_date", F.lit("saved").alias("status"), F.lit(1).alias("at")), ["business_date"], "at"))
 
 
-@query("m12_join_readings", "SELECT a.doc_id, md5(a.text || chr(10) || coalesce(b.text, '')) AS text_md5, greatest(a.confidence, b.confidence) AS confidence, len(a.words) + len(b.words) AS n FROM readings a JOIN readings b ON a.doc_id = b.doc_id AND a.attempt = 0 AND b.attempt = 1", READINGS_SQL)
+@query("m12_join_readings", "SELECT a.doc_id, md5(a.text || chr(10) || coalesce(b.text, '')) AS text_md5, greatest(a.confidence, b.confidence) AS confidence, len(a.words) + len(b.words) AS n, len(string_split(a.text, chr(10))) + len(string_split(b.text, chr(10))) AS n_lines FROM readings a JOIN readings b ON a.doc_id = b.doc_id AND a.attempt = 0 AND b.attempt = 1", READINGS_SQL)
 def _(spark, d):
-    rows = readings(spark, d).select("doc_id", "attempt", F.struct("text", "confidence", "words").alias("r"))
+    rows = readings(spark, d).select("doc_id", "attempt", F.struct("text", "confidence", "words", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"))).alias("lines")).alias("r"))
     pairs = rows.where("attempt = 0").join(rows.where("attempt = 1").select("doc_id", F.col("r").alias("other")), "doc_id")
     both = pairs.withColumn("j", ocr.joined(F.col("r"), F.col("other")))
-    return both.select("doc_id", F.md5(F.col("j.text").cast("binary")).alias("text_md5"), "j.confidence", F.size("j.words").cast("bigint").alias("n"))
+    return both.select("doc_id", F.md5(F.col("j.text").cast("binary")).alias("text_md5"), "j.confidence", F.size("j.words").cast("bigint").alias("n"), F.size("j.lines").cast("bigint").alias("n_lines"))
 
 
-query("m13_auto_reopen", "SELECT business_date, CASE WHEN business_date IN (SELECT business_date FROM stops WHERE event_like) THEN 'open' ELSE status END AS status FROM days".replace("event_like", "stop_id % 500 = 3"), STOPS_SQL, DAYS_SQL)(lambda spark, d: ledger.reopened_by_scans(days(spark, d), stops(spark, d).where("stop_id % 500 = 3")))
+query("m13_auto_reopen", "SELECT business_date, CASE WHEN hit THEN 'open' ELSE status END AS status, CASE WHEN NOT hit THEN closed_at END AS closed_at FROM (SELECT *, status = 'closed' AND business_date IN (SELECT business_date FROM stops WHERE stop_id % 500 = 3) AS hit FROM dated)", STOPS_SQL, DAYS_SQL, _DATED)(lambda spark, d: ledger.reopened_by_scans(_dated(spark, d), stops(spark, d).where("stop_id % 500 = 3")).select("business_date", "status", "closed_at"))
 query("m14_silent_reroute", "SELECT DISTINCT business_date FROM x WHERE status = 'pending' AND lat IS NOT NULL AND seq IS NULL AND business_date IN (SELECT business_date FROM routes) AND business_date NOT IN (SELECT business_date FROM x WHERE status <> 'pending')", STOPS_SQL, ROUTES_SQL, "x AS (SELECT * FROM stops WHERE status = 'pending' OR day(business_date) % 4 <> 0)")(lambda spark, d: ledger.to_reroute(stops(spark, d).where("status = 'pending' or day(business_date) % 4 <> 0"), routes(spark, d)))
 
 # Frames and crops
@@ -585,34 +602,66 @@ query("i2_frame_size", "SELECT p_partkey, CASE WHEN turn IN (90, 270) THEN h ELS
 query("i3_scale", f"SELECT p_partkey, greatest(1, floor(w * {_SCALE} + 0.5))::INT AS width, greatest(1, floor(h * {_SCALE} + 0.5))::INT AS height FROM frames", _FRAMES)(lambda spark, d: _frames(spark, d).withColumn("s", ocr.output_size(F.col("w"), F.col("h"), ocr.scale(F.col("w"), F.col("h")))).select("p_partkey", "s.width", "s.height"))
 
 
-@query("i4_blank_canvas", "SELECT p_partkey, NOT (p_partkey % 3 = 0 AND p_partkey % 2 = 1) AS blank FROM part")
+@query("i4_blank_canvas", "SELECT p_partkey, abs(250 - f) <= 6 AND abs(250 - p_partkey % 16 - f) <= 6 AS blank FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 256 ELSE 250 END AS f FROM part)")
 def _(spark, d):
+    p = F.col("p_partkey")
     pixel = lambda r, a: F.struct(r.cast("int").alias("r"), a.cast("int").alias("a"))
-    odd = F.when(F.col("p_partkey") % 3 == 0, 240).otherwise(255)
-    opaque = F.when(F.col("p_partkey") % 2 == 1, 255).otherwise(0)
-    patch = F.array(pixel(F.lit(250), opaque), pixel(odd, opaque))
-    return table(spark, d, "part").select("p_partkey", ocr.is_blank(F.array(patch, patch)).alias("blank"))
+    first = F.array(pixel(p % 256, F.when(p % 2 == 1, 255).otherwise(0)), pixel(F.lit(250), F.lit(255)))
+    second = F.array(pixel(250 - p % 16, F.lit(255)), pixel(F.lit(0), F.lit(0)))
+    return table(spark, d, "part").select("p_partkey", ocr.is_blank(F.array(first, second)).alias("blank"))
 
 
-@query("i8_flatten_tree", "SELECT l_orderkey, pos, txt AS text, 5 + x / 2.0 AS x0 FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, 'w' || l_partkey AS txt, l_suppkey AS x FROM lineitem)")
-def _(spark, d):
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of one paragraph for each order: a line of one word for each item."""
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    word = F.struct(F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), F.lit(80.0).alias("confidence"), *[F.col("l_suppkey").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, word.alias("w")))), lambda x: F.struct(F.array(x["w"]).alias("words"))).alias("lines"))
-    tree = lines.select("l_orderkey", F.array(F.struct(F.array(F.struct("lines")).alias("paragraphs"))).alias("blocks"))
+    boxed = [F.col("l_suppkey").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    word = F.struct(F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), F.lit(80.0).alias("confidence"), *boxed)
+    line = F.struct(F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("l"), F.col("l_partkey").cast("string"))).alias("text"), *boxed, F.array(word).alias("words"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    return lines.select("l_orderkey", F.array(F.struct(F.array(F.struct("lines")).alias("paragraphs"))).alias("blocks"))
+
+
+_POS = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos"
+
+
+@query("i8_flatten_tree", f"SELECT l_orderkey, pos, txt AS text, 5 + x / 2.0 AS x0 FROM (SELECT l_orderkey, {_POS}, 'w' || l_partkey AS txt, l_suppkey AS x FROM lineitem)")
+def _(spark, d):
+    origin = F.struct(F.lit(5.0).alias("x"), F.lit(7.0).alias("y"))
+    return ocr.flat_words(_tree(spark, d), "l_orderkey", "blocks", origin, F.lit(2.0)).select("l_orderkey", F.col("pos").cast("bigint").alias("pos"), "text", "x0")
+
+
+@query("i8_flatten_lines", f"SELECT l_orderkey, pos, CASE WHEN k % 2 = 0 THEN 'l' || k ELSE '' END AS text, 7 + x / 2.0 AS y1 FROM (SELECT l_orderkey, {_POS}, l_partkey AS k, l_suppkey AS x FROM lineitem)")
+def _(spark, d):
     origin = F.struct(F.lit(5.0).alias("x"), F.lit(7.0).alias("y"))
-    return ocr.flat_words(tree, "l_orderkey", "blocks", origin, F.lit(2.0)).select("l_orderkey", F.col("pos").cast("bigint").alias("pos"), "text", "x0")
+    return ocr.flat_lines(_tree(spark, d), "l_orderkey", "blocks", origin, F.lit(2.0)).select("l_orderkey", F.col("pos").cast("bigint").alias("pos"), "text", "y1")
 
 
 query("i10_zoom_gate", f"SELECT p_partkey FROM frames WHERE {_SCALE} < 0.95", _FRAMES)(lambda spark, d: _frames(spark, d).where(ocr.zoom_helps(F.col("w"), F.col("h"))).select("p_partkey"))
 
 
-@query("i11_cascade")
+_CASCADE_K = {"manual": 13, "page": 37, "region1": 53, "region2": 71, "probe180": 17, "page180": 29, "region180_1": 91, "region180_2": 61}
+_CASCADE = f"""s AS (SELECT doc_id, doc_id % 2 = 0 AS zoom, {', '.join(f"CASE WHEN {'doc_id % 11 = 0' if n == 'manual' else f'doc_id % 9 <> {i}'} THEN ((doc_id * {k}) % 100)::DOUBLE END AS {n}" for i, (n, k) in enumerate(_CASCADE_K.items()))}, (doc_id * 37) % 23 AS words, (doc_id * 17) % 23 AS probe FROM documents),
+a AS (SELECT *, manual IS NOT NULL AS by_hand, coalesce(page, 0) AS p0, CASE WHEN page IS NULL THEN 0 ELSE words END AS w, CASE WHEN probe180 IS NULL THEN 0 ELSE probe END AS pw FROM s),
+b AS (SELECT *, NOT by_hand AND zoom AND p0 < 70 AND region1 IS NOT NULL AS r1 FROM a),
+c AS (SELECT *, r1 AND greatest(p0, region1) < 70 AND region2 IS NOT NULL AS r2 FROM b),
+e AS (SELECT *, greatest(p0, CASE WHEN r1 THEN region1 ELSE 0 END, CASE WHEN r2 THEN region2 ELSE 0 END) AS so_far FROM c),
+f AS (SELECT *, NOT by_hand AND so_far < 70 AND w < 12 AND pw > greatest(3, 1.4 * w) AS turned, coalesce(page180, 0) AS p180 FROM e),
+g AS (SELECT *, turned AND zoom AND p180 < 70 AND region180_1 IS NOT NULL AS t1 FROM f),
+h AS (SELECT *, t1 AND greatest(p180, region180_1) < 70 AND region180_2 IS NOT NULL AS t2 FROM g),
+l AS (SELECT *, list_filter([
+    CASE WHEN by_hand THEN {{'s': manual, 'n': 0, 'stage': 'manual'}} END, CASE WHEN NOT by_hand THEN {{'s': p0, 'n': -1, 'stage': 'page'}} END,
+    CASE WHEN r1 THEN {{'s': region1, 'n': -2, 'stage': 'region1'}} END, CASE WHEN r2 THEN {{'s': region2, 'n': -3, 'stage': 'region2'}} END,
+    CASE WHEN turned THEN {{'s': p180, 'n': -4, 'stage': 'page180'}} END, CASE WHEN t1 THEN {{'s': region180_1, 'n': -5, 'stage': 'region180_1'}} END,
+    CASE WHEN t2 THEN {{'s': region180_2, 'n': -6, 'stage': 'region180_2'}} END], lambda x: x IS NOT NULL) AS t FROM h)"""
+
+
+@query("i11_cascade", "SELECT doc_id, list_max(t).s AS score, list_max(t).stage AS kept, turned, r1 AS zoomed, array_to_string(list_transform(t, lambda x: x.stage), ',') AS stages FROM l", _CASCADE)
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
-    stages = F.array(*[F.struct(F.lit(s).alias("stage"), ((F.col("doc_id") * k) % 100).cast("double").alias("score"), ((F.col("doc_id") * k) % 23).alias("words")) for s, k in (("page", 37), ("region1", 53), ("region2", 71), ("probe180", 17), ("page180", 29), ("region180", 91))])
-    rows = docs.withColumn("a", F.explode(stages)).select("doc_id", "a.stage", "a.score", "a.words", (F.col("doc_id") % 2 == 0).alias("zoom"))
-    return ocr.cascade(rows, "doc_id")
+    id_ = F.col("doc_id")
+    stages = F.array(*[F.when(id_ % 11 == 0 if n == "manual" else id_ % 9 != i, F.struct(F.lit(n).alias("stage"), ((id_ * k) % 100).cast("double").alias("score"), ((id_ * k) % 23).alias("words"))) for i, (n, k) in enumerate(_CASCADE_K.items())])
+    rows = docs.withColumn("a", F.explode(F.array_compact(stages))).select("doc_id", "a.stage", "a.score", "a.words", (id_ % 2 == 0).alias("zoom"))
+    return ocr.cascade(rows, "doc_id").withColumn("stages", F.array_join("stages", ","))
 
 
 # Routes and positions

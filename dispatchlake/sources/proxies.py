@@ -11,6 +11,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _LAT = "37.70 + ((user_id * 37) % 100) * 0.001 + (event_id % 5) * 0.0001"
 _LNG = "29.00 + ((user_id * 53) % 100) * 0.001"
 _PIECES = {"spark": "cast(get_json_object(props, '$.k') as int)", "duckdb": "cast(json_extract_string(props, '$.k') as int)"}
+_LIST = {"spark": "array(concat('w', cast(event_id % 4 AS string)))", "duckdb": "list_value(concat('w', cast(event_id % 4 AS string)))"}
 _DATE = {"spark": "to_date(ts - interval 4 hours)", "duckdb": "cast(ts - interval 4 hour as date)"}
 
 
@@ -33,7 +34,11 @@ def _stop_columns(engine: str) -> str:
     cast(floor(least(value, 499.0) / 5) AS int) AS confidence,
     CASE WHEN value >= 350 THEN 'green' WHEN value >= 30 THEN 'yellow' ELSE 'red' END AS grade,
     CASE event_type WHEN 'purchase' THEN 'delivered' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status,
-    event_type = 'signup' AS corrected
+    event_type = 'signup' AS corrected,
+    CASE WHEN event_type = 'error' THEN 'no one there' END AS status_reason,
+    CASE WHEN event_type IN ('purchase', 'error') THEN ts + INTERVAL 2 hour END AS finished_at,
+    CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 1 hour END AS updated_at,
+    {_LIST[engine]} AS warnings, concat('text ', cast(event_id AS string)) AS raw_text
     """
 
 
@@ -43,10 +48,12 @@ _SEQ = "CASE WHEN lat IS NOT NULL AND stop_id % 4 <> 0 THEN cast(row_number() OV
 STOPS_SQL = f"stops AS (SELECT *, {_SEQ} FROM (SELECT {_stop_columns('duckdb')} FROM events))".replace("AS string", "AS varchar")
 #: Days with an even number have a route; it starts at the depot, or nowhere (each third).
 ROUTES_SQL = """routes AS (
-    SELECT business_date, CASE WHEN day(business_date) % 3 = 0 THEN NULL ELSE 37.760175 END AS start_lat,
-        CASE WHEN day(business_date) % 3 = 0 THEN NULL ELSE 29.042555 END AS start_lng,
-        cast(day(business_date) * 1234.5 AS double) AS total_m
-    FROM (SELECT DISTINCT business_date FROM stops) WHERE day(business_date) % 2 = 0)"""
+    SELECT business_date, CASE WHEN day(business_date) % 3 = 0 THEN NULL ELSE 37.760175::DOUBLE END AS start_lat,
+        CASE WHEN day(business_date) % 3 = 0 THEN NULL ELSE 29.042555::DOUBLE END AS start_lng,
+        cast(day(business_date) * 1234.5 AS double) AS total_m,
+        CASE WHEN day(business_date) % 3 <> 0 THEN 'gps' END AS start_source, CASE WHEN day(business_date) % 4 = 0 THEN day(business_date) * 1.3 END AS start_accuracy,
+        'ors' AS matrix_source, CASE WHEN day(business_date) % 8 = 0 THEN NULL ELSE '2-opt' END AS method, concat(cast(business_date AS string), 'T08:00:00.000Z') AS built_at
+    FROM (SELECT DISTINCT business_date FROM stops) WHERE day(business_date) % 2 = 0)""".replace("AS string", "AS varchar")
 DAYS_SQL = """days AS (
     SELECT business_date, CASE WHEN business_date = max(business_date) OVER () THEN 'open' ELSE 'closed' END AS status
     FROM (SELECT DISTINCT business_date FROM stops UNION ALL SELECT DATE '2023-12-01'))"""
@@ -71,8 +78,12 @@ def _split(columns: str) -> list[str]:
 
 def routes(spark: SparkSession, folder: str) -> DataFrame:
     days = stops(spark, folder).select("business_date").distinct().where("day(business_date) % 2 = 0")
-    nowhere = F.dayofmonth("business_date") % 3 == 0
-    return days.select("business_date", F.when(~nowhere, 37.760175).alias("start_lat"), F.when(~nowhere, 29.042555).alias("start_lng"), (F.dayofmonth("business_date") * 1234.5).alias("total_m"))
+    day = F.dayofmonth("business_date")
+    somewhere = day % 3 != 0
+    return days.select(
+        "business_date", F.when(somewhere, 37.760175).alias("start_lat"), F.when(somewhere, 29.042555).alias("start_lng"), (day * 1234.5).alias("total_m"), F.when(somewhere, "gps").alias("start_source"),
+        F.when(day % 4 == 0, day * 1.3).alias("start_accuracy"), F.lit("ors").alias("matrix_source"), F.when(day % 8 != 0, "2-opt").alias("method"), F.concat(F.col("business_date").cast("string"), F.lit("T08:00:00.000Z")).alias("built_at"),
+    )
 
 
 def days(spark: SparkSession, folder: str) -> DataFrame:

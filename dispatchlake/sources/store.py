@@ -5,9 +5,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.ledger import upsert
 
+# Fixed value: frames that are kept for another try.
+RETRY_FRAMES = 6
+
 
 def lookup(table: DataFrame, key: str, value: Any) -> DataFrame:
     """The row of a key: no row if it is missing. The filter reaches the parquet scan."""
@@ -51,6 +55,20 @@ def pasted_texts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
+def photos(spark: SparkSession, folder: str) -> DataFrame:
+    """Photo files in order of their names: frame_id, file, kilobytes, content. The files are listed without being read until ``content`` is."""
+    found = spark.read.format("binaryFile").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    order = Window.orderBy("path")  # a handful of files
+    return found.select(F.concat(F.lit("k"), F.row_number().over(order).cast("string")).alias("frame_id"), name.alias("file"), F.floor(F.col("length") / 1024 + 0.5).alias("kilobytes"), "content")
+
+
+def frames_to_retry(frames: DataFrame, key: str, order: str, most: int = RETRY_FRAMES) -> DataFrame:
+    """The last frames of each key that are kept for another try."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    return frames.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
 class Store:
     """Tables under one folder. A write makes a new version beside the old one and then points to it."""
 
@@ -73,6 +91,17 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}/v{self._versions(name)[-1]}")
 
-    def write(self, name: str, table: DataFrame) -> None:
+    def _claim(self, name: str) -> int:
+        """The next version's number, which no other writer gets: its claim is a file that only one can create."""
+        context = self.spark.sparkContext
         versions = self._versions(name)
-        table.write.parquet(f"{self.folder}/{name}/v{versions[-1] + 1 if versions else 0}")
+        number = versions[-1] + 1 if versions else 0
+        while True:
+            claim = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{name}-{number}")
+            if claim.getFileSystem(context._jsc.hadoopConfiguration()).createNewFile(claim):
+                return number
+            number += 1
+
+    def write(self, name: str, table: DataFrame) -> None:
+        """A version is seen once it is whole; of several writers, the one with the greatest number is last."""
+        table.write.parquet(f"{self.folder}/{name}/v{self._claim(name)}")

@@ -29,12 +29,18 @@ def live(positions: DataFrame, days: DataFrame, pending_days: DataFrame) -> Data
 def arrivals(positions: DataFrame, targets: DataFrame) -> DataFrame:
     """Batch form: for each day and stop the first position less than ARRIVED_M away while it was the next pending one.
 
-    ``targets``: business_date, stop_id, lat, lng, since, until (when the stop was the next one).
+    ``targets``: business_date, stop_id, lat, lng, since, until (when the stop was the next one; one at a time). An as-of
+    join: positions and targets of a day in one order of time, where each position looks back to the last target.
     """
-    near = positions.alias("p").join(targets.alias("t"), F.expr("p.business_date = t.business_date and p.ts >= t.since and (t.until is null or p.ts < t.until)"))
-    away = metres(F.col("p.lat"), F.col("p.lng"), F.col("t.lat"), F.col("t.lng"))
-    rows = near.select(F.col(f"p.{DAY}").alias(DAY), "t.stop_id", "p.ts", away.alias("metres")).where(F.col("metres") < ARRIVED_M)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(DAY, "stop_id").orderBy("ts", "metres"))).where("_n = 1").drop("_n")
+    target = F.struct("stop_id", "lat", "lng", "until")
+    none = F.lit(None)
+    begun = targets.select(DAY, F.col("since").alias("at"), F.lit(0).alias("kind"), F.col("stop_id").cast("long").alias("tie"), target.alias("t"), none.cast("double").alias("lat"), none.cast("double").alias("lng"))
+    seen = positions.select(DAY, F.col("ts").alias("at"), F.lit(1).alias("kind"), none.cast("long").alias("tie"), none.cast(begun.schema["t"].dataType).alias("t"), F.col("lat").cast("double"), F.col("lng").cast("double"))
+    before = Window.partitionBy(DAY).orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = begun.unionByName(seen).withColumn("t", F.last("t", ignorenulls=True).over(before)).where("kind = 1 and t is not null and (t.until is null or at < t.until)")
+    rows = rows.select(DAY, "t.stop_id", F.col("at").alias("ts"), metres(F.col("lat"), F.col("lng"), F.col("t.lat"), F.col("t.lng")).alias("metres")).where(F.col("metres") < ARRIVED_M)
+    first = rows.groupBy(DAY, "stop_id").agg(F.min(F.struct("ts", "metres")).alias("f"))
+    return first.select(DAY, "stop_id", "f.ts", "f.metres")
 
 
 def arrival_stream(positions: DataFrame) -> DataFrame:

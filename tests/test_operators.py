@@ -203,3 +203,123 @@ def test_scans_merge_on_a_stream_as_in_batch(spark, tmp_path):
     query = arrivals.merge_stream(stream(spark, scans, tmp_path / "in", scans.schema)).writeStream.format("memory").queryName("merged").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(repr, spark.table("merged").collect())) == sorted(map(repr, merge.merge_scans(scans).collect()))
+
+
+def naive_merge(scans: list[dict]) -> list[dict]:
+    """The rules of merging, looked up by going through all stops."""
+    import math
+
+    def metres(a: dict, b: dict) -> float:
+        if None in (a["lat"], b["lat"]):
+            return math.inf
+        p, q = math.radians(a["lat"]), math.radians(b["lat"])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lng"] - a["lng"]) / 2) ** 2
+        return 2 * geo.EARTH_M * math.asin(math.sqrt(h))
+
+    plain = lambda name: (name or "").replace("I", "ı").replace("İ", "i").lower()
+    stops: list[dict] = []
+    for x in scans:
+        same = next((s for s in stops if x["doc_no"] and s["doc_no"] == x["doc_no"]), None)
+        if same is None:
+            same = next((s for s in stops if metres(s, x) < 30 and (not x["name"] or not s["name"] or plain(s["name"]) == plain(x["name"]))), None)
+        if same is None:
+            stops.append({**x, "pieces": x["pieces"] or 1, "confidence": x["confidence"] or 0, "grade": x["grade"] or "red", "frames": 1, "warnings": x["warnings"] or []})
+            continue
+        better = (x["confidence"] or 0) > (same["confidence"] or 0)
+        for k in ("name", "phone"):
+            same[k] = x[k] or same[k]
+        if x["product"]:
+            same["product"] = f"{same['product']} + {x['product']}" if same["product"] and same["product"] != x["product"] else x["product"]
+        same["pieces"] = max(same["pieces"], x["pieces"] or 1)
+        if x["district"] and (better or not same["district"]):
+            same["district"] = x["district"]
+        if better and x["lat"] is not None:
+            same |= {k: x[k] for k in ("lat", "lng", "confidence", "grade")} | {"warnings": x["warnings"] or []}
+        same["frames"] += 1
+    return stops
+
+
+def test_merging_is_that_of_the_plain_rules(spark):
+    import random
+
+    rng = random.Random(4)
+    names = ["doc_no", "name", "phone", "product", "pieces", "district", "lat", "lng", "confidence", "grade", "warnings", "raw_text"]
+    rows = []
+    for n in range(300):
+        placed = rng.random() < 0.8
+        lat, lng = (37 + rng.randrange(6) * 0.0004 + rng.random() * 0.0002, 29 + rng.randrange(3) * 0.0005) if placed else (None, None)
+        pick = lambda *values: rng.choice(values)
+        rows.append(dict(zip(names, (pick(None, None, "", f"d{rng.randrange(60)}"), pick(None, "", "ALI", "ali", "İpek"), pick(None, "", "1", "2"), pick(None, "A", "B"), pick(None, 0, 1, 3), pick(None, "", "x", "y"), lat, lng, pick(None, 0, 40, 80), pick(None, "green", "yellow"), pick(None, ["w"], ["v", "w"]), f"t{n}"), strict=True)))
+    schema = "business_date date, ts timestamp_ntz, stop_id int, doc_no string, name string, phone string, product string, pieces int, district string, lat double, lng double, confidence int, grade string, warnings array<string>, raw_text string"
+    table = spark.createDataFrame([(DAY, dt.datetime(2024, 1, 5, 9) + dt.timedelta(seconds=n), n, *r.values()) for n, r in enumerate(rows)], schema)
+    got = sorted(merge.merge_scans(merge.scans(table)).collect(), key=lambda r: r["stop_id"])
+    want = naive_merge(rows)
+    assert [r["stop_id"] for r in got] == list(range(1, len(want) + 1)) and 20 < len(want) < 280
+    for g, w in zip(got, want, strict=True):
+        assert [g[k] or None for k in ("doc_no", *names[1:7], "frames")] == [w[k] or None for k in ("doc_no", *names[1:7], "frames")]
+        assert (g["lng"], g["confidence"], g["grade"], g["warnings"], g["raw_text"]) == (w["lng"], w["confidence"], w["grade"], w["warnings"], w["raw_text"])
+
+
+def test_a_text_is_split_at_its_document_numbers(spark):
+    one_ = "Çıkış Belgesi: 123456\na b"
+    cases = {"": [], "no number": ["no number"], one_: [one_], f"head\n{one_}\nTeslimat No: 99_9999\nc\nx Sipariş No. 1234567": ["head", one_, "Teslimat No: 99_9999\nc", "x Sipariş No. 1234567"], "Belgesi 12": ["Belgesi 12"]}
+    for value, want in cases.items():
+        assert one(spark, text.documents_of(F.col("t")), t=value) == want
+
+
+def test_changes_leave_other_stops_alone(spark):
+    at = dt.datetime(2024, 1, 5, 12)
+    stops = spark.createDataFrame([(DAY, 1, "delivered", "x", at, at, 37.0, 5, False, "red", 10), (DAY, 2, "pending", None, None, None, 37.0, 5, False, "red", 10)], "business_date date, stop_id int, status string, status_reason string, finished_at timestamp_ntz, updated_at timestamp_ntz, lat double, pieces int, corrected boolean, grade string, confidence int")
+    changes = spark.createDataFrame([(DAY, 2, "failed", "", dt.datetime(2024, 1, 5, 13))], "business_date date, stop_id int, new_status string, reason string, at timestamp_ntz")
+    got = {r["stop_id"]: (r["status"], r["status_reason"], r["finished_at"], r["updated_at"]) for r in ledger.set_status(stops, changes).collect()}
+    assert got == {1: ("delivered", "x", at, at), 2: ("failed", None, dt.datetime(2024, 1, 5, 13), dt.datetime(2024, 1, 5, 13))}
+    fixes = spark.createDataFrame([(DAY, 2, {"lat": None, "pieces": "3"})], "business_date date, stop_id int, fields map<string,string>")
+    got = {r["stop_id"]: (r["lat"], r["pieces"], r["grade"], r["updated_at"]) for r in ledger.correct_stops(stops, fixes, F.lit("2024-01-06 00:00:00").cast("timestamp_ntz")).collect()}
+    assert got == {1: (37.0, 5, "red", at), 2: (None, 3, "green", dt.datetime(2024, 1, 6))}
+
+
+def test_memory_grows_as_it_would_from_the_whole_history(spark):
+    rows = [delivery(1), delivery(2, road="fixed", lat=37.5, corrected=True), delivery(3, road="later", lat=38.0, name="B"), delivery(4, road="again", corrected=True, flat="2"), delivery(5, phone="05327654321", door="")]
+    whole = memory.learn(spark.createDataFrame(rows, DELIVERY)).orderBy("phone_key").collect()
+    for cut in range(6):
+        before, after = (spark.createDataFrame(part, DELIVERY) for part in (rows[:cut], rows[cut:]))
+        assert memory.upsert(memory.learn(before), after).orderBy("phone_key").collect() == whole
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    tables = store.Store(spark, f"file://{tmp_path}")
+    tables.create("t", "k int, v string")
+    assert store.lookup(tables.read("t"), "k", 1).collect() == []
+    first, second = tables._claim("t"), tables._claim("t")
+    assert (first, second) == (1, 2)
+    tables.write("t", spark.createDataFrame([(1, "a")], "k int, v string"))
+    assert [tuple(r) for r in store.lookup(tables.read("t"), "k", 1).collect()] == [(1, "a")]
+
+
+def test_gazetteer_packages_are_read_by_district(spark, tmp_path):
+    places = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "oid int, road string")
+    store.write_gazetteer(places, f"file://{tmp_path}/g")
+    asked = spark.createDataFrame([(1,), (1,), (9,)], "oid int")
+    assert sorted(r["road"] for r in store.read_districts(spark, f"file://{tmp_path}/g", asked).collect()) == ["a", "b"]
+
+
+def test_photos_and_pasted_texts(spark, tmp_path):
+    for i in range(8):
+        (tmp_path / f"p{i}.jpg").write_bytes(b"x" * (1024 * i + 600))
+    frames = store.photos(spark, f"file://{tmp_path}")
+    rows = frames.orderBy("file").collect()
+    assert [(r["frame_id"], r["file"], r["kilobytes"]) for r in rows][:3] == [("k1", "p0.jpg", 1), ("k2", "p1.jpg", 2), ("k3", "p2.jpg", 3)] and bytes(rows[1]["content"]) == b"x" * 1624
+    kept = store.frames_to_retry(frames.withColumn("day", F.lit(1)), "day", "file")
+    assert sorted(r["file"] for r in kept.collect()) == [f"p{i}.jpg" for i in range(2, 8)]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.txt").write_text("one\ntwo")
+    assert [tuple(r) for r in store.pasted_texts(spark, f"file://{tmp_path}/t").collect()] == [("a.txt", "one\ntwo")]
+
+
+def test_an_export_is_written_by_day(spark, tmp_path):
+    days = spark.createDataFrame([(DAY, "open")], "business_date date, status string")
+    stops = spark.createDataFrame([(DAY, 1, None, None, None, "pending", 80, "green", "kapi", 0, "d", "", None, "5", "2")], "business_date date, stop_id int, seq int, lat double, lng double, status string, confidence int, grade string, precision string, pieces int, district string, quarter string, road string, door string, flat string")
+    routes = spark.createDataFrame([], "business_date date, start_lat double, start_lng double, total_m double")
+    report.write_export(days, stops, routes, f"file://{tmp_path}/out", "1.0")
+    (file,) = (tmp_path / "out/day=2024-01-05").glob("*.txt")
+    assert file.read_text().splitlines()[:3] == ["", "═══ 2024-01-05  (open)  1 durak", "  rota: çıkarılmamış"]
