@@ -35,16 +35,17 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut, tidy
+from .storage import cut, uncut
 from .tokens import mixed, utf8
 
 END = b"\n"  # no word holds white space
@@ -160,24 +161,37 @@ class Vocabulary:
     """Words by number: those of the head, then buckets, then what stands before a text."""
 
     def __init__(self, head: list[bytes], counts: np.ndarray, tokens_: int):
-        n = len(head)
-        self.head, self.counts = head, counts
-        self.start = n + SHAPES
-        if self.start > _MASK:
+        if len(head) + SHAPES > _MASK:
             raise ValueError(f"at most {_MASK - SHAPES} words in the head")
-        self.unit = np.empty(self.start + 1, np.int64)
-        self.unit[:n] = [i if i < OWN else OWN + shape(w) for i, w in enumerate(head)]
-        self.unit[n : self.start] = OWN + np.arange(SHAPES)
-        self.unit[self.start] = UNITS - 1
-        self.shards = max(1, -(-tokens_ // SHARD))
+        unit = np.array([i if i < OWN else OWN + shape(w) for i, w in enumerate(head)], np.int32)
+        self._fill(head, counts, unit, max(1, -(-tokens_ // SHARD)))
+
+    def _fill(self, head: list[bytes], counts: np.ndarray, unit: np.ndarray, shards: int) -> None:
+        n = len(head)
+        self.head, self.counts, self.shards, self.start = head, counts, shards, n + SHAPES
+        self.unit = np.concatenate((unit, OWN + np.arange(SHAPES + 1, dtype=np.int32)))
         #: buckets of the word before the one before, so that none is more than a quarter of a shard
-        self.split = np.ones(self.start + 1, np.int64)
+        self.split = np.ones(self.start + 1, np.int32)
         self.split[:n] = np.maximum(1, np.ceil(4 * counts / SHARD))
 
+    def __getstate__(self) -> tuple:
+        n = len(self.head)
+        words = zstandard.ZstdCompressor().compress(b" ".join(self.head))  # no word holds a space
+        return words, packed(self.counts.astype(np.int64)), packed(self.unit[:n]), self.shards
+
+    def __setstate__(self, state: tuple) -> None:
+        words, counts, unit, shards = state
+        head = zstandard.ZstdDecompressor().decompress(words) if counts[:4] != bytes(4) else b""
+        self._fill(head.split(b" ") if head else [], unpacked(counts).astype(np.float64), unpacked(unit, np.int32), shards)
+
+    @cached_property
+    def rank(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.head)}
+
     def feature(self, pairs: np.ndarray) -> np.ndarray:
         """The in-class feature of a context (word before, word before that): the former, and a bucket of the latter."""
         before, skip = pairs >> _BITS, pairs & _MASK
-        buckets = self.split[before]
+        buckets = self.split[before].astype(np.int64)
         bucket = np.where(buckets > 1, (mixed(skip.astype(np.uint64)) % buckets.astype(np.uint64)).astype(np.int64), 0)
         return before << 24 | bucket
 
@@ -210,25 +224,20 @@ def _by_shard(vocabulary: Vocabulary, keys: np.ndarray) -> np.ndarray:
     return order[np.argsort(vocabulary.shard(keys[order]), kind="stable")]
 
 
-def _numbers(vocabulary: Vocabulary):
-    rank, n = {w: i for i, w in enumerate(vocabulary.head)}, len(vocabulary.head)
-
-    def numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """The words' numbers, and those beyond the head."""
-        at = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
-        other = np.flatnonzero(at < 0)
-        rest = [words[i] for i in other.tolist()]
-        at[other] = [n + shape(w) for w in rest]
-        return at, rest
+def _numbered(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The words' numbers, and those beyond the head."""
+    at = np.fromiter(map(vocabulary.rank.get, words, repeat(-1)), np.int64, len(words))
+    other = np.flatnonzero(at < 0)
+    rest = [words[i] for i in other.tolist()]
+    at[other] = [len(vocabulary.head) + shape(w) for w in rest]
+    return at, rest
 
-    return numbered
 
-
-def _events(vocabulary: Vocabulary):
+def _events(shared: Broadcast):
     """(shard, keys, n): counts of the task's training tokens by context and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered = _numbers(vocabulary)
+        vocabulary = shared.value
         held: list[np.ndarray] = []
         size = 0
 
@@ -245,7 +254,7 @@ def _events(vocabulary: Vocabulary):
 
         for batch in batches:
             for text in utf8(batch["text"]):
-                held.append(numbered(tokens(text))[0])
+                held.append(_numbered(vocabulary, tokens(text))[0])
                 size += len(held[-1])
                 if size >= CHUNK:
                     yield flush()
@@ -311,22 +320,24 @@ def _total(parts: DataFrame, shape_: tuple[int, int]) -> np.ndarray:
         yield pa.record_batch({"block": pa.array(list(held), pa.int32()), "data": pa.array([x.tobytes() for x in held.values()], pa.binary())})
 
     out = np.zeros(shape_)
-    found = parts.repartition(16, "block").mapInArrow(run, "block int, data binary").toArrow()
+    # written and read, so that the tasks' matrices are of no more use
+    sums = cut(parts.repartition(16, "block").mapInArrow(run, "block int, data binary"))
+    found = sums.toArrow()
+    uncut(sums)
     for i, data in zip(found["block"].to_pylist(), found["data"], strict=True):
         block = out[i * _BLOCK : (i + 1) * _BLOCK]
         block[:] = np.frombuffer(data.as_py()).reshape(block.shape)
-    tidy(parts.sparkSession)  # the tasks' matrices are of no more use
     return out
 
 
-def _profiles(vocabulary: Vocabulary):
+def _profiles(shared: Broadcast):
     """For each unit, how often each frequent word stands right before it, and two before it, and the unit itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 2 * PROFILE + 1
+        vocabulary, width = shared.value, 2 * PROFILE + 1
         total = np.zeros(UNITS * width)
         for keys, n in _shards(batches):
-            unit = vocabulary.unit[keys & _MASK] * width
+            unit = vocabulary.unit[keys & _MASK].astype(np.int64) * width
             total += np.bincount(unit + 2 * PROFILE, n, len(total))
             for k, at in enumerate((keys >> 2 * _BITS, keys >> _BITS & _MASK)):
                 low = np.flatnonzero(at < min(PROFILE, len(vocabulary.head)))
@@ -381,13 +392,17 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 class Model:
     """What all shards share: classes by number, sizes of the classes, weights of the n-gram and skip features."""
 
-    vocabulary: Vocabulary
+    shared: Broadcast  # the vocabulary, sent to executors once
     classes: np.ndarray
     bias: np.ndarray
     sizes: np.ndarray  # tokens and words of each class, and one
     one: np.ndarray
     two: np.ndarray
 
+    @property
+    def vocabulary(self) -> Vocabulary:
+        return self.shared.value
+
     def logits(self, pairs: np.ndarray) -> np.ndarray:
         unit = self.vocabulary.unit
         out = self.one[unit[pairs >> _BITS]]
@@ -399,7 +414,7 @@ class Model:
         """Contexts of a shard, some at a time, and how often each class follows."""
         pair = keys >> _BITS
         first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        of = self.classes[keys & _MASK]
+        of = self.classes[keys & _MASK].astype(np.int64)
         for k in range(0, len(first), _PAIRS):
             part = first[k : k + _PAIRS]
             end = first[k + _PAIRS] if k + _PAIRS < len(first) else len(keys)
@@ -479,7 +494,7 @@ class Shard:
     def scores(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the tokens' probabilities, less that of (count + 1): what the caller knows. ``keys`` in order."""
         model, pair, word = self.model, keys >> _BITS, keys & _MASK
-        kind = model.classes[word]
+        kind = model.classes[word].astype(np.int64)
         out = -np.log10(model.sizes)[kind]
         pairs, row = np.unique(pair, return_inverse=True)
         for k in range(0, len(pairs), _PAIRS):
@@ -514,11 +529,12 @@ _OUT = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, log
 _COUNTS, _TOKENS, _TEXTS = 0, 1, 2
 
 
-def _asked(vocabulary: Vocabulary):
+def _asked(shared: Broadcast):
     """The tokens of all documents for the shards, and a row for each chunk of documents with what is known of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered, logs = _numbers(vocabulary), np.log10(vocabulary.counts + 1.0)
+        vocabulary = shared.value
+        logs = np.log10(vocabulary.counts + 1.0)
         chunk = TaskContext.get().partitionId() << 32
         held: list[np.ndarray] = []
         info: list[tuple] = []
@@ -543,7 +559,7 @@ def _asked(vocabulary: Vocabulary):
 
         for batch in batches:
             for doc_id, held_out, text in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), utf8(batch["text"]), strict=True):
-                at, rest = numbered(tokens(text))
+                at, rest = _numbered(vocabulary, tokens(text))
                 tail, known = Counter(rest), at[at < len(logs)]
                 held.append(at)
                 info.append((doc_id, held_out, len(at), len(known), float(logs[known].sum()), [w.decode() for w in tail], list(tail.values())))
@@ -605,14 +621,14 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _class_sums(classes: np.ndarray, vocabulary: Vocabulary):
+def _class_sums(classes: np.ndarray, shared: Broadcast):
     """Tokens and words of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered = _numbers(vocabulary)
+        vocabulary = shared.value
         n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            at = classes[numbered(utf8(batch["word"]))[0]]
+            at = classes[_numbered(vocabulary, utf8(batch["word"]))[0]]
             n += np.bincount(at, batch["n"].to_numpy(), CLASSES).astype(np.int64)
             v += np.bincount(at, minlength=CLASSES)
         yield pa.record_batch({"class": np.arange(CLASSES, dtype=np.int32), "n": n, "v": v})
@@ -624,19 +640,20 @@ def train(learn: DataFrame, counts: DataFrame, n_tokens: int, head_words: int =
     """The shared weights, and the table of the shards' counts."""
     head, head_counts = head_of(counts, head_words)
     vocabulary = Vocabulary(head, head_counts, n_tokens)
-    events = learn.select("text").mapInArrow(_events(vocabulary), "shard int, keys binary, n binary")
+    shared = learn.sparkSession.sparkContext.broadcast(vocabulary)  # a bounded number of words
+    events = learn.select("text").mapInArrow(_events(shared), "shard int, keys binary, n binary")
     table = cut(events.repartition(vocabulary.shards, "shard").sortWithinPartitions("shard").mapInArrow(_merged, "shard int, keys binary, n binary"))
 
     matrix = "block int, data binary"
-    profiles = _total(table.select("keys", "n").mapInArrow(_profiles(vocabulary), matrix), (UNITS, 2 * PROFILE + 1))
-    classes = _classes(profiles, head.index(END) if END in head[:OWN] else -1)[vocabulary.unit]
-    sizes = counts.mapInArrow(_class_sums(classes, vocabulary), "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    profiles = _total(table.select("keys", "n").mapInArrow(_profiles(shared), matrix), (UNITS, 2 * PROFILE + 1))
+    classes = _classes(profiles, head.index(END) if END in head[:OWN] else -1)[vocabulary.unit].astype(np.int8)
+    sizes = counts.mapInArrow(_class_sums(classes, shared), "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     in_class, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sizes:
         in_class[r["class"]], kinds[r["class"]] = r["n"], r["v"]
     prior = (in_class + 1) / (in_class.sum() + CLASSES)
     zero = np.zeros((UNITS, CLASSES), np.float32)
-    model = Model(vocabulary, classes, np.log(prior).astype(np.float32), in_class + kinds + 1, zero, zero)
+    model = Model(shared, classes, np.log(prior).astype(np.float32), in_class + kinds + 1, zero, zero)
     for k in range(rounds):
         sums = _total(table.select("keys", "n").mapInArrow(_gradient(model, k == 0), matrix), (2 * UNITS, CLASSES if k == 0 else 2 * CLASSES))
         if k == 0:
@@ -662,7 +679,7 @@ def scored(docs: DataFrame, head_words: int = HEAD, rounds: int = ROUNDS) -> Dat
     shards = model.vocabulary.shards
     none = F.lit(None).cast("binary")
     known = table.select(F.lit(_COUNTS).cast("byte").alias("kind"), "shard", F.lit(None).cast("long").alias("chunk"), "keys", "n", none.alias("docs"))
-    asked = docs.mapInArrow(_asked(model.vocabulary), _SENT).unionByName(known).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    asked = docs.mapInArrow(_asked(model.shared), _SENT).unionByName(known).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     back = asked.mapInArrow(_scored(model), _BACK).repartition(shards, "chunk").sortWithinPartitions("chunk", "kind")
     texts = cut(back.mapInArrow(_gathered, _OUT))
     # words beyond the head: their counts come by a join
