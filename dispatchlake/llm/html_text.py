@@ -1,16 +1,21 @@
 """HTML main-text extraction with a suffix array per host.
 
 A page is read into blocks: runs of text between block-level tags, with character references decoded and white
-space made one. Markup that names its role (navigation, headers, footers, asides, notices, adverts, forms,
-scripts, styles, comments) takes its blocks away; a class or role names it as a whole, not by a part of its name. If
-the page marks an article (or main part), the blocks outside it are no candidates. An article is taken from within
+space made one. Markup is evidence: elements and attributes that name a role (navigation, headers, footers, asides, notices,
+adverts, forms, scripts, styles, comments; a class or role names it as a whole, not by a part of its name) set their blocks
+aside. If the page marks an article (or main part), the blocks outside it are no candidates. An article is taken from within
 elements whose class names another role only if the page has no other article text; elements that are dropped by
-their name or hidden drop what is in them. Where a page marks no article, or one without any text left, the host decides: the candidate blocks' words of many pages of one host
-are concatenated to one stream, its suffix array (prefix doubling, to the depth of ``RUN`` words) shows which runs
-of ``RUN`` or more words occur on ``PAGES`` or more pages of different content, and blocks that such runs cover by
-more than ``COVERED`` are boilerplate. Blocks shorter than a run count as covered if the whole block is repeated so.
-What an article's own markup encloses is never taken for boilerplate, however often it is repeated: copies of
-an article keep their text.
+their name or hidden drop what is in them, and an article inside an article has no privilege.
+
+Then the host decides. The words of many pages of one host are concatenated to one stream, its suffix array (prefix
+doubling, to the depth of ``RUN`` words) shows which runs of ``RUN`` or more words occur on ``PAGES`` or more pages of
+different content, and blocks that such runs cover by more than ``COVERED`` are boilerplate. The evidence is what pages set
+aside or leave outside their articles, and all of pages without an article. So
+
+* on pages without an article (or with one without any text left), candidate blocks go that the host repeats; blocks
+  shorter than a run count as covered if the whole block is repeated so;
+* on pages with an article, its blocks go that are covered by what the host repeats outside of articles: a menu or footer
+  that some pages have inside. What only articles share stays: passages and copies of an article are no boilerplate.
 
 A host's different contents are dealt to sets of about ``GROUP`` by a hash of the content, so a host with a third
 of all pages is many sets. A set only proposes: its suffix array gives each of its runs and the number of its
@@ -59,7 +64,7 @@ def _set_aside(name: str, attrs: str) -> int:
     """0: not at all, 1: by a role in its attributes, 2: by its name or because it is hidden."""
     if name in DROPPED:
         return 2
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body"):
         return 0
     found = 0
     for m in _ATTR.finditer(attrs):
@@ -137,52 +142,51 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         if name in VOID:
             continue
         own = _set_aside(name, m["attrs"])
-        if name in ARTICLE and not inside:
+        outermost = name in ARTICLE and not inside
+        if outermost:
             inside, within = True, 2 if within > 1 else 0
-        around, within = max(around, own), max(within, own)
+        # a role of the outermost article itself counts only where the page has another article
+        around, within = max(around, own), max(within, own if not outermost or own > 1 else 0)
         stack.append((name, inside, around, within))
 
 
 def article_text(found: list[tuple[str, bool, bool]]) -> str | None:
-    """The text of a page that marks its article; None if it doesn't."""
+    """The text of a page that marks its article, before its host is asked; None if it doesn't."""
     return "\n\n".join(t for t, inside, aside in found if inside and not aside) if any(inside for _, inside, _ in found) else None
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The article's blocks (null: no article), and the others: candidates of a page without an article, else evidence."""
     for batch in batches:
-        texts, candidates = [], []
+        articles, others = [], []
         for page in batch["html"].to_pylist():
             found = blocks(page)
-            text = article_text(found)
-            texts.append(text)
-            candidates.append([t for t, inside, aside in found if not inside and not (aside and text is None)])
-        yield pa.record_batch({"page_id": batch["page_id"], "url": batch["url"], "text": pa.array(texts, pa.string()), "blocks": pa.array(candidates, pa.list_(pa.string()))})
+            marked = any(inside for _, inside, _ in found)
+            articles.append([t for t, inside, aside in found if inside and not aside] if marked else None)
+            others.append([t for t, inside, aside in found if (not inside or aside if marked else not aside)])
+        yield pa.record_batch({"page_id": batch["page_id"], "url": batch["url"], "article": pa.array(articles, pa.list_(pa.string())), "blocks": pa.array(others, pa.list_(pa.string()))})
 
 
 class Runs:
-    """The runs of different pages of one host, found by a suffix array: ``RUN`` words, or a whole block that has fewer."""
+    """The runs of different pages of one host, found by a suffix array: ``run`` words, or (``short``) a whole block that has fewer."""
 
-    def __init__(self, pages: list[list[str]], run: int = RUN):
-        self.sizes, self.run = [len(p) for p in pages], run
+    def __init__(self, pages: list[list[str]], run: int = RUN, short: bool = True):
+        self.run, self.sizes = run, [len(p) for p in pages]
         numbers: dict[str, int] = {}
-        codes, places = [], []  # words, 0 after each block
-        for k, page in enumerate(pages):
-            for b, text in enumerate(page):
-                for w in text.split():
-                    codes.append(numbers.setdefault(w, len(numbers) + 1))
-                    places.append((k, b))
-                codes.append(0)
-                places.append((k, -1))
-        self.places = places
-        self.keys, self.spread = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words = [t.split() for p in pages for t in p]
+        n = np.fromiter(map(len, words), np.int64, len(words)) + 1  # a 0 ends each block
+        self.words = n - 1
+        ends = np.cumsum(n) - 1
+        seq = np.zeros(n.sum(), np.int64)
+        inner = np.ones(len(seq), bool)
+        inner[ends] = False
+        seq[inner] = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for ws in words for w in ws), np.int64, inner.sum())
+        self.block = np.repeat(np.arange(len(words)), n)
+        self.keys, self.spread, self.at, self.group = (np.zeros(0, np.int64) for _ in range(4))
         if not numbers:
-            self.places = []
             return
-        seq = np.array(codes)
-        page = np.array([p for p, _ in places])
-        # words to the block's end
-        ends = np.flatnonzero(seq == 0)
-        self.left = ends[np.searchsorted(ends, np.arange(len(seq)))] - np.arange(len(seq))
+        page = np.repeat(np.arange(len(pages)), self.sizes)[self.block]
+        self.left = ends[self.block] - np.arange(len(seq))  # words to the block's end
         starts = np.concatenate(([True], seq[:-1] == 0))
         order = suffix_array(seq, run)
         padded = np.concatenate([seq, np.zeros(run, seq.dtype)])
@@ -193,40 +197,35 @@ class Runs:
             same &= done | (a == b)
             done |= same & (a == 0)
         group = np.concatenate(([0], np.cumsum(~same)))
-        whole = (self.left >= run) | ((self.left > 0) & starts)
+        whole = (self.left >= run) | ((self.left > 0) & starts & short)
         self.at, group = order[whole[order]], group[whole[order]]
+        if not len(self.at):
+            return
         _, first, self.group = np.unique(group, return_index=True, return_inverse=True)
         # distinct pages of each group of equal runs
         pairs = np.unique(self.group * len(pages) + page[self.at])
         self.spread = np.bincount(pairs // len(pages), minlength=len(first))
         # the same key for a run in every set
-        words = np.concatenate((np.zeros(1, np.uint64), pd.util.hash_array(np.array(list(numbers), object), categorize=False)))
+        hashes = np.concatenate((np.zeros(1, np.uint64), pd.util.hash_array(np.array(list(numbers), object), categorize=False)))
         key, at = np.zeros(len(first), np.uint64), self.at[first]
         for k in range(run):
-            here = np.where(k < self.left[at], words[padded[at + k]], np.uint64(0))
+            here = np.where(k < self.left[at], hashes[padded[at + k]], np.uint64(0))
             key = (key ^ here) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         self.keys = key.view(np.int64)
 
     def covered(self, common: np.ndarray, share: float = COVERED) -> list[list[bool]]:
-        """Which blocks the common runs (a flag for each of ``keys``) cover by more than ``share``."""
-        decided = [[False] * n for n in self.sizes]
-        if not self.places:
-            return decided
-        hit = self.at[common[self.group]]
-        mark = np.zeros(len(self.places) + 1, np.int32)
-        np.add.at(mark, hit, 1)
-        np.add.at(mark, hit + np.minimum(self.run, self.left[hit]), -1)
-        cover = np.cumsum(mark)[:-1] > 0
-        total: dict[tuple[int, int], list[int]] = {}
-        for place, c in zip(self.places, cover.tolist(), strict=True):
-            if place[1] >= 0:
-                t = total.setdefault(place, [0, 0])
-                t[0] += 1
-                t[1] += c
-        for (k, b), (n, c) in total.items():
-            decided[k][b] = c > share * n
-        return decided
+        """Which blocks of each page the common runs (a flag for each of ``keys``) cover by more than ``share``."""
+        drop = np.zeros(len(self.words), bool)
+        if len(self.at):
+            hit = self.at[common[self.group]]
+            mark = np.zeros(len(self.block) + 1, np.int32)
+            np.add.at(mark, hit, 1)
+            np.add.at(mark, hit + np.minimum(self.run, self.left[hit]), -1)
+            inside = np.bincount(self.block, np.cumsum(mark)[:-1] > 0, len(self.words))
+            drop = inside > share * self.words
+        ends = np.cumsum(self.sizes)
+        return [drop[e - n : e].tolist() for e, n in zip(ends.tolist(), self.sizes, strict=True)]
 
 
 def boilerplate(pages: list[list[str]], run: int = RUN, pages_least: int = PAGES, covered: float = COVERED) -> list[list[bool]]:
@@ -246,30 +245,50 @@ def _proposed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _judged(rows: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
+    """Texts of contents without an article: what the host doesn't repeat."""
     pages = [list(b) for b in rows["blocks"]]
     runs = Runs(pages)
     drop = runs.covered(np.isin(runs.keys, common["run"].to_numpy(np.int64)))
-    keep = ["\n\n".join(t for t, d in zip(p, ds, strict=True) if not d) for p, ds in zip(pages, drop, strict=True)]
-    return pd.DataFrame({"host": rows["host"], "content": rows["content"], "text": keep})
+    return pd.DataFrame({"host": rows["host"], "content": rows["content"], "text": _joined(pages, drop)})
+
+
+def _cleaned(rows: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
+    """Texts of articles, without blocks that the host repeats outside of articles."""
+    pages = [list(b) for b in rows["article"]]
+    runs = Runs(pages, short=False)
+    drop = runs.covered(np.isin(runs.keys, common["run"].to_numpy(np.int64)))
+    plain = {c: pd.Series([None if pd.isna(x) else x for x in rows[c]], dtype=object) for c in ("page_id", "url")}
+    return pd.DataFrame({**plain, "text": _joined(pages, drop)})
+
+
+def _joined(pages: list[list[str]], drop: list[list[bool]]) -> pd.Series:
+    return pd.Series(["\n\n".join(t for t, d in zip(p, ds, strict=True) if not d) for p, ds in zip(pages, drop, strict=True)], dtype=object)
 
 
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    schema = "page_id long, url string, text string"
-    parsed = cut(pages.select("page_id", "url", "html").mapInArrow(_parsed, f"{schema}, blocks array<string>"))
+    schema = "page_id long, url string, article array<string>, blocks array<string>"
+    # a shuffled page has its host and the hash of its content; no block holds a line's end
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
-    undecided = F.col("text").isNull()
-    # no block holds a line's end
-    content = F.md5(F.array_join("blocks", "\n").cast("binary"))
-    named = parsed.withColumns({"host": host, "content": content})
-    open_ = named.where(undecided).select("page_id", "url", "host", "content")
-    # the different contents of hosts with pages that need their evidence
-    contents = cut(named.join(open_.select("host").distinct(), "host", "left_semi").groupBy("host", "content").agg(F.first("blocks").alias("blocks")))
+    content = F.md5(F.concat_ws("\n", F.coalesce("article", F.array()), F.lit(""), "blocks").cast("binary"))
+    named = cut(pages.select("page_id", "url", "html").mapInArrow(_parsed, schema).withColumns({"host": host, "content": content}))
+    # the evidence: different contents of each host, without their articles
+    contents = named.where(F.size("blocks") > 0).groupBy("host", "content").agg(F.first("blocks").alias("blocks"), F.first(F.col("article").isNull()).alias("open"))
+    contents = cut(contents)
     sizes = contents.groupBy("host").agg(F.ceil(F.count("*") / group).cast("long").alias("groups"))
     dealt = contents.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("content"), F.col("groups")))
     proposed = dealt.groupBy("host", "part", "groups").applyInPandas(_proposed, "host string, part long, run long, n long")
-    sums = proposed.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where(F.col("n") >= PAGES)
+    sums = cut(proposed.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where(F.col("n") >= PAGES))
+    # pages without an article
     common = sums.select("host", F.explode("parts").alias("part"), "run")
-    judged = dealt.groupBy("host", "part").cogroup(common.groupBy("host", "part")).applyInPandas(_judged, "host string, content string, text string")
-    found = open_.join(judged, ["host", "content"]).select("page_id", "url", "text")
-    return parsed.where(~undecided).select("page_id", "url", "text").unionByName(found).withColumn("n_chars", F.length("text").cast("long"))
+    judged = dealt.where("open").groupBy("host", "part").cogroup(common.groupBy("host", "part")).applyInPandas(_judged, "host string, content string, text string")
+    open_ = named.where("article is null")
+    found = open_.join(judged, ["host", "content"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    # articles of hosts that repeat anything outside of them; sets hold a part of a host's pages, whatever these are
+    articles = named.where("article is not null").select("page_id", "url", "host", "content", "article")
+    hosts = cut(articles.groupBy("host").agg(F.ceil(F.count("*") / group).cast("long").alias("groups")).join(sums.select("host").distinct(), "host", "left_semi"))
+    sets = articles.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("content", "page_id"), F.col("groups")))
+    evidence = sums.select("host", "run").join(hosts, "host").select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"))
+    cleaned = sets.groupBy("host", "part").cogroup(evidence.groupBy("host", "part")).applyInPandas(_cleaned, "page_id long, url string, text string")
+    plain = articles.join(hosts, "host", "left_anti").select("page_id", "url", F.array_join("article", "\n\n").alias("text"))
+    return found.unionByName(cleaned).unionByName(plain).withColumn("n_chars", F.length("text").cast("long"))

@@ -41,6 +41,9 @@ def test_pages_that_mark_their_article(page, want):
         ("<div class='sidebar'><article><p>own</p><div class='comments'><article><p>no</p></article></div></article></div>", "own"),
         ("<article><p>a <math><mi>x</mi></math> b</p><noscript><p>n</p></noscript><object>o</object></article>", "a x b\n\nn\n\no"),
         ("<aside><article><p>x</p></article></aside><main><p>y</p></main>", "y"),
+        ("<article><p>own</p><article class='comment'><p>no</p></article></article>", "own"),
+        ("<article><p>own</p></article><article class='comment'><p>no</p></article>", "own"),
+        ("<article class='post sidebar'><p>own</p></article>", "own"),
     ],
 )
 def test_what_stands_round_an_article_does_not_empty_it(page, want):
@@ -101,6 +104,29 @@ def test_articles_keep_what_the_host_repeats(spark):
     assert got == {k: f"{passage}\n\nown {k}" for k in range(6)}
 
 
+def test_articles_lose_what_the_host_repeats_outside_of_them(spark):
+    """A footer that most pages of the host set aside, and some have inside their article."""
+    rng = random.Random(8)
+    say = lambda k: " ".join(rng.choices([f"v{i}" for i in range(500)], k=k))
+    footer, passage = say(14), say(40)
+    rows, want = [], {}
+    for i in range(24):
+        own = say(25)
+        inside = i % 6 == 5
+        article = f"<p>{own}</p><p>{passage}</p>" + (f"<p>{footer}</p>" if inside else "")
+        rows.append((i, "https://e.org/x", f"<article>{article}</article>" + ("" if inside else f"<footer>{footer}</footer><nav><li>Sign</li></nav>"), None, None))
+        want[i] = f"{own}\n\n{passage}"
+    # a block that is one short word is no boilerplate of an article, whatever the menus have
+    rows.append((90, "https://e.org/y", "<article><p>Sign</p></article>", None, None))
+    want[90] = "Sign"
+    # two pages are too few, and other hosts don't count
+    rows += [(100 + k, "https://two.org/", f"<article><p>{say(9)} {k}</p><p>{footer}</p></article><footer>{footer}</footer>", None, None) for k in range(2)]
+    want |= {r[0]: r[2].split("<p>")[1].removesuffix("</p>") + "\n\n" + footer for r in rows[-2:]}
+    for group, parts in ((op.GROUP, 1), (5, 4)):
+        got = {r["page_id"]: r["text"] for r in op.extract(spark.createDataFrame(rows, SCHEMA).repartition(parts), group).collect()}
+        assert got == want
+
+
 def brute_covered(pages: list[list[str]], run: int, least: int) -> list[list[bool]]:
     distinct = sorted(set(map(tuple, pages)))
     seen: dict[tuple, set] = {}
