@@ -2,9 +2,10 @@
 
 Each batch of documents is a shard. Its words, numbered in the order of their hashes, are one sequence in which
 a document's end sorts below every word; prefix doubling sorts the shard's suffixes to the depth of a window.
-Every suffix of every benchmark item is then found by binary search: its neighbours in the array give the
-longest verbatim match, and the range of suffixes that begin with a whole window gives every place of it.
-A shard's results concern its own documents alone, so nothing is shuffled.
+Every suffix of every benchmark item is then found by binary search: the range of the array's suffixes that begin with
+a whole window gives every place of it. Places that go on word by word in both, document and item, are one match; so
+each document gets its longest verbatim matches whole, and where they stand. A shard's results concern its own
+documents alone, so nothing is shuffled.
 
 The benchmark goes to the tasks in blocks of at most ``block_words`` words, a pass over the documents for each
 (one, unless the benchmark is larger); what the passes find is merged by row.
@@ -40,7 +41,7 @@ class Items:
         self.hashes, self.item = words.hashes(), words.text_of
         left = words.offsets[1:][words.text_of] - np.arange(len(words))
         size = np.diff(words.offsets)[words.text_of]
-        self.left = left
+        self.begin = words.offsets  # each item's first word
         self.length = np.where(left >= window, window, np.where((size < window) & (left == size), size, 0))
 
 
@@ -96,8 +97,8 @@ def _search(codes: np.ndarray, order: np.ndarray, pattern: np.ndarray, length: n
     return low
 
 
-def _match(words: Words, items: Items, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a shard: covered words, (text, item) pairs of windows found, longest match per text."""
+def _match(words: Words, items: Items, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """For a shard: covered words, (text, item) pairs of windows found, and the matches from their first to their last word."""
     hashes = words.hashes()
     known, codes = np.unique(hashes, return_inverse=True)
     ends = words.offsets[1:]
@@ -110,34 +111,34 @@ def _match(words: Words, items: Items, window: int) -> tuple[np.ndarray, np.ndar
     text_of = np.repeat(np.arange(n_texts + 1), np.append(np.diff(words.offsets) + 1, 1))
     found = np.searchsorted(known, items.hashes)
     found = np.where((found < len(known)) & (known[np.minimum(found, max(len(known) - 1, 0))] == items.hashes), found + 1, -1) if len(known) else np.full(len(items.hashes), -1)
-    # rows of window-many words of each suffix; what lies past the item's end is -1 and equals nothing
-    grid = np.arange(len(found))[:, None] + np.arange(window)
-    pattern = np.where(np.arange(window) < items.left[:, None], found[np.minimum(grid, len(found) - 1)], -1)
-    covered = np.zeros(len(seq) + window + 1, np.int32)
-    longest = np.zeros(n_texts + 1, np.int64)
-    # longest match of each suffix, with either neighbour of its place
-    live = np.flatnonzero(found > 0)
-    place = _search(seq, order, pattern[live], np.full(len(live), window), right=False)
-    for neighbour in (place - 1, place):
-        ok = (neighbour >= 0) & (neighbour < len(order))
-        at = order[np.clip(neighbour, 0, len(order) - 1)]
-        run, same = np.zeros(len(live), np.int64), ok.copy()
-        for k in range(window):
-            same &= seq[np.minimum(at + k, len(seq) - 1)] == pattern[live, k]
-            run += same
-        np.maximum.at(longest, text_of[at[ok]], run[ok])
+    # suffixes that begin a window, and the window's words
     live = np.flatnonzero((items.length > 0) & (found > 0))
-    live = live[((pattern[live] > 0) | (np.arange(window) >= items.length[live, None])).all(1)]
-    low = _search(seq, order, pattern[live], items.length[live], right=False)
-    high = _search(seq, order, pattern[live], items.length[live], right=True)
+    pattern = found[np.minimum(live[:, None] + np.arange(window), max(len(found) - 1, 0))]
+    whole = ((pattern > 0) | (np.arange(window) >= items.length[live, None])).all(1)
+    live, pattern = live[whole], pattern[whole]
+    low = _search(seq, order, pattern, items.length[live], right=False)
+    high = _search(seq, order, pattern, items.length[live], right=True)
     count = high - low
     at = order[np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
-    size, item = np.repeat(items.length[live], count), np.repeat(items.item[live], count)
+    suffix = np.repeat(live, count)
+    size, item = items.length[suffix], items.item[suffix]
+    covered = np.zeros(len(seq) + window + 1, np.int32)
     np.add.at(covered, at, 1)
     np.add.at(covered, at + size, -1)
     hit = np.cumsum(covered)[where] > 0
     pairs = np.unique(text_of[at] * (len(items.ids) + 1) + item) if len(at) else np.zeros(0, np.int64)
-    return hit, pairs // (len(items.ids) + 1), pairs % (len(items.ids) + 1), longest[:n_texts]
+    # windows that follow each other in both are one match
+    by = np.lexsort((at, at - suffix))
+    at, suffix, size, item = at[by], suffix[by], size[by], item[by]
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] != at[:-1] + 1) | (suffix[1:] != suffix[:-1] + 1) | (item[1:] != item[:-1])
+    begin = np.flatnonzero(first)
+    matches = {"text": text_of[at[begin]], "item": item[begin], "first": at[begin] - text_of[at[begin]], "item_first": suffix[begin] - items.begin[item[begin]], "n": np.diff(np.append(begin, len(at))) + size[begin] - 1}
+    return hit, pairs // (len(items.ids) + 1), pairs % (len(items.ids) + 1), matches
+
+
+_SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64())])
+_MATCH = pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("item_first", pa.int64()), ("n", pa.int64())])
 
 
 def _judged(items: Items, window: int):
@@ -146,8 +147,8 @@ def _judged(items: Items, window: int):
             texts = [t.lower() for t in utf8(batch["text"])]
             for first, last in chunks([len(t) for t in texts], SHARD_BYTES):
                 words = Words(texts[first:last], ALNUM)
-                hit, text, item, longest = _match(words, items, window)
-                spans, ids = [[] for _ in range(last - first)], [[] for _ in range(last - first)]
+                hit, text, item, matches = _match(words, items, window)
+                spans, ids, found = ([[] for _ in range(last - first)] for _ in range(3))
                 turn = words.text_of[1:] != words.text_of[:-1]
                 begin, end = hit.copy(), hit.copy()
                 begin[1:] &= turn | ~hit[:-1]
@@ -158,12 +159,14 @@ def _judged(items: Items, window: int):
                 for t, i in zip(text, item, strict=True):
                     if items.ids[i] is not None:
                         ids[t].append(items.ids[i])
+                for t, i, at, item_at, n in zip(*(matches[c].tolist() for c in ("text", "item", "first", "item_first", "n")), strict=True):
+                    found[t].append({"item_id": items.ids[i], "first": at - int(words.offsets[t]), "item_first": item_at, "n": n})
                 yield pa.record_batch({
                     "doc_id": batch["doc_id"][first:last],
                     "n_words": np.diff(words.offsets).astype(np.int64),
                     "items": pa.array(ids, pa.list_(pa.int64())),
-                    "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                    "longest_match": longest.astype(np.int64),
+                    "spans": pa.array(spans, pa.list_(_SPAN)),
+                    "matches": pa.array(found, pa.list_(_MATCH)),
                     **{c: batch[c][first:last] for c in batch.schema.names if c.startswith("_row")},
                 })
 
@@ -179,10 +182,13 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, items found, hit spans of words, n_hit, longest_match (the
-    longest verbatim match, up to a window, of the benchmark suffixes whose best place in the shard is in this
-    document), contaminated (a twentieth of the words or more are hit)."""
-    schema = "doc_id long, n_words long, items array<long>, spans array<struct<first:long,last:long>>, longest_match long"
+    """One row per document: doc_id, n_words, items found, hit spans of words, n_hit, matches, longest_match, contaminated.
+
+    ``matches``: the verbatim matches of a window's length or more (or of a whole shorter item), each with its item, its
+    first word in the document and in the item, and its words; ``longest_match``: the words of the longest, 0 without one.
+    A document is contaminated if a twentieth of its words or more are hit.
+    """
+    schema = "doc_id long, n_words long, items array<long>, spans array<struct<first:long,last:long>>, matches array<struct<item_id:long,first:long,item_first:long,n:long>>"
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     blocks = _blocks(benchmark, block_words)
     if len(blocks) > 1:
@@ -197,10 +203,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             out = docs.mapInArrow(_judged(Items(block.collect(), window), window), schema)
             append(out, path)
         out = docs.sparkSession.read.schema(out.schema).parquet(path)
-        out = out.groupBy("_row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.max("longest_match").alias("longest_match")).drop("_row")
+        out = out.groupBy("_row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("matches")).alias("matches")).drop("_row")
     # spans of one pass don't overlap; those of several are joined word by word
     words = "size(array_distinct(flatten(transform(spans, s -> sequence(s.first, s.last)))))" if len(blocks) > 1 else "aggregate(spans, 0L, (a, s) -> a + s.last - s.first + 1)"
-    return out.withColumn("n_hit", F.expr(f"cast({words} as long)")).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["n"])), F.lit(0).cast("long"))
+    return out.withColumns({"longest_match": longest, "n_hit": F.expr(f"cast({words} as long)")}).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -48,6 +48,35 @@ def test_same_as_brute_force(docs, items, window):
     assert Counter(got) == Counter(brute([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()], window))
 
 
+@pytest.mark.parametrize("block_words", [op.BLOCK_WORDS, 100])
+def test_matches_are_the_longest_and_where_they_stand(docs, items, block_words):
+    window = 13
+    split = [(r["item_id"], words(r["text"])) for r in items.collect()]
+
+    def brute_matches(ws: list[str]) -> Counter:
+        out: Counter = Counter()
+        for item, other in split:
+            least = min(window, len(other))
+            for i in range(len(ws) * bool(other)):
+                for j in range(len(other)):
+                    if ws[i] != other[j] or i and j and ws[i - 1] == other[j - 1]:
+                        continue
+                    n = 0
+                    while i + n < len(ws) and j + n < len(other) and ws[i + n] == other[j + n]:
+                        n += 1
+                    if n >= least:
+                        out[item, i, j, n] += 1
+        return out
+
+    short = docs.where("text is null or length(text) < 3000")
+    texts = [words(r["text"]) for r in short.collect()]
+    want = Counter(tuple(sorted(brute_matches(ws).items(), key=repr)) for ws in texts)
+    rows = op.contamination(short, items, block_words=block_words).collect()
+    assert Counter(tuple(sorted(Counter(map(tuple, r["matches"])).items(), key=repr)) for r in rows) == want
+    assert all(r["longest_match"] == max((m["n"] for m in r["matches"]), default=0) for r in rows)
+    assert max(r["longest_match"] for r in rows) > 3 * window
+
+
 def test_blocks_of_items_give_the_same(docs, items):
     one = [(r["doc_id"], r["n_hit"], tuple(sorted(set(r["items"])))) for r in op.contamination(docs, items).collect()]
     many = [(r["doc_id"], r["n_hit"], tuple(sorted(set(r["items"])))) for r in op.contamination(docs, items, block_words=100).collect()]
