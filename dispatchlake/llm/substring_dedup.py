@@ -18,14 +18,15 @@ with the 64-bit hash of their seed.
 
 Edge cases: null or empty text has no words and stays empty; texts shorter than a window lose nothing; rows
 with a null doc_id are returned whole and are no source of repeats; rows that share a doc_id are one document
-as to repeats (not smaller than each other) and are returned one by one; extra columns are not read.
+as to repeats (not smaller than each other), each loses its own words, and they are returned one by one; extra columns
+are not read.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,11 +90,12 @@ def _seeds(length: int, seed_words: int):
 
 
 def _stretches(length: int, seed_words: int):
-    """(seed, words, doc_id, place, n): the stretches of shared seeds; words is a hash, place the first word, n the number of windows."""
+    """(seed, words, doc_id, text, place, n): the stretches of shared seeds; words is a hash, place the first word, n the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            keys = batch["key"].to_numpy()
             shared, bounds = batch["seeds"].flatten().to_numpy().view(np.uint64), batch["seeds"].offsets.to_numpy()
             bounds = bounds - bounds[0]
             for first, last, words in _batches(batch):
@@ -110,17 +112,18 @@ def _stretches(length: int, seed_words: int):
                 keep = np.isin(seeds[begin] ^ mixed(row[begin].astype(np.uint64)), shared[bounds[first] : bounds[last]] ^ mixed(mine.astype(np.uint64)))
                 begin, size = begin[keep], size[keep]
                 whole = span_hashes(hashes, at[begin], at[begin] + size + length - 1).view(np.int64)
-                yield pa.record_batch({"seed": seeds[begin].view(np.int64), "words": whole, "doc_id": ids[row[begin]].astype(np.int64), "place": (at[begin] - words.offsets[row[begin] - first]).astype(np.int32), "n": size.astype(np.int32)})
+                yield pa.record_batch({"seed": seeds[begin].view(np.int64), "words": whole, "doc_id": ids[row[begin]].astype(np.int64), "key": keys[row[begin]], "place": (at[begin] - words.offsets[row[begin] - first]).astype(np.int32), "n": size.astype(np.int32)})
 
     return run
 
 
 def _opened(length: int):
-    """(seed, window, doc_id, place): each window, as a hash, of the stretches given for each document."""
+    """(seed, window, doc_id, key, place): each window, as a hash, of the stretches given for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            keys = batch["key"].to_numpy()
             given, bounds = batch["stretches"].flatten(), batch["stretches"].offsets.to_numpy()
             seed, place, size = (given.field(k).to_numpy() for k in range(3))
             bounds = bounds - bounds[0]
@@ -131,9 +134,7 @@ def _opened(length: int):
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(words.offsets[row] + place[mine], n) + inner
                 windows = sequence_hashes(words.hashes(), length).view(np.int64)
-                # a row that shares its doc_id with another may be too short for the other's places
-                ok = at + length <= np.repeat(words.offsets[row + 1], n)
-                out = pa.record_batch({"seed": np.repeat(seed[mine], n)[ok], "window": windows[at[ok]], "doc_id": np.repeat(ids[first + row], n)[ok].astype(np.int64), "place": (np.repeat(place[mine], n) + inner)[ok].astype(np.int32)})
+                out = pa.record_batch({"seed": np.repeat(seed[mine], n), "window": windows[at], "doc_id": np.repeat(ids[first + row], n).astype(np.int64), "key": np.repeat(keys[first + row], n), "place": (np.repeat(place[mine], n) + inner).astype(np.int32)})
                 for k in range(0, len(out), 100_000):
                     yield out.slice(k, 100_000)
 
@@ -141,28 +142,38 @@ def _opened(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS) -> DataFrame:
-    """(doc_id, place, n): runs of n windows, by the first one's first word, whose words all start in smaller documents too."""
+    """(doc_id, key, place, n): runs of n windows, by the first one's first word, whose words all start in smaller documents too.
+
+    Places are those of one text: rows that share a doc_id are told apart by ``key``, the hash of the text.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
+    keyed = docs.withColumn("key", text_key())
     seeds = cut(docs.mapInArrow(_seeds(length, seed_words), "seed long, doc_id long, kind byte"))
     # at most a row for each seed and chunk, however many documents share it
     met = seeds.where(F.col("kind") != MORE).withColumn("n", F.count("*").over(Window.partitionBy("seed"))).where((F.col("n") > 1) | (F.col("kind") == SHARED))
     hits = cut(met.select("doc_id", "seed").unionByName(seeds.where(F.col("kind") == MORE).select("doc_id", "seed")))
     uncut(seeds)
     by_doc = hits.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    found = cut(docs.join(by_doc, "doc_id").mapInArrow(_stretches(length, seed_words), "seed long, words long, doc_id long, place int, n int"))
+    found = cut(keyed.join(by_doc, "doc_id").mapInArrow(_stretches(length, seed_words), "seed long, words long, doc_id long, key long, place int, n int"))
     uncut(hits)
     key = ["seed", "words"]
+    # the aggregates are written, so that adaptive execution can split the joins' hot keys: both sides are plain exchanges
     first = found.groupBy(*key).agg(F.min("doc_id").alias("low"), F.count("*").alias("times"))
     # stretches of a seed that has several different ones
-    first = first.withColumn("mixed", F.count("*").over(Window.partitionBy("seed")) > 1).where("mixed or times > 1")
+    first = cut(first.withColumn("mixed", F.count("*").over(Window.partitionBy("seed")) > 1).where("mixed or times > 1"))
     open_ = F.col("mixed") & (F.col("doc_id") == F.col("low"))
-    settled = cut(found.join(first, key).where(open_ | (F.col("doc_id") > F.col("low"))).select(F.when(open_, F.col("seed")).alias("open"), "doc_id", "place", "n"))
+    settled = cut(found.join(first, key).where(open_ | (F.col("doc_id") > F.col("low"))).select(F.when(open_, F.col("seed")).alias("open"), "doc_id", "key", "place", "n"))
     uncut(found)
-    stretches = settled.where("open is not null").groupBy("doc_id").agg(F.collect_list(F.struct("open", "place", "n")).alias("stretches"))
-    single = cut(docs.join(stretches, "doc_id").mapInArrow(_opened(length), "seed long, window long, doc_id long, place int"))
-    least = single.groupBy("seed", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    single = single.join(least, ["seed", "window"]).where("doc_id > low").select("doc_id", "place", F.lit(1).alias("n"))
-    return settled.where("open is null").select("doc_id", "place", "n").unionByName(single)
+    uncut(first)
+    stretches = settled.where("open is not null").groupBy("doc_id", "key").agg(F.collect_list(F.struct("open", "place", "n")).alias("stretches"))
+    single = cut(keyed.join(stretches, ["doc_id", "key"]).mapInArrow(_opened(length), "seed long, window long, doc_id long, key long, place int"))
+    least = cut(single.groupBy("seed", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
+    single = single.join(least, ["seed", "window"]).where("doc_id > low").select("doc_id", "key", "place", F.lit(1).alias("n"))
+    return settled.where("open is null").select("doc_id", "key", "place", "n").unionByName(single)
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("text"), F.lit(1))
 
 
 def _kept(length: int):
@@ -190,7 +201,7 @@ def _kept(length: int):
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text and the maximal repeats removed, as word spans."""
-    repeats = repeated_spans(docs, length, seed_words).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("repeats"))
-    whole = docs.select(F.col("doc_id").cast("long"), "text").join(repeats, "doc_id", "left")
+    repeats = repeated_spans(docs, length, seed_words).groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "n")).alias("repeats"))
+    whole = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", text_key()).join(repeats, ["doc_id", "key"], "left")
     return whole.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first:long,last:long>>")
 

@@ -42,6 +42,14 @@ def test_spans_are_the_maximal_repeats(docs):
         assert all(a["last"] + 1 < b["first"] for a, b in zip(r["spans"], r["spans"][1:], strict=False))
 
 
+def test_rows_that_share_a_doc_id_lose_their_own_words_only(spark):
+    t = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    shared, other = t("s", 30), t("o", 25)
+    rows = [(1, shared), (1, t("u", 40)), (2, t("v", 60) + " " + shared), (2, shared), (2, t("w", 30)), (2, other), (3, other + " " + t("x", 20)), (3, other), (4, t("v", 60) + " " + other)]
+    got = [tuple(r)[:4] for r in op.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert Counter(got) == Counter(brute(rows, 13))
+
+
 def test_copies_of_a_hot_document_fall_to_the_smallest(spark):
     text = " ".join(f"t{i}" for i in range(50))
     rows = spark.range(1000).selectExpr("id as doc_id", f"'{text}' as text").repartition(7)
