@@ -7,9 +7,10 @@ bisection: a round evaluates a grid of exponents in one aggregation over the tab
 bracket in which the condition turns.
 
 The weights are realised as block permutations. A source's documents are hashed into blocks; epoch e orders the
-blocks by a hash of (seed, e, block). Whole epochs take every document; the last, partial one takes blocks in
-its order while they fit in what is left of the source's budget, and of the block that doesn't fit, documents in
-order of their hash while they fit. So a source's tokens miss its budget by less than a document.
+blocks by a hash of (seed, e, source, block), and documents within a block by their own hash. ``mix_order`` is both in one
+number, so within an epoch the sources interleave by it. Whole epochs take every document; the last, partial one takes
+blocks in this same order while they fit in what is left of the source's budget, and of the block that doesn't fit,
+documents in order while they fit. So a source's tokens miss its budget by less than a document.
 
 Per source, only block sums (at most ``blocks``) and the documents of one block are ever ordered together.
 
@@ -31,6 +32,7 @@ MAX_EPOCHS = 4.0
 BLOCKS = 4096
 SEED = 17
 _GRID, _ROUNDS = 32, 8
+_DOCUMENT_BITS = 28
 
 
 def tokens(text: Column) -> Column:
@@ -79,6 +81,16 @@ def weights(sources: DataFrame, budget: float | None = None, entropy: float = EN
     return sources.select("*", share.alias("share"), weight.alias("weight"), F.lit(a).alias("exponent")).withColumn("target", F.col("weight") * budget)
 
 
+def _block_place(seed: int, epoch: str) -> Column:
+    """Where a block stands in an epoch: a number of 64 - _DOCUMENT_BITS bits."""
+    return F.shiftright(F.xxhash64(F.lit(seed), epoch, "_s", "_none", "_b"), _DOCUMENT_BITS)
+
+
+def _document_place() -> Column:
+    """Where a document stands in its block: a number of _DOCUMENT_BITS bits."""
+    return F.shiftrightunsigned("_h", 64 - _DOCUMENT_BITS)
+
+
 def mix(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """The mixed corpus: a row for each time a document is taken, with epoch (from 0), source_weight and mix_order."""
     added = ("epoch", "source_weight", "mix_order")
@@ -94,18 +106,17 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY,
     plan = plan.withColumn("_whole", passes).withColumn("_rest", F.when(F.col("tokens") > 0, F.floor(F.col("target") - passes * F.col("tokens"))).otherwise(0).cast("long"))
     plan = plan.select("_s", "_none", F.col("weight").alias("source_weight"), "_whole", "_rest")
     # the partial epoch: tokens of the blocks that come before each block
-    order = F.xxhash64(F.lit(seed), "_whole", "_b")
     prior = Window.partitionBy("_s", "_none").orderBy("_order", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    room = sizes.join(plan, ["_s", "_none"]).withColumn("_order", order).withColumn("_left", F.col("_rest") - F.coalesce(F.sum("n").over(prior), F.lit(0)))
+    room = sizes.join(plan, ["_s", "_none"]).withColumn("_order", _block_place(seed, "_whole")).withColumn("_left", F.col("_rest") - F.coalesce(F.sum("n").over(prior), F.lit(0)))
     fate = F.when((F.col("_rest") == 0) | (F.col("_left") <= 0), "none").when(F.col("_left") >= F.col("n"), "all").otherwise("some")
     fates = room.select("_s", "_none", "_b", "source_weight", "_whole", "_left", fate.alias("_fate"))
     placed = counted.join(fates, ["_s", "_none", "_b"])
-    within = Window.partitionBy("_s", "_none").orderBy("_h", "_id")
+    within = Window.partitionBy("_s", "_none").orderBy(_document_place(), "_h", "_id")
     some = placed.where("_fate = 'some'").withColumn("_id", F.monotonically_increasing_id())
     some = some.withColumn("_fate", F.when(F.sum("_n").over(within) <= F.col("_left"), "all").otherwise("none")).drop("_id")
     settled = placed.where("_fate <> 'some'").unionByName(some)
     taken = F.expr("if(_fate = 'all', _whole + 1, _whole)")
     epochs = F.explode(F.when(taken > 0, F.sequence(F.lit(0), taken - 1)).otherwise(F.array().cast("array<int>")))
-    # where in its epoch a block, and in its block a document, stands; all sources interleave by it
-    mixed = settled.withColumn("epoch", epochs).withColumn("mix_order", F.xxhash64(F.lit(seed), "epoch", "_s", "_b"))
+    # where in its epoch a block, and in its block a document, stands
+    mixed = settled.withColumn("epoch", epochs).withColumn("mix_order", F.shiftleft(_block_place(seed, "epoch"), _DOCUMENT_BITS) + _document_place())
     return mixed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *added)

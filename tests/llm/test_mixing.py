@@ -50,6 +50,25 @@ def test_budgets_hold_to_within_a_document(spark):
     assert all(set(c.values()) == {1} and set(c) == set(range(len(c))) for c in epochs.values())
 
 
+def test_the_exposed_order_is_the_permutation_that_was_budgeted(spark):
+    """A source's partial epoch is the beginning of its order in that epoch, up to the first document that doesn't fit."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise("web").alias("source"), F.repeat(F.lit("x "), (F.col("id") % 9 + 1).cast("int")).alias("text"))
+    rows = op.mix(docs, blocks=64).collect()
+    n = {r["doc_id"]: r["doc_id"] % 9 + 1 for r in docs.collect()}
+    assert len({(r["epoch"], r["mix_order"]) for r in rows}) == len(rows)
+    every = docs.withColumn("_h", F.xxhash64(F.lit(op.SEED), "doc_id", "text")).withColumn("_b", F.pmod("_h", F.lit(64)).cast("int")).withColumnsRenamed({"source": "_s"}).withColumn("_none", F.lit(False))
+    for source in ("hot", "web"):
+        mine = [r for r in rows if r["source"] == source]
+        last = max(r["epoch"] for r in mine)
+        order = every.where(F.col("_s") == source).withColumn("e", F.lit(last)).withColumn("at", F.shiftleft(op._block_place(op.SEED, "e"), op._DOCUMENT_BITS) + op._document_place())
+        want = [(r["doc_id"], r["at"]) for r in order.orderBy("at").collect()]
+        taken = {r["doc_id"]: r["mix_order"] for r in mine if r["epoch"] == last}
+        assert all(taken[i] == at for i, at in want if i in taken)
+        budget = mine[0]["source_weight"] * sum(n.values()) - last * sum(n[i] for i, _ in want)
+        assert [i for i, _ in want[: len(taken)]] == sorted(taken, key=taken.get)
+        assert sum(n[i] for i in taken) <= budget < sum(n[i] for i, _ in want[: len(taken) + 1])
+
+
 def test_odd_rows_and_clashing_columns(docs):
     table = docs.withColumn("epoch", F.lit("theirs"))
     found = op.mix(table)
