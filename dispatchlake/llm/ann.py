@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is represented by its ``prefix`` nearest pivots in order; a
-block of the index posts its vectors in one inverted file per pivot. A query looks up the files of its own nearest
-pivots only, and each posting found lowers the vector's footrule distance (the sum over the pivots of the
-difference of their places, where a pivot beyond the prefix counts as place ``prefix``). The best
-``rerank`` + ties by footrule distance, in each block, are ranked by exact Euclidean distance.
+Pivots are a bounded sample of the vectors. A vector is represented by its ``prefix`` nearest pivots in order; this index
+is a table, made once. A block of it posts its vectors in one inverted file per pivot. A query looks up the files of its own
+``search`` nearest pivots only, and each posting found lowers the vector's footrule distance (the sum over these pivots of
+the difference of their places, where a pivot beyond the prefix counts as place ``prefix``). The best share ``rerank`` of
+each block (``LEAST`` at least), with all that tie with the last, are ranked by exact Euclidean distance.
 
 Every vector is indexed. Queries go to the blocks in sets of about ``QUERY_SET``: one set is collected, its pass over
 the index is written to the shared folder, and only then the next is collected, so the driver holds one set however
 many queries there are. A block returns ``k`` rows a query, so nothing near queries x vectors is ever shuffled. A query for which a block's files
 hold fewer than ``k`` vectors is compared with that whole block.
 
+Recall of ten neighbours on 51,282 vectors of 64 numbers, against brute force: see the README.
+
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
 components take no part, as queries or candidates; null vec_ids neither; equal distances go to the smaller
 vec_id; repeated rows are one candidate per vec_id and vector; with fewer candidates than ``k`` all are returned;
@@ -31,7 +33,10 @@ from .storage import append, cut, shared_folder
 K = 10
 PIVOTS = 256
 PREFIX = 64
-RERANK = 2000
+#: Pivots whose files a query looks up.
+SEARCH = 32
+#: Share of a block, and the least number of its vectors, that are compared exactly.
+RERANK, LEAST = 0.1, 256
 QUERY_SET = 4096
 #: Vectors in a block of the index.
 BLOCK = 8192
@@ -58,41 +63,54 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return out
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, prefix: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its id, and ids and distances of the block's nearest found."""
-    order = nearest_pivots(x, pivots, prefix)
+def _indexed(pivots: np.ndarray, prefix: int):
+    """Each vector with the numbers of its nearest pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                order = nearest_pivots(_matrix(batch["v"]), pivots, prefix).astype(np.int16)
+                yield batch.append_column("pivots", pa.array([o.tobytes() for o in order], pa.binary()))
+
+    return run
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, order: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, query_order: np.ndarray, n_pivots: int, k: int, rerank: float, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: its id, and ids and distances of the block's nearest found. ``order``: each row's nearest pivots."""
     width = order.shape[1]
     by = np.argsort(order.ravel(), kind="stable")
-    bounds = np.searchsorted(order.ravel()[by], np.arange(len(pivots) + 1))
+    bounds = np.searchsorted(order.ravel()[by], np.arange(n_pivots + 1))
     rows, places = (by // width).astype(np.int64), (by % width).astype(np.int64)
-    for qid, q, own in zip(query_ids, queries, nearest_pivots(queries, pivots, prefix), strict=True):
-        # a pivot in both prefixes replaces two absences by the difference of its places
+    most = max(least, int(rerank * len(x)))
+    for qid, q, own in zip(query_ids, queries, query_order, strict=True):
+        # a pivot in both prefixes replaces an absence by the difference of its places
         gain, seen = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         for place, pivot in enumerate(own):
             s = slice(bounds[pivot], bounds[pivot + 1])
-            gain[rows[s]] += (width - place) + (width - places[s]) - np.abs(places[s] - place)
+            gain[rows[s]] += (width - place) - np.abs(places[s] - place)
             seen[rows[s]] = True
         found = np.flatnonzero(seen & (ids != qid))
         if len(found) < k:
             found = np.flatnonzero(ids != qid)
-        elif len(found) > rerank:
+        elif len(found) > most:
             # all that tie with the last are reranked too
-            least = np.partition(gain[found], len(found) - rerank)[len(found) - rerank]
-            found = found[gain[found] >= least]
+            last = np.partition(gain[found], len(found) - most)[len(found) - most]
+            found = found[gain[found] >= last]
         distance = np.concatenate([np.sqrt(((x[found[i : i + 65536]] - q) ** 2).sum(1)) for i in range(0, len(found), 65536)]) if len(found) else np.zeros(0)
         best = np.lexsort((ids[found], distance))[:k]
         yield qid, ids[found[best]], distance[best]
 
 
-def _searched(query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, prefix: int, rerank: int):
+def _searched(query_ids: np.ndarray, queries: np.ndarray, query_order: np.ndarray, n_pivots: int, k: int, rerank: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def block() -> pa.RecordBatch:
             ids = np.concatenate([b["vec_id"].to_numpy() for b in held])
             x = np.concatenate([_matrix(b["v"]) for b in held])
+            order = np.frombuffer(b"".join(o for b in held for o in b["pivots"].to_pylist()), np.int16).reshape(len(ids), -1)
             held.clear()
-            found = list(search_block(ids, x, query_ids, queries, pivots, k, prefix, rerank))
+            found = list(search_block(ids, x, order, query_ids, queries, query_order, n_pivots, k, rerank, least))
             sizes = [len(d) for _, _, d in found]
             return pa.record_batch({
                 "query_id": np.repeat(query_ids, sizes),
@@ -116,7 +134,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, search: int = SEARCH, rerank: float = RERANK, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of ``vectors`` found for each row of ``queries``."""
     spark = vectors.sparkSession
     index = usable(vectors)
@@ -125,9 +143,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PI
     if not widths:
         return spark.createDataFrame([], schema)
     width = widths["width"]
-    index = cut(index.where(F.size("v") == width))
+    index = index.where(F.size("v") == width)
     sample = index.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
     points = np.array([r[0] for r in sample])
+    index = cut(index.mapInArrow(_indexed(points, prefix), "vec_id long, v array<double>, pivots binary"))
     asked = usable(queries).where(F.size("v") == width).distinct()
     sets = -(-asked.count() // QUERY_SET)
     if sets == 0:
@@ -141,7 +160,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PI
         if not rows and sets > 1:
             continue
         ids, x = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows])
-        found = index.mapInArrow(_searched(ids, x, points, k, prefix, rerank), "query_id long, vec_id long, score double")
+        found = index.mapInArrow(_searched(ids, x, nearest_pivots(x, points, search), len(points), k, rerank, least), "query_id long, vec_id long, score double")
         if sets > 1:
             append(_ranked(found, k).drop("rank"), path)
     if sets > 1:  # rows of one vec_id may be in several sets

@@ -31,14 +31,14 @@ def test_odd_vectors(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 7, 1.0), (0, 3, 100, 2.0), (100, 1, 0, 2.0), (100, 2, 1, five), (100, 3, 7, five)]
 
 
-@pytest.mark.parametrize("rerank", [100, op.RERANK])
-def test_recall_and_exact_scores(spark, rerank):
+@pytest.mark.parametrize(("rerank", "least"), [(op.RERANK, op.LEAST), (1.0, 1)])
+def test_recall_and_exact_scores(spark, rerank, least):
     table = spark.read.parquet(f"{DATA}/embeddings.parquet")
     rows = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in table.collect() if r["embedding"] and all(x is not None and math.isfinite(x) for x in r["embedding"]) and any(r["embedding"])}
     asked = [i for i in rows if i % 100 == 0]
     want = brute(rows, asked, 10)
     found = {}
-    for r in op.nearest(table, table.where("vec_id % 100 = 0"), rerank=rerank).collect():
+    for r in op.nearest(table, table.where("vec_id % 100 = 0"), rerank=rerank, least=least).collect():
         found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     assert set(found) == set(asked)
     for q in asked:
@@ -46,11 +46,26 @@ def test_recall_and_exact_scores(spark, rerank):
         for i, score in found[q].values():
             assert math.isclose(score, np.linalg.norm(rows[i] - rows[q]), rel_tol=1e-12)
     hits = sum(len({i for i, _ in found[q].values()} & {i for i, _ in want[q]}) for q in asked)
-    assert hits >= (1.0 if rerank > len(rows) else 0.9) * 10 * len(asked)
+    assert op.LEAST < len(rows)  # not all of them are compared exactly
+    assert hits >= (1.0 if rerank == 1 else 0.9) * 10 * len(asked)
+
+
+def test_recall_where_a_tenth_of_a_block_is_compared(spark):
+    """Blocks of more vectors than LEAST / RERANK, of made-up clusters that overlap."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 64))[rng.integers(0, 30, 12_000)] * 0.6 + rng.normal(size=(12_000, 64))
+    rows = {i: v for i, v in enumerate(x.astype(np.float32))}
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in rows.items()], SCHEMA).repartition(2)
+    want = brute(rows, [i for i in rows if i % 100 == 0], 10)
+    got: dict[int, set] = {}
+    for r in op.nearest(table, table.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * 10 * len(want)
 
 
 def test_sets_of_queries_are_answered_one_after_another(spark, monkeypatch):
-    table = spark.read.parquet(f"{DATA}/embeddings.parquet").limit(120).localCheckpoint()
+    source = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    table = spark.createDataFrame(source.limit(120).collect(), source.schema)
     asked = table.where("vec_id % 5 = 0")
     asked = asked.unionByName(asked.limit(3))
     want = sorted(map(tuple, op.nearest(table, asked).collect()))
