@@ -52,12 +52,13 @@ TEMPLATES = [
 RARE = 4
 #: Least share of a template's IDF weight that must agree.
 AGREE = 0.6
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased. No letter beyond ASCII turns into one of a base phrase."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), "")
+    """The words of a text, with A-Z lower-cased and no other letter."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), _SPLIT), "")
 
 
 def _strings(values: list[str]) -> Column:

@@ -76,3 +76,44 @@ def test_a_file_with_all_notices_has_all_their_labels(spark):
 
 def test_empty_table(no_docs):
     assert op.scan(no_docs).collect() == []
+
+
+def brute_scan(text: str | None, weight: dict[str, float]) -> tuple[str, float]:
+    """All alignments of all templates with the file, by going through every place."""
+    ws = WORD.findall((text or "").translate(LOWER))
+    labels, best = set(base(text)[4].split(",")) - {""}, 0.5 if base(text)[1] else 0.0
+    for label, notice, keys in op.TEMPLATES:
+        template = notice.split()
+        rare = sorted(set(template), key=lambda w: (-weight[w], w))[: op.RARE]
+        whole = sum(weight[w] for w in template)
+        for start in range(-len(template), len(ws)):
+            at = lambda k, start=start: ws[start + k] if 0 <= start + k < len(ws) else None
+            if not any(at(k) == w and w in rare for k, w in enumerate(template)):
+                continue
+            share = sum(weight[w] for k, w in enumerate(template) if at(k) == w) / whole
+            places = [(next(i for i in range(len(template)) if template[i : i + len(p)] == p), p) for p in (k.split() for k in keys.split("/"))]
+            if share >= op.AGREE and all([at(i + k) for k in range(len(p))] == p for i, p in places):
+                labels.add(label)
+                best = max(best, share)
+    return ",".join(sorted(labels)), min(best, 1.0)
+
+
+def test_labels_and_scores_against_every_alignment(spark, docs, texts):
+    import math
+    import random
+
+    rng = random.Random(6)
+    notices = [t.split() for _, t, _ in op.TEMPLATES]
+    made = []
+    for i in range(60):
+        words = rng.choices(["x", "license", "free", "the", "of"], k=rng.randint(0, 6))
+        for t in rng.sample(notices, rng.randint(1, 3)):
+            words += [w if rng.random() > 0.08 else "zz" for w in t[rng.randint(0, 2) :]] + ["y"]
+        made.append((1000 + i, " ".join(words)))
+    table = docs.select("doc_id", "text").unionByName(texts.select("doc_id", "text")).unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    weight = op.idf(table)
+    rows = table.collect()
+    frequent = Counter(w for r in rows for w in set(WORD.findall((r["text"] or "").translate(LOWER))))
+    assert all(math.isclose(x, math.log(1 + (len(rows) + 1) / (1 + frequent[w]))) for w, x in weight.items())
+    got = Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in op.scan(table).collect())
+    assert got == Counter((r["doc_id"], *(lambda x: (x[0], round(x[1], 9)))(brute_scan(r["text"], weight))) for r in rows)
