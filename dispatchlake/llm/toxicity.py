@@ -9,7 +9,8 @@ worst margin of its sentences, by how many of its different units are on the wro
 logistic curve over these turns them into a score.
 
 Fitting uses at most ``SAMPLE`` labelled rows (least hashes of doc_id first), two thirds for the machine, the rest
-for the curve: character runs that mark toxic texts significantly are counted in parallel; the landmarks are a cover
+for the curve. The machine is trained on the different units of the labelled texts, at most ``HARD_UNITS``,
+``OTHER_UNITS`` and ``TOXIC_UNITS`` of them: character runs that mark toxic texts significantly are counted in parallel; the landmarks are a cover
 of the toxic texts by such runs, and harmless units closest to them. Units weigh by the share of toxic and of clean
 texts that have them. Kernel values of unit and landmark that share under half of the landmark's ordered character
 pairs count as zero, which spares most evaluations; every word of every text is judged.
@@ -32,7 +33,12 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 
+#: Parameters of the fit. Labelled rows that it uses (least hashes of doc_id first):
 SAMPLE = 20_000
+#: Character runs that are ranked as marks of toxic texts, by their evidence over all rows of the sample,
+RUNS = 3_000
+#: and different units that the machine is trained on: harmless ones nearest to landmarks, other harmless ones, toxic texts' ones.
+HARD_UNITS, OTHER_UNITS, TOXIC_UNITS = 6_000, 4_000, 4_000
 LANDMARKS = 96
 HARMLESS = 40
 ORDER = 3
@@ -312,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     share = F.least(F.col("toxic") / both, F.lit(1 - 1e-9))
     # Chernoff's bound on so large a toxic share by chance
     gain = both * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
-    ranked = counts.where((F.col("toxic") >= 1) & (share > base)).withColumns({"gain": gain, "lift": share / base}).orderBy(F.desc("gain"), F.desc(F.length("run")), "run").limit(3000).collect()
+    ranked = counts.where((F.col("toxic") >= 1) & (share > base)).withColumns({"gain": gain, "lift": share / base}).orderBy(F.desc("gain"), F.desc(F.length("run")), "run").limit(RUNS).collect()
     top = [r for r in ranked if r["gain"] > 12 and r["lift"] > 2] or ranked[:50]
     seen = cut(fit.mapInArrow(_marked([r["run"] for r in top]), "unit string, toxic int, text_no long, runs array<string>"))
     # a cover of the toxic texts, each up to three times, by runs that don't overlap
@@ -338,9 +344,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             yield pa.record_batch({"unit": batch["unit"], "n": batch["n"], "near": pa.array(kernel(strings).max(1) if strings else np.zeros(0, np.float32), pa.float32())})
 
     # by how much they would weigh if they were taken for the landmark
-    hard = clean.mapInArrow(nearness, "unit string, n long, near float").orderBy(F.desc(F.col("near") * F.col("n")), F.desc("near"), "unit").limit(6000).collect()
-    good = clean.orderBy(F.xxhash64("unit")).limit(4000).collect()
-    bad = seen.where("toxic = 1").groupBy("unit").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "unit").limit(4000).collect()
+    hard = clean.mapInArrow(nearness, "unit string, n long, near float").orderBy(F.desc(F.col("near") * F.col("n")), F.desc("near"), "unit").limit(HARD_UNITS).collect()
+    good = clean.orderBy(F.xxhash64("unit"), "unit").limit(OTHER_UNITS).collect()
+    bad = seen.where("toxic = 1").groupBy("unit").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "unit").limit(TOXIC_UNITS).collect()
     units_ = {r["unit"]: (0.0, r["n"] / (fit_all - fit_toxic)) for r in [*good, *hard]}
     units_ |= {r["unit"]: (r["n"] / fit_toxic, units_.get(r["unit"], (0, 0.0))[1]) for r in bad}
     model = _fit_units(units_, landmarks + [r["unit"] for r in hard if r["unit"] not in landmarks][:HARMLESS])
