@@ -58,3 +58,34 @@ def test_run(spark):
     assert rows and len({r["shard"] for r in rows}) == 16
     for s in range(16):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_documents(spark, docs, name):
+    """Nulls in every column, empty and very long texts, copies, repeated rows and ids, columns with clashing names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    found = stage(spark, docs, DATA)
+    rows, everything = found.collect(), Counter(docs.collect())
+    if name == "sharding":
+        kept = Counter(tuple(r[c] for c in docs.columns if c != "shard") for r in rows)
+        assert kept == Counter(tuple(r[c] for c in docs.columns if c != "shard") for r in everything.elements())
+        return
+    assert found.columns == docs.columns
+    assert set(rows) <= set(everything)
+    if name == "toxicity":  # none of these words marks the labelled texts
+        assert Counter(rows) == everything
+    elif name == "simhash_near_dedup":
+        marks = {(r["doc_id"], r["mark"]): r["component_id"] for r in simhash.simhash(docs).collect()}
+        assert Counter(r["doc_id"] for r in rows if r["doc_id"] is not None) == Counter(set(marks.values()) - {None})
+    elif name == "decontamination":
+        benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
+        bad = {r["doc_id"] for r in decontaminate.contamination(docs, benchmark).where("contaminated").collect()}
+        assert Counter(rows) == Counter({r: n for r, n in everything.items() if r["doc_id"] not in bad})
+    else:
+        assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in everything}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_an_empty_table(spark, no_docs, name):
+    found = dict(corpus_pipeline.STAGES)[name](spark, no_docs, DATA)
+    assert found.collect() == [] and set(no_docs.columns) <= set(found.columns)
