@@ -8,14 +8,15 @@ elements whose class names another role only if the page has no other article te
 their name or hidden drop what is in them, and an article inside an article has no privilege.
 
 Then the host decides. The words of many pages of one host are concatenated to one stream, its suffix array (prefix
-doubling, to the depth of ``RUN`` words) shows which runs of ``RUN`` or more words occur on ``PAGES`` or more pages of
-different content, and blocks that such runs cover by more than ``COVERED`` are boilerplate. The evidence is what pages set
-aside or leave outside their articles, and all of pages without an article. So
+doubling, to the depth of a run's words) shows which runs occur on ``PAGES`` or more pages of different content, and blocks
+that such runs cover by more than ``COVERED`` are boilerplate. The evidence is what pages set aside or leave outside their
+articles, and all of pages without an article. So
 
-* on pages without an article (or with one without any text left), candidate blocks go that the host repeats; blocks
-  shorter than a run count as covered if the whole block is repeated so;
-* on pages with an article, its blocks go that are covered by what the host repeats outside of articles: a menu or footer
-  that some pages have inside. What only articles share stays: passages and copies of an article are no boilerplate.
+* on pages without an article (or with one without any text left), candidate blocks go that are covered by runs of ``RUN``
+  words; blocks shorter than a run count as covered if the whole block is repeated so;
+* on pages with an article, its blocks go that are covered by runs of ``ARTICLE_RUN`` words that the host repeats outside of
+  articles: a long notice or menu that some pages have inside. Shorter ones don't tell: titles and sentences of articles stand in
+  footers and teasers too. What only articles share stays: passages and copies of an article are no boilerplate.
 
 A host's different contents are dealt to sets of about ``GROUP`` by a hash of the content, so a host with a third
 of all pages is many sets. A set only proposes: its suffix array gives each of its runs and the number of its
@@ -42,6 +43,7 @@ from .decontaminate import suffix_array
 from .storage import cut
 
 RUN = 8
+ARTICLE_RUN = 32
 PAGES = 3
 COVERED = 0.7
 GROUP = 1000
@@ -238,10 +240,16 @@ def boilerplate(pages: list[list[str]], run: int = RUN, pages_least: int = PAGES
 
 
 def _proposed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    runs = Runs([list(b) for b in rows["blocks"]])
-    found = pd.DataFrame({"host": key[0], "part": key[1], "run": runs.keys, "n": runs.spread})
+    """Runs of a set, and the number of its contents with each; those of ``RUN`` words only where the host has pages without an article."""
+    host, part, groups, asked = key
+    pages = [list(b) for b in rows["blocks"]]
+    found = []
+    for long in (True, False) if asked else (True,):
+        runs = Runs(pages, ARTICLE_RUN, short=False) if long else Runs(pages)
+        found.append(pd.DataFrame({"host": host, "part": part, "long": long, "run": runs.keys, "n": runs.spread}))
+    out = pd.concat(found)
     # the only set of a host has the host's sums
-    return found[found["n"] >= PAGES] if key[2] == 1 else found
+    return out[out["n"] >= PAGES] if groups == 1 else out
 
 
 def _judged(rows: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +263,7 @@ def _judged(rows: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
 def _cleaned(rows: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
     """Texts of articles, without blocks that the host repeats outside of articles."""
     pages = [list(b) for b in rows["article"]]
-    runs = Runs(pages, short=False)
+    runs = Runs(pages, ARTICLE_RUN, short=False)
     drop = runs.covered(np.isin(runs.keys, common["run"].to_numpy(np.int64)))
     plain = {c: pd.Series([None if pd.isna(x) else x for x in rows[c]], dtype=object) for c in ("page_id", "url")}
     return pd.DataFrame({**plain, "text": _joined(pages, drop)})
@@ -275,20 +283,21 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     # the evidence: different contents of each host, without their articles
     contents = named.where(F.size("blocks") > 0).groupBy("host", "content").agg(F.first("blocks").alias("blocks"), F.first(F.col("article").isNull()).alias("open"))
     contents = cut(contents)
-    sizes = contents.groupBy("host").agg(F.ceil(F.count("*") / group).cast("long").alias("groups"))
-    dealt = contents.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("content"), F.col("groups")))
-    proposed = dealt.groupBy("host", "part", "groups").applyInPandas(_proposed, "host string, part long, run long, n long")
-    sums = cut(proposed.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where(F.col("n") >= PAGES))
+    sizes = cut(contents.groupBy("host").agg(F.ceil(F.count("*") / group).cast("long").alias("groups"), F.bool_or("open").alias("asked")))
+    dealt = contents.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("content"), F.col("groups"))).repartition("host", "part")
+    proposed = dealt.groupBy("host", "part", "groups", "asked").applyInPandas(_proposed, "host string, part long, long boolean, run long, n long")
+    sums = cut(proposed.groupBy("host", "long", "run").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where(F.col("n") >= PAGES))
     # pages without an article
-    common = sums.select("host", F.explode("parts").alias("part"), "run")
+    common = sums.where("not long").select("host", F.explode("parts").alias("part"), "run")
     judged = dealt.where("open").groupBy("host", "part").cogroup(common.groupBy("host", "part")).applyInPandas(_judged, "host string, content string, text string")
     open_ = named.where("article is null")
     found = open_.join(judged, ["host", "content"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    # articles of hosts that repeat anything outside of them; sets hold a part of a host's pages, whatever these are
+    # articles of hosts that repeat such long runs outside of them; sets hold a part of a host's pages, whatever these are
     articles = named.where("article is not null").select("page_id", "url", "host", "content", "article")
-    hosts = cut(articles.groupBy("host").agg(F.ceil(F.count("*") / group).cast("long").alias("groups")).join(sums.select("host").distinct(), "host", "left_semi"))
+    evidence = sums.where("long").select("host", "run")
+    hosts = cut(articles.join(evidence.select("host").distinct(), "host", "left_semi").groupBy("host").agg(F.ceil(F.count("*") / group).cast("long").alias("groups")))
     sets = articles.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("content", "page_id"), F.col("groups")))
-    evidence = sums.select("host", "run").join(hosts, "host").select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"))
+    evidence = evidence.join(hosts, "host").select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"))
     cleaned = sets.groupBy("host", "part").cogroup(evidence.groupBy("host", "part")).applyInPandas(_cleaned, "page_id long, url string, text string")
     plain = articles.join(hosts, "host", "left_anti").select("page_id", "url", F.array_join("article", "\n\n").alias("text"))
     return found.unionByName(cleaned).unionByName(plain).withColumn("n_chars", F.length("text").cast("long"))

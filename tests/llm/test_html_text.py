@@ -108,14 +108,14 @@ def test_articles_lose_what_the_host_repeats_outside_of_them(spark):
     """A footer that most pages of the host set aside, and some have inside their article."""
     rng = random.Random(8)
     say = lambda k: " ".join(rng.choices([f"v{i}" for i in range(500)], k=k))
-    footer, passage = say(14), say(40)
+    footer, passage, line = say(40), say(45), say(12)
     rows, want = [], {}
     for i in range(24):
         own = say(25)
         inside = i % 6 == 5
-        article = f"<p>{own}</p><p>{passage}</p>" + (f"<p>{footer}</p>" if inside else "")
-        rows.append((i, "https://e.org/x", f"<article>{article}</article>" + ("" if inside else f"<footer>{footer}</footer><nav><li>Sign</li></nav>"), None, None))
-        want[i] = f"{own}\n\n{passage}"
+        article = f"<h1>{line}</h1><p>{own}</p><p>{passage}</p>" + (f"<p>{footer}</p>" if inside else "")
+        rows.append((i, "https://e.org/x", f"<article>{article}</article>" + ("" if inside else f"<div>{line}</div><footer>{footer}</footer><nav><li>Sign</li></nav>"), None, None))
+        want[i] = f"{line}\n\n{own}\n\n{passage}"  # a short line may be a title that stands in teasers too
     # a block that is one short word is no boilerplate of an article, whatever the menus have
     rows.append((90, "https://e.org/y", "<article><p>Sign</p></article>", None, None))
     want[90] = "Sign"
