@@ -47,6 +47,32 @@ def query(name: str, sql: str | None = None, *tables: str) -> Callable[[Query],
 # Scans, sources, sinks
 
 
+@query("s1_open_store", "SELECT * FROM (VALUES ('days', 0), ('customers', 0), ('settings', 0)) AS t(name, n)")
+def _(spark, d):
+    tables = store.Store(spark, store.own_folder(spark))
+    schemas = {"days": "business_date date, status string", "customers": "phone_key string, name string", "settings": "key string, value string"}
+    for _ in range(2):  # opening again changes nothing
+        for name, schema in schemas.items():
+            tables.create(name, schema)
+    counts = [tables.read(name).agg(F.lit(name).alias("name"), F.count("*").cast("int").alias("n")) for name in schemas]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("s2_transaction", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT NULL, NULL")
+def _(spark, d):
+    """A version that a later one replaces, a lookup of a missing row (one row of nulls), and all rows of the last version."""
+    tables = store.Store(spark, store.own_folder(spark))
+    tables.create("customers", "c_custkey bigint, c_name string")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name")
+    tables.write("customers", rows)
+    tables.write("customers", tables.read("customers").where("c_custkey % 2 = 0"))
+    missing = spark.range(1).join(store.lookup(tables.read("customers"), "c_custkey", -1), F.lit(True), "left").select("c_custkey", "c_name")
+    return tables.read("customers").unionByName(missing)
+
+
+query("s12_photo_files")(lambda spark, d: store.photos(spark, f"{d}/{{nation,region}}.parquet").select("frame_id", "file", "kilobytes", F.length("content").alias("bytes")))
+
+
 @query("s3_point_lookup", "SELECT stop_id, name, status FROM stops WHERE stop_id = 77", STOPS_SQL)
 def _(spark, d):
     return store.lookup(stops(spark, d), "stop_id", 77).select("stop_id", "name", "status")

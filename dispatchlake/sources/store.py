@@ -1,6 +1,8 @@
 """Keyed tables in folders of parquet: days, customers, settings, gazetteer packages, texts."""
 
 import json
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +71,16 @@ def frames_to_retry(frames: DataFrame, key: str, order: str, most: int = RETRY_F
     return frames.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder that all machines share: in ``spark.checkpoint.dir``, or a temporary one where there is only this machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/store-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="store-")
+
+
 class Store:
     """Tables under one folder. A write makes a new version beside the old one and then points to it."""
 
