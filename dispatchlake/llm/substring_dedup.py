@@ -160,7 +160,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED
     # the aggregates are written, so that adaptive execution can split the joins' hot keys: both sides are plain exchanges
     first = found.groupBy(*key).agg(F.min("doc_id").alias("low"), F.count("*").alias("times"))
     # stretches of a seed that has several different ones
-    first = cut(first.withColumn("mixed", F.count("*").over(Window.partitionBy("seed")) > 1).where("mixed or times > 1"))
+    several = cut(found.groupBy("seed").agg(F.min("words").alias("a"), F.max("words").alias("b")).where("a < b").select("seed", F.lit(True).alias("mixed")))
+    first = cut(first.join(several, "seed", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("mixed or times > 1"))
+    uncut(several)
     open_ = F.col("mixed") & (F.col("doc_id") == F.col("low"))
     settled = cut(found.join(first, key).where(open_ | (F.col("doc_id") > F.col("low"))).select(F.when(open_, F.col("seed")).alias("open"), "doc_id", "key", "place", "n"))
     uncut(found)
