@@ -63,6 +63,16 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return out
 
 
+def _pivots(index: DataFrame, n: int, pivots: int) -> np.ndarray:
+    """Different vectors, least hashes first, from a part of the table that has them in plenty: all of it is never sorted or made distinct."""
+    hashed = F.xxhash64("v")
+    for part in (max(1, n // (64 * pivots)), 1):
+        rows = index.where(F.pmod(hashed, F.lit(part)) == 0).select("v").distinct().orderBy(hashed, "v").limit(pivots).collect()
+        if len(rows) == pivots or part == 1:
+            break
+    return np.array([r[0] for r in rows])
+
+
 def _indexed(pivots: np.ndarray, prefix: int):
     """Each vector with the numbers of its nearest pivots."""
 
@@ -144,8 +154,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PI
         return spark.createDataFrame([], schema)
     width = widths["width"]
     index = index.where(F.size("v") == width)
-    sample = index.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
-    points = np.array([r[0] for r in sample])
+    points = _pivots(index, widths["count"], pivots)
     index = cut(index.mapInArrow(_indexed(points, prefix), "vec_id long, v array<double>, pivots binary"))
     asked = usable(queries).where(F.size("v") == width).distinct()
     sets = -(-asked.count() // QUERY_SET)
