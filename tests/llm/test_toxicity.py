@@ -99,3 +99,43 @@ def test_labels_of_the_held_out_fold_are_not_learned(sample, model):
     turned = labels.selectExpr("doc_id", "quality", f"if({op.fold()} = 2, 1 - toxic, toxic) as toxic")
     other = op.train(docs, turned)
     assert other.kernel.landmarks == model.kernel.landmarks and np.allclose(other.weights, model.weights) and np.allclose(other.curve, model.curve)
+
+
+def naive_score(text: str | None, model: op.Model) -> float:
+    """A text's score from the definitions: every unit against every landmark, one by one."""
+
+    def kernel(s: str, t: str) -> float:
+        # common subsequences of ORDER characters that end at each pair of places, by their spans
+        ends = {(i, j): op.DECAY**2 for i in range(len(s)) for j in range(len(t)) if s[i] == t[j]}
+        for _ in range(op.ORDER - 1):
+            ends = {(i, j): sum(v * op.DECAY ** (i - a + j - b) for (a, b), v in ends.items() if a < i and b < j) for i in range(len(s)) for j in range(len(t)) if s[i] == t[j]}
+        return sum(ends.values())
+
+    def pairs(s: str) -> set[int]:
+        return {(ord(s[i]) * 131 + ord(s[i + g]) * 7) % op._PAIR_BUCKETS for g in range(1, op._PAIR_GAP + 1) for i in range(len(s) - g)}
+
+    def margin(word: str) -> float:
+        best = model.bias
+        parts = op.units(word)
+        for k, u in enumerate(parts):
+            m = model.bias
+            for mark, weight in zip(model.kernel.landmarks, model.weights, strict=True):
+                if 2 * len(pairs(u) & pairs(mark)) >= len(pairs(mark)):
+                    m += weight * kernel(u, mark) / math.sqrt(kernel(u, u) * kernel(mark, mark))
+            best = m if k == 0 else max(best, m)
+        return best
+
+    margins = [margin(w) for w in op.words_of(text)]
+    over = [m for m in margins if m > 0]
+    x = [max([*margins, model.bias]), math.log1p(len(over)), math.log1p(sum(over)), math.log1p(1000 * sum(over) / (20 + len(margins))), 1]
+    return 1 / (1 + math.exp(-min(40, max(-40, float(np.dot(x, model.curve))))))
+
+
+def test_scores_are_those_of_the_definitions(sample, model):
+    docs, _ = sample
+    rows = docs.where("doc_id < 60 or doc_id between 2000 and 2002").select("doc_id", "text").collect()
+    got: dict = {}
+    for r in op.score(docs, model).collect():
+        got.setdefault(r["doc_id"], r["score"])
+    for r in rows:
+        assert math.isclose(got[r["doc_id"]], naive_score(r["text"], model), abs_tol=2e-3), r
