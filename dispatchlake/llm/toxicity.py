@@ -4,9 +4,10 @@ A sentence is judged by its units: its words without outer punctuation, words wi
 taken out, and runs of single letters read as one word, so an insult may be gapped or have characters put in. The
 gap-weighted subsequence kernel (Lodhi et al. 2002: all common subsequences of ``ORDER`` characters, each character
 of their span costing a factor ``DECAY``) compares a unit with the landmarks; the Nystroem map turns the kernel
-values into features, and a linear machine trained with hinge loss gives the unit's margin. A text is judged by the
-worst margin of its sentences, by how many of its different units are on the wrong side, how far, and how densely; a
-logistic curve over these turns them into a score.
+values into features. Two linear machines are trained with hinge loss on them. The first is trained on the labelled texts:
+a text's kernel value with a landmark is the greatest of its units'. The second gives each unit's margin, from units that
+weigh by the labels of the texts that have them. A text is judged by its own margin, by the worst of its units', by how many
+of its different units are on the wrong side, how far, and how densely; a logistic curve over these turns them into a score.
 
 Fitting uses at most ``SAMPLE`` labelled rows (least hashes of doc_id first), two thirds for the machine, the rest
 for the curve. The machine is trained on the different units of the labelled texts, at most ``HARD_UNITS``,
@@ -24,7 +25,7 @@ by one; extra columns are not read.
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -148,31 +149,53 @@ class Kernel:
         return out
 
 
+@dataclass
+class Cache:
+    """What a task has found out of words: their margins, and the kernel values of those that are like a landmark."""
+
+    margins: dict[str, float] = field(default_factory=dict)
+    values: dict[str, np.ndarray] = field(default_factory=dict)
+
+
 @dataclass
 class Model:
     kernel: Kernel
     weights: np.ndarray  # of the kernel values: the Nystroem map and the machine's weights in one
     bias: float
+    nystroem: np.ndarray
+    text_weights: np.ndarray | None = None  # the same of the machine of texts
     curve: np.ndarray | None = None  # of the text's features, and a constant
 
-    def margins(self, strings: list[str]) -> np.ndarray:
-        return self.kernel(strings) @ self.weights + self.bias
-
-    def features(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
-        """Of each text: worst margin (at least that of a unit like no landmark), units on the wrong side, how far, how densely."""
+    def rows(self, texts: list[str | None], cache: Cache) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text: its units' margins, word by word, and its kernel values."""
         bags = [words_of(t) for t in texts]
-        if len(cache) > _CACHE:
-            cache.clear()
-        new = list(set().union(*bags) - cache.keys()) if bags else []
+        if len(cache.margins) > _CACHE:
+            cache.margins.clear()
+            cache.values.clear()
+        new = list(set().union(*bags) - cache.margins.keys()) if bags else []
         parts = [units(w) for w in new]
-        values = iter(self.margins([u for p in parts for u in p]).tolist())
-        for word, p in zip(new, parts, strict=True):
-            cache[word] = max((next(values) for _ in p), default=self.bias)
-        out = np.empty((len(bags), 5))
-        for i, bag in enumerate(bags):
-            m = np.fromiter(map(cache.__getitem__, bag), np.float64, len(bag))
+        values = self.kernel([u for p in parts for u in p])
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        some = np.flatnonzero(sizes)
+        margins = np.full(len(new), self.bias)
+        if len(some):
+            first = (np.cumsum(sizes) - sizes)[some]
+            margins[some] = np.maximum.reduceat(values @ self.weights + self.bias, first)
+            for k in np.flatnonzero(np.logical_or.reduceat(values.any(1), first)):
+                cache.values[new[some[k]]] = values[first[k] : first[k] + sizes[some[k]]].max(0)
+        cache.margins.update(zip(new, margins.tolist(), strict=True))
+        none = np.zeros(len(self.weights), np.float32)
+        for bag in bags:
+            alike = [cache.values[w] for w in bag if w in cache.values]
+            yield np.fromiter(map(cache.margins.__getitem__, bag), np.float64, len(bag)), np.max(alike, axis=0) if alike else none
+
+    def features(self, texts: list[str | None], cache: Cache) -> np.ndarray:
+        """Of each text: its margin, its units' worst margin (at least that of a unit like no landmark), units on the wrong side, how far, how densely."""
+        out = np.empty((len(texts), 6))
+        for i, (m, values) in enumerate(self.rows(texts, cache)):
             over = m[m > 0]
-            out[i] = max(m.max(initial=self.bias), self.bias), np.log1p(len(over)), np.log1p(over.sum()), np.log1p(1000 * over.sum() / (20 + len(bag))), 1
+            own = float(values @ self.text_weights) + PLAIN
+            out[i] = own, max(m.max(initial=self.bias), self.bias), np.log1p(len(over)), np.log1p(over.sum()), np.log1p(1000 * over.sum() / (20 + len(m))), 1
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -262,18 +285,18 @@ def _fit_units(counts: dict[str, tuple[float, float]], landmarks: list[str]) ->
     cost = np.concatenate([more[bad], HARM * shares[good, 1]])
     y = np.repeat([1.0, -1.0], [bad.sum(), good.sum()])
     w = _hinge(x, y, 1000 * cost)
-    return Model(kernel, nystroem @ w, PLAIN)
+    return Model(kernel, nystroem @ w, PLAIN, nystroem)
 
 
-def _judged(model: Model, columns: tuple[str, ...], result, name: str, kind: pa.DataType):
-    """The columns, and what ``result`` makes of the texts' features."""
+def _judged(columns: tuple[str, ...], result, name: str, kind: pa.DataType):
+    """The columns, and what ``result`` makes of some texts, with a cache of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache = Cache()
         for batch in batches:
             for k in range(0, len(batch), 64):
                 part = batch.slice(k, 64)
-                found = result(model.features(part["text"].to_pylist(), cache))
+                found = result(part["text"].to_pylist(), cache)
                 yield pa.record_batch({**{c: part[c] for c in columns}, name: pa.array(found.tolist(), kind)})
 
     return run
@@ -352,7 +375,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     units_ = {r["unit"]: (0.0, r["n"] / (fit_all - fit_toxic)) for r in [*good, *hard]}
     units_ |= {r["unit"]: (r["n"] / fit_toxic, units_.get(r["unit"], (0, 0.0))[1]) for r in bad}
     model = _fit_units(units_, landmarks + [r["unit"] for r in hard if r["unit"] not in landmarks][:HARMLESS])
-    got = rest.mapInArrow(_judged(model, ("toxic",), lambda x: x, "features", pa.list_(pa.float64())), "toxic int, features array<double>").collect()
+    # the machine of texts: a row for each labelled text of the sample
+    kernels = lambda texts, cache: np.array([k for _, k in model.rows(texts, cache)])
+    seen = fit.mapInArrow(_judged(("toxic",), kernels, "values", pa.list_(pa.float32())), "toxic int, values array<float>").toArrow()
+    toxic = seen["toxic"].to_numpy() > 0
+    values = seen["values"].combine_chunks().flatten().to_numpy().reshape(len(toxic), -1) @ model.nystroem
+    alike = values.any(1)
+    share = np.where(toxic, 1 / max(1, toxic.sum()), HARM / max(1, (~toxic).sum()))
+    model.text_weights = model.nystroem @ _hinge(values[alike], np.where(toxic, 1.0, -1.0)[alike], 1000 * share[alike])
+    got = rest.mapInArrow(_judged(("toxic",), model.features, "features", pa.list_(pa.float64())), "toxic int, features array<double>").collect()
     model.curve = _logistic(np.array([r["features"] for r in got]), np.array([float(r["toxic"] > 0) for r in got]))
     return model
 
@@ -362,7 +393,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    return docs.mapInArrow(_judged(model, ("doc_id",), model.score, "score", pa.float64()), "doc_id long, score double")
+    return docs.mapInArrow(_judged(("doc_id",), lambda texts, cache: model.score(model.features(texts, cache)), "score", pa.float64()), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -371,7 +402,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache = Cache()
         for batch in batches:
             for k in range(0, len(batch), 64):
                 part = batch.slice(k, 64)

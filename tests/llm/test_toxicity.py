@@ -114,20 +114,15 @@ def naive_score(text: str | None, model: op.Model) -> float:
     def pairs(s: str) -> set[int]:
         return {(ord(s[i]) * 131 + ord(s[i + g]) * 7) % op._PAIR_BUCKETS for g in range(1, op._PAIR_GAP + 1) for i in range(len(s) - g)}
 
-    def margin(word: str) -> float:
-        best = model.bias
-        parts = op.units(word)
-        for k, u in enumerate(parts):
-            m = model.bias
-            for mark, weight in zip(model.kernel.landmarks, model.weights, strict=True):
-                if 2 * len(pairs(u) & pairs(mark)) >= len(pairs(mark)):
-                    m += weight * kernel(u, mark) / math.sqrt(kernel(u, u) * kernel(mark, mark))
-            best = m if k == 0 else max(best, m)
-        return best
-
-    margins = [margin(w) for w in op.words_of(text)]
+    def values(unit: str) -> list[float]:
+        near = lambda mark: 2 * len(pairs(unit) & pairs(mark)) >= len(pairs(mark))
+        return [kernel(unit, mark) / math.sqrt(kernel(unit, unit) * kernel(mark, mark)) if near(mark) else 0.0 for mark in model.kernel.landmarks]
+
+    words = [[values(u) for u in op.units(w)] for w in op.words_of(text)]
+    margins = [max((float(np.dot(v, model.weights)) + model.bias for v in w), default=model.bias) for w in words]
+    most = np.max([np.zeros(len(model.weights)), *[v for w in words for v in w]], axis=0)
     over = [m for m in margins if m > 0]
-    x = [max([*margins, model.bias]), math.log1p(len(over)), math.log1p(sum(over)), math.log1p(1000 * sum(over) / (20 + len(margins))), 1]
+    x = [float(most @ model.text_weights) + op.PLAIN, max([*margins, model.bias]), math.log1p(len(over)), math.log1p(sum(over)), math.log1p(1000 * sum(over) / (20 + len(margins))), 1]
     return 1 / (1 + math.exp(-min(40, max(-40, float(np.dot(x, model.curve))))))
 
 
