@@ -535,7 +535,7 @@ def _asked(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         logs = np.log10(vocabulary.counts + 1.0)
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = TaskContext.get().partitionId() << 24  # a row is its chunk and 16 bits
         held: list[np.ndarray] = []
         info: list[tuple] = []
         size = 0
