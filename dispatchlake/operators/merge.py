@@ -1,13 +1,14 @@
 """Merging scans into a day's stops: an ordered fold per day, in batch and on a stream.
 
 Whether a scan merges depends on stops that earlier scans have changed already, so no aggregation gives the same
-result in general. The fold's state is one day's stops. Looking up a stop is by document number, else by grid cell,
-so a day of n scans costs about n lookups, not n squared. :func:`by_document_number` is the set form for scans that
-all have document numbers and coordinates.
+result in general. But scans can only meet in one stop if they are connected by equal document numbers or neighbouring grid
+cells, since a stop always stands where one of its scans did. So in batch each connected component of a day is folded apart,
+and stops are numbered afterwards, by their first scans. On a stream the fold's state is one day's stops. Looking up a stop
+is by document number, else by grid cell, so n scans cost about n lookups, not n squared. :func:`by_document_number` is
+the set form for scans that all have document numbers and coordinates.
 """
 
 import math
-from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import DEGREE_M, EARTH_M
+from ..functions.geo import DEGREE_M, EARTH_M, around, cell
+from ..functions.text import plain_name, trimmed
+from .graphs import components
 from .ledger import DAY, NEAR_M
 
 # Fixed values.
@@ -128,32 +131,45 @@ def _records(rows: pd.DataFrame) -> list[dict]:
     return rows.astype(object).where(rows.notna(), None).to_dict("records")
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    day = DayStops()
-    for batch in batches:
-        for scan in _records(batch):
-            day.merge(scan)
-    yield day.table(key[0])
-
-
 def scans(stops: DataFrame) -> DataFrame:
     """The columns of the fold from any table that has some of them."""
-    from ..functions.text import plain_name
-
     have = {c: F.col(c) if c in stops.columns else F.lit(None) for c in _SCAN if c not in ("plain", "scan_id")}
     kinds = {"pieces": "int", "confidence": "int", "lat": "double", "lng": "double", "road_offset_m": "double", "warnings": "array<string>"}
     return stops.select(DAY, "ts", F.col("stop_id").cast("long").alias("scan_id"), *[c.cast(kinds.get(n, "string")).alias(n) for n, c in have.items()], plain_name(F.col("name")).alias("plain"))
 
 
+def connected(scans_: DataFrame) -> DataFrame:
+    """The scans with ``component``: no stop can hold scans of two of them."""
+    y, x = cell(F.col("lat"), F.col("lng"), NEAR_M)
+    number = trimmed(F.col("doc_no").cast("string"))
+    rows = scans_.withColumns({"_y": y, "_x": x, "_doc": F.when(number != "", F.xxhash64(DAY, F.lit("number"), number))})
+    rows = rows.withColumn("_cell", F.when(F.col("lat").isNotNull(), F.xxhash64(DAY, F.lit("cell"), "_y", "_x")))
+    tied = rows.where("_doc is not null and _cell is not null").select(F.col("_doc").alias("u"), F.col("_cell").alias("v")).distinct()
+    cells = rows.where("_cell is not null").select(DAY, F.col("_y").alias("cell_lat"), F.col("_x").alias("cell_lng"), "_cell").distinct()
+    beside = cells.select(DAY, F.col("_cell").alias("u"), F.inline(around(F.col("cell_lat"), F.col("cell_lng")))).join(cells.withColumnRenamed("_cell", "v"), [DAY, "cell_lat", "cell_lng"])
+    found = components(tied.unionByName(beside.where("u < v").select("u", "v")))
+    rows = rows.withColumn("node", F.coalesce("_cell", "_doc", F.xxhash64(DAY, F.lit("scan"), "scan_id"))).join(found, "node", "left")
+    return rows.withColumn("component", F.coalesce("component", "node")).drop("node", "_y", "_x", "_doc", "_cell")
+
+
 def merge_scans(scans_: DataFrame) -> DataFrame:
     """Stops of each day after its scans, in order of arrival (ts, then scan_id)."""
-    ordered = scans_.repartition(DAY).sortWithinPartitions(DAY, "ts", "scan_id")
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "scan_id"], kind="stable")
-        return next(_fold(key, iter([rows])))
+        day, first = DayStops(), []
+        for scan in _records(rows):
+            before = len(day.stops)
+            day.merge(scan)
+            if len(day.stops) > before:
+                first.append((scan["ts"], scan["scan_id"]))
+        out = day.table(key[0])
+        out["first_ts"], out["first_scan"] = [t for t, _ in first], [n for _, n in first]
+        return out
 
-    return ordered.groupBy(DAY).applyInPandas(fold, STOP_SCHEMA)
+    folded = connected(scans_).groupBy(DAY, "component").applyInPandas(fold, STOP_SCHEMA + ", first_ts timestamp_ntz, first_scan long")
+    place = F.row_number().over(Window.partitionBy(DAY).orderBy("first_ts", "first_scan"))
+    return folded.withColumn("stop_id", place).drop("first_ts", "first_scan")
 
 
 def by_document_number(scans_: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """Keyed tables in folders of parquet: days, customers, settings, gazetteer packages, texts."""
 
 import json
-import tempfile
 import uuid
 from typing import Any
 
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.ledger import upsert
+from .shared import shared_folder
 
 # Fixed value: frames that are kept for another try.
 RETRY_FRAMES = 6
@@ -72,13 +72,8 @@ def frames_to_retry(frames: DataFrame, key: str, order: str, most: int = RETRY_F
 
 
 def own_folder(spark: SparkSession) -> str:
-    """A new folder that all machines share: in ``spark.checkpoint.dir``, or a temporary one where there is only this machine."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/store-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="store-")
+    """A new folder that all machines share."""
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 class Store:
