@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.graphs import components
 from .storage import cut
 from .tokens import utf8
 
