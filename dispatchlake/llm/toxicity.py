@@ -5,7 +5,8 @@ taken out, and runs of single letters read as one word, so an insult may be gapp
 gap-weighted subsequence kernel (Lodhi et al. 2002: all common subsequences of ``ORDER`` characters, each character
 of their span costing a factor ``DECAY``) compares a unit with the landmarks; the Nystroem map turns the kernel
 values into features. Two linear machines are trained with hinge loss on them. The first is trained on the labelled texts:
-a text's kernel value with a landmark is the greatest of its units'. The second gives each unit's margin, from units that
+a text's kernel value with a landmark is the sum of its different units' to the fourth power, which is a kernel too (a sum
+of products), where a near match outweighs many far ones. The second gives each unit's margin, from units that
 weigh by the labels of the texts that have them. A text is judged by its own margin, by the worst of its units', by how many
 of its different units are on the wrong side, how far, and how densely; a logistic curve over these turns them into a score.
 
@@ -25,7 +26,7 @@ by one; extra columns are not read.
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,9 +81,9 @@ def words_of(text: str | None) -> set[str]:
 
 
 def _codes(strings: list[str], pad: int) -> np.ndarray:
-    out = np.full((len(strings), max(map(len, strings), default=1) or 1), pad, np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = [ord(c) for c in s]
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    out = np.full((len(strings), int(sizes.max(initial=1)) or 1), pad, np.int32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.int32)
     return out
 
 
@@ -149,14 +150,6 @@ class Kernel:
         return out
 
 
-@dataclass
-class Cache:
-    """What a task has found out of words: their margins, and the kernel values of those that are like a landmark."""
-
-    margins: dict[str, float] = field(default_factory=dict)
-    values: dict[str, np.ndarray] = field(default_factory=dict)
-
-
 @dataclass
 class Model:
     kernel: Kernel
@@ -166,36 +159,49 @@ class Model:
     text_weights: np.ndarray | None = None  # the same of the machine of texts
     curve: np.ndarray | None = None  # of the text's features, and a constant
 
-    def rows(self, texts: list[str | None], cache: Cache) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text: its units' margins, word by word, and its kernel values."""
-        bags = [words_of(t) for t in texts]
-        if len(cache.margins) > _CACHE:
-            cache.margins.clear()
-            cache.values.clear()
-        new = list(set().union(*bags) - cache.margins.keys()) if bags else []
-        parts = [units(w) for w in new]
+    def judge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's worst margin of its units, and what it adds to its text's kernel values (without a machine of texts) or margin."""
+        parts = [units(w) for w in words]
         values = self.kernel([u for p in parts for u in p])
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         some = np.flatnonzero(sizes)
-        margins = np.full(len(new), self.bias)
+        square = values * values
+        sharp = square * square
+        adds = sharp if self.text_weights is None else (sharp @ self.text_weights)[:, None]
+        margins, added = np.full(len(words), self.bias), np.zeros((len(words), adds.shape[1]), np.float32)
         if len(some):
             first = (np.cumsum(sizes) - sizes)[some]
             margins[some] = np.maximum.reduceat(values @ self.weights + self.bias, first)
-            for k in np.flatnonzero(np.logical_or.reduceat(values.any(1), first)):
-                cache.values[new[some[k]]] = values[first[k] : first[k] + sizes[some[k]]].max(0)
-        cache.margins.update(zip(new, margins.tolist(), strict=True))
-        none = np.zeros(len(self.weights), np.float32)
-        for bag in bags:
-            alike = [cache.values[w] for w in bag if w in cache.values]
-            yield np.fromiter(map(cache.margins.__getitem__, bag), np.float64, len(bag)), np.max(alike, axis=0) if alike else none
-
-    def features(self, texts: list[str | None], cache: Cache) -> np.ndarray:
+            added[some] = np.add.reduceat(adds, first, axis=0)
+        return margins, added
+
+    def features(self, texts: list[str | None], cache: dict[str, complex]) -> np.ndarray:
         """Of each text: its margin, its units' worst margin (at least that of a unit like no landmark), units on the wrong side, how far, how densely."""
-        out = np.empty((len(texts), 6))
-        for i, (m, values) in enumerate(self.rows(texts, cache)):
+        bags = [words_of(t) for t in texts]
+        if len(cache) > _CACHE:
+            cache.clear()
+        new = list(set().union(*bags) - cache.keys()) if bags else []
+        margins, added = self.judge(new)
+        cache.update(zip(new, (margins + 1j * added[:, 0]).tolist(), strict=True))  # both in one number
+        out = np.empty((len(bags), 6))
+        for i, bag in enumerate(bags):
+            found = np.fromiter(map(cache.__getitem__, bag), np.complex128, len(bag))
+            m = found.real
             over = m[m > 0]
-            own = float(values @ self.text_weights) + PLAIN
-            out[i] = own, max(m.max(initial=self.bias), self.bias), np.log1p(len(over)), np.log1p(over.sum()), np.log1p(1000 * over.sum() / (20 + len(m))), 1
+            out[i] = found.imag.sum() + PLAIN, max(m.max(initial=self.bias), self.bias), np.log1p(len(over)), np.log1p(over.sum()), np.log1p(1000 * over.sum() / (20 + len(bag))), 1
+        return out
+
+    def text_kernels(self, texts: list[str | None], cache: dict[str, np.ndarray | None]) -> np.ndarray:
+        """Of each text: its kernel values with the landmarks."""
+        bags = [words_of(t) for t in texts]
+        if len(cache) > _CACHE // 4:
+            cache.clear()
+        new = list(set().union(*bags) - cache.keys()) if bags else []
+        added = self.judge(new)[1]
+        cache.update((w, a if alike else None) for w, a, alike in zip(new, added, added.any(1), strict=True))
+        out = np.zeros((len(bags), len(self.weights)), np.float32)
+        for i, bag in enumerate(bags):
+            out[i] = np.sum([a for a in map(cache.get, bag) if a is not None] or [0.0], axis=0)
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -292,7 +298,7 @@ def _judged(columns: tuple[str, ...], result, name: str, kind: pa.DataType):
     """The columns, and what ``result`` makes of some texts, with a cache of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache()
+        cache: dict[str, complex] = {}
         for batch in batches:
             for k in range(0, len(batch), 64):
                 part = batch.slice(k, 64)
@@ -376,8 +382,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     units_ |= {r["unit"]: (r["n"] / fit_toxic, units_.get(r["unit"], (0, 0.0))[1]) for r in bad}
     model = _fit_units(units_, landmarks + [r["unit"] for r in hard if r["unit"] not in landmarks][:HARMLESS])
     # the machine of texts: a row for each labelled text of the sample
-    kernels = lambda texts, cache: np.array([k for _, k in model.rows(texts, cache)])
-    seen = fit.mapInArrow(_judged(("toxic",), kernels, "values", pa.list_(pa.float32())), "toxic int, values array<float>").toArrow()
+    seen = fit.mapInArrow(_judged(("toxic",), model.text_kernels, "values", pa.list_(pa.float32())), "toxic int, values array<float>").toArrow()
     toxic = seen["toxic"].to_numpy() > 0
     values = seen["values"].combine_chunks().flatten().to_numpy().reshape(len(toxic), -1) @ model.nystroem
     alike = values.any(1)
@@ -402,7 +407,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache()
+        cache: dict[str, complex] = {}
         for batch in batches:
             for k in range(0, len(batch), 64):
                 part = batch.slice(k, 64)

@@ -120,9 +120,9 @@ def naive_score(text: str | None, model: op.Model) -> float:
 
     words = [[values(u) for u in op.units(w)] for w in op.words_of(text)]
     margins = [max((float(np.dot(v, model.weights)) + model.bias for v in w), default=model.bias) for w in words]
-    most = np.max([np.zeros(len(model.weights)), *[v for w in words for v in w]], axis=0)
+    sums = np.sum([np.zeros(len(model.weights)), *[np.array(v) ** 4 for w in words for v in w]], axis=0)
     over = [m for m in margins if m > 0]
-    x = [float(most @ model.text_weights) + op.PLAIN, max([*margins, model.bias]), math.log1p(len(over)), math.log1p(sum(over)), math.log1p(1000 * sum(over) / (20 + len(margins))), 1]
+    x = [float(sums @ model.text_weights) + op.PLAIN, max([*margins, model.bias]), math.log1p(len(over)), math.log1p(sum(over)), math.log1p(1000 * sum(over) / (20 + len(margins))), 1]
     return 1 / (1 + math.exp(-min(40, max(-40, float(np.dot(x, model.curve))))))
 
 
