@@ -194,7 +194,7 @@ class Model:
     def text_kernels(self, texts: list[str | None], cache: dict[str, np.ndarray | None]) -> np.ndarray:
         """Of each text: its kernel values with the landmarks."""
         bags = [words_of(t) for t in texts]
-        if len(cache) > _CACHE // 4:
+        if len(cache) > _CACHE // 10:  # vectors, not numbers
             cache.clear()
         new = list(set().union(*bags) - cache.keys()) if bags else []
         added = self.judge(new)[1]
