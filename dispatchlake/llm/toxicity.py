@@ -55,8 +55,8 @@ PLAIN = -1.0
 HARM = 2.0
 _PAIR_BUCKETS, _PAIR_GAP = 512, 3
 _CACHE = 400_000
-#: Pairs of strings compared at a time.
-_BLOCK = 2048
+#: Texts judged at a time, and pairs of strings compared at a time.
+TEXTS, _BLOCK = 128, 2048
 _LETTERS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]+){2,}[^\W\d_](?!\w)")
 
@@ -300,8 +300,8 @@ def _judged(columns: tuple[str, ...], result, name: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, complex] = {}
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                part = batch.slice(k, 64)
+            for k in range(0, len(batch), TEXTS):
+                part = batch.slice(k, TEXTS)
                 found = result(part["text"].to_pylist(), cache)
                 yield pa.record_batch({**{c: part[c] for c in columns}, name: pa.array(found.tolist(), kind)})
 
@@ -409,8 +409,8 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, complex] = {}
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                part = batch.slice(k, 64)
+            for k in range(0, len(batch), TEXTS):
+                part = batch.slice(k, TEXTS)
                 yield part.filter(pa.array(model.score(model.features(part["text"].to_pylist(), cache)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
