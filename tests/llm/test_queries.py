@@ -23,6 +23,9 @@ COLUMNS = {
     8: "doc_id fingerprint component_id",
     9: "doc_id source epoch",
     10: "query_id rank vec_id score",
+    11: "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    12: "lang source part item value rank",
+    13: "doc_id n_lines n_dropped kept_sha256",
 }
 
 
@@ -39,7 +42,7 @@ def test_columns_of_the_contract(spark, name):
 
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_digests(spark):
