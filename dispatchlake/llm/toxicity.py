@@ -1,31 +1,36 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-A sentence is judged by its units: its words without outer punctuation, words with the signs between their letters
-taken out, and runs of single letters read as one word, so an insult may be gapped or have characters put in. The
-gap-weighted subsequence kernel (Lodhi et al. 2002: all common subsequences of ``ORDER`` characters, each character
-of their span costing a factor ``DECAY``) compares a unit with the landmarks; the Nystroem map turns the kernel
-values into features. Two linear machines are trained with hinge loss on them. The first is trained on the labelled texts:
-a text's kernel value with a landmark is the sum of its different units' to the fourth power, which is a kernel too (a sum
-of products), where a near match outweighs many far ones. The second gives each unit's margin, from units that
-weigh by the labels of the texts that have them. A text is judged by its own margin, by the worst of its units', by how many
-of its different units are on the wrong side, how far, and how densely; a logistic curve over these turns them into a score.
-
-Fitting uses at most ``SAMPLE`` labelled rows (least hashes of doc_id first), two thirds for the machine, the rest
-for the curve. The machine is trained on the different units of the labelled texts, at most ``HARD_UNITS``,
-``OTHER_UNITS`` and ``TOXIC_UNITS`` of them: character runs that mark toxic texts significantly are counted in parallel; the landmarks are a cover
-of the toxic texts by such runs, and harmless units closest to them. Units weigh by the share of toxic and of clean
-texts that have them. Kernel values of unit and landmark that share under half of the landmark's ordered character
-pairs count as zero, which spares most evaluations; every word of every text is judged.
-
-Edge cases: null and empty texts have no unit and get the score of the least margin; rows whose labels are null
+A text is judged by its units: its words without outer punctuation, with the signs between their letters taken out, and runs
+of single letters read as one word, so an insult may be gapped or have characters put in. The gap-weighted subsequence
+kernel (Lodhi et al. 2002: all common subsequences of ``ORDER`` characters, each character of their span costing a factor
+``DECAY``) compares a unit with the landmarks, by the subsequences themselves: those of the landmarks are a table, and a unit's
+own are looked up in it. The Nystroem map turns the kernel values into features of two linear machines with (squared) hinge loss.
+One is trained on units, which weigh by the shares of toxic and of clean texts that have them. The other is trained on windows:
+a window's kernel value with a landmark is the sum of its different units' to the fourth power, which is a kernel too (a sum of
+products), where a near match outweighs many far ones.
+
+Texts of any length are judged alike: by windows of ``WINDOW`` words, each half over the one before. A window has its own
+margin, the worst of its units' margins, and how many of its different units are on the wrong side, and how far; a logistic
+curve over these gives its score, and a text has the score of its worst window. Nothing adds up over a long text, and no
+clean surrounding outweighs an insult.
+
+Fitting uses at most ``SAMPLE`` labelled rows (least hashes of doc_id first). The machines are trained on all of them. So that
+the curve doesn't read machines that know its rows, ``FOLDS`` further pairs of machines are each trained without one fold, and
+the curve is fitted on every row by the pair that hasn't seen it. Landmarks are a cover of the toxic texts by character runs that mark them significantly (all runs with evidence above
+``GAIN`` that are ``LIFT`` times as frequent), and the harmless units nearest to those. Without a significant run there is no model.
+The machine of units is trained on every unit that is as near as ``NEAR`` to a landmark; windows are chosen by the machine itself,
+each text's worst one, in ``ROUNDS`` rounds.
+
+Edge cases: null and empty texts have no unit and get the score of the least margins; rows whose labels are null
 aren't learned from, and of several labels of a document the greatest counts; with no toxic or no clean labelled
-row, all scores are 0; null doc_ids are never learned from and are not held out; repeated rows are scored one
-by one; extra columns are not read.
+row, or too few for a significant run, all scores are 0; null doc_ids are never learned from and are not held out; repeated
+rows are scored one by one; very long texts are read in parts; extra columns are not read.
 """
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,28 +40,26 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 
-#: Parameters of the fit. Labelled rows that it uses (least hashes of doc_id first):
+#: Parameters of the fit: labelled rows that it uses (least hashes of doc_id first),
 SAMPLE = 20_000
-#: Character runs that are ranked as marks of toxic texts, by their evidence over all rows of the sample,
-RUNS = 3_000
-#: and different units that the machine is trained on: harmless ones nearest to landmarks, other harmless ones, toxic texts' ones.
-HARD_UNITS, OTHER_UNITS, TOXIC_UNITS = 6_000, 4_000, 4_000
-LANDMARKS = 96
-HARMLESS = 40
+#: evidence (of Chernoff's bound) and excess that make a character run a mark of toxic texts,
+GAIN, LIFT = 12.0, 2.0
+#: the model's size, nearness of the units that it is trained on, and the price of a training error.
+LANDMARKS, HARMLESS = 96, 40
+NEAR, COST = 0.3, 30.0
+ROUNDS, FOLDS = 4, 3
 ORDER = 3
 DECAY = 0.6
 THRESHOLD = 0.3
+#: Words of a window, an even number.
+WINDOW = 128
 #: Longer words are judged in overlapping parts.
 UNIT = 24
 START = "^"
-#: Margin of a unit that is like no landmark: almost all units are harmless.
+#: Margin of what is like no landmark: almost all units are harmless.
 PLAIN = -1.0
-#: How much worse it is to blame a clean text's unit than to miss a toxic one's.
-HARM = 2.0
-_PAIR_BUCKETS, _PAIR_GAP = 512, 3
-_CACHE = 400_000
-#: Texts judged at a time, and pairs of strings compared at a time.
-TEXTS, _BLOCK = 128, 2048
+#: Texts judged at a time, words held, characters read and members of windows reduced at a time.
+TEXTS, _CACHE, _PIECE, _MEMBERS = 128, 500_000, 1 << 20, 1 << 20
 _LETTERS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]+){2,}[^\W\d_](?!\w)")
 
@@ -72,19 +75,29 @@ def units(word: str) -> list[str]:
     return [bare[i : i + UNIT] for i in range(0, len(bare) - UNIT // 2, UNIT // 2)]
 
 
-def words_of(text: str | None) -> set[str]:
-    """The distinct words, and runs of single letters as one word each."""
-    low = (text or "").lower()
-    out = set(low.split())
-    out.update(m.group() for m in _SPELLED.finditer(low))
-    return out
+def pieces(text: str) -> Iterator[str]:
+    """``text`` in parts that end where a word does."""
+    at = 0
+    while len(text) - at > _PIECE:
+        end = re.compile(r"\s").search(text, at + _PIECE)
+        if not end:
+            break
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:]
 
 
-def _codes(strings: list[str], pad: int) -> np.ndarray:
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    out = np.full((len(strings), int(sizes.max(initial=1)) or 1), pad, np.int32)
-    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.int32)
-    return out
+def words_of(text: str | None) -> Iterator[list[str]]:
+    """A text's words, part by part; last, always, its runs of single letters."""
+    spelled: list[str] = []
+    for part in pieces((text or "").lower()):
+        yield part.split()
+        spelled += [m.group() for m in _SPELLED.finditer(part)]
+    yield spelled
+
+
+def units_of(text: str | None) -> set[str]:
+    return {u for ws in words_of(text) for w in set(ws) for u in units(w)}
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -104,208 +117,273 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay:
     return total
 
 
-def _pairs(codes: np.ndarray) -> np.ndarray:
-    """Which hashed ordered pairs of characters, at most _PAIR_GAP apart, each row has."""
-    out = np.zeros((len(codes), _PAIR_BUCKETS), np.float32)
-    for gap in range(1, min(_PAIR_GAP, codes.shape[1] - 1) + 1):
-        a, b = codes[:, :-gap], codes[:, gap:]
-        rows, at = np.nonzero((a > 0) & (b > 0))
-        out[rows, (a[rows, at] * 131 + b[rows, at] * 7) % _PAIR_BUCKETS] = 1
+def subsequences(string: str) -> Counter:
+    """The weight of each subsequence of ORDER characters (three)."""
+    out: Counter = Counter()
+    for i in range(len(string)):
+        for j in range(i + 1, len(string)):
+            for k in range(j + 1, len(string)):
+                out[string[i] + string[j] + string[k]] += DECAY ** (k - i + 1)
     return out
 
 
 class Kernel:
-    """Normalised kernel values with a set of landmarks."""
+    """Normalised kernel values with a set of landmarks: sums over the landmarks' own subsequences."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes = _codes(landmarks, -1)
-        self.norm = np.sqrt(subsequence_kernel(np.where(self.codes < 0, 0, self.codes), self.codes))
-        self.pairs = _pairs(self.codes)
-        self.need = self.pairs.sum(1) / 2
+        chars = sorted(set("".join(landmarks)))
+        self.size = len(chars) + 1  # 0: a character that no landmark has
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(1, self.size)
+        weights = [subsequences(m) for m in landmarks]
+        every = sorted(set().union(*weights))
+        #: the row of a subsequence in the table; row 0 is of no weight
+        self.row = np.zeros(self.size**3, np.int32)
+        self.table = np.zeros((len(every) + 1, len(landmarks)), np.float32)
+        for at, x in enumerate(every, 1):
+            a, b, c = (int(self.number[ord(q)]) for q in x)
+            self.row[(a * self.size + b) * self.size + c] = at
+            self.table[at] = [w[x] for w in weights]
+        self.table /= np.array([math.sqrt(sum(v * v for v in w.values())) or 1.0 for w in weights], np.float32)
 
     def __call__(self, strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), len(self.landmarks)), np.float32)
-        for k in range(0, len(strings), 4096):
-            part = strings[k : k + 4096]
-            codes = _codes(part, 0)
-            row, mark = np.nonzero(_pairs(codes) @ self.pairs.T >= self.need)
-            if not len(row):
-                continue
-            # strings of like lengths together, so that little of a block is padding
-            long, wide = (codes > 0).sum(1), (self.codes >= 0).sum(1)
-            used = np.unique(row)
-            used = used[np.argsort(long[used], kind="stable")]
-            own = np.zeros(len(part), np.float32)
-            for j in range(0, len(used), _BLOCK):
-                u = used[j : j + _BLOCK]
-                same = codes[u, : long[u].max()]
-                own[u] = np.sqrt(subsequence_kernel(same, np.where(same == 0, -1, same)))
-            by = np.lexsort((long[row], wide[mark]))
-            row, mark = row[by], mark[by]
-            for j in range(0, len(row), _BLOCK):
-                r, m = row[j : j + _BLOCK], mark[j : j + _BLOCK]
-                value = subsequence_kernel(codes[r, : long[r].max()], self.codes[m, : wide[m].max()])
-                out[k + r, m] = value / np.maximum(own[r] * self.norm[m], 1e-12)
+        long = np.fromiter(map(len, strings), np.int64, len(strings))
+        for n in np.unique(long):  # strings of one length together: nothing is padding
+            which = np.flatnonzero(long == n)
+            for at in range(0, len(which), 8192):
+                rows = which[at : at + 8192]
+                codes = np.frombuffer("".join(strings[i] for i in rows).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(rows), n)
+                own = np.sqrt(subsequence_kernel(codes, codes))
+                out[rows] = self._shared(self.number[codes]) / np.maximum(own, 1e-12)[:, None]
         return out
 
+    def _shared(self, x: np.ndarray) -> np.ndarray:
+        """What rows of numbered characters share with each landmark."""
+        out, n = np.zeros((len(x), len(self.landmarks)), np.float32), x.shape[1]
+        known = x > 0
+        for i in range(n - 2):
+            for j in range(i + 1, n - 1):
+                rows = np.flatnonzero(known[:, i] & known[:, j])
+                if not len(rows):
+                    continue
+                begin = (x[rows, i] * self.size + x[rows, j]) * self.size
+                for k in range(j + 1, n):
+                    found = self.row[begin + x[rows, k]]
+                    hit = np.flatnonzero(found)
+                    out[rows[hit]] += self.table[found[hit]] * np.float32(DECAY ** (k - i + 1))
+        return out
+
+
+class Windows:
+    """Values of the windows of texts: sums and extremes over their different words. A task's words are judged once."""
+
+    def __init__(self, judge: Callable[[list[str]], np.ndarray], machines: int, width: int):
+        """``judge``: of each word its margins by each machine, and ``width`` values to add up."""
+        self.judge, self.machines, self.width = judge, machines, width
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}  # no word: it is in every window
+        self.values = np.zeros((1, self.machines + self.width), np.float32)
+        self.values[0, : self.machines] = PLAIN
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        new = list({w for w in words if w not in self.known})
+        if new:
+            more = self.judge(new)
+            self.known.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
+            self.values = np.concatenate([self.values, more])
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+
+    def _reduced(self, members: list[int], sizes: list[int]) -> np.ndarray:
+        """Of each window: the sums, and by each machine margin of its worst word, words on the wrong side, how far, and nearness of all."""
+        first = np.cumsum([0, *sizes[:-1]])
+        v = self.values[members].astype(np.float64)
+        out = [np.add.reduceat(v[:, self.machines :], first, axis=0)]
+        for m in v[:, : self.machines].T:
+            over = np.maximum(m, 0)
+            out += [np.maximum.reduceat(m, first), np.add.reduceat((over > 0).astype(np.float64), first), np.add.reduceat(over, first), np.add.reduceat(m - PLAIN, first)]
+        return np.column_stack(out)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The windows' values, and each text's first window; every text has one."""
+        if len(self.known) > _CACHE:
+            self._forget()
+        out, members, sizes, first, half = [], [], [], [0], WINDOW // 2
+        # words of several texts are numbered together, those of a very long one part by part
+        for group in _groups(texts):
+            if len(group) > 1:
+                split = [list(words_of(t)) for t in group]
+                flat = self._numbers([w for parts in split for ws in parts for w in ws])
+                sizes_of = [[len(ws) for ws in parts] for parts in split]
+            else:
+                numbers = [self._numbers(ws) for ws in words_of(group[0])]
+                flat, sizes_of = np.concatenate(numbers), [[len(x) for x in numbers]]
+            at = 0
+            for of in sizes_of:
+                n, middle, last = 0, at + sum(of[:-1]), at + sum(of)
+                # runs of single letters have windows of their own
+                bounds = [(at, middle), (middle, last)] if last > middle else [(at, middle)]
+                at = last
+                for begin, end in bounds:
+                    for s in range(begin, max(begin + 1, end - half), half):
+                        window = {0, *flat[s : min(s + WINDOW, end)].tolist()}
+                        members.extend(window)
+                        sizes.append(len(window))
+                        n += 1
+                        if len(members) > _MEMBERS:
+                            out.append(self._reduced(members, sizes))
+                            members, sizes = [], []
+                first.append(first[-1] + n)
+        if members:
+            out.append(self._reduced(members, sizes))
+        return np.concatenate(out), np.array(first[:-1])
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts that make up a few parts together; a longer one alone."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > 4 * _PIECE:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
+
 
 @dataclass
 class Model:
     kernel: Kernel
-    weights: np.ndarray  # of the kernel values: the Nystroem map and the machine's weights in one
-    bias: float
-    nystroem: np.ndarray
-    text_weights: np.ndarray | None = None  # the same of the machine of texts
-    curve: np.ndarray | None = None  # of the text's features, and a constant
-
-    def judge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's worst margin of its units, and what it adds to its text's kernel values (without a machine of texts) or margin."""
+    weights: np.ndarray  # of the kernel values, a column for each machine of units: the Nystroem map and the machine's weights in one
+    text_weights: np.ndarray | None = None  # the same of the machine of windows
+    curve: np.ndarray | None = None  # of a window's features, and a constant
+
+    def judge(self, words: list[str]) -> np.ndarray:
+        """Of each word: the worst margins of its units, and what it adds to its window's kernel values (without a machine of windows) or margin."""
         parts = [units(w) for w in words]
         values = self.kernel([u for p in parts for u in p])
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         some = np.flatnonzero(sizes)
-        square = values * values
-        sharp = square * square
+        sharp = (values * values) ** 2
         adds = sharp if self.text_weights is None else (sharp @ self.text_weights)[:, None]
-        margins, added = np.full(len(words), self.bias), np.zeros((len(words), adds.shape[1]), np.float32)
+        n = self.weights.shape[1]
+        out = np.zeros((len(words), n + adds.shape[1]), np.float32)
+        out[:, :n] = PLAIN
         if len(some):
             first = (np.cumsum(sizes) - sizes)[some]
-            margins[some] = np.maximum.reduceat(values @ self.weights + self.bias, first)
-            added[some] = np.add.reduceat(adds, first, axis=0)
-        return margins, added
-
-    def features(self, texts: list[str | None], cache: dict[str, complex]) -> np.ndarray:
-        """Of each text: its margin, its units' worst margin (at least that of a unit like no landmark), units on the wrong side, how far, how densely."""
-        bags = [words_of(t) for t in texts]
-        if len(cache) > _CACHE:
-            cache.clear()
-        new = list(set().union(*bags) - cache.keys()) if bags else []
-        margins, added = self.judge(new)
-        cache.update(zip(new, (margins + 1j * added[:, 0]).tolist(), strict=True))  # both in one number
-        out = np.empty((len(bags), 6))
-        for i, bag in enumerate(bags):
-            found = np.fromiter(map(cache.__getitem__, bag), np.complex128, len(bag))
-            m = found.real
-            over = m[m > 0]
-            out[i] = found.imag.sum() + PLAIN, max(m.max(initial=self.bias), self.bias), np.log1p(len(over)), np.log1p(over.sum()), np.log1p(1000 * over.sum() / (20 + len(bag))), 1
+            out[some, :n] = np.maximum(np.maximum.reduceat(values @ self.weights + PLAIN, first, axis=0), PLAIN)
+            out[some, n:] = np.add.reduceat(adds, first, axis=0)
         return out
 
-    def text_kernels(self, texts: list[str | None], cache: dict[str, np.ndarray | None]) -> np.ndarray:
-        """Of each text: its kernel values with the landmarks."""
-        bags = [words_of(t) for t in texts]
-        if len(cache) > _CACHE // 10:  # vectors, not numbers
-            cache.clear()
-        new = list(set().union(*bags) - cache.keys()) if bags else []
-        added = self.judge(new)[1]
-        cache.update((w, a if alike else None) for w, a, alike in zip(new, added, added.any(1), strict=True))
-        out = np.zeros((len(bags), len(self.weights)), np.float32)
-        for i, bag in enumerate(bags):
-            out[i] = np.sum([a for a in map(cache.get, bag) if a is not None] or [0.0], axis=0)
-        return out
+    def windows(self) -> Windows:
+        return Windows(self.judge, self.weights.shape[1], 1 if self.text_weights is not None else len(self.weights))
+
+    def score(self, texts: list[str | None], windows: Windows) -> np.ndarray:
+        values, first = windows(texts)
+        return 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(features(values[:, 0], values[:, 1:]) @ self.curve, first), -40, 40)))
+
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.curve, -40, 40)))
+def features(margin: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """What the curve reads of windows: their margin, their words' worst, words on the wrong side, how far, and a constant."""
+    return np.column_stack([margin + PLAIN, rest[:, 0], np.log1p(rest[:, 1]), np.log1p(rest[:, 2]), np.ones(len(margin))])
 
 
 def _runs(unit: str) -> set[str]:
     return {unit[i : i + n] for n in (4, 5, 6, 8) for i in range(len(unit) - n + 1)} | {unit}
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each character run, toxic and clean, of the task's rows."""
-    seen = {0: Counter(), 1: Counter()}
+def _counted(parts_of: Callable[[str | None], set[str]]):
+    """Toxic and clean documents of the task and of each fold that have each part."""
 
-    def flush() -> pa.RecordBatch:
-        keys = list(seen[0].keys() | seen[1].keys())
-        out = pa.record_batch({"run": pa.array(keys, pa.string()), "toxic": pa.array([seen[1][k] for k in keys], pa.int64()), "clean": pa.array([seen[0][k] for k in keys], pa.int64())})
-        seen[0].clear()
-        seen[1].clear()
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, bool], Counter] = {}
 
-    for batch in batches:
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            seen[int(toxic > 0)].update(set().union(*(_runs(u) for w in words_of(text) for u in units(w))))
-            if len(seen[0]) + len(seen[1]) > 300_000:
-                yield flush()
-    yield flush()
+        def flush() -> Iterator[pa.RecordBatch]:
+            for fold_ in {f for f, _ in seen}:
+                toxic, clean = seen.get((fold_, True), Counter()), seen.get((fold_, False), Counter())
+                keys = list(toxic.keys() | clean.keys())
+                yield pa.record_batch({"part": pa.array(keys, pa.string()), "fold": pa.array([fold_] * len(keys), pa.int32()), "toxic": pa.array([toxic[k] for k in keys], pa.int64()), "clean": pa.array([clean[k] for k in keys], pa.int64())})
+            seen.clear()
 
+        for batch in batches:
+            for text, toxic, fold_ in zip(*(batch[c].to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                seen.setdefault((fold_, toxic > 0), Counter()).update(parts_of(text))
+                if sum(map(len, seen.values())) > 300_000:
+                    yield from flush()
+        yield from flush()
 
-def _marked(runs: list[str]):
-    """(unit, toxic, runs): units of toxic texts that hold a marking run, with those runs; all units of clean texts."""
-    found = re.compile("|".join(map(re.escape, sorted(runs, key=len, reverse=True))))
-    known = set(runs)
+    return run
+
+
+def _marked(runs: set[str]):
+    """(runs): of each text, those that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(set().union(*map(_runs, units_of(t))) & runs) for t in batch["text"].to_pylist()]
+            yield pa.record_batch({"runs": pa.array(found, pa.list_(pa.string()))})
+
+    return run
+
+
+def _near(kernel: Kernel, marks: int, least: float):
+    """Units at least so near to one of the first landmarks, with their nearness and their kernel values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"unit": [], "toxic": [], "text_no": [], "runs": []}
-            for no, (doc, text, toxic) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True)):
-                for u in {u for w in words_of(text) for u in units(w)}:
-                    if toxic and not found.search(u):
-                        continue
-                    out["unit"].append(u)
-                    out["toxic"].append(int(toxic > 0))
-                    out["text_no"].append(doc)
-                    out["runs"].append(sorted(_runs(u) & known) if toxic else [])
-            yield pa.record_batch({"unit": pa.array(out["unit"], pa.string()), "toxic": pa.array(out["toxic"], pa.int32()), "text_no": pa.array(out["text_no"], pa.int64()), "runs": pa.array(out["runs"], pa.list_(pa.string()))})
+            values = kernel(batch["part"].to_pylist())
+            near = values[:, :marks].max(1, initial=0)
+            keep = np.flatnonzero(near >= least)
+            part = batch.take(pa.array(keep))
+            yield pa.record_batch({**{c: part[c] for c in ("part", "toxic", "clean")}, "near": pa.array(near[keep], pa.float32()), "found": pa.array(values[keep].tolist(), pa.list_(pa.float32()))})
 
     return run
 
 
-def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """A linear machine by dual coordinate descent, with its threshold given: y * (w x + PLAIN) >= 1; ``cost``: each row's bound."""
-    wanted = 1 - PLAIN * y
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    square = (x**2).sum(1) + 1e-12
-    rng = np.random.default_rng(5)
-    for _ in range(rounds):
-        moved = 0.0
-        for i in rng.permutation(len(x)):
-            step = np.clip(alpha[i] - (y[i] * (w @ x[i]) - wanted[i]) / square[i], 0, cost[i]) - alpha[i]
-            if step:
-                alpha[i] += step
-                w += step * y[i] * x[i]
-                moved = max(moved, abs(step) / cost[i])
-        if moved < 1e-3:
+def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """A linear machine with squared hinge loss and its threshold given, y * (w x + PLAIN) >= 1, by Newton's method on the rows within the margin."""
+    wanted, w = 1 - PLAIN * y, np.zeros(x.shape[1])
+    loss = lambda w: w @ w / 2 + cost @ np.maximum(0, wanted - y * (x @ w)) ** 2
+    now = loss(w)
+    for _ in range(100):
+        short = wanted - y * (x @ w)
+        on = short > 0
+        slope = w - 2 * ((cost * y * short)[on] @ x[on])
+        step = np.linalg.solve(np.eye(len(w)) + 2 * (x[on] * cost[on][:, None]).T @ x[on], slope)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * (slope @ step):
+            size /= 2
+        after = loss(w - size * step)
+        if after >= now:
+            break
+        w, before, now = w - size * step, now, after
+        if before - now < 1e-9 * max(1.0, before):
             break
     return w
 
 
-def _fit_units(counts: dict[str, tuple[float, float]], landmarks: list[str]) -> Model:
-    """The machine, from units and the shares of toxic and of clean texts that have them."""
-    kernel = Kernel(landmarks)
-    # the kernel among landmarks must be whole to be a Gram matrix
-    pairs = np.array([(i, j) for i in range(len(landmarks)) for j in range(len(landmarks))])
-    raw = subsequence_kernel(np.where(kernel.codes < 0, 0, kernel.codes)[pairs[:, 0]], kernel.codes[pairs[:, 1]])
-    gram = raw.reshape(len(landmarks), -1) / np.outer(kernel.norm, kernel.norm)
+def _nystroem(gram: np.ndarray) -> np.ndarray:
     value, vector = np.linalg.eigh(gram.astype(np.float64))
     keep = value > 1e-4
-    nystroem = vector[:, keep] / np.sqrt(value[keep])
-    strings = list(counts)
-    shares = np.array([counts[u] for u in strings])
-    features = kernel(strings) @ nystroem
-    like = features.any(1)  # the others' margin is PLAIN whatever the weights
-    more = shares[:, 0] - shares[:, 1]  # what toxic texts have of a unit beyond what any text has
-    bad, good = like & (more > 0), like & (shares[:, 1] > 0)
-    x = np.vstack([features[bad], features[good]])
-    cost = np.concatenate([more[bad], HARM * shares[good, 1]])
-    y = np.repeat([1.0, -1.0], [bad.sum(), good.sum()])
-    w = _hinge(x, y, 1000 * cost)
-    return Model(kernel, nystroem @ w, PLAIN, nystroem)
-
-
-def _judged(columns: tuple[str, ...], result, name: str, kind: pa.DataType):
-    """The columns, and what ``result`` makes of some texts, with a cache of words."""
+    return vector[:, keep] / np.sqrt(value[keep])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, complex] = {}
-        for batch in batches:
-            for k in range(0, len(batch), TEXTS):
-                part = batch.slice(k, TEXTS)
-                found = result(part["text"].to_pylist(), cache)
-                yield pa.record_batch({**{c: part[c] for c in columns}, name: pa.array(found.tolist(), kind)})
 
-    return run
+def cover(held: list[set[str]], strength: dict[str, float], most: int) -> list[str]:
+    """Runs that don't overlap and cover the texts, each up to three times, strongest first."""
+    open_, out = [3] * len(held), []
+    while strength and len(out) < most:
+        covers = Counter(r for runs, left in zip(held, open_, strict=True) if left for r in runs if r in strength)
+        if not covers:
+            break
+        best = max(covers, key=lambda r: (covers[r] * strength[r], len(r), r))
+        out.append(best)
+        open_ = [left - (best in runs and left > 0) for runs, left in zip(held, open_, strict=True)]
+        strength = {r: v for r, v in strength.items() if r not in best and best not in r and not any(best[i : i + 4] in r for i in range(len(best) - 3))}
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -328,69 +406,131 @@ def fold() -> str:
     return "crc32(cast(cast(doc_id as string) as binary)) % 4"
 
 
+def _margin(weights: np.ndarray):
+    return sum(F.get("sums", F.lit(i)) * float(w) for i, w in enumerate(weights))
+
+
+def _fit_windows(fit: DataFrame, number: int, size: int, toxic: int, clean: int, gram: np.ndarray) -> np.ndarray:
+    """Weights of a machine of windows. A round trains it on each text's worst window by the round before, and on clean ones' worst so far."""
+    nystroem = _nystroem(gram)
+    weights, known = None, None
+    for _ in range(ROUNDS):
+        worst = F.col("rest")[4 * number + 3] if weights is None else _margin(weights)
+        rows = fit.groupBy("doc_id", "toxic").agg(F.max_by("sums", worst).alias("sums")).orderBy("doc_id").toArrow()
+        y = np.where(rows["toxic"].to_numpy() > 0, 1.0, -1.0)
+        x = rows["sums"].combine_chunks().flatten().to_numpy().reshape(len(y), size) @ nystroem
+        share = np.where(y > 0, 1 / toxic, 1 / clean)
+        more, known = known, x[y < 0]
+        if more is not None:
+            share = np.concatenate([np.where(y > 0, share, share / 2), np.full(len(more), 0.5 / clean)])
+            x, y = np.vstack([x, more]), np.concatenate([y, -np.ones(len(more))])
+        weights = nystroem @ machine(x, y, COST * share)
+    return weights
+
+
+def _fit_curve(windows: DataFrame, weights: list[np.ndarray], folds: bool) -> np.ndarray:
+    """The curve, over each text's worst window by the curve itself; a fold's rows are read by the machines without it."""
+
+    def read(k: int):
+        rest = [F.col("rest")[4 * k + i] for i in range(3)]
+        return F.array(_margin(weights[k]) + PLAIN, rest[0], F.log1p(rest[1]), F.log1p(rest[2]), F.lit(1.0))
+
+    x = read(FOLDS)
+    for k in range(FOLDS if folds else 0):
+        x = F.when(F.col("fold") == k, read(k)).otherwise(x)
+    values = cut(windows.select("doc_id", "toxic", x.alias("x")))
+    curve = np.array([1.0, 1.0, 0.0, 0.0, 0.0])
+    for _ in range(ROUNDS):
+        worst = sum(F.col("x")[i] * float(c) for i, c in enumerate(curve))
+        rows = values.groupBy("doc_id", "toxic").agg(F.max_by("x", worst).alias("x")).orderBy("doc_id").collect()
+        curve = _logistic(np.array([r["x"] for r in rows]), np.array([float(r["toxic"] > 0) for r in rows]))
+    return curve
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model, from at most ``sample`` labelled rows outside the held-out fold; None if a class is missing."""
+    """The model, from at most ``sample`` labelled rows outside the held-out fold; None if a class, or a significant run, is missing."""
     chosen = labels.where(f"doc_id is not null and toxic is not null and {fold()} <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # of many more labelled rows, a part by hash that holds the sample's several times over: the rest isn't sorted
     part = max(1, chosen.count() // (4 * sample))
     chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(part)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(24, "doc_id").select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")))
-    n_toxic, n = texts.agg(F.count_if(F.col("toxic") > 0), F.count("*")).first()
-    if not n_toxic or n_toxic == n:
+    of_fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(24, "doc_id")
+    texts = cut(texts.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int"), of_fold.alias("fold")))
+    seen = {(r["fold"], r["toxic"]): r["count"] for r in texts.groupBy("fold", (F.col("toxic") > 0).alias("toxic")).count().collect()}
+    if len({t for _, t in seen}) < 2:
         return None
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
-    fit, rest = texts.where(part > 0), texts.where(part == 0)
-    fit_toxic, fit_all, both_classes = texts.agg(F.count_if((F.col("toxic") > 0) & (part > 0)), F.count_if(part > 0), F.count_if((F.col("toxic") > 0) & (part == 0)) * F.count_if((F.col("toxic") == 0) & (part == 0)) > 0).first()
-    if not fit_toxic or fit_toxic == fit_all or not both_classes:
-        fit, rest, fit_toxic, fit_all = texts, texts, n_toxic, n
-    base = fit_toxic / fit_all
-    counts = fit.mapInArrow(_counted, "run string, toxic long, clean long").groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    folds = len(seen) == 2 * FOLDS  # else there are too few rows to leave any out
+    # rows of each class without each fold, and of all
+    n_toxic, n_clean = ([sum(n for (f, c), n in seen.items() if c == toxic and f != k) for k in [*range(FOLDS), None]] for toxic in (True, False))
+    base = n_toxic[-1] / (n_toxic[-1] + n_clean[-1])
+    counted = "part string, fold int, toxic long, clean long"
+    counts = texts.mapInArrow(_counted(lambda t: set().union(*map(_runs, units_of(t)))), counted).groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     both = F.col("toxic") + F.col("clean")
     share = F.least(F.col("toxic") / both, F.lit(1 - 1e-9))
     # Chernoff's bound on so large a toxic share by chance
     gain = both * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
-    ranked = counts.where((F.col("toxic") >= 1) & (share > base)).withColumns({"gain": gain, "lift": share / base}).orderBy(F.desc("gain"), F.desc(F.length("run")), "run").limit(RUNS).collect()
-    top = [r for r in ranked if r["gain"] > 12 and r["lift"] > 2] or ranked[:50]
-    seen = cut(fit.mapInArrow(_marked([r["run"] for r in top]), "unit string, toxic int, text_no long, runs array<string>"))
-    # a cover of the toxic texts, each up to three times, by runs that don't overlap
-    held = [[set(r["runs"]), 3] for r in seen.where("toxic = 1").groupBy("text_no").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")).collect()]
-    strength = {r["run"]: np.log(r["lift"]) for r in top}
-    landmarks: list[str] = []
-    while strength and len(landmarks) < LANDMARKS - HARMLESS:
-        cover = Counter(r for runs, open_ in held if open_ for r in runs if r in strength)
-        if not cover:
-            break
-        best = max(cover, key=lambda r: (cover[r] * strength[r], len(r), r))
-        landmarks.append(best)
-        for h in held:
-            h[1] -= best in h[0] and h[1] > 0
-        strength = {r: v for r, v in strength.items() if r not in best and best not in r and not any(best[i : i + 4] in r for i in range(len(best) - 3))}
-    clean = seen.where("toxic = 0").groupBy("unit").agg(F.count("*").alias("n"))
-    # harmless units that are nearest to the landmarks, from all clean texts of the sample, and others by hash
-    kernel = Kernel(landmarks)
+    marks = counts.where((F.col("toxic") >= 1) & (share > LIFT * base) & (gain > GAIN)).select("part", (share / base).alias("lift")).orderBy("part").collect()
+    if not marks:
+        return None
+    strength = {r["part"]: math.log(r["lift"]) for r in marks}
+    held = [set(r["runs"]) for r in texts.where("toxic > 0").mapInArrow(_marked(set(strength)), "runs array<string>").collect()]
+    landmarks = cover(sorted(held, key=sorted), strength, LANDMARKS - HARMLESS)
+    by_fold = [F.array(*[F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)) for k in range(FOLDS)], F.sum(c)).alias(c) for c in ("toxic", "clean")]
+    parts = cut(texts.mapInArrow(_counted(units_of), counted).groupBy("part").agg(*by_fold))
+    schema = "part string, toxic array<long>, clean array<long>, near float, found array<float>"
+    # harmless units by how much they would weigh if they were taken for a landmark
+    every = F.col("clean")[FOLDS]
+    hard = parts.where(every > 0).mapInArrow(_near(Kernel(landmarks), len(landmarks), 0.0), schema).orderBy(F.desc(F.col("near") * every), F.desc("near"), "part").limit(HARMLESS).collect()
+    kernel = Kernel(landmarks + [r["part"] for r in hard if r["part"] not in landmarks])
+    size = len(kernel.landmarks)
+    gram = kernel(kernel.landmarks).astype(np.float64)
+    gram = (gram + gram.T) / 2
+    nystroem = _nystroem(gram)
+    near = parts.mapInArrow(_near(kernel, len(landmarks), NEAR), schema).orderBy("part").toArrow()
+    values, toxic, clean = (near[c].combine_chunks().flatten().to_numpy().reshape(len(near), -1) for c in ("found", "toxic", "clean"))
+
+    def of_units(k: int) -> np.ndarray:
+        ill, well = toxic[:, k] / n_toxic[k], clean[:, k] / n_clean[k]
+        bad, good = ill > well, well > 0  # what toxic texts have of a unit beyond what any text has
+        x = np.vstack([values[bad], values[good]]) @ nystroem
+        return nystroem @ machine(x, np.repeat([1.0, -1.0], [bad.sum(), good.sum()]), COST * np.concatenate([(ill - well)[bad], well[good]]))
+
+    used = [*range(FOLDS if folds else 0), FOLDS]  # machines without a fold, and those of all
+    weights = {k: of_units(k) for k in used}
+    model = Model(kernel, np.column_stack([weights.get(k, weights[FOLDS]) for k in range(FOLDS + 1)]))
+    windows = cut(texts.mapInArrow(_windowed(model), "doc_id long, toxic int, fold int, sums array<double>, rest array<double>"))
+    of_windows = {k: _fit_windows(windows.where(F.col("fold") != k), k, size, n_toxic[k], n_clean[k], gram**4) for k in used}
+    curve = _fit_curve(windows, [of_windows.get(k) for k in range(FOLDS + 1)], folds)
+    return Model(kernel, weights[FOLDS][:, None], of_windows[FOLDS], curve)
+
+
+def _windowed(model: Model):
+    """Every window of the texts: its kernel values, and what its words' margins say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = model.windows()
+        for batch in batches:
+            for k in range(0, len(batch), TEXTS):
+                part = batch.slice(k, TEXTS)
+                values, first = windows(part["text"].to_pylist())
+                rows = part.take(pa.array(np.repeat(np.arange(len(part)), np.diff(np.append(first, len(values))))))
+                size = len(model.weights)
+                yield pa.record_batch({**{c: rows[c] for c in ("doc_id", "toxic", "fold")}, "sums": pa.array(values[:, :size].tolist(), pa.list_(pa.float64())), "rest": pa.array(values[:, size:].tolist(), pa.list_(pa.float64()))})
+
+    return run
 
-    def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scored(model: Model):
+    """Batches of few texts, and their scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        windows = model.windows()
         for batch in batches:
-            strings = batch["unit"].to_pylist()
-            yield pa.record_batch({"unit": batch["unit"], "n": batch["n"], "near": pa.array(kernel(strings).max(1) if strings else np.zeros(0, np.float32), pa.float32())})
-
-    # by how much they would weigh if they were taken for the landmark
-    hard = clean.mapInArrow(nearness, "unit string, n long, near float").orderBy(F.desc(F.col("near") * F.col("n")), F.desc("near"), "unit").limit(HARD_UNITS).collect()
-    good = clean.orderBy(F.xxhash64("unit"), "unit").limit(OTHER_UNITS).collect()
-    bad = seen.where("toxic = 1").groupBy("unit").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "unit").limit(TOXIC_UNITS).collect()
-    units_ = {r["unit"]: (0.0, r["n"] / (fit_all - fit_toxic)) for r in [*good, *hard]}
-    units_ |= {r["unit"]: (r["n"] / fit_toxic, units_.get(r["unit"], (0, 0.0))[1]) for r in bad}
-    model = _fit_units(units_, landmarks + [r["unit"] for r in hard if r["unit"] not in landmarks][:HARMLESS])
-    # the machine of texts: a row for each labelled text of the sample
-    seen = fit.mapInArrow(_judged(("toxic",), model.text_kernels, "values", pa.list_(pa.float32())), "toxic int, values array<float>").toArrow()
-    toxic = seen["toxic"].to_numpy() > 0
-    values = seen["values"].combine_chunks().flatten().to_numpy().reshape(len(toxic), -1) @ model.nystroem
-    alike = values.any(1)
-    share = np.where(toxic, 1 / max(1, toxic.sum()), HARM / max(1, (~toxic).sum()))
-    model.text_weights = model.nystroem @ _hinge(values[alike], np.where(toxic, 1.0, -1.0)[alike], 1000 * share[alike])
-    got = rest.mapInArrow(_judged(("toxic",), model.features, "features", pa.list_(pa.float64())), "toxic int, features array<double>").collect()
-    model.curve = _logistic(np.array([r["features"] for r in got]), np.array([float(r["toxic"] > 0) for r in got]))
-    return model
+            for k in range(0, len(batch), TEXTS):
+                part = batch.slice(k, TEXTS)
+                yield part, model.score(part["text"].to_pylist(), windows)
+
+    return run
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -398,7 +538,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    return docs.mapInArrow(_judged(("doc_id",), lambda texts, cache: model.score(model.features(texts, cache)), "score", pa.float64()), "doc_id long, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _scored(model)(batches):
+            yield pa.record_batch({"doc_id": part["doc_id"], "score": pa.array(found, pa.float64())})
+
+    return docs.mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -407,10 +552,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, complex] = {}
-        for batch in batches:
-            for k in range(0, len(batch), TEXTS):
-                part = batch.slice(k, TEXTS)
-                yield part.filter(pa.array(model.score(model.features(part["text"].to_pylist(), cache)) < threshold))
+        for part, found in _scored(model)(batches):
+            yield part.filter(pa.array(found < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,12 +23,33 @@ def slow_kernel(s: str, t: str, order: int, decay: float) -> float:
     return total
 
 
+def random_string(rng: random.Random, letters: str, least: int, most: int) -> str:
+    return "".join(rng.choices(letters, k=rng.randint(least, most)))
+
+
 def test_kernel_counts_gapped_subsequences():
     rng = random.Random(2)
-    pairs = [("".join(rng.choices("abc", k=rng.randint(3, 7))), "".join(rng.choices("abc", k=rng.randint(3, 7)))) for _ in range(30)]
-    s, t = op._codes([a for a, _ in pairs], 0), op._codes([b for _, b in pairs], -1)
-    got = op.subsequence_kernel(s, t)
-    assert np.allclose(got, [slow_kernel(a, b, op.ORDER, op.DECAY) for a, b in pairs], rtol=1e-4)
+    pairs = [(random_string(rng, "abc", 5, 5), random_string(rng, "abc", 6, 6)) for _ in range(30)]
+    s, t = (np.array([[ord(c) for c in p[k]] for p in pairs]) for k in (0, 1))
+    assert np.allclose(op.subsequence_kernel(s, t), [slow_kernel(a, b, op.ORDER, op.DECAY) for a, b in pairs], rtol=1e-4)
+
+
+def test_the_table_of_subsequences_gives_the_kernel():
+    """Every value, of near and of far strings and of strings with letters that no landmark has."""
+    rng = random.Random(3)
+    landmarks = [random_string(rng, "abcd^", 3, 9) for _ in range(9)]
+    strings = [random_string(rng, "abcdxyé^", 3, 12) for _ in range(60)] + landmarks
+    want = [[slow_kernel(a, b, 3, op.DECAY) / math.sqrt(slow_kernel(a, a, 3, op.DECAY) * slow_kernel(b, b, 3, op.DECAY)) for b in landmarks] for a in strings]
+    assert np.allclose(op.Kernel(landmarks)(strings), want, atol=1e-4)
+
+
+def test_the_machine_is_at_its_least():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(200, 5)), np.where(rng.random(200) < 0.3, 1.0, -1.0)
+    cost = rng.random(200) * 3
+    loss = lambda w: w @ w / 2 + cost @ np.maximum(0, 1 - y * (x @ w + op.PLAIN)) ** 2
+    w = op.machine(x, y, cost)
+    assert all(loss(w) <= loss(w + rng.normal(size=5) * 10.0 ** -k) for k in range(6) for _ in range(20))
 
 
 def disguised(rng: random.Random, w: str) -> str:
@@ -101,36 +122,76 @@ def test_labels_of_the_held_out_fold_are_not_learned(sample, model):
     assert other.kernel.landmarks == model.kernel.landmarks and np.allclose(other.weights, model.weights) and np.allclose(other.curve, model.curve)
 
 
-def naive_score(text: str | None, model: op.Model) -> float:
-    """A text's score from the definitions: every unit against every landmark, one by one."""
+def test_without_a_significant_run_there_is_no_model(spark):
+    """Two toxic texts of words that no other text has prove nothing."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(random_string(rng, "abcdefghijklmnopqrstuvwxyz", 6, 6) for _ in range(30))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in (21, 35, 40))) for i in range(60)], "doc_id long, toxic int")
+    assert op.train(docs, labels) is None
+
+
+def test_length_decides_nothing(sample, model):
+    """Random words stay clean however many they are; insults are found within any number of clean texts."""
+    rng, windows = random.Random(6), model.windows()
+    for n in (100, 1_000, 10_000):
+        texts = [" ".join(random_string(rng, "abcdefghijklmnopqrstuvwxyz", 6, 6) for _ in range(n)) for _ in range(5)]
+        assert (model.score(texts, windows) < op.THRESHOLD).all()
+    clean = lambda n: " ".join(rng.choices(WORDS, k=n))
+    assert (model.score([clean(50_000)], windows) < op.THRESHOLD).all()
+    hidden = [f"{clean(rng.randint(0, 3000))} {disguised(rng, w)} {clean(rng.randint(0, 3000))}" for w in INSULTS for _ in range(15)]
+    alone = model.score([t for t in hidden], windows)
+    assert (alone >= op.THRESHOLD).sum() >= 40
+
+
+def test_sf01_texts_with_clean_ones_appended(spark):
+    """On the given labels: toxic texts are still found with 20 clean ones behind them, and few clean ones are flagged."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = op.train(docs, labels)
+    rows = docs.join(labels, "doc_id").where(f"{op.fold()} = 2").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    windows = model.windows()
+    scores = model.score([r["text"] for r in rows], windows)
+    toxic = np.array([r["toxic"] for r in rows]) > 0
+    assert (scores[toxic] >= op.THRESHOLD).mean() >= 0.88 and (scores[~toxic] >= op.THRESHOLD).mean() <= 0.01
+    rng, clean = random.Random(3), [r["text"] for r in rows if not r["toxic"] and r["text"]]
+    found = [r["text"] for r, s in zip(rows, scores, strict=True) if r["toxic"] and s >= op.THRESHOLD][:40]
+    assert (model.score(["\n".join([t, *rng.choices(clean, k=20)]) for t in found], windows) >= op.THRESHOLD).sum() >= 36
+    noise = [" ".join(random_string(rng, "abcdefghijklmnopqrstuvwxyz", 6, 6) for _ in range(10_000)) for _ in range(10)]
+    assert (model.score(noise, windows) < op.THRESHOLD).all()
 
-    def kernel(s: str, t: str) -> float:
-        # common subsequences of ORDER characters that end at each pair of places, by their spans
-        ends = {(i, j): op.DECAY**2 for i in range(len(s)) for j in range(len(t)) if s[i] == t[j]}
-        for _ in range(op.ORDER - 1):
-            ends = {(i, j): sum(v * op.DECAY ** (i - a + j - b) for (a, b), v in ends.items() if a < i and b < j) for i in range(len(s)) for j in range(len(t)) if s[i] == t[j]}
-        return sum(ends.values())
 
-    def pairs(s: str) -> set[int]:
-        return {(ord(s[i]) * 131 + ord(s[i + g]) * 7) % op._PAIR_BUCKETS for g in range(1, op._PAIR_GAP + 1) for i in range(len(s) - g)}
+def naive_score(text: str | None, model: op.Model) -> float:
+    """A text's score from the definitions: every unit of every window against every landmark, one by one."""
+    landmarks = model.kernel.landmarks
+    norm = {s: math.sqrt(sum(v * v for v in op.subsequences(s).values())) for s in landmarks}
 
     def values(unit: str) -> list[float]:
-        near = lambda mark: 2 * len(pairs(unit) & pairs(mark)) >= len(pairs(mark))
-        return [kernel(unit, mark) / math.sqrt(kernel(unit, unit) * kernel(mark, mark)) if near(mark) else 0.0 for mark in model.kernel.landmarks]
-
-    words = [[values(u) for u in op.units(w)] for w in op.words_of(text)]
-    margins = [max((float(np.dot(v, model.weights)) + model.bias for v in w), default=model.bias) for w in words]
-    sums = np.sum([np.zeros(len(model.weights)), *[np.array(v) ** 4 for w in words for v in w]], axis=0)
-    over = [m for m in margins if m > 0]
-    x = [float(sums @ model.text_weights) + op.PLAIN, max([*margins, model.bias]), math.log1p(len(over)), math.log1p(sum(over)), math.log1p(1000 * sum(over) / (20 + len(margins))), 1]
-    return 1 / (1 + math.exp(-min(40, max(-40, float(np.dot(x, model.curve))))))
-
-
-def test_scores_are_those_of_the_definitions(sample, model):
+        own = op.subsequences(unit)
+        size = math.sqrt(sum(v * v for v in own.values()))
+        return [sum(v * own[x] for x, v in op.subsequences(m).items()) / (size * norm[m]) for m in landmarks]
+
+    low = (text or "").lower()
+    scores = []
+    for words in [low.split(), [m.group() for m in op._SPELLED.finditer(low)]]:
+        for s in range(0, max(1, len(words) - op.WINDOW // 2), op.WINDOW // 2):
+            units = [[values(u) for u in op.units(w)] for w in sorted(set(words[s : s + op.WINDOW]))]
+            margins = [max([op.PLAIN, *(float(np.dot(v, model.weights[:, 0])) + op.PLAIN for v in w)]) for w in units]
+            sums = np.sum([np.zeros(len(landmarks)), *[np.array(v) ** 4 for w in units for v in w]], axis=0)
+            over = [m for m in margins if m > 0]
+            x = [float(sums @ model.text_weights) + op.PLAIN, max([op.PLAIN, *margins]), math.log1p(len(over)), math.log1p(sum(over)), 1]
+            scores.append(1 / (1 + math.exp(-min(40, max(-40, float(np.dot(x, model.curve)))))))
+    return max(scores)
+
+
+def test_scores_are_those_of_the_definitions(sample, model, monkeypatch):
     docs, _ = sample
-    rows = docs.where("doc_id < 60 or doc_id between 2000 and 2002").select("doc_id", "text").collect()
-    got: dict = {}
-    for r in op.score(docs, model).collect():
-        got.setdefault(r["doc_id"], r["score"])
-    for r in rows:
-        assert math.isclose(got[r["doc_id"]], naive_score(r["text"], model), abs_tol=2e-3), r
+    rows = docs.where("doc_id < 40 or doc_id between 2000 and 2002").select("doc_id", "text").collect()
+    texts = [r["text"] for r in rows] + [" ".join([*WORDS * 20, "g r u n k e l", *WORDS * 9, "s-k-r-e-e-m"])]
+    want = [naive_score(t, model) for t in texts]
+    assert np.allclose(model.score(texts, model.windows()), want, atol=2e-3)
+    # the same in small parts, with little held
+    for name, value in (("_PIECE", 50), ("_MEMBERS", 64), ("_CACHE", 5)):
+        monkeypatch.setattr(op, name, value)
+    windows = model.windows()
+    assert np.allclose([model.score([t], windows)[0] for t in texts[:-1]], want[:-1], atol=2e-3)
