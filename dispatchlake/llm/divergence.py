@@ -187,9 +187,9 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOC
     table = cut(counts(docs))
     by_term = table.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term", "of_lang")
     spans = by_term.groupBy("lang").agg(F.count("*").alias("v"), F.sum("of_lang").alias("lang_total"))
-    # chunks by hash, places within a chunk by term: a window holds about ``chunk`` terms
+    # chunks by hash, places within a chunk by term: a window holds about ``chunk`` terms (and a task chunks, not a language)
     placed = by_term.join(spans.select("lang", F.ceil(F.col("v") / chunk).cast("int").alias("n_chunks")), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("n_chunks")).cast("int"))
-    placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
+    placed = placed.repartition("lang", "chunk").withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
     kept = cut(table.select("lang", "source", "term", "n").join(placed, ["lang", "term"]))
     # one row a group: all groups that occur, with or without kept terms
     groups = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()

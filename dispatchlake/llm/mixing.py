@@ -1,10 +1,10 @@
 """Temperature mixing of sources, with DataFrame operations only.
 
-Token shares p of the sources are raised to an exponent a in [0, 1] and normalised: w ~ p**a. Since entropy
-falls and the largest repetition (w * budget / tokens) falls or rises monotonously with a, the greatest exponent
-that reaches the wanted entropy, and the least that keeps the repetitions within the limit, are found by
-bisection: a round evaluates a grid of exponents in one aggregation over the table of sources and keeps the
-bracket in which the condition turns.
+Token shares p of the sources are raised to an exponent a >= 0 and normalised: w ~ p**a. Entropy falls as a grows: below 1
+small sources gain, above 1 large ones do. The exponent at which entropy meets the target is found by bisection, after
+doubling the upper end until entropy is below it; a round evaluates a grid of exponents in one aggregation over the table
+of sources and keeps the bracket in which the condition turns. The largest repetition (w * budget / tokens) is least at
+a = 1, so where the exponent exceeds the limit on repetitions, a second bisection moves it towards 1 until the limit is met.
 
 The weights are realised as block permutations. A source's documents are hashed into blocks; epoch e orders the
 blocks by a hash of (seed, e, source, block), and documents within a block by their own hash. ``mix_order`` is both in one
@@ -12,11 +12,14 @@ number, so within an epoch the sources interleave by it. Whole epochs take every
 blocks in this same order while they fit in what is left of the source's budget, and of the block that doesn't fit,
 documents in order while they fit. So a source's tokens miss its budget by less than a document.
 
-Per source, only block sums (at most ``blocks``) and the documents of one block are ever ordered together.
+Per source, only block sums (at most ``blocks``), and hashes and tokens of one block's documents are ever ordered together;
+rows with their texts are only filtered.
 
 Edge cases: a null source is a source of its own; a null or empty text has no tokens and comes along with the
-whole epochs only; a corpus without tokens is returned as it is, once; repeated rows are separate documents;
-columns that clash with the added ones (epoch, source_weight, mix_order) are replaced.
+whole epochs only; a corpus without tokens is returned as it is, once; repeated rows are separate documents, of which a
+partial epoch takes all or none; where several sources have the same greatest share, entropy can't fall below theirs, and the
+exponent ends at ``SHARPEST``; where even a = 1 exceeds the limit on repetitions, a is 1; columns that clash with the added
+ones (epoch, source_weight, mix_order) are replaced.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +34,9 @@ ENTROPY = 0.95
 MAX_EPOCHS = 4.0
 BLOCKS = 4096
 SEED = 17
-_GRID, _ROUNDS = 32, 8
+#: Greatest exponent that is tried.
+SHARPEST = 1024.0
+_GRID, _ROUNDS = 32, 10
 _DOCUMENT_BITS = 28
 
 
@@ -40,13 +45,17 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")), F.lit(0)).cast("long")
 
 
-def _turn(sources: DataFrame, low: float, high: float, holds: Column, rising: bool) -> float:
+def _tried(shares: DataFrame, low: float, step: float, n: int) -> DataFrame:
+    """Of each exponent low + i * step: z, sum of u log u and greatest u / p, where u is p**a up to a factor."""
+    tried = shares.select("p", "top_p", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i")).withColumn("u", F.pow(F.col("p") / F.col("top_p"), F.lit(low) + F.col("i") * step))
+    return tried.groupBy("i").agg(F.sum("u").alias("z"), F.sum(F.when(F.col("u") > 0, F.col("u") * F.log("u")).otherwise(0.0)).alias("ulogu"), F.max(F.col("u") / F.col("p")).alias("top"), F.count("*").alias("n"))
+
+
+def _turn(shares: DataFrame, low: float, high: float, holds: Column, rising: bool) -> float:
     """Where in [low, high] the condition turns: the greatest exponent that holds, or the least if ``rising``."""
     for _ in range(_ROUNDS):
         step = (high - low) / _GRID
-        tried = sources.select("p", F.explode(F.array(*[F.lit(i) for i in range(_GRID + 1)])).alias("i")).withColumn("u", F.pow("p", F.lit(low) + F.col("i") * step))
-        stats = tried.groupBy("i").agg(F.sum("u").alias("z"), F.sum(F.col("u") * F.log("u")).alias("ulogu"), F.max(F.col("u") / F.col("p")).alias("top"), F.count("*").alias("n"))
-        good = {r["i"] for r in stats.where(holds).select("i").collect()}
+        good = {r["i"] for r in _tried(shares, low, step, _GRID).where(holds).select("i").collect()}
         if rising:
             at = min(good, default=_GRID)
             if at == 0:
@@ -60,25 +69,35 @@ def _turn(sources: DataFrame, low: float, high: float, holds: Column, rising: bo
     return high if rising else low
 
 
+def exponent(shares: DataFrame, repeats: float, entropy: float, max_epochs: float) -> float:
+    """The exponent for ``shares`` (p, top_p). ``repeats``: budget by tokens of the corpus."""
+    # entropy of w is log z - sum(u log u) / z
+    enough = F.log("z") - F.col("ulogu") / F.col("z") >= entropy * F.log("n") - 1e-12
+    within = F.col("top") / F.col("z") * repeats <= max_epochs + 1e-12
+    at = lambda a, holds: bool(_tried(shares, a, 0.0, 0).where(holds).count())
+    high = 1.0
+    while high < SHARPEST and at(high, enough):
+        high *= 2
+    a = _turn(shares, 0.0, high, enough, rising=False)
+    if at(a, within):
+        return a
+    return _turn(shares, a, 1.0, within, rising=True) if a < 1 else _turn(shares, 1.0, a, within, rising=False)
+
+
 def weights(sources: DataFrame, budget: float | None = None, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """``sources`` (source, tokens, documents) with share, weight, exponent and target tokens.
 
     ``budget``: tokens of the mix; None: as many as the corpus has.
     """
-    total = sources.agg(F.sum("tokens")).first()[0] or 0
+    total, top = sources.agg(F.sum("tokens"), F.max("tokens")).first()
     if not total:
         return sources.select("*", F.lit(0.0).alias("share"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("exponent"), F.lit(0.0).alias("target"))
     budget = float(budget if budget is not None else total)
-    shares = cut(sources.where("tokens > 0").select((F.col("tokens") / total).alias("p")))
-    # entropy of w is log z - sum(u log u) / z
-    spread = F.log("z") - F.col("ulogu") / F.col("z")
-    a = _turn(shares, 0.0, 1.0, spread >= entropy * F.log("n") - 1e-12, rising=False)
-    within = F.col("top") / F.col("z") * (budget / total) <= max_epochs + 1e-12
-    a = max(a, _turn(shares, 0.0, 1.0, within, rising=True))
-    z = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0]
-    share = F.col("tokens") / total
-    weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(a)) / z).otherwise(0.0)
-    return sources.select("*", share.alias("share"), weight.alias("weight"), F.lit(a).alias("exponent")).withColumn("target", F.col("weight") * budget)
+    shares = cut(sources.where("tokens > 0").select((F.col("tokens") / total).alias("p"), F.lit(top / total).alias("top_p")))
+    a = exponent(shares, budget / total, entropy, max_epochs)
+    z = _tried(shares, a, 0.0, 0).first()["z"]
+    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / top, F.lit(a)) / z).otherwise(0.0)
+    return sources.select("*", (F.col("tokens") / total).alias("share"), weight.alias("weight"), F.lit(a).alias("exponent")).withColumn("target", F.col("weight") * budget)
 
 
 def _block_place(seed: int, epoch: str) -> Column:
@@ -111,10 +130,12 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY,
     fate = F.when((F.col("_rest") == 0) | (F.col("_left") <= 0), "none").when(F.col("_left") >= F.col("n"), "all").otherwise("some")
     fates = room.select("_s", "_none", "_b", "source_weight", "_whole", "_left", fate.alias("_fate"))
     placed = counted.join(fates, ["_s", "_none", "_b"])
-    within = Window.partitionBy("_s", "_none").orderBy(_document_place(), "_h", "_id")
-    some = placed.where("_fate = 'some'").withColumn("_id", F.monotonically_increasing_id())
-    some = some.withColumn("_fate", F.when(F.sum("_n").over(within) <= F.col("_left"), "all").otherwise("none")).drop("_id")
-    settled = placed.where("_fate <> 'some'").unionByName(some)
+    # of the block that fits in part: the last document that fits, by hashes and tokens alone
+    key = F.struct(_document_place().alias("place"), F.col("_h").alias("hash"))
+    within = Window.partitionBy("_s", "_none").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = placed.where("_fate = 'some'").select("_s", "_none", key.alias("key"), "_n", "_left").withColumn("so_far", F.sum("_n").over(within)).where("so_far <= _left")
+    last = fitting.groupBy("_s", "_none").agg(F.max("key").alias("_last"))
+    settled = placed.join(last, ["_s", "_none"], "left").withColumn("_fate", F.when(F.col("_fate") != "some", F.col("_fate")).when(key <= F.col("_last"), "all").otherwise("none"))
     taken = F.expr("if(_fate = 'all', _whole + 1, _whole)")
     epochs = F.explode(F.when(taken > 0, F.sequence(F.lit(0), taken - 1)).otherwise(F.array().cast("array<int>")))
     # where in its epoch a block, and in its block a document, stands
