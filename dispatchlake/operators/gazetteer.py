@@ -5,11 +5,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import search_key
+from .names import place_of, runs_of_words, within_edits
 
 #: Own cut-offs.
 GREEN, YELLOW = 80, 50
 #: Greatest edit distance of a road or quarter, as a share of its length.
 EDITS = 0.25
+#: Words after a road's name among which its door is looked for.
+DOOR_REACH = 4
+#: Below this confidence of the door's word a resolution isn't green.
+SURE_DOOR = 70
+DOOR = "^[0-9]+[a-z]?$"
+#: What a text costs that doesn't name its district.
+NO_DISTRICT = 10
 
 
 def named_districts(texts: DataFrame, districts: DataFrame, key: str, text: str, loaded: DataFrame | None = None) -> DataFrame:
@@ -25,24 +33,26 @@ def named_districts(texts: DataFrame, districts: DataFrame, key: str, text: str,
 def resolve(queries: DataFrame, gazetteer: DataFrame, key: str) -> DataFrame:
     """The best gazetteer row for district, quarter, road and door.
 
-    Names are matched before doors, level by level and each different one once: the quarters of a district, then, in
-    quarters that match, the roads that begin with the same two letters; edit distances of both must stay within EDITS of
-    their length, and a question without a quarter goes to all of its district. Doors join by equality. So work grows
-    with the different names of a quarter, not with questions times doors. Confidence: 40 for the road, 30 for the
-    quarter, 30 for the door, each less its edits. precision: kapi with the door, yol with the road alone, else yok.
+    Names are matched before doors, level by level and each different one once: the quarters of a district, then the roads
+    of quarters that match, both by an index of their pieces (``names.within_edits``), so every name within EDITS of its
+    length is found, wherever its letters differ. A question without a quarter goes to all of its district. Doors join by
+    equality. So work grows with the different names of a quarter, not with questions times doors. Confidence: 40 for the road, 30
+    for the quarter, 30 for the door, each less its edits. precision: kapi with the door, yol with the road alone, else yok.
     """
     def folded(df: DataFrame, prefix: str) -> DataFrame:
         return df.withColumns({f"{prefix}{c}": search_key(F.coalesce(F.col(c), F.lit(""))) for c in ("district", "quarter", "road", "door")})
 
     g = folded(gazetteer, "g_").select("g_district", "g_quarter", "g_road", "g_door", F.struct("quarter", "road", "door", "lat", "lng").alias("place"))
     q = folded(queries, "q_").select(key, "q_district", "q_quarter", "q_road", "q_door")
-    off = lambda c: F.levenshtein(f"q_{c}", f"g_{c}") / F.greatest(F.length(f"g_{c}"), F.lit(1))
-    quarters = q.select("q_district", "q_quarter").distinct().join(g.select("g_district", "g_quarter").distinct(), F.col("q_district") == F.col("g_district"))
-    quarters = quarters.withColumn("quarter_off", off("quarter")).where((F.col("quarter_off") <= EDITS) | (F.col("q_quarter") == "")).drop("g_district")
-    asked = q.select("q_district", "q_quarter", "q_road").distinct().withColumn("q_block", F.left("q_road", F.lit(2))).join(quarters, ["q_district", "q_quarter"])
-    roads = g.groupBy("g_district", "g_quarter", "g_road").agg(F.max("place").alias("last")).withColumn("g_block", F.left("g_road", F.lit(2)))
-    names = asked.join(roads, (F.col("q_district") == F.col("g_district")) & (asked["g_quarter"] == roads["g_quarter"]) & (F.col("q_block") == F.col("g_block"))).drop(roads["g_quarter"])
-    names = names.withColumn("road_off", off("road")).where(F.col("road_off") <= EDITS)
+    off = lambda c: F.col("edits") / F.greatest(F.length(c), F.lit(1))
+    asked_quarters, quarters_there = q.select(F.col("q_district").alias("g_district"), "q_quarter").distinct(), g.select("g_district", "g_quarter").distinct()
+    quarters = within_edits(asked_quarters.where("q_quarter <> ''"), quarters_there, ["g_district"], "q_quarter", "g_quarter", EDITS).withColumn("quarter_off", off("g_quarter"))
+    any_quarter = asked_quarters.where("q_quarter = ''").join(quarters_there, "g_district").withColumn("quarter_off", F.lit(0.0))
+    quarters = quarters.select("g_district", "q_quarter", "g_quarter", "quarter_off").unionByName(any_quarter)
+    asked = q.select(F.col("q_district").alias("g_district"), "q_quarter", "q_road").distinct().join(quarters, ["g_district", "q_quarter"])
+    roads = g.groupBy("g_district", "g_quarter", "g_road").agg(F.max("place").alias("last"))
+    near = within_edits(asked, roads, ["g_district", "g_quarter"], "q_road", "g_road", EDITS).withColumn("road_off", off("g_road")).drop("edits")
+    names = asked.join(near, ["g_district", "g_quarter", "q_road"]).join(roads, ["g_district", "g_quarter", "g_road"]).withColumnRenamed("g_district", "q_district")
     base = 40 * (1 - F.col("road_off")) + F.when(F.col("q_quarter") == "", 0).otherwise(30 * (1 - F.col("quarter_off")))
     names = names.select("q_district", "q_quarter", "q_road", "g_quarter", "g_road", base.alias("base"), "last")
 
@@ -57,8 +67,53 @@ def resolve(queries: DataFrame, gazetteer: DataFrame, key: str) -> DataFrame:
     with_door = with_door.join(doors.withColumnsRenamed({"g_district": "q_district", "g_door": "q_door"}), ["q_district", "g_quarter", "g_road", "q_door"])
     by_door = with_door.groupBy(*address).agg(ranked(F.col("base") + 30, "place", "kapi").alias("door_best"))
     out = q.join(by_road, name, "left").join(by_door, address, "left").withColumn("b", F.greatest("road_best", "door_best"))
-    grade = F.when(F.col("confidence") >= GREEN, "green").when(F.col("confidence") >= YELLOW, "yellow").otherwise("red")
-    return out.select(key, "b.lat", "b.lng", F.coalesce("b.confidence", F.lit(0)).alias("confidence"), F.coalesce("b.precision", F.lit("yok")).alias("precision")).withColumn("grade", grade)
+    return out.select(key, "b.lat", "b.lng", F.coalesce("b.confidence", F.lit(0)).alias("confidence"), F.coalesce("b.precision", F.lit("yok")).alias("precision")).withColumn("grade", _grade(F.col("confidence")))
+
+
+def _grade(confidence: Column) -> Column:
+    return F.when(confidence >= GREEN, "green").when(confidence >= YELLOW, "yellow").otherwise("red")
+
+
+def resolve_texts(texts: DataFrame, gazetteer: DataFrame, key: str, text: str = "text", ocr_words: str | None = None) -> DataFrame:
+    """The best address that a whole text names: district, quarter, road, door, lat, lng, confidence, precision, grade.
+
+    ``texts``: a row for each key, with the text and, if ``ocr_words`` names them, the words of its reading
+    (array<struct<text, confidence>>). Names of the gazetteer are found as runs of words (``names.runs_of_words``). A road counts if the
+    text names its quarter or its district too; its door is the first number among the DOOR_REACH words behind it. Of several
+    roads the one with the greatest confidence counts, of equal ones the first in the text: 40 for the road, 30 for the
+    quarter, 30 for a door that the gazetteer has, less NO_DISTRICT where the district isn't named. The door's word is found among the
+    words of the reading by its place: the second 12 of the text is the second 12 that was read. If it was read with less
+    than SURE_DOOR, a green grade becomes yellow.
+
+    Texts that name no address, null and empty ones have confidence 0 and precision yok; a reading without that word,
+    or without words, changes nothing.
+    """
+    folded = {f"g_{c}": search_key(F.coalesce(F.col(c), F.lit(""))) for c in ("district", "quarter", "road", "door")}
+    g = gazetteer.withColumns(folded).select(*folded, F.struct("district", "quarter", "road", "door", "lat", "lng").alias("place"))
+    rows = texts.withColumn("_words", F.split(search_key(F.coalesce(F.col(text), F.lit(""))), " "))
+    kinds = [g.select(F.lit(c).alias("kind"), F.col(f"g_{c}").alias("name")) for c in ("district", "quarter", "road")]
+    found = runs_of_words(rows, kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), key, "_words", DOOR_REACH)
+    named = lambda kind: found.where(F.col("kind") == kind).select(key, F.col("name").alias(f"g_{kind}"), F.lit(True).alias(f"has_{kind}")).distinct()
+    # the first number behind a road, and its place in the text
+    number = F.array_position(F.transform("after", lambda w: w.rlike(DOOR)), True)
+    roads = found.where("kind = 'road'").withColumn("_at", number).select(key, F.col("name").alias("g_road"), "begin", F.when(F.col("_at") > 0, F.get("after", (F.col("_at") - 1).cast("int"))).alias("g_door"), (F.col("begin") + F.col("size") + F.col("_at")).cast("int").alias("door_place"))
+    homes = g.groupBy("g_district", "g_quarter", "g_road").agg(F.max("place").alias("road_place"))
+    tried = roads.join(homes, "g_road").join(named("quarter"), [key, "g_quarter"], "left").join(named("district"), [key, "g_district"], "left").where("has_quarter or has_district")
+    doors = g.where("g_door <> ''").groupBy("g_district", "g_quarter", "g_road", "g_door").agg(F.max("place").alias("door_there"))
+    tried = tried.join(doors, ["g_district", "g_quarter", "g_road", "g_door"], "left")
+    confidence = F.lit(40) + F.when(F.col("has_quarter"), 30).otherwise(0) + F.when(F.col("door_there").isNotNull(), 30).otherwise(0) - F.when(F.col("has_district"), 0).otherwise(NO_DISTRICT)
+    place = F.coalesce("door_there", "road_place")
+    best = F.max(F.struct(confidence.alias("confidence"), (-F.col("begin")).alias("first"), place["district"].alias("district"), place["quarter"].alias("quarter"), place["road"].alias("road"), F.when(F.col("door_there").isNotNull(), place["door"]).alias("door"), place["lat"].alias("lat"), place["lng"].alias("lng"), F.when(F.col("door_there").isNotNull(), F.col("g_door")).alias("g_door"), "door_place"))
+    out = rows.join(tried.groupBy(key).agg(best.alias("b")), key, "left").withColumn("confidence", F.coalesce("b.confidence", F.lit(0)))
+    grade = _grade(F.col("confidence"))
+    if ocr_words:
+        read = F.flatten(F.transform(ocr_words, lambda w: F.transform(F.split(search_key(F.coalesce(w["text"], F.lit(""))), " "), lambda t: F.struct(t.alias("t"), w["confidence"].alias("confidence")))))
+        same = F.filter(read, lambda x: x["t"] == F.col("b.g_door"))
+        doubt = F.get(same, place_of(F.col("_words"), F.col("b.g_door"), F.col("b.door_place")) - 1)["confidence"]
+        out = out.withColumn("door_confidence", doubt.cast("double"))
+        grade = F.when((grade == "green") & (F.col("door_confidence") < SURE_DOOR), "yellow").otherwise(grade)
+    precision = F.when(F.col("b.g_door").isNotNull(), "kapi").when(F.col("b").isNotNull(), "yol").otherwise("yok")
+    return out.select(key, *[f"b.{c}" for c in ("district", "quarter", "road", "door", "lat", "lng")], "confidence", precision.alias("precision"), grade.alias("grade"), *(["door_confidence"] if ocr_words else []))
 
 
 def best_per_group(rows: DataFrame, group: str, order: list, n: int = 1) -> DataFrame:

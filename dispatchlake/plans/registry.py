@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, geo, text
 from ..operators import gazetteer, ledger, memory, merge, ocr, report, route
 from ..sources import store
-from ..sources.proxies import DAYS_SQL, DISTRICTS_SQL, INVOICES_SQL, READINGS_SQL, ROUTES_SQL, STOPS_SQL, days, districts, invoices, readings, routes, stops, table
+from ..sources.proxies import DAYS_SQL, DISTRICTS_SQL, INVOICES_SQL, LETTERS_SQL, READINGS_SQL, ROUTES_SQL, STOPS_SQL, days, districts, invoices, letters, readings, routes, stops, table
 from ..streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,18 +433,59 @@ def _(spark, d):
 
 _RESOLVED = f"""places AS (SELECT district, quarter, road, door, min(lat) AS lat, min(lng) AS lng FROM stops WHERE lat IS NOT NULL AND door IS NOT NULL GROUP BY district, quarter, road, door),
 g AS (SELECT {', '.join(f"{_FOLD.format(c=c)} AS g_{c}" for c in ('district', 'quarter', 'road', 'door'))}, quarter, road, door, lat, lng FROM places),
-q AS (SELECT stop_id, {', '.join(f"coalesce({_FOLD.format(c=c)}, '') AS q_{c}" for c in ('district', 'quarter', 'new_road', 'door'))} FROM (SELECT *, road || CASE WHEN stop_id % 4 = 0 THEN 'x' ELSE '' END AS new_road FROM stops)),
-pairs AS (SELECT stop_id, g.*, levenshtein(q_new_road, g_road) / greatest(length(g_road), 1)::DOUBLE AS road_off, levenshtein(q_quarter, g_quarter) / greatest(length(g_quarter), 1)::DOUBLE AS quarter_off, q_quarter, q_door = g_door AND q_door <> '' AS same_door FROM q JOIN g ON q_district = g_district AND left(q_new_road, 2) = left(g_road, 2)),
+q AS (SELECT stop_id, {', '.join(f"coalesce({_FOLD.format(c=c)}, '') AS q_{c}" for c in ('district', 'quarter', 'new_road', 'door'))} FROM (SELECT *, CASE WHEN stop_id % 4 = 0 THEN road || 'x' WHEN stop_id % 4 = 1 THEN 'x' || substr(road, 2) ELSE road END AS new_road FROM stops)),
+pairs AS (SELECT stop_id, g.*, levenshtein(q_new_road, g_road) / greatest(length(g_road), 1)::DOUBLE AS road_off, levenshtein(q_quarter, g_quarter) / greatest(length(g_quarter), 1)::DOUBLE AS quarter_off, q_quarter, q_door = g_door AND q_door <> '' AS same_door FROM q JOIN g ON q_district = g_district),
 judged AS (SELECT *, floor(40 * (1 - road_off) + CASE WHEN q_quarter = '' THEN 0 ELSE 30 * (1 - quarter_off) END + CASE WHEN same_door THEN 30 ELSE 0 END)::INT AS confidence FROM pairs WHERE road_off <= 0.25 AND (quarter_off <= 0.25 OR q_quarter = '')),
 best AS (SELECT stop_id, max({{'confidence': confidence, 'quarter': quarter, 'road': road, 'door': door, 'lat': lat, 'lng': lng, 'precision': CASE WHEN same_door THEN 'kapi' ELSE 'yol' END}}) AS b FROM judged GROUP BY stop_id)"""
 
 
 @query("j7_resolve_address", "SELECT stop_id, b.lat AS lat, b.lng AS lng, coalesce(b.confidence, 0) AS confidence, coalesce(b.precision, 'yok') AS precision, CASE WHEN coalesce(b.confidence, 0) >= 80 THEN 'green' WHEN coalesce(b.confidence, 0) >= 50 THEN 'yellow' ELSE 'red' END AS grade FROM stops LEFT JOIN best USING (stop_id)", STOPS_SQL, _RESOLVED)
 def _(spark, d):
+    road = F.when(F.col("stop_id") % 4 == 0, F.concat("road", F.lit("x"))).when(F.col("stop_id") % 4 == 1, F.concat(F.lit("x"), F.substr("road", F.lit(2)))).otherwise(F.col("road"))
+    return gazetteer.resolve(stops(spark, d).select("stop_id", "district", "quarter", road.alias("road"), "door"), _places(spark, d), "stop_id")
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
     rows = stops(spark, d).where("lat is not null and door is not null")
-    places = rows.groupBy("district", "quarter", "road", "door").agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
-    asked = stops(spark, d).select("stop_id", "district", "quarter", F.concat("road", F.when(F.col("stop_id") % 4 == 0, "x").otherwise("")).alias("road"), "door")
-    return gazetteer.resolve(asked, places, "stop_id")
+    return rows.groupBy("district", "quarter", "road", "door").agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
+
+
+_GRADE = "CASE WHEN {c} >= 80 THEN 'green' WHEN {c} >= 50 THEN 'yellow' ELSE 'red' END"
+_FREE = f"""places AS (SELECT district, quarter, road, door, min(lat) AS lat, min(lng) AS lng FROM stops WHERE lat IS NOT NULL AND door IS NOT NULL GROUP BY district, quarter, road, door),
+g AS (SELECT {', '.join(f"{_FOLD.format(c=c)} AS g_{c}" for c in ('district', 'quarter', 'road', 'door'))}, {{'district': district, 'quarter': quarter, 'road': road, 'door': door, 'lat': lat, 'lng': lng}} AS place FROM places),
+t AS (SELECT o_orderkey, words AS ocr, string_split({_FOLD.format(c='text')}, ' ') AS ws FROM letters),
+i AS (SELECT o_orderkey, ws, unnest(range(1, len(ws) + 1)) AS pos_ FROM t),
+grams AS (SELECT o_orderkey, pos_, n, array_to_string(ws[pos_ : pos_ + n - 1], ' ') AS name, ws[pos_ + n : pos_ + n + 3] AS after FROM i, (VALUES (1), (2)) AS v(n) WHERE pos_ + n - 1 <= len(ws)),
+qs AS (SELECT DISTINCT o_orderkey, name FROM grams WHERE name IN (SELECT g_quarter FROM g)),
+ds AS (SELECT DISTINCT o_orderkey, name FROM grams WHERE name IN (SELECT g_district FROM g)),
+rs AS (SELECT o_orderkey, name AS g_road, pos_, list_filter(after, lambda w: regexp_matches(w, '^[0-9]+[a-z]?$'))[1] AS g_door, pos_ + n + list_position(list_transform(after, lambda w: regexp_matches(w, '^[0-9]+[a-z]?$')), true) - 1 AS door_at FROM grams WHERE name IN (SELECT g_road FROM g)),
+homes AS (SELECT g_district, g_quarter, g_road, max(place) AS road_place FROM g GROUP BY ALL),
+doors AS (SELECT g_district, g_quarter, g_road, g_door, max(place) AS door_there FROM g GROUP BY ALL),
+tried AS (
+    SELECT rs.*, door_there, coalesce(door_there, road_place) AS p, 40 + CASE WHEN qs.name IS NULL THEN 0 ELSE 30 END + CASE WHEN door_there IS NULL THEN 0 ELSE 30 END - CASE WHEN ds.name IS NULL THEN 10 ELSE 0 END AS confidence
+    FROM rs JOIN homes USING (g_road) LEFT JOIN qs ON qs.o_orderkey = rs.o_orderkey AND qs.name = g_quarter LEFT JOIN ds ON ds.o_orderkey = rs.o_orderkey AND ds.name = g_district LEFT JOIN doors USING (g_district, g_quarter, g_road, g_door)
+    WHERE qs.name IS NOT NULL OR ds.name IS NOT NULL
+),
+best AS (SELECT o_orderkey, max({{'confidence': confidence, 'first': -pos_, 'district': p.district, 'quarter': p.quarter, 'road': p.road, 'door': CASE WHEN door_there IS NOT NULL THEN p.door END, 'lat': p.lat, 'lng': p.lng, 'g_door': CASE WHEN door_there IS NOT NULL THEN g_door END, 'door_at': door_at}}) AS b FROM tried GROUP BY o_orderkey),
+read AS (
+    SELECT t.*, b, flatten(list_transform(ocr, lambda w: list_transform(string_split({_FOLD.format(c="w['text']")}, ' '), lambda x: {{'t': x, 'c': w['confidence']}}))) AS tokens, len(list_filter(ws[1 : b.door_at], lambda w: w = b.g_door)) AS place
+    FROM t LEFT JOIN best USING (o_orderkey)
+),
+resolved AS (
+    SELECT o_orderkey, b.district AS district, b.quarter AS quarter, b.road AS road, b.door AS door, b.lat AS lat, b.lng AS lng, coalesce(b.confidence, 0) AS confidence, CASE WHEN b.g_door IS NOT NULL THEN 'kapi' WHEN b IS NOT NULL THEN 'yol' ELSE 'yok' END AS precision,
+        {_GRADE.format(c='coalesce(b.confidence, 0)')} AS grade, list_filter(tokens, lambda x: x.t = b.g_door)[place].c AS door_confidence
+    FROM read
+)"""
+
+
+@query("j7_free_text", "SELECT * EXCLUDE (door_confidence) FROM resolved", STOPS_SQL, LETTERS_SQL, _FREE)
+def _(spark, d):
+    return gazetteer.resolve_texts(letters(spark, d), _places(spark, d), "o_orderkey")
+
+
+@query("j7_ocr_words", "SELECT * REPLACE (CASE WHEN grade = 'green' AND door_confidence < 70 THEN 'yellow' ELSE grade END AS grade) FROM resolved", STOPS_SQL, LETTERS_SQL, _FREE)
+def _(spark, d):
+    return gazetteer.resolve_texts(letters(spark, d), _places(spark, d), "o_orderkey", ocr_words="words")
 
 
 # Aggregations

@@ -118,6 +118,32 @@ def invoices(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").selectExpr("o_orderkey", "o_custkey", f"{_invoice('spark')} AS text")
 
 
+#: Letters: invoices with an address in words, some without district, quarter or door.
+_ADDRESS = [
+    "CASE WHEN o_orderkey % 9 = 0 THEN 'adres' ELSE concat('MAHALLE ', cast(o_custkey % 12 AS string), ' Mh.') END",
+    "concat('Yol ', cast(o_custkey % 30 AS string), CASE WHEN o_orderkey % 4 = 0 THEN ' üzeri' ELSE '' END)",
+    "CASE WHEN o_orderkey % 5 = 0 THEN 'kapısız' ELSE concat('No: ', cast(o_orderkey % 90 AS string)) END",
+    "CASE WHEN o_orderkey % 7 = 0 THEN '-' ELSE concat('İlçe ', cast(o_custkey % 19 AS string)) END",
+]
+
+
+def _letter(engine: str) -> str:
+    return f"concat({_invoice(engine)}, chr(10), concat_ws(' ', {', '.join(_ADDRESS)}))"
+
+
+#: A letter's words as they were read: split at white space, with made-up confidences.
+_READ = {
+    "spark": "transform(split(text, '[ \\n]'), (w, i) -> struct(w AS text, cast((i * 37 + o_orderkey * 11) % 101 AS double) AS confidence))",
+    "duckdb": "list_transform(regexp_split_to_array(text, '[ \\n]'), lambda w, i: {'text': w, 'confidence': (((i - 1) * 37 + o_orderkey * 11) % 101)::DOUBLE})",
+}
+LETTERS_SQL = f"letters AS (SELECT *, {_READ['duckdb']} AS words FROM (SELECT o_orderkey, {_letter('duckdb')} AS text FROM orders))".replace("AS string", "AS varchar")
+
+
+def letters(spark: SparkSession, folder: str) -> DataFrame:
+    """(o_orderkey, text, words)."""
+    return table(spark, folder, "orders").selectExpr("o_orderkey", f"{_letter('spark')} AS text").selectExpr("*", f"{_READ['spark']} AS words")
+
+
 # Districts as (oid, name, search key).
 DISTRICTS = [
     (1, "BABADAĞ", "babadag"), (2, "BEKİLLİ", "bekilli"), (3, "ÇAL", "cal"), (4, "ÇİVRİL", "civril"), (5, "GÜNEY", "guney"),
