@@ -9,7 +9,7 @@ One is trained on units, which weigh by the shares of toxic and of clean texts t
 a window's kernel value with a landmark is the sum of its different units' to the fourth power, which is a kernel too (a sum of
 products), where a near match outweighs many far ones.
 
-Texts of any length are judged alike: by windows of ``WINDOW`` words, each half over the one before. A window has its own
+Texts of any length are judged alike: by windows of ``WINDOW`` units, each half over the one before. A window has its own
 margin, the worst of its units' margins, and how many of its different units are on the wrong side, and how far; a logistic
 curve over these gives its score, and a text has the score of its worst window. Nothing adds up over a long text, and no
 clean surrounding outweighs an insult.
@@ -32,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 #: Parameters of the fit: labelled rows that it uses (least hashes of doc_id first),
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: evidence (of Chernoff's bound) and excess that make a character run a mark of toxic texts,
 GAIN, LIFT = 12.0, 2.0
 #: the model's size, nearness of the units that it is trained on, and the price of a training error.
@@ -51,13 +52,14 @@ ROUNDS, FOLDS = 4, 3
 ORDER = 3
 DECAY = 0.6
 THRESHOLD = 0.3
-#: Words of a window, an even number.
+#: Units of a window, an even number.
 WINDOW = 128
 #: Longer words are judged in overlapping parts.
 UNIT = 24
 START = "^"
-#: Margin of what is like no landmark: almost all units are harmless.
+#: Margin of what is like no landmark, and of what is more harmless still: almost all units are harmless.
 PLAIN = -1.0
+_NONE = -1
 #: Texts judged at a time, words held, characters read and members of windows reduced at a time.
 TEXTS, _CACHE, _PIECE, _MEMBERS = 128, 500_000, 1 << 20, 1 << 20
 _LETTERS = re.compile(r"[\W_]+")
@@ -130,8 +132,9 @@ def subsequences(string: str) -> Counter:
 class Kernel:
     """Normalised kernel values with a set of landmarks: sums over the landmarks' own subsequences."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: list[str], marks: int):
+        """``marks``: so many of the landmarks, the first ones, mark toxic texts."""
+        self.landmarks, self.marks = landmarks, marks
         chars = sorted(set("".join(landmarks)))
         self.size = len(chars) + 1  # 0: a character that no landmark has
         self.number = np.zeros(0x110000, np.int32)
@@ -161,44 +164,68 @@ class Kernel:
 
     def _shared(self, x: np.ndarray) -> np.ndarray:
         """What rows of numbered characters share with each landmark."""
-        out, n = np.zeros((len(x), len(self.landmarks)), np.float32), x.shape[1]
-        known = x > 0
-        for i in range(n - 2):
-            for j in range(i + 1, n - 1):
-                rows = np.flatnonzero(known[:, i] & known[:, j])
-                if not len(rows):
-                    continue
-                begin = (x[rows, i] * self.size + x[rows, j]) * self.size
-                for k in range(j + 1, n):
-                    found = self.row[begin + x[rows, k]]
-                    hit = np.flatnonzero(found)
-                    out[rows[hit]] += self.table[found[hit]] * np.float32(DECAY ** (k - i + 1))
+        out = np.zeros((len(x), len(self.landmarks)), np.float32)
+        i, j, k = _triples(x.shape[1])
+        weight = (DECAY ** (k - i + 1.0)).astype(np.float32)
+        size = max(1, (1 << 20) // max(1, len(i)))
+        for at in range(0, len(x), size):
+            part = x[at : at + size]
+            found = self.row[(part[:, i] * self.size + part[:, j]) * self.size + part[:, k]]
+            row, which = np.nonzero(found)
+            if len(row):
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                out[at + row[first]] = np.add.reduceat(self.table[found[row, which]] * weight[which][:, None], first, axis=0)
         return out
 
 
+@lru_cache(maxsize=UNIT + 2)
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i < j < k of a string of ``n``."""
+    i, j, k = np.meshgrid(np.arange(n), np.arange(n), np.arange(n), indexing="ij")
+    keep = (i < j) & (j < k)
+    return i[keep], j[keep], k[keep]
+
+
 class Windows:
-    """Values of the windows of texts: sums and extremes over their different words. A task's words are judged once."""
+    """Values of the windows of texts: sums and extremes over their different units. A task's units are judged once."""
 
     def __init__(self, judge: Callable[[list[str]], np.ndarray], machines: int, width: int):
-        """``judge``: of each word its margins by each machine, and ``width`` values to add up."""
+        """``judge``: of each unit its margins by each machine, and ``width`` values to add up."""
         self.judge, self.machines, self.width = judge, machines, width
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}  # no word: it is in every window
+        self.known: dict[str, int] = {}  # of a word: its unit, _NONE, or below that the place of its parts
+        self.parts: list[list[int]] = []
+        self.units: dict[str, int] = {"": 0}  # no unit: it is in every window
         self.values = np.zeros((1, self.machines + self.width), np.float32)
         self.values[0, : self.machines] = PLAIN
 
+    def _learn(self, words: set[str]) -> None:
+        new = {w: units(w) for w in words if w not in self.known}
+        fresh = list({u for us in new.values() for u in us if u not in self.units})
+        if fresh:
+            self.units.update(zip(fresh, range(len(self.values), len(self.values) + len(fresh)), strict=True))
+            self.values = np.concatenate([self.values, self.judge(fresh)])
+        for w, us in new.items():
+            if len(us) == 1:
+                self.known[w] = self.units[us[0]]
+            elif us:
+                self.known[w] = _NONE - 1 - len(self.parts)
+                self.parts.append([self.units[u] for u in us])
+            else:
+                self.known[w] = _NONE
+
     def _numbers(self, words: list[str]) -> np.ndarray:
-        new = list({w for w in words if w not in self.known})
-        if new:
-            more = self.judge(new)
-            self.known.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
-            self.values = np.concatenate([self.values, more])
-        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        """The units of the words, in order."""
+        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        found = found[found != _NONE]
+        if len(found) and found.min() < _NONE:
+            found = np.concatenate([[n] if n >= 0 else self.parts[_NONE - 1 - n] for n in found.tolist()])
+        return found
 
     def _reduced(self, members: list[int], sizes: list[int]) -> np.ndarray:
-        """Of each window: the sums, and by each machine margin of its worst word, words on the wrong side, how far, and nearness of all."""
+        """Of each window: the sums, and by each machine margin of its worst unit, units on the wrong side, how far, and nearness of all."""
         first = np.cumsum([0, *sizes[:-1]])
         v = self.values[members].astype(np.float64)
         out = [np.add.reduceat(v[:, self.machines :], first, axis=0)]
@@ -212,24 +239,25 @@ class Windows:
         if len(self.known) > _CACHE:
             self._forget()
         out, members, sizes, first, half = [], [], [], [0], WINDOW // 2
-        # words of several texts are numbered together, those of a very long one part by part
         for group in _groups(texts):
             if len(group) > 1:
                 split = [list(words_of(t)) for t in group]
-                flat = self._numbers([w for parts in split for ws in parts for w in ws])
-                sizes_of = [[len(ws) for ws in parts] for parts in split]
-            else:
-                numbers = [self._numbers(ws) for ws in words_of(group[0])]
-                flat, sizes_of = np.concatenate(numbers), [[len(x) for x in numbers]]
-            at = 0
-            for of in sizes_of:
-                n, middle, last = 0, at + sum(of[:-1]), at + sum(of)
+                self._learn({w for parts in split for ws in parts for w in ws})
+            else:  # a very long text goes part by part
+                split = [words_of(group[0])]
+            for parts in split:
+                numbers = []
+                for ws in parts:
+                    if len(group) == 1:
+                        self._learn(set(ws))
+                    numbers.append(self._numbers(ws))
+                n = 0
                 # runs of single letters have windows of their own
-                bounds = [(at, middle), (middle, last)] if last > middle else [(at, middle)]
-                at = last
-                for begin, end in bounds:
-                    for s in range(begin, max(begin + 1, end - half), half):
-                        window = {0, *flat[s : min(s + WINDOW, end)].tolist()}
+                for line in (np.concatenate(numbers[:-1]), numbers[-1]):
+                    if n and not len(line):
+                        continue
+                    for s in range(0, max(1, len(line) - half), half):
+                        window = {0, *line[s : s + WINDOW].tolist()}
                         members.extend(window)
                         sizes.append(len(window))
                         n += 1
@@ -262,22 +290,12 @@ class Model:
     text_weights: np.ndarray | None = None  # the same of the machine of windows
     curve: np.ndarray | None = None  # of a window's features, and a constant
 
-    def judge(self, words: list[str]) -> np.ndarray:
-        """Of each word: the worst margins of its units, and what it adds to its window's kernel values (without a machine of windows) or margin."""
-        parts = [units(w) for w in words]
-        values = self.kernel([u for p in parts for u in p])
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        some = np.flatnonzero(sizes)
+    def judge(self, strings: list[str]) -> np.ndarray:
+        """Of each unit: its margins, and what it adds to its window's kernel values (without a machine of windows) or margin."""
+        values = self.kernel(strings)
         sharp = (values * values) ** 2
         adds = sharp if self.text_weights is None else (sharp @ self.text_weights)[:, None]
-        n = self.weights.shape[1]
-        out = np.zeros((len(words), n + adds.shape[1]), np.float32)
-        out[:, :n] = PLAIN
-        if len(some):
-            first = (np.cumsum(sizes) - sizes)[some]
-            out[some, :n] = np.maximum(np.maximum.reduceat(values @ self.weights + PLAIN, first, axis=0), PLAIN)
-            out[some, n:] = np.add.reduceat(adds, first, axis=0)
-        return out
+        return np.column_stack([np.maximum(values @ self.weights + PLAIN, PLAIN), adds]).astype(np.float32)
 
     def windows(self) -> Windows:
         return Windows(self.judge, self.weights.shape[1], 1 if self.text_weights is not None else len(self.weights))
@@ -288,7 +306,7 @@ class Model:
 
 
 def features(margin: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """What the curve reads of windows: their margin, their words' worst, words on the wrong side, how far, and a constant."""
+    """What the curve reads of windows: their margin, their units' worst, units on the wrong side, how far, and a constant."""
     return np.column_stack([margin + PLAIN, rest[:, 0], np.log1p(rest[:, 1]), np.log1p(rest[:, 2]), np.ones(len(margin))])
 
 
@@ -330,13 +348,13 @@ def _marked(runs: set[str]):
     return run
 
 
-def _near(kernel: Kernel, marks: int, least: float):
-    """Units at least so near to one of the first landmarks, with their nearness and their kernel values."""
+def _near(kernel: Kernel, least: float):
+    """Units at least so near to a mark, with their nearness and their kernel values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = kernel(batch["part"].to_pylist())
-            near = values[:, :marks].max(1, initial=0)
+            near = values[:, : kernel.marks].max(1, initial=0)
             keep = np.flatnonzero(near >= least)
             part = batch.take(pa.array(keep))
             yield pa.record_batch({**{c: part[c] for c in ("part", "toxic", "clean")}, "near": pa.array(near[keep], pa.float32()), "found": pa.array(values[keep].tolist(), pa.list_(pa.float32()))})
@@ -480,13 +498,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     schema = "part string, toxic array<long>, clean array<long>, near float, found array<float>"
     # harmless units by how much they would weigh if they were taken for a landmark
     every = F.col("clean")[FOLDS]
-    hard = parts.where(every > 0).mapInArrow(_near(Kernel(landmarks), len(landmarks), 0.0), schema).orderBy(F.desc(F.col("near") * every), F.desc("near"), "part").limit(HARMLESS).collect()
-    kernel = Kernel(landmarks + [r["part"] for r in hard if r["part"] not in landmarks])
+    hard = parts.where(every > 0).mapInArrow(_near(Kernel(landmarks, len(landmarks)), 0.0), schema).orderBy(F.desc(F.col("near") * every), F.desc("near"), "part").limit(HARMLESS).collect()
+    kernel = Kernel(landmarks + [r["part"] for r in hard if r["part"] not in landmarks], len(landmarks))
     size = len(kernel.landmarks)
     gram = kernel(kernel.landmarks).astype(np.float64)
     gram = (gram + gram.T) / 2
     nystroem = _nystroem(gram)
-    near = parts.mapInArrow(_near(kernel, len(landmarks), NEAR), schema).orderBy("part").toArrow()
+    near = parts.mapInArrow(_near(kernel, NEAR), schema).orderBy("part").toArrow()
     values, toxic, clean = (near[c].combine_chunks().flatten().to_numpy().reshape(len(near), -1) for c in ("found", "toxic", "clean"))
 
     def of_units(k: int) -> np.ndarray:
