@@ -24,13 +24,35 @@ def metres_or_infinity(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -
     return F.coalesce(metres(lat1, lng1, lat2, lng2), F.lit(math.inf))
 
 
-def cell(lat: Column, lng: Column, radius_m: float, north_most: float = 60.0) -> tuple[Column, Column]:
-    """Grid cell no smaller than ``radius_m`` up to a latitude of ``north_most`` degrees."""
-    lat_step = radius_m / DEGREE_M
-    lng_step = lat_step / math.cos(math.radians(north_most))
-    return F.floor(lat / lat_step).cast("long"), F.floor(lng / lng_step).cast("long")
+def _row(lat: Column, radius_m: float) -> Column:
+    return F.floor(lat / (radius_m / DEGREE_M)).cast("long")
 
 
-def around(cell_lat: Column, cell_lng: Column) -> Column:
-    """The cell and its eight neighbours."""
-    return F.array(*[F.struct((cell_lat + i).alias("cell_lat"), (cell_lng + j).alias("cell_lng")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+def _columns_of(row: Column, radius_m: float) -> Column:
+    """Cells in a row of cells: each as wide as the radius at least, next to the row too, so fewer towards the poles and one there."""
+    step = radius_m / DEGREE_M
+    widest = (F.abs(row) + 2) * step
+    wide = F.cos(F.radians(widest)) * (360 / step)
+    return F.when(widest >= 90, 1).otherwise(F.greatest(F.floor(wide), F.lit(1))).cast("long")
+
+
+def _column(lng: Column, columns: Column) -> Column:
+    turned = F.pmod(lng, F.lit(360.0)) / 360
+    return F.least(F.floor(turned * columns).cast("long"), columns - 1)
+
+
+def cell(lat: Column, lng: Column, radius_m: float) -> tuple[Column, Column]:
+    """Grid cell no smaller than ``radius_m`` either way, at any latitude."""
+    row = _row(lat, radius_m)
+    return row, _column(lng, _columns_of(row, radius_m))
+
+
+def around(lat: Column, lng: Column, radius_m: float) -> Column:
+    """The point's cell and all others that can hold points within ``radius_m``, round the globe: up to nine."""
+    row = _row(lat, radius_m)
+    out = []
+    for i in (-1, 0, 1):
+        columns = _columns_of(row + i, radius_m)
+        at = _column(lng, columns)
+        out += [F.struct((row + i).alias("cell_lat"), F.pmod(at + j, columns).alias("cell_lng")) for j in (-1, 0, 1)]
+    return F.array_distinct(F.array(*out))

@@ -112,7 +112,7 @@ def same_address(stops: DataFrame) -> DataFrame:
 def _near(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """Pairs (a_*, b_*) of the points of one day less than ``radius`` apart, both ways, by an equi join on grid cells."""
     a, b = (points.select(DAY, *[F.col(c).alias(f"{s}_{c}") for c in (*keys, "lat", "lng")]) for s in ("a", "b"))
-    a = a.withColumn("cell", F.explode(around(*cell(F.col("a_lat"), F.col("a_lng"), radius)))).select("*", "cell.*").drop("cell")
+    a = a.withColumn("cell", F.explode(around(F.col("a_lat"), F.col("a_lng"), radius))).select("*", "cell.*").drop("cell")
     y, x = cell(F.col("b_lat"), F.col("b_lng"), radius)
     pairs = a.join(b.withColumns({"cell_lat": y, "cell_lng": x}), [DAY, "cell_lat", "cell_lng"])
     return pairs.where(metres(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) < radius)

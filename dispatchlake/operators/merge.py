@@ -1,9 +1,10 @@
 """Merging scans into a day's stops: an ordered fold per day, in batch and on a stream.
 
 Whether a scan merges depends on stops that earlier scans have changed already, so no aggregation gives the same
-result in general. But scans can only meet in one stop if they are connected by equal document numbers or neighbouring grid
-cells, since a stop always stands where one of its scans did. So in batch each connected component of a day is folded apart,
-and stops are numbered afterwards, by their first scans. On a stream the fold's state is one day's stops. Looking up a stop
+result in general. A day is one fold, in batch and on a stream, where the fold's state is the day's stops. Scans can only meet in
+one stop if they are connected by equal document numbers or neighbouring grid cells, since a stop always stands where one of its
+scans did; so in batch connected components can be folded apart (``split``), and stops numbered afterwards, by their first scans.
+That pays where days are very long and scattered; where one component holds most of a day it costs rounds for nothing. Looking up a stop
 is by document number, else by grid cell, so n scans cost about n lookups, not n squared. :func:`by_document_number` is
 the set form for scans that all have document numbers and coordinates.
 """
@@ -61,9 +62,13 @@ class DayStops:
         for s in stops or []:
             self._add(s)
 
-    def _cell(self, p: dict) -> tuple[int, int]:
+    def _cell(self, p: dict, up: int = 0, right: int = 0) -> tuple[int, int]:
+        """The point's cell, or one beside it; cells are as wide as NEAR_M at least, at any latitude (as in ``geo.cell``)."""
         step = NEAR_M / DEGREE_M
-        return math.floor(p["lat"] / step), math.floor(p["lng"] / (2 * step))
+        row = math.floor(p["lat"] / step) + up
+        widest = (abs(row) + 2) * step
+        columns = 1 if widest >= 90 else max(1, math.floor(math.cos(math.radians(widest)) * 360 / step))
+        return row, (min(math.floor(p["lng"] % 360 / 360 * columns), columns - 1) + right) % columns
 
     def _place(self, i: int) -> None:
         s = self.stops[i]
@@ -79,8 +84,8 @@ class DayStops:
 
     def _near(self, scan: dict) -> int | None:
         """The first stop by insertion within NEAR_M whose name is missing or the same."""
-        x, y = self._cell(scan)
-        around = sorted(i for dx in (-1, 0, 1) for dy in (-1, 0, 1) for i in self.cells.get((x + dx, y + dy), ()))
+        beside = {self._cell(scan, up, right) for up in (-1, 0, 1) for right in (-1, 0, 1)}
+        around = sorted(i for c in beside for i in self.cells.get(c, ()))
         for i in around:
             s = self.stops[i]
             names = _missing(scan["name"]) or _missing(s["name"]) or s["plain"] == scan["plain"]
@@ -146,14 +151,15 @@ def connected(scans_: DataFrame) -> DataFrame:
     rows = rows.withColumn("_cell", F.when(F.col("lat").isNotNull(), F.xxhash64(DAY, F.lit("cell"), "_y", "_x")))
     tied = rows.where("_doc is not null and _cell is not null").select(F.col("_doc").alias("u"), F.col("_cell").alias("v")).distinct()
     cells = rows.where("_cell is not null").select(DAY, F.col("_y").alias("cell_lat"), F.col("_x").alias("cell_lng"), "_cell").distinct()
-    beside = cells.select(DAY, F.col("_cell").alias("u"), F.inline(around(F.col("cell_lat"), F.col("cell_lng")))).join(cells.withColumnRenamed("_cell", "v"), [DAY, "cell_lat", "cell_lng"])
-    found = components(tied.unionByName(beside.where("u < v").select("u", "v")))
+    points = rows.where("_cell is not null").select(DAY, "lat", "lng", F.col("_cell").alias("u")).distinct()
+    beside = points.select(DAY, "u", F.inline(around(F.col("lat"), F.col("lng"), NEAR_M))).distinct().join(cells.withColumnRenamed("_cell", "v"), [DAY, "cell_lat", "cell_lng"])
+    found = components(tied.unionByName(beside.where("u <> v").select("u", "v")))
     rows = rows.withColumn("node", F.coalesce("_cell", "_doc", F.xxhash64(DAY, F.lit("scan"), "scan_id"))).join(found, "node", "left")
     return rows.withColumn("component", F.coalesce("component", "node")).drop("node", "_y", "_x", "_doc", "_cell")
 
 
-def merge_scans(scans_: DataFrame) -> DataFrame:
-    """Stops of each day after its scans, in order of arrival (ts, then scan_id)."""
+def merge_scans(scans_: DataFrame, split: bool = False) -> DataFrame:
+    """Stops of each day after its scans, in order of arrival (ts, then scan_id); ``split``: components of a day apart."""
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "scan_id"], kind="stable")
@@ -167,7 +173,8 @@ def merge_scans(scans_: DataFrame) -> DataFrame:
         out["first_ts"], out["first_scan"] = [t for t, _ in first], [n for _, n in first]
         return out
 
-    folded = connected(scans_).groupBy(DAY, "component").applyInPandas(fold, STOP_SCHEMA + ", first_ts timestamp_ntz, first_scan long")
+    parts = connected(scans_) if split else scans_.withColumn("component", F.lit(0))
+    folded = parts.groupBy(DAY, "component").applyInPandas(fold, STOP_SCHEMA + ", first_ts timestamp_ntz, first_scan long")
     place = F.row_number().over(Window.partitionBy(DAY).orderBy("first_ts", "first_scan"))
     return folded.withColumn("stop_id", place).drop("first_ts", "first_scan")
 

@@ -1,9 +1,10 @@
 """Ordering stops into a route (own design; the objective's constants are given).
 
-An open path from the start. A leg costs its matrix entry, or ROAD_FACTOR times the straight line; every further
-run of a quarter that was left before costs SPLIT_M. Up to EXACT stops the order is optimal (dynamic programming
-over subsets would ignore runs, so it is a branch-and-bound); beyond that nearest neighbour, then 2-opt and moves
-of single stops, while any of them helps, for days of any length. Ties go to the earlier stop.
+An open path from the start. A leg costs its matrix entry (the metres that would be driven in that time, so legs may differ by
+direction), or ROAD_FACTOR times the straight line; every further run of a quarter that was left before costs SPLIT_M. Up to
+EXACT stops the order is optimal (dynamic programming over subsets would ignore runs, so it is a branch-and-bound); up to DENSE, or with
+a matrix, nearest neighbour, then 2-opt and moves of single stops, while any of them helps; longer routes go by candidate
+neighbours (``tours``), in space that grows with the stops. Ties go to the earlier stop.
 
 A run costs half its price where it begins and half where it ends, so the whole objective is a sum over the path's
 edges, and what a change saves is known from the edges that it replaces.
@@ -18,14 +19,17 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, metres
 from .ledger import DAY
+from .tours import tour
 
 # Fixed values.
 ROAD_FACTOR, SPLIT_M = 1.35, 1000.0
 EXACT = 8
+#: Stops up to which all pairs of a route are looked at.
+DENSE = 200
 SPEED_M_PER_MIN = 500.0
 #: Most points, with the start, of which the road service is asked for a matrix (its own cap isn't known).
 MATRIX_POINTS = 50
-ROUTE_SCHEMA = "business_date date, stop_ids array<long>, split_groups array<string>, total_m double, total_min double, method string"
+ROUTE_SCHEMA = "stop_ids array<long>, split_groups array<string>, total_m double, total_min double, method string, matrix_source string, gaps int"
 
 
 def matrix(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
@@ -137,23 +141,69 @@ def split_groups(order: list[int], groups: list[str | None]) -> list[str]:
     return sorted(g for g, n in runs.items() if n > 1)
 
 
-def _day(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("stop_id", kind="stable")
-    lat = np.concatenate(([rows["start_lat"].iloc[0]], rows["lat"]))
-    lng = np.concatenate(([rows["start_lng"].iloc[0]], rows["lng"]))
-    groups: list[str | None] = [None, *[g if isinstance(g, str) and g else None for g in rows["quarter"]]]
-    legs = matrix(lat, lng)
-    order, method = solve(legs, groups)
-    total = float(sum(legs[a, b] for a, b in zip([0, *order[:-1]], order, strict=True)))
-    ids = rows["stop_id"].to_numpy()
-    return pd.DataFrame({DAY: [key[0]], "stop_ids": [[int(ids[i - 1]) for i in order]], "split_groups": [split_groups(order, groups)], "total_m": [total], "total_min": [total / SPEED_M_PER_MIN], "method": [method]})
-
-
-def build_routes(stops: DataFrame, starts: DataFrame) -> DataFrame:
-    """A route per day over its pending stops with coordinates. ``starts``: business_date, start_lat, start_lng."""
+def _along(lat: np.ndarray, lng: np.ndarray, order: list[int]) -> float:
+    """Road metres along a route, estimated."""
+    p, q = np.radians(lat[[0, *order]]), np.radians(lng[[0, *order]])
+    h = np.sin(np.diff(p) / 2) ** 2 + np.cos(p[1:]) * np.cos(p[:-1]) * np.sin(np.diff(q) / 2) ** 2
+    return float((ROAD_FACTOR * 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1, h)))).sum())
+
+
+def timed_legs(ids: list[int | None], rows: pd.DataFrame, estimated: np.ndarray) -> tuple[np.ndarray, int]:
+    """Legs out of a matrix's ``rows`` (a, b, seconds), as metres at SPEED_M_PER_MIN; missing ones are estimated. And how many points no row connects."""
+    place = {i: k for k, i in enumerate(ids)}
+    found = np.full(estimated.shape, np.nan)
+    for a, b, seconds in zip(rows["a"], rows["b"], rows["seconds"], strict=True):
+        k, m = place.get(None if pd.isna(a) else int(a)), place.get(None if pd.isna(b) else int(b))
+        if k is not None and m is not None and k != m and not pd.isna(seconds):
+            found[k, m] = seconds / 60 * SPEED_M_PER_MIN
+    alone = np.isnan(found).all(0) & np.isnan(found).all(1)
+    return np.where(np.isnan(found), estimated, found), int(alone.sum())
+
+
+def _route(keys: list[str]):
+    def run(key: tuple, rows: pd.DataFrame, times: pd.DataFrame) -> pd.DataFrame:
+        columns = [*keys, *(c.split()[0] for c in ROUTE_SCHEMA.split(", "))]
+        if not len(rows):
+            return pd.DataFrame(columns=columns)
+        rows = rows.sort_values("stop_id", kind="stable")
+        lat = np.concatenate(([rows["start_lat"].iloc[0]], rows["lat"]))
+        lng = np.concatenate(([rows["start_lng"].iloc[0]], rows["lng"]))
+        groups: list[str | None] = [None, *[g if isinstance(g, str) and g else None for g in rows["quarter"]]]
+        ids, gaps = rows["stop_id"].tolist(), 0
+        timed = len(times) > 0 and len(ids) + 1 <= MATRIX_POINTS
+        if timed or len(ids) <= DENSE:
+            legs = matrix(lat, lng)
+            if timed:
+                legs, gaps = timed_legs([None, *ids], times, legs)
+            order, method = solve(legs, groups)
+            length = float(sum(legs[a, b] for a, b in zip([0, *order[:-1]], order, strict=True)))
+        else:
+            order, method = tour(lat, lng, groups, ROAD_FACTOR, SPLIT_M), "candidates, 2-opt"
+            length = _along(lat, lng, order)
+        found = [[ids[i - 1] for i in order], split_groups(order, groups), _along(lat, lng, order), length / SPEED_M_PER_MIN, method, "matrix" if timed else "straight line", gaps]
+        return pd.DataFrame([[*key, *found]], columns=columns)
+
+    return run
+
+
+def build_routes(stops: DataFrame, starts: DataFrame, times: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """A route per day (or ``keys``) over its pending stops with coordinates.
+
+    ``starts``: business_date, start_lat, start_lng. ``times``: keys, a, b, seconds from stop a to stop b, null for the start; routes
+    within the cap of points that have rows there are ordered by time, all others by the straight line. total_m is the estimate along the route
+    in either case; total_min comes from the matrix where it has entries; gaps: points that no entry connects.
+    """
+    keys = keys or [DAY]
     rows = stops.where("status = 'pending' and lat is not null").join(starts.where("start_lat is not null"), DAY)
     points = [F.col(c).cast("double").alias(c) for c in ("lat", "lng", "start_lat", "start_lng")]
-    return rows.select(DAY, F.col("stop_id").cast("long"), "quarter", *points).groupBy(DAY).applyInPandas(_day, ROUTE_SCHEMA)
+    rows = rows.select(*keys, F.col("stop_id").cast("long"), "quarter", *points)
+    if times is None:
+        times = rows.where("false").select(*keys, F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("seconds"))
+    times = times.select(*keys, F.col("a").cast("long"), F.col("b").cast("long"), F.col("seconds").cast("double"))
+    # routes beyond the cap have no use for their rows
+    times = times.join(within_matrix_cap(rows, keys).where("within_cap"), keys, "left_semi").withColumnsRenamed({k: f"of_{k}" for k in keys})
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " + ROUTE_SCHEMA
+    return rows.groupBy(*keys).cogroup(times.groupBy(*[f"of_{k}" for k in keys])).applyInPandas(_route(keys), schema)
 
 
 def within_matrix_cap(points: DataFrame, keys: list[str], most: int = MATRIX_POINTS) -> DataFrame:

@@ -111,12 +111,18 @@ def _(spark, d):
     return store.with_setting(_settings(spark), "ors", "k")
 
 
-@query("s14_duration_matrix", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, abs(a.n_nationkey - b.n_nationkey) * 60 + 30 AS seconds FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
-def _(spark, d):
-    points = table(spark, d, "nation").select(F.col("n_nationkey").alias("p"))
-    # a matrix of one route's points: bounded by the service's cap on points
-    times = points.select(F.col("p").alias("a")).join(points.select(F.col("p").alias("b")), F.col("a") != F.col("b"))
-    return times.withColumn("seconds", F.abs(F.col("a") - F.col("b")) * 60 + 30)
+_PENDING = "p AS (SELECT *, count(*) OVER (PARTITION BY business_date, district) + 1 AS points FROM stops WHERE status = 'pending' AND lat IS NOT NULL)"
+_SECONDS = "CASE WHEN (a + b) % 11 = 0 OR a % 97 = 0 OR b % 97 = 0 THEN NULL ELSE cast(floor(metres * 0.162) AS int) + (a * 7 + b * 13) % 300 END"
+_TIMES = f"times AS (SELECT business_date, district, a, b, {_SECONDS} AS seconds FROM (SELECT business_date, district, a.stop_id AS a, b.stop_id AS b, {_metres('a.lat', 'b.lat', 'a.lng', 'b.lng')} AS metres FROM p a JOIN p b USING (business_date, district) WHERE a.stop_id <> b.stop_id AND a.points <= {route.MATRIX_POINTS}))"
+
+
+def _times(spark: SparkSession, d: str) -> DataFrame:
+    """Durations as a road service would give them, for each route within its cap of points; some pairs, and some points, it can't connect."""
+    points = route.points_matrix(stops(spark, d).where("status = 'pending' and lat is not null"), ["business_date", "district"])
+    return points.withColumn("metres", _whole(F.col("metres"))).selectExpr("business_date", "district", "a", "b", f"{_SECONDS} AS seconds")
+
+
+query("s14_duration_matrix", "SELECT * FROM times", STOPS_SQL, _PENDING, _TIMES)(lambda spark, d: _times(spark, d))
 
 
 @query("s16_deep_link", f"SELECT stop_id, concat('{report.DIRECTIONS}', cast(stop_id AS varchar), ',', cast(user_id AS varchar)) AS url FROM stops WHERE lat IS NOT NULL", STOPS_SQL)
@@ -738,6 +744,14 @@ def _starts(spark: SparkSession, d: str) -> DataFrame:
     return routes(spark, d).select("business_date", F.coalesce("start_lat", F.lit(geo.DEPOT_LAT)).alias("start_lat"), F.coalesce("start_lng", F.lit(geo.DEPOT_LNG)).alias("start_lng"))
 
 
+@query("route_by_time", "SELECT business_date, district, count(*) AS stops, CASE WHEN any_value(points) <= " + str(route.MATRIX_POINTS) + " AND count(*) > 1 THEN 'matrix' ELSE 'straight line' END AS matrix_source, CASE WHEN any_value(points) <= " + str(route.MATRIX_POINTS) + " AND count(*) > 1 THEN (SELECT count(*) + 1 FROM p x WHERE x.business_date = p.business_date AND x.district = p.district AND NOT EXISTS (SELECT 1 FROM times t WHERE t.business_date = p.business_date AND t.district = p.district AND seconds IS NOT NULL AND (t.a = x.stop_id OR t.b = x.stop_id))) ELSE 0 END AS gaps FROM p GROUP BY business_date, district", STOPS_SQL, _PENDING, _TIMES)
+def _(spark, d):
+    """Routes of a day's districts by the service's durations; orders have no SQL, but which matrix was used, for how many stops, and its gaps do. The start is never connected."""
+    depot = days(spark, d).select("business_date", F.lit(geo.DEPOT_LAT).alias("start_lat"), F.lit(geo.DEPOT_LNG).alias("start_lng"))
+    found = route.build_routes(stops(spark, d), depot, _times(spark, d), ["business_date", "district"])
+    return found.select("business_date", "district", F.size("stop_ids").cast("bigint").alias("stops"), "matrix_source", F.col("gaps").cast("bigint").alias("gaps"))
+
+
 query("route_order")(lambda spark, d: route.build_routes(stops(spark, d), _starts(spark, d)))
 
 
