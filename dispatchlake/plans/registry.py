@@ -13,7 +13,7 @@ from ..functions import dates, geo, text
 from ..operators import gazetteer, ledger, memory, merge, ocr, report, route
 from ..sources import store
 from ..sources.proxies import DAYS_SQL, DISTRICTS_SQL, INVOICES_SQL, LETTERS_SQL, READINGS_SQL, ROUTES_SQL, STOPS_SQL, days, districts, invoices, letters, readings, routes, stops, table
-from ..streaming import arrivals
+from ..streaming import arrivals, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -779,3 +779,36 @@ _ARRIVED = f"SELECT business_date, stop_id, min(pts) AS ts FROM (SELECT t.busine
 query("r3_arrivals", _ARRIVED, STOPS_SQL, _TARGETS)(lambda spark, d: arrivals.arrivals(_positions(spark, d), _targets(spark, d)).select("business_date", "stop_id", "ts"))
 query("f7_arrived", _ARRIVED.replace("SELECT business_date, stop_id, min(pts) AS ts FROM", "SELECT DISTINCT business_date, stop_id FROM").replace(" GROUP BY business_date, stop_id", ""), STOPS_SQL, _TARGETS)(lambda spark, d: _keys(arrivals.arrivals(_positions(spark, d), _targets(spark, d))))
 query("r1_live_positions", "SELECT p.business_date, p.ts + INTERVAL 1 SECOND AS ts FROM stops p WHERE lat IS NOT NULL AND business_date IN (SELECT business_date FROM days WHERE status = 'open') AND business_date IN (SELECT business_date FROM stops WHERE status = 'pending')", STOPS_SQL, DAYS_SQL)(lambda spark, d: arrivals.live(_positions(spark, d), days(spark, d), ledger.pending(stops(spark, d)).select("business_date").distinct()).select("business_date", "ts"))
+
+
+@query("r1_live_stream", "SELECT p.business_date, p.ts + INTERVAL 1 SECOND AS ts FROM stops p WHERE lat IS NOT NULL AND business_date IN (SELECT business_date FROM days WHERE status = 'open') AND business_date IN (SELECT business_date FROM stops WHERE status = 'pending')", STOPS_SQL, DAYS_SQL)
+def _(spark, d):
+    folder = store.own_folder(spark)
+    positions = _positions(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    come = live.as_stream(positions, f"{folder.rpartition('/')[2]}/positions")
+    found = live.run_available(live.live_stream(come, days(spark, d), ledger.pending(stops(spark, d))), f"{folder}/live")
+    return found.select("business_date", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(
+    "r3_arrival_stream",
+    f"SELECT business_date, 'arrived' AS kind, stop_id, ts FROM ({_ARRIVED}) UNION ALL SELECT business_date, 'closed', NULL, business_date + INTERVAL 28 HOUR FROM (SELECT DISTINCT business_date FROM stops WHERE lat IS NOT NULL OR seq IS NOT NULL) WHERE business_date + INTERVAL 28 HOUR <= (SELECT max(ts) + INTERVAL 1 SECOND - INTERVAL 1 HOUR FROM stops WHERE lat IS NOT NULL)",
+    STOPS_SQL,
+    _TARGETS,
+)
+def _(spark, d):
+    """Arrivals (R3) and the days that closed at 04:00 (R4) of a stream of positions and next stops."""
+    folder = store.own_folder(spark)
+    name = folder.rpartition("/")[2]
+    come = [live.as_stream(t, f"{name}/{n}") for n, t in (("positions", _positions(spark, d)), ("targets", _targets(spark, d)))]
+    return live.run_available(live.arrival_events(*come), f"{folder}/events").select("business_date", "kind", "stop_id", "ts")
+
+
+@query("s12_retry_frames", "SELECT business_date, 'shot ' || shot AS frame, CASE WHEN row_number() OVER (PARTITION BY business_date ORDER BY shot DESC) <= 6 THEN 'kept' ELSE 'evicted' END AS status FROM (SELECT DISTINCT business_date, stop_id % 9 AS shot FROM stops)", STOPS_SQL)
+def _(spark, d):
+    """Photo files of each day as they come, of which the last six are held; a file for each ninth of a day's stops."""
+    folder = store.own_folder(spark)
+    shots = stops(spark, d).select("business_date", (F.col("stop_id") % 9).alias("shot"), "raw_text")
+    shots.repartition("business_date", "shot").write.partitionBy("business_date", "shot").text(f"{folder}/photos")
+    photos = live.photo_stream(spark, f"{folder}/photos")
+    return live.run_available(live.retry_frames(photos.select("business_date", "frame")), f"{folder}/frames")
