@@ -2,8 +2,9 @@
 
 A page is read into blocks: runs of text between block-level tags, with character references decoded and white
 space made one. Markup is evidence: elements and attributes that name a role (navigation, headers, footers, asides, notices,
-adverts, forms, scripts, styles, comments; a class or role names it as a whole, not by a part of its name) set their blocks
-aside. If the page marks an article (or main part), the blocks outside it are no candidates. An article is taken from within
+adverts, forms, scripts, styles, comments; a class or role names it as a whole) set their blocks aside. A part of a class's or
+id's word (``user-comments``, ``ad-slot``) is a hint: within an article such an element is set aside too, unless it holds half of
+the articles' text, since then it is a frame round it. If the page marks an article (or main part), the blocks outside it are no candidates. An article is taken from within
 elements whose class names another role only if the page has no other article text; elements that are dropped by
 their name or hidden drop what is in them, and an article inside an article has no privilege.
 
@@ -25,12 +26,14 @@ so a page's text depends neither on how pages are dealt nor on how the table is
 
 Edge cases: null and empty html gives an empty text; null urls are one host; equal pages (by content) count once
 in the evidence; unclosed and stray tags are read as browsers do where it matters here (a block tag ends the
-paragraph; raw-text elements run to their end tag, or to the end); repeated page_ids are returned one by one;
+paragraph; raw-text elements run to their end tag, or to the end; a quote that nothing closes is a character); pages are read
+forwards only, in time that grows with their length; repeated page_ids are returned one by one;
 extra columns are not read.
 """
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +50,8 @@ ARTICLE_RUN = 32
 PAGES = 3
 COVERED = 0.7
 GROUP = 1000
+#: Hints within one another that are told apart.
+HINTS = 8
 
 # Element names by role.
 RAW = {"script", "style", "template", "textarea", "iframe", "svg", "select", "button", "canvas", "title", "head", "xmp", "noframes"}
@@ -57,25 +62,81 @@ ARTICLE = {"article", "main"}
 # Words of class, id and role attributes that name what is not main text.
 ROLES = {"ad", "ads", "advert", "adverts", "advertisement", "adsbygoogle", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "disqus", "footer", "form", "gdpr", "header", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup", "promo", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget"}
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<decl>[!?][^>]*)>|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.DOTALL)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.IGNORECASE)
+# Those that name it as a part of a word, too, as in ``user-comments``; headers aren't among them, since titles stand there.
+PARTS = {"ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "disqus", "footer", "menu", "navbar", "navigation", "newsletter", "pagination", "promo", "related", "replies", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe"}
+
+_NAME, _BLANK = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[\s/]*")
+_KEY, _VALUE = re.compile(r"=?[^\s/>=]*"), re.compile(r"[^\s>]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_READ = {"class", "id", "role", "aria-hidden", "hidden", "style"}
 _SPACE = re.compile(r"[ \t\n\r\f\v  -     　]+")
 
 
-def _set_aside(name: str, attrs: str) -> int:
-    """0: not at all, 1: by a role in its attributes, 2: by its name or because it is hidden."""
+class Tags:
+    """The tags of a page, read forwards only: what was looked for to the page's end in vain isn't looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, bool, dict[str, str]] | None:
+        """The first tag, comment or declaration from ``at`` on: where it begins and ends, name ("" if it has none), whether it closes, attributes."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            second = page[start + 1 : start + 2]
+            if second in ("!", "?") and second:
+                what = "-->" if page.startswith("<!--", start) else ">"
+                end = self._find(what, start + (4 if what == "-->" else 2))
+                return start, len(page) if end < 0 else end + len(what), "", False, {}
+            name = _NAME.match(page, start + 1 + (second == "/"))
+            if name is None:
+                at = start + 1
+                continue
+            end, attributes = self._attributes(name.end())
+            return start, end, name[0].lower(), second == "/", attributes
+        return None
+
+    def _attributes(self, at: int) -> tuple[int, dict[str, str]]:
+        """Where the tag ends, and the attributes that matter. A quote that nothing closes is a character like others."""
+        page, out = self.page, {}
+        while True:
+            at = _BLANK.match(page, at).end()
+            if at >= len(page):
+                return at, out
+            if page[at] == ">":
+                return at + 1, out
+            key = _KEY.match(page, at)
+            at, name, value = key.end(), key[0].lower(), ""
+            if equals := _EQUALS.match(page, at):
+                at = equals.end()
+                quote = page[at : at + 1]
+                end = self._find(quote, at + 1) if quote in ('"', "'") and quote else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    bare = _VALUE.match(page, at)
+                    value, at = bare[0].strip("\"'"), bare.end()
+            if name in _READ:
+                out.setdefault(name, value)
+
+
+def _set_aside(name: str, attributes: dict[str, str]) -> tuple[int, bool]:
+    """0: not at all, 1: by a role in its attributes, 2: by its name or because it is hidden. And whether a part of an attribute's word hints at it."""
     if name in DROPPED:
-        return 2
-    if not attrs or name in ("html", "body"):
-        return 0
-    found = 0
-    for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return 2
-        if key in ("class", "id", "role") and not ROLES.isdisjoint(value.split()):
-            found = 1
-    return found
+        return 2, False
+    if not attributes or name in ("html", "body"):
+        return 0, False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").lower().replace(" ", ""):
+        return 2, False
+    words = {w for k in ("class", "id", "role") for w in attributes.get(k, "").lower().split()}
+    return int(not ROLES.isdisjoint(words)), any(not PARTS.isdisjoint(re.split(r"[-_]+", w)) for w in words)
 
 
 def _settled(found: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool, bool]]:
@@ -88,13 +149,33 @@ def _settled(found: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool, b
     return [(t, False, within > 1 if inside else around > 0) for t, inside, around, within in found]
 
 
+def _hinted(found: list[tuple[str, bool, int, int]], hints: list[frozenset[int]]) -> list[tuple[str, bool, int, int]]:
+    """Blocks of articles within elements that a part of a word hints at are set aside, unless such an element holds half of the articles' text: then it is a frame of it."""
+    total, of = 0, {}
+    for (text, inside, around, within), own in zip(found, hints, strict=True):
+        if inside and not within:
+            total += len(text)
+            for h in own:
+                of[h] = of.get(h, 0) + len(text)
+    gone = {h for h, n in of.items() if 2 * n < total}
+    if not gone:
+        return found
+    return [(t, inside, max(around, 1), max(within, 1)) if inside and not own.isdisjoint(gone) else (t, inside, around, within) for (t, inside, around, within), own in zip(found, hints, strict=True)]
+
+
 def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
     """The page's blocks of text in order: text, whether in an article, whether set aside by its markup."""
     page = page or ""
+    tags = Tags(page)
     out: list[tuple[str, bool, int, int]] = []
+    hints: list[frozenset[int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int, int]] = []  # element, article within, set aside within by all around and since the article's start
-    inside, around, within = False, 0, 0
+    none: frozenset[int] = frozenset()
+    # element, article within, set aside within by all around and since the article's start, hints around
+    stack: list[tuple[str, bool, int, int, frozenset[int]]] = []
+    inside, around, within, hinted = False, 0, 0, none
+    open_ = Counter()  # of the stack's elements: an end tag that closes none isn't looked for in it
+    n_hints = 0
 
     def end_block() -> None:
         if parts:
@@ -102,54 +183,61 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             parts.clear()
             if text:
                 out.append((text, inside, around, within))
+                hints.append(hinted)
 
     at = 0
     while True:
-        m = _TAG.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             parts.append(page[at:])
             end_block()
-            return _settled(out)
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
+            return _settled(_hinted(out, hints))
+        start, end, name, closes, attributes = tag
+        if start > at:
+            parts.append(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if m["close"]:
+        if closes:
             if name in BLOCK:
                 end_block()
+            if not open_[name]:
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if name not in BLOCK and any(s[0] in BLOCK for s in stack[i + 1 :]):
-                        break  # an inline end tag doesn't close blocks
+                    open_.subtract(s[0] for s in stack[i:])
                     del stack[i:]
-                    inside, around, within = stack[-1][1:] if stack else (False, 0, 0)
+                    inside, around, within, hinted = stack[-1][1:] if stack else (False, 0, 0, none)
                     break
+                if name not in BLOCK and stack[i][0] in BLOCK:
+                    break  # an inline end tag doesn't close blocks
             continue
         if name in RAW and name != "head":
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+            found = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             if name in ("title", "select", "button", "svg", "textarea", "iframe", "template", "canvas", "script", "style", "xmp", "noframes"):
-                at = end.end() if end else len(page)
+                at = found.end() if found else len(page)
             continue
         if name in BLOCK:
             end_block()
             # an open paragraph or item ends where a block begins
             if stack and stack[-1][0] == "p" or (stack and name in ("li", "dd", "dt", "td", "th", "tr") and stack[-1][0] == name):
-                stack.pop()
-                inside, around, within = stack[-1][1:] if stack else (False, 0, 0)
+                open_[stack.pop()[0]] -= 1
+                inside, around, within, hinted = stack[-1][1:] if stack else (False, 0, 0, none)
         elif name == "br":
             parts.append(" ")
         if name in VOID:
             continue
-        own = _set_aside(name, m["attrs"])
+        own, hint = _set_aside(name, attributes)
         outermost = name in ARTICLE and not inside
         if outermost:
             inside, within = True, 2 if within > 1 else 0
         # a role of the outermost article itself counts only where the page has another article
         around, within = max(around, own), max(within, own if not outermost or own > 1 else 0)
-        stack.append((name, inside, around, within))
+        if hint and inside and not outermost:
+            n_hints += 1
+            hinted = hinted | {n_hints} if len(hinted) < HINTS else hinted
+        stack.append((name, inside, around, within, hinted))
+        open_[name] += 1
 
 
 def article_text(found: list[tuple[str, bool, bool]]) -> str | None:

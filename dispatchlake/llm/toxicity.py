@@ -29,6 +29,7 @@ rows are scored one by one; very long texts are read in parts; extra columns are
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 #: Parameters of the fit: labelled rows that it uses (least hashes of doc_id first),
-SAMPLE = 8_000
+SAMPLE = 6_000
 #: evidence (of Chernoff's bound) and excess that make a character run a mark of toxic texts,
 GAIN, LIFT = 12.0, 2.0
 #: the model's size, nearness of the units that it is trained on, and the price of a training error.
@@ -61,7 +62,7 @@ START = "^"
 PLAIN = -1.0
 _NONE = -1
 #: Texts judged at a time, words held, characters read and members of windows reduced at a time.
-TEXTS, _CACHE, _PIECE, _MEMBERS = 128, 500_000, 1 << 20, 1 << 20
+TEXTS, _CACHE, _PIECE, _MEMBERS = 128, 600_000, 1 << 20, 1 << 20
 _LETTERS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]+){2,}[^\W\d_](?!\w)")
 
@@ -187,7 +188,7 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Windows:
-    """Values of the windows of texts: sums and extremes over their different units. A task's units are judged once."""
+    """Values of the windows of texts: sums and extremes over their different units. A unit is judged once."""
 
     def __init__(self, judge: Callable[[list[str]], np.ndarray], machines: int, width: int):
         """``judge``: of each unit its margins by each machine, and ``width`` values to add up."""
@@ -283,12 +284,16 @@ def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield held
 
 
+_judged: dict[str, Windows] = {}
+
+
 @dataclass
 class Model:
     kernel: Kernel
     weights: np.ndarray  # of the kernel values, a column for each machine of units: the Nystroem map and the machine's weights in one
     text_weights: np.ndarray | None = None  # the same of the machine of windows
     curve: np.ndarray | None = None  # of a window's features, and a constant
+    name: str = ""  # of a whole model, so that a worker's tasks share what they have judged
 
     def judge(self, strings: list[str]) -> np.ndarray:
         """Of each unit: its margins, and what it adds to its window's kernel values (without a machine of windows) or margin."""
@@ -298,6 +303,16 @@ class Model:
         return np.column_stack([np.maximum(values @ self.weights + PLAIN, PLAIN), adds]).astype(np.float32)
 
     def windows(self) -> Windows:
+        """With what this process has judged already, if the model has a name."""
+        if self.name not in _judged:
+            _judged.clear()  # one model's at a time
+            new = self._windows()
+            if not self.name:
+                return new
+            _judged[self.name] = new
+        return _judged[self.name]
+
+    def _windows(self) -> Windows:
         return Windows(self.judge, self.weights.shape[1], 1 if self.text_weights is not None else len(self.weights))
 
     def score(self, texts: list[str | None], windows: Windows) -> np.ndarray:
@@ -519,7 +534,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     windows = cut(texts.mapInArrow(_windowed(model), "doc_id long, toxic int, fold int, sums array<double>, rest array<double>"))
     of_windows = {k: _fit_windows(windows.where(F.col("fold") != k), k, size, n_toxic[k], n_clean[k], gram**4) for k in used}
     curve = _fit_curve(windows, [of_windows.get(k) for k in range(FOLDS + 1)], folds)
-    return Model(kernel, weights[FOLDS][:, None], of_windows[FOLDS], curve)
+    return Model(kernel, weights[FOLDS][:, None], of_windows[FOLDS], curve, uuid.uuid4().hex)
 
 
 def _windowed(model: Model):

@@ -1,6 +1,7 @@
 """Main text of pages: reading markup, and what the host's suffix array takes away and keeps."""
 
 import random
+import time
 
 import pytest
 
@@ -50,6 +51,49 @@ def test_what_stands_round_an_article_does_not_empty_it(page, want):
     assert text_of(page) == want
 
 
+LONG = "the article itself is longer than all of that together " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{LONG}</p><div class='{c}'><p>no</p></div></article>", LONG.strip())
+        for c in ("ad-slot", "site-footer", "user-comments", "x post_comments", "sponsored-box")
+    ]
+    + [
+        (f"<article><p>{LONG}</p><section id='comments-list'><ol><li>no<li>no</ol></section><p>end</p></article>", f"{LONG.strip()}\n\nend"),
+        (f"<article><div class='with-sidebar'><p>{LONG}</p><div class='sidebar-left'>no</div></div></article>", LONG.strip()),
+        (f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><p class='adverse roadside'>stays</p></article>", f"{LONG.strip()}\n\nstays"),
+        ('<article><p>a <a href="x"">b</a> c</p><p title=it\'s>d</p></article>', "a b c\n\nd"),
+        ('<article><p class="open>e</p><p>f</p></article>', "e\n\nf"),
+        ("<article><p title='a > b'>g</p><p data-x=1/>h<p / >i</article>", "g\n\nh\n\ni"),
+        ("<article><p>j<!-- open <p>k</p></article>", "j"),
+        ("<article><p>l<!doctype x>m<?php y ?>n</p></article>", "lmn"),
+        ("<article><p>o</p><p clas", "o"),
+        ("<article><p>1 < 2 <3 </ p><p>q</p></article>", "1 < 2 <3 </ p>\n\nq"),
+        ("<article><p HIDDEN>no</p><p aria-hidden = 'TRUE'>no</p><p>r</p></article>", "r"),
+    ],
+)
+def test_no_markup_leaks_and_hints_are_followed(page, want):
+    assert text_of(page) == want
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a x='", '<p class="', "<!--", "<!", "<p>", "<div><p>", "<b><i>", "</b>", "<a =", "&", "<", '<div class="ad-x">', "<li><b>", "<article>"])
+def test_malformed_pages_are_read_in_time_with_their_length(unit):
+    page = "<article><p>begin</p>" + unit * (1_000_000 // len(unit))
+    begin = time.perf_counter()
+    assert text_of(page).startswith("begin") or text_of(page) == ""
+    assert time.perf_counter() - begin < 20
+
+
+def test_a_million_stray_quotes_take_no_second():
+    page = '<article><p>begin</p>' + '<a "' * 250_000
+    begin = time.perf_counter()
+    assert text_of(page) == "begin"
+    assert time.perf_counter() - begin < 3
+
+
 def test_pages_whose_article_is_empty_go_to_the_host(spark):
     pages = [(k, "https://e.org/", f"<main><nav>menu</nav></main><div>body of page number {k}</div>") for k in range(4)] + [(9, "https://e.org/", "<article><div class='notice'>all of it</div></article>")]
     got = {r["page_id"]: r["text"] for r in op.extract(spark.createDataFrame([(*p, None, None) for p in pages], SCHEMA)).collect()}
