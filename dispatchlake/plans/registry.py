@@ -47,13 +47,17 @@ def query(name: str, sql: str | None = None, *tables: str) -> Callable[[Query],
 # Scans, sources, sinks
 
 
-@query("s1_open_store", "SELECT * FROM (VALUES ('days', 0), ('customers', 0), ('settings', 0)) AS t(name, n)")
+@query("s1_open_store", "SELECT 'days' AS name, (SELECT count(*) FROM days)::INT AS n UNION ALL SELECT 'customers', (SELECT count(*) FROM customer) UNION ALL SELECT 'settings', 0", STOPS_SQL, DAYS_SQL)
 def _(spark, d):
+    """A store that is opened, filled in two of its tables, and opened again: nothing is lost or made anew."""
     tables = store.Store(spark, store.own_folder(spark))
-    schemas = {"days": "business_date date, status string", "customers": "phone_key string, name string", "settings": "key string, value string"}
-    for _ in range(2):  # opening again changes nothing
+    schemas = {"days": "business_date date, status string", "customers": "c_custkey bigint, c_name string", "settings": "key string, value string"}
+    for again in (False, True):
         for name, schema in schemas.items():
             tables.create(name, schema)
+        if not again:
+            tables.write("days", days(spark, d))
+            tables.write("customers", table(spark, d, "customer").select("c_custkey", "c_name"))
     counts = [tables.read(name).agg(F.lit(name).alias("name"), F.count("*").cast("int").alias("n")) for name in schemas]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
@@ -97,18 +101,24 @@ def _(spark, d):
     return store.newest_first(days(spark, d))
 
 
-def _settings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("depo", '{"lat": 37.8, "lng": 29.1, "ad": "A"}'), ("ors", None)], "key string, value string")
+#: Settings: one of each nation, some of them null.
+_SETTINGS = "settings AS (SELECT 'k' || n_nationkey AS key, CASE WHEN n_nationkey % 2 = 1 THEN '\"' || n_name || '\"' END AS value FROM nation)"
 
 
-@query("s8_setting_default", "SELECT 'missing' AS key, '5' AS value UNION ALL SELECT 'ors', NULL")
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").selectExpr("concat('k', n_nationkey) AS key", "CASE WHEN n_nationkey % 2 = 1 THEN concat('\"', n_name, '\"') END AS value")
+
+
+@query("s8_setting_default", "SELECT 'missing' AS key, '5' AS value UNION ALL SELECT key, value FROM settings WHERE key IN ('k3', 'k4')", _SETTINGS)
 def _(spark, d):
-    return store.setting(_settings(spark), "missing", 5).unionByName(store.setting(_settings(spark), "ors", 5))
+    """A missing setting has its default; a stored one its value, a stored null too."""
+    asked = [store.setting(_settings(spark, d), name, 5) for name in ("missing", "k3", "k4")]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
 
 
-@query("s9_setting_write", """SELECT 'ors' AS key, '"k"' AS value UNION ALL SELECT 'depo', '{"lat": 37.8, "lng": 29.1, "ad": "A"}'""")
+@query("s9_setting_write", """SELECT key, CASE WHEN key = 'k4' THEN '"k"' ELSE value END AS value FROM settings UNION ALL SELECT 'new', '{"lat": 37.8}'""", _SETTINGS)
 def _(spark, d):
-    return store.with_setting(_settings(spark), "ors", "k")
+    return store.with_setting(store.with_setting(_settings(spark, d), "k4", "k"), "new", {"lat": 37.8})
 
 
 _PENDING = "p AS (SELECT *, count(*) OVER (PARTITION BY business_date, district) + 1 AS points FROM stops WHERE status = 'pending' AND lat IS NOT NULL)"
@@ -233,10 +243,12 @@ def _(spark, d):
     return routes(spark, d).select("business_date", text.fixed(F.col("total_m") / 1000, 1).alias("km"))
 
 
-@query("p12_depot", "SELECT 1 AS n, 37.8 AS lat, 29.1 AS lng UNION ALL SELECT 2, 37.760175, 29.042555 UNION ALL SELECT 3, 37.760175, 29.042555")
+@query("p12_depot", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 37 + s_suppkey / 1000.0::DOUBLE ELSE 37.760175 END AS lat, CASE WHEN s_suppkey % 4 = 0 THEN 29.1 ELSE 29.042555 END::DOUBLE AS lng FROM supplier")
 def _(spark, d):
-    rows = spark.createDataFrame([(1, '{"lat": 37.8, "lng": 29.1}'), (2, '{"lat": "x"}'), (3, None)], "n int, value string")
-    return rows.withColumn("p", store.depot(F.col("value"), geo.DEPOT_LAT, geo.DEPOT_LNG)).select("n", "p.lat", "p.lng")
+    """Stored depots: whole ones count, and ones without a number, without a longitude, or null give the default."""
+    of = "CASE s_suppkey % 4 WHEN 0 THEN to_json(named_struct('lat', 37 + s_suppkey / 1000.0D, 'lng', 29.1D, 'name', s_name)) WHEN 1 THEN '{\"lat\": \"x\", \"lng\": 29.1}' WHEN 2 THEN '{\"lat\": 37.8}' END"
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", f"{of} AS value")
+    return rows.withColumn("p", store.depot(F.col("value"), geo.DEPOT_LAT, geo.DEPOT_LNG)).select("s_suppkey", "p.lat", "p.lng")
 
 
 @query("p13_route_age", "SELECT event_id, cast(floor(epoch_us(TIMESTAMP '2024-01-31 00:00:00') / 60000000.0 - epoch_us(ts) / 60000000.0 + 0.5) AS bigint) AS minutes, (floor(epoch_us(TIMESTAMP '2024-01-31 00:00:00') / 60000000.0 - epoch_us(ts) / 60000000.0 + 0.5) > 45) OR event_type IN ('purchase', 'error') AS stale FROM events")
@@ -266,10 +278,16 @@ for _name, (_field, _sql) in _FIELDS.items():
     query(_name, f"SELECT o_orderkey, {_sql} AS value FROM invoices", INVOICES_SQL)(lambda spark, d, f=_field: invoices(spark, d).select("o_orderkey", f(F.col("text")).alias("value")))
 
 
-@query("x6_split_documents")
+_SPLIT = f"""bundles AS (SELECT o_custkey, string_split(array_to_string(list_sort(list(text)), chr(10)), chr(10)) AS ls FROM invoices GROUP BY o_custkey),
+l AS (SELECT o_custkey, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM bundles),
+g AS (SELECT *, sum(regexp_matches(line, '(?i)(?:Belgesi|Teslimat[ \\t]*No|Sipari[Şş][ \\t]*No)[ \\t]*[:.]?[ \\t]*[0-9_]{{6}}')::INT) OVER (PARTITION BY o_custkey ORDER BY i) AS part FROM l),
+parts AS (SELECT o_custkey, part, {_trim_sql("string_agg(line, chr(10) ORDER BY i)")} AS text FROM g GROUP BY o_custkey, part)"""
+
+
+@query("x6_split_documents", "SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY part) - 1)::INT AS n, text FROM parts WHERE text <> ''", INVOICES_SQL, _SPLIT)
 def _(spark, d):
-    pairs = invoices(spark, d).groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
-    return pairs.select("o_custkey", F.posexplode(text.documents_of(F.col("text"))).alias("n", "text"))
+    bundles = invoices(spark, d).groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    return bundles.select("o_custkey", F.posexplode(text.documents_of(F.col("text"))).alias("n", "text"))
 
 
 @query("s13_pasted_text", f"SELECT o_orderkey, length(regexp_replace(text, '{text.WS}', '', 'g')) AS n, {_FIELDS['x1_doc_no'][1]} AS doc_no FROM invoices WHERE length(regexp_replace(text, '{text.WS}', '', 'g')) > 0", INVOICES_SQL)
@@ -402,7 +420,29 @@ def _(spark, d):
     return gazetteer.named_districts(invoices(spark, d), districts(spark), "o_orderkey", "text").groupBy("oid").agg(F.count_distinct("o_orderkey").alias("texts"))
 
 
-query("s11_preload", "SELECT oid, name FROM districts WHERE oid IN (10, 14)", DISTRICTS_SQL)(lambda spark, d: districts(spark).where("oid in (10, 14)").select("oid", "name"))
+def _packages(spark: SparkSession, d: str) -> str:
+    """The folder of a written gazetteer, a package for each district: the addresses of the stops."""
+    folder = f"{store.own_folder(spark)}/gazetteer"
+    store.write_gazetteer(stops(spark, d).selectExpr("cast(user_id % 19 + 1 AS int) AS oid", "quarter", "road", "door").distinct(), folder)
+    return folder
+
+
+_PACKAGES = "packages AS (SELECT DISTINCT cast(user_id % 19 + 1 AS int) AS oid, quarter, road, door FROM stops)"
+
+
+@query("s11_preload", "SELECT oid, name, count(*) AS addresses FROM packages JOIN districts USING (oid) WHERE oid IN (10, 14) GROUP BY oid, name", STOPS_SQL, DISTRICTS_SQL, _PACKAGES)
+def _(spark, d):
+    """The packages of the two central districts, loaded before any text comes."""
+    loaded = store.read_districts(spark, _packages(spark, d), districts(spark).where("oid in (10, 14)"))
+    return loaded.groupBy("oid").agg(F.count("*").alias("addresses")).join(districts(spark), "oid").select("oid", "name", "addresses")
+
+
+@query("s10_pruned_read", f"SELECT oid, count(*) AS addresses FROM packages WHERE oid IN (SELECT oid FROM (SELECT unnest(string_split({_FOLD.format(c='text')}, ' ')) AS word FROM invoices) JOIN districts ON word = search_key) GROUP BY oid", STOPS_SQL, INVOICES_SQL, DISTRICTS_SQL, _PACKAGES)
+def _(spark, d):
+    """The packages of the districts that texts name: the others' files aren't opened."""
+    named = gazetteer.named_districts(invoices(spark, d), districts(spark), "o_orderkey", "text")
+    return store.read_districts(spark, _packages(spark, d), named).groupBy("oid").agg(F.count("*").alias("addresses"))
+
 
 _REROUTE = "orders_ AS (SELECT business_date, list(stop_id ORDER BY confidence DESC, stop_id) AS stop_ids FROM stops WHERE status = 'pending' AND lat IS NOT NULL AND day(business_date) % 2 = 0 GROUP BY business_date)"
 

@@ -303,6 +303,17 @@ def test_gazetteer_packages_are_read_by_district(spark, tmp_path):
     assert sorted(r["road"] for r in store.read_districts(spark, f"file://{tmp_path}/g", asked).collect()) == ["a", "b"]
 
 
+def test_packages_that_no_text_names_are_pruned(spark, tmp_path):
+    store.write_gazetteer(spark.range(400).selectExpr("cast(id % 19 + 1 as int) as oid", "cast(id as string) as road"), f"file://{tmp_path}/g")
+    districts = spark.createDataFrame([(1, "A", "aa"), (2, "B", "bb")], "oid int, name string, search_key string")
+    districts.write.parquet(f"file://{tmp_path}/d")
+    texts = spark.createDataFrame([(1, "x AA y")], "k int, t string")
+    named = gazetteer.named_districts(texts, spark.read.parquet(f"file://{tmp_path}/d").where("oid > 0"), "k", "t")
+    found = store.read_districts(spark, f"file://{tmp_path}/g", named)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and {r["oid"] for r in found.collect()} == {1}
+
+
 def test_photos_and_pasted_texts(spark, tmp_path):
     for i in range(8):
         (tmp_path / f"p{i}.jpg").write_bytes(b"x" * (1024 * i + 600))
