@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text
-from ..operators import gazetteer, ledger, memory, merge, ocr, report, route
+from ..operators import gazetteer, intake, ledger, memory, merge, ocr, report, route
 from ..sources import store
 from ..sources.proxies import DAYS_SQL, DISTRICTS_SQL, INVOICES_SQL, LETTERS_SQL, READINGS_SQL, ROUTES_SQL, STOPS_SQL, days, districts, invoices, letters, readings, routes, stops, table
 from ..streaming import arrivals, live
@@ -534,6 +534,49 @@ def _(spark, d):
     return gazetteer.resolve_texts(letters(spark, d), _places(spark, d), "o_orderkey", ocr_words="words")
 
 
+# The whole way of a text
+
+#: What is remembered of customers' phones, as the letters have them: of several customers the one with the least key.
+_KNOWN = """known AS (
+    SELECT '532' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '4567' AS phone_key, min(c_custkey) AS k FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1
+),
+remembered AS (SELECT phone_key, 'Mahalle ' || k % 12 AS quarter, 'Yol ' || k % 30 AS road, 37 + k / 100000.0::DOUBLE AS lat, k % 2 = 0 AS corrected FROM known WHERE k % 5 <> 0)"""
+
+
+def _remembered(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "customer").where("c_custkey % 3 <> 0").groupBy(F.expr("concat('532', lpad(c_custkey % 1000, 3, '0'), '4567')").alias("phone_key")).agg(F.min("c_custkey").alias("k"))
+    return known.selectExpr(
+        "phone_key", "concat('İlçe ', k % 19) AS district", "concat('Mahalle ', k % 12) AS quarter", "concat('Yol ', k % 30) AS road", "cast(k % 90 AS string) AS door", "cast(NULL AS string) AS flat",
+        "CASE WHEN k % 5 <> 0 THEN 37 + k / 100000.0D END AS lat", "29.0D AS lng", "k % 2 = 0 AS corrected", "k % 4 + 1 AS deliveries",
+    )
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return letters(spark, d).join(table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts")), "o_orderkey").select("o_orderkey", "ts", "text")
+
+
+_KEPT = "(m.phone_key IS NOT NULL AND r.confidence < 70)"
+
+
+@query(
+    "chain_texts_to_scans",
+    f"SELECT business_date, o_orderkey, doc_no, name, pieces, CASE WHEN {_KEPT} THEN m.quarter ELSE r.quarter END AS quarter, CASE WHEN {_KEPT} THEN m.road ELSE r.road END AS road, CASE WHEN {_KEPT} THEN m.lat ELSE r.lat END AS lat, CASE WHEN {_KEPT} THEN 'kapi' ELSE precision END AS precision, CASE WHEN {_KEPT} THEN greatest(r.confidence, CASE WHEN corrected THEN 100 ELSE 85 END) ELSE r.confidence END AS confidence, CASE WHEN {_KEPT} THEN 'green' ELSE grade END AS grade, {_KEPT} AS from_memory "
+    f"FROM (SELECT o_orderkey, cast(o_orderdate - INTERVAL 4 HOUR AS date) AS business_date, {_FIELDS['x1_doc_no'][1]} AS doc_no, {_FIELDS['x3_recipient'][1]} AS name, {_FIELDS['x5_pieces'][1]} AS pieces, right(regexp_replace({_FIELDS['x2_phone'][1]}, '[^0-9]', '', 'g'), 10) AS phone_key FROM letters JOIN orders USING (o_orderkey)) s "
+    "JOIN resolved r USING (o_orderkey) LEFT JOIN remembered m USING (phone_key)",
+    STOPS_SQL,
+    LETTERS_SQL,
+    _FREE,
+    _KNOWN,
+)
+def _(spark, d):
+    """Every letter's fields and address, or the remembered one, as one plan."""
+    found = intake.scans_of_texts(_texts(spark, d), _places(spark, d), _remembered(spark, d), "o_orderkey")
+    return found.select("business_date", "o_orderkey", "doc_no", "name", "pieces", "quarter", "road", "lat", "precision", "confidence", "grade", "from_memory")
+
+
+query("chain_texts_to_stops")(lambda spark, d: intake.stops_of_texts(_texts(spark, d), _places(spark, d), _remembered(spark, d), "o_orderkey"))
+
+
 # Aggregations
 
 _SUMMARY = "summary AS (SELECT business_date, count(*) AS total, count(*) FILTER (WHERE status = 'delivered') AS delivered, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'pending') AS pending, sum(coalesce(nullif(pieces, 0), 1))::BIGINT AS pieces, count(*) FILTER (WHERE grade = 'red') AS red, count(*) FILTER (WHERE grade = 'yellow') AS yellow FROM stops GROUP BY business_date)"
