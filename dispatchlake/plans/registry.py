@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text
-from ..operators import gazetteer, intake, ledger, memory, merge, ocr, report, route
+from ..operators import gazetteer, intake, layout, ledger, memory, merge, ocr, report, route
 from ..sources import store
 from ..sources.proxies import DAYS_SQL, DISTRICTS_SQL, INVOICES_SQL, LETTERS_SQL, READINGS_SQL, ROUTES_SQL, STOPS_SQL, days, districts, invoices, letters, readings, routes, stops, table
 from ..streaming import arrivals, live
@@ -795,6 +795,18 @@ def _(spark, d):
 query("i10_zoom_gate", f"SELECT p_partkey FROM frames WHERE {_SCALE} < 0.95", _FRAMES)(lambda spark, d: _frames(spark, d).where(ocr.zoom_helps(F.col("w"), F.col("h"))).select("p_partkey"))
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as pages of 120 characters a line, a dark pixel for each visible one, turned by some degrees."""
+    docs = table(spark, d, "documents").where("text is not null").selectExpr("doc_id", "transform(sequence(0, cast(length(text) / 120 AS int)), k -> substr(text, k * 120 + 1, 120)) AS lines", "tan(radians(doc_id % 11 - 5)) AS slope")
+    place = "cast(i div 120 AS int) - 20 - cast(round((i % 120 - 60) * slope) AS int)"
+    dark = f"{place} >= 0 AND ({place}) % 4 < 2 AND coalesce(substr(get(lines, cast(({place}) div 4 AS int)), cast(i % 120 AS int) + 1, 1), '') NOT IN ('', ' ', chr(10))"
+    return docs.selectExpr("doc_id", "120 AS width", f"transform(sequence(0, 120 * (size(lines) * 4 + 40) - 1), i -> if({dark}, 20, 230)) AS grey")
+
+
+query("i12_skew_angle")(lambda spark, d: layout.skew_angles(_pages(spark, d), "doc_id"))
+query("i12_text_regions")(lambda spark, d: layout.text_regions(_pages(spark, d), "doc_id"))
+
+
 _CASCADE_K = {"manual": 13, "page": 37, "region1": 53, "region2": 71, "probe180": 17, "page180": 29, "region180_1": 91, "region180_2": 61}
 _CASCADE = f"""s AS (SELECT doc_id, doc_id % 2 = 0 AS zoom, {', '.join(f"CASE WHEN {'doc_id % 11 = 0' if n == 'manual' else f'doc_id % 9 <> {i}'} THEN ((doc_id * {k}) % 100)::DOUBLE END AS {n}" for i, (n, k) in enumerate(_CASCADE_K.items()))}, (doc_id * 37) % 23 AS words, (doc_id * 17) % 23 AS probe FROM documents),
 a AS (SELECT *, manual IS NOT NULL AS by_hand, coalesce(page, 0) AS p0, CASE WHEN page IS NULL THEN 0 ELSE words END AS w, CASE WHEN probe180 IS NULL THEN 0 ELSE probe END AS pw FROM s),
