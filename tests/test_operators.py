@@ -334,3 +334,14 @@ def test_an_export_is_written_by_day(spark, tmp_path):
     report.write_export(days, stops, routes, f"file://{tmp_path}/out", "1.0")
     (file,) = (tmp_path / "out/day=2024-01-05").glob("*.txt")
     assert file.read_text().splitlines()[:3] == ["", "═══ 2024-01-05  (open)  1 durak", "  rota: çıkarılmamış"]
+
+
+def test_districts_are_broadcast_and_not_the_words_of_texts(spark, tmp_path):
+    """Files of short texts are smaller than the words made from them; districts made in the session have no known size."""
+    spark.range(100).selectExpr("id AS k", "concat('cal ', id) AS t").write.parquet(f"file://{tmp_path}/t")
+    districts = spark.createDataFrame([(7, "Çal", "cal"), (8, "Kale", "kale")], "oid int, name string, search_key string")
+    loaded = spark.createDataFrame([(8,)], "oid int")
+    found = gazetteer.named_districts(spark.read.parquet(f"file://{tmp_path}/t"), districts, "k", "t", loaded)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert {r["oid"] for r in found.collect()} == {7} and found.count() == 100
