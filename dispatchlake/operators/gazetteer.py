@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import search_key
 from ..sources.shared import cut
-from .names import place_of, runs_of_words, within_edits
+from .names import runs_of_words, within_edits
 
 #: Own cut-offs.
 GREEN, YELLOW = 80, 50
@@ -92,28 +92,41 @@ def resolve_texts(texts: DataFrame, gazetteer: DataFrame, key: str, text: str =
     or without words, changes nothing.
     """
     folded = {f"g_{c}": search_key(F.coalesce(F.col(c), F.lit(""))) for c in ("district", "quarter", "road", "door")}
-    g = gazetteer.withColumns(folded).select(*folded, F.struct("district", "quarter", "road", "door", "lat", "lng").alias("place"))
+    g = cut(gazetteer.withColumns(folded).select(*folded, F.struct("district", "quarter", "road", "door", "lat", "lng").alias("place")))
     rows = texts.withColumn("_words", F.split(search_key(F.coalesce(F.col(text), F.lit(""))), " "))
     kinds = [g.select(F.lit(c).alias("kind"), F.col(f"g_{c}").alias("name")) for c in ("district", "quarter", "road")]
     found = runs_of_words(rows, kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), key, "_words", DOOR_REACH)
-    named = lambda kind: found.where(F.col("kind") == kind).select(key, F.col("name").alias(f"g_{kind}"), F.lit(True).alias(f"has_{kind}")).distinct()
     # the first number behind a road, and its place in the text
-    number = F.array_position(F.transform("after", lambda w: w.rlike(DOOR)), True)
-    roads = found.where("kind = 'road'").withColumn("_at", number).select(key, F.col("name").alias("g_road"), "begin", F.when(F.col("_at") > 0, F.get("after", (F.col("_at") - 1).cast("int"))).alias("g_door"), (F.col("begin") + F.col("size") + F.col("_at")).cast("int").alias("door_place"))
-    homes = g.groupBy("g_district", "g_quarter", "g_road").agg(F.max("place").alias("road_place"))
-    tried = roads.join(homes, "g_road").join(named("quarter"), [key, "g_quarter"], "left").join(named("district"), [key, "g_district"], "left").where("has_quarter or has_district")
-    doors = g.where("g_door <> ''").groupBy("g_district", "g_quarter", "g_road", "g_door").agg(F.max("place").alias("door_there"))
-    tried = tried.join(doors, ["g_district", "g_quarter", "g_road", "g_door"], "left")
-    confidence = F.lit(40) + F.when(F.col("has_quarter"), 30).otherwise(0) + F.when(F.col("door_there").isNotNull(), 30).otherwise(0) - F.when(F.col("has_district"), 0).otherwise(NO_DISTRICT)
+    at = F.array_position(F.transform("after", lambda w: w.rlike(DOOR)), True)
+    road = F.struct(F.col("name").alias("g_road"), "begin", F.when(at > 0, F.get("after", (at - 1).cast("int"))).alias("g_door"), (F.col("begin") + F.col("size") + at).cast("int").alias("door_place"))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    finds = found.groupBy(key).agg(F.collect_list(of("road", road)).alias("roads"), F.collect_set(of("quarter", F.col("name"))).alias("quarters"), F.collect_set(of("district", F.col("name"))).alias("districts"))
+    # A road is looked up in the districts that the text names, and in the quarters that it names: there the best of all districts
+    # stands for them, as they only differ by their names. What is found again in a named district is less by NO_DISTRICT.
+    area = lambda everywhere: lambda name: F.named_struct(F.lit("everywhere"), F.lit(everywhere), F.lit("area"), name)
+    areas = F.concat(F.transform("districts", area(False)), F.transform("quarters", area(True)))
+    roads = finds.select(key, F.explode("roads").alias("r"), "quarters", areas.alias("areas")).select(key, "r.*", "quarters", F.explode("areas").alias("a")).select(key, "g_road", "begin", "g_door", "door_place", "quarters", "a.*")
+    both = g.select(F.lit(False).alias("everywhere"), F.col("g_district").alias("area"), "g_quarter", "g_road", "g_door", "place").unionByName(g.select(F.lit(True).alias("everywhere"), F.col("g_quarter").alias("area"), "g_quarter", "g_road", "g_door", "place"))
+    spot = ["everywhere", "area", "g_quarter", "g_road"]
+    tried = roads.join(cut(both.groupBy(*spot).agg(F.max("place").alias("road_place"))), ["everywhere", "area", "g_road"])
+    tried = tried.withColumn("has_quarter", F.col("everywhere") | F.array_contains("quarters", F.col("g_quarter"))).drop("quarters")
+    doors = both.where("g_door <> ''").groupBy(*spot, "g_door").agg(F.max("place").alias("door_there"))
+    tried = tried.join(doors.hint("merge"), [*spot, "g_door"], "left")
+    confidence = F.lit(40) + F.when(F.col("has_quarter"), 30).otherwise(0) + F.when(F.col("door_there").isNotNull(), 30).otherwise(0) - F.when(F.col("everywhere"), NO_DISTRICT).otherwise(0)
     place = F.coalesce("door_there", "road_place")
     best = F.max(F.struct(confidence.alias("confidence"), (-F.col("begin")).alias("first"), place["district"].alias("district"), place["quarter"].alias("quarter"), place["road"].alias("road"), F.when(F.col("door_there").isNotNull(), place["door"]).alias("door"), place["lat"].alias("lat"), place["lng"].alias("lng"), F.when(F.col("door_there").isNotNull(), F.col("g_door")).alias("g_door"), "door_place"))
-    out = rows.join(tried.groupBy(key).agg(best.alias("b")), key, "left").withColumn("confidence", F.coalesce("b.confidence", F.lit(0)))
+    own = rows.select(key)
+    if ocr_words:  # only numbers can be doors, so only they go on
+        read = F.flatten(F.transform(ocr_words, lambda w: F.transform(F.split(search_key(F.coalesce(w["text"], F.lit(""))), " "), lambda t: F.struct(t.alias("t"), w["confidence"].alias("confidence")))))
+        places = F.transform("_words", lambda w, i: F.struct(w.alias("t"), (i + 1).alias("place")))
+        own = rows.select(key, F.filter(places, lambda x: x["t"].rlike(DOOR)).alias("_numbers"), F.filter(read, lambda x: x["t"].rlike(DOOR)).alias("_read"))
+    # merged: a text's files say little of the size of what is made from it, which is nothing for the driver
+    out = own.join(tried.groupBy(key).agg(best.alias("b")).hint("merge"), key, "left").withColumn("confidence", F.coalesce("b.confidence", F.lit(0)))
     grade = _grade(F.col("confidence"))
     if ocr_words:
-        read = F.flatten(F.transform(ocr_words, lambda w: F.transform(F.split(search_key(F.coalesce(w["text"], F.lit(""))), " "), lambda t: F.struct(t.alias("t"), w["confidence"].alias("confidence")))))
-        same = F.filter(read, lambda x: x["t"] == F.col("b.g_door"))
-        doubt = F.get(same, place_of(F.col("_words"), F.col("b.g_door"), F.col("b.door_place")) - 1)["confidence"]
-        out = out.withColumn("door_confidence", doubt.cast("double"))
+        same = F.filter("_read", lambda x: x["t"] == F.col("b.g_door"))
+        nth = F.size(F.filter("_numbers", lambda x: (x["t"] == F.col("b.g_door")) & (x["place"] <= F.col("b.door_place"))))
+        out = out.withColumn("door_confidence", F.get(same, nth - 1)["confidence"].cast("double"))
         grade = F.when((grade == "green") & (F.col("door_confidence") < SURE_DOOR), "yellow").otherwise(grade)
     precision = F.when(F.col("b.g_door").isNotNull(), "kapi").when(F.col("b").isNotNull(), "yol").otherwise("yok")
     return out.select(key, *[f"b.{c}" for c in ("district", "quarter", "road", "door", "lat", "lng")], "confidence", precision.alias("precision"), grade.alias("grade"), *(["door_confidence"] if ocr_words else []))

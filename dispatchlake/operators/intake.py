@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dates, text
+from ..sources.shared import cut
 from .gazetteer import resolve_texts
 from .ledger import DAY
 from .memory import recall
@@ -28,9 +29,9 @@ def scans_of_texts(texts: DataFrame, gazetteer: DataFrame, memory: DataFrame, ke
     fields = {"doc_no": text.document_number, "phone": text.phone, "name": text.recipient, "product": text.product, "pieces": text.pieces}
     rows = parts.withColumns({c: f(F.col("text")) for c, f in fields.items()}).withColumn(DAY, dates.business_date(F.col("ts")))
     found = resolve_texts(parts, gazetteer, "part")
-    rows = rows.join(found, "part").withColumn("flat", F.lit(None).cast("string"))
+    rows = rows.join(found.hint("merge"), "part").withColumn("flat", F.lit(None).cast("string"))
     order = Window.partitionBy(DAY).orderBy("ts", key, "place")
-    out = recall(rows.withColumnRenamed("text", "raw_text"), memory)
+    out = recall(rows.withColumnRenamed("text", "raw_text"), cut(memory))
     return out.withColumn("stop_id", F.row_number().over(order)).select(DAY, "ts", key, "place", "stop_id", *fields, "district", "quarter", "road", "door", "flat", "lat", "lng", "precision", "confidence", "grade", "warnings", "raw_text", "from_memory")
 
 

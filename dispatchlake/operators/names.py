@@ -6,12 +6,15 @@ are indexed by their pieces, with n and the piece's number, and a word looks up
 
 Runs. Names are paths of a trie of words. A text's words look up the trie's first steps; only places that begin a name go on, with
 as many words as the longest name from there has, to look up whole names. Of names of one kind within one another the longest counts.
+The names are written first, so Spark knows their size: while they are few, it broadcasts them, and the words of texts stay where they are.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import cut
+
 
 def _cuts(n: str, k: str) -> str:
     """SQL of the pieces of ``n`` characters for ``k`` edits: number, begin (from 0) and size; the last ones are longer by one."""
@@ -43,19 +46,15 @@ def runs_of_words(texts: DataFrame, names: DataFrame, key: str, words: str, afte
     ``texts``: key, words (array); ``names``: kind, name (words joined by one space). Begin counts from 0. Names without
     words are in no text.
     """
-    known = names.select("kind", "name").where("name <> ''").distinct().withColumn("_words", F.size(F.split("name", " ")))
+    known = cut(names.select("kind", "name").where("name <> ''").distinct().withColumn("_words", F.size(F.split("name", " "))))
+    longest = known.agg(F.max("_words")).first()[0] or 1
     steps = known.groupBy(F.split("name", " ")[0].alias("_first")).agg(F.max("_words").alias("_depth"))
-    places = texts.select(key, words, F.posexplode(words).alias("begin", "_first")).join(steps, "_first")
-    cut_ = places.select(key, "begin", "_depth", F.slice(words, F.col("begin") + 1, F.col("_depth") + after).alias("_next"))
+    # a place takes along as many words as a name may need, not its text
+    places = texts.select(key, words, F.posexplode(words).alias("begin", "_first")).select(key, "begin", "_first", F.slice(words, F.col("begin") + 1, longest + after).alias("_next")).join(steps, "_first")
     sizes = F.explode(F.sequence(F.lit(1), F.least("_depth", F.size("_next"))))
-    grams = cut_.withColumn("size", sizes).withColumn("name", F.concat_ws(" ", F.slice("_next", F.lit(1), F.col("size"))))
+    grams = places.select(key, "begin", "_next", sizes.alias("size")).withColumn("name", F.concat_ws(" ", F.slice("_next", F.lit(1), F.col("size"))))
     found = grams.join(known.drop("_words"), "name").select(key, "kind", "name", "begin", "size", F.slice("_next", F.col("size") + 1, F.lit(after)).alias("after"))
-    # a longer name of the kind that begins no later and ends no earlier
+    # a longer name of the kind that begins no later and ends no earlier; dealt out by key, so what follows by key stays where it is
     before = Window.partitionBy(key, "kind").orderBy("begin", F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("begin") + F.col("size")
-    return found.withColumn("_end", F.max(end).over(before)).where(F.col("_end").isNull() | (F.col("_end") < end)).drop("_end")
-
-
-def place_of(values: Column, value: Column, place: Column) -> Column:
-    """How many of the first ``place`` values are ``value``."""
-    return F.size(F.filter(F.slice(values, F.lit(1), place), lambda x: x == value))
+    return found.repartition(key).withColumn("_end", F.max(end).over(before)).where(F.col("_end").isNull() | (F.col("_end") < end)).drop("_end")

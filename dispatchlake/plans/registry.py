@@ -526,12 +526,12 @@ resolved AS (
 
 @query("j7_free_text", "SELECT * EXCLUDE (door_confidence) FROM resolved", STOPS_SQL, LETTERS_SQL, _FREE)
 def _(spark, d):
-    return gazetteer.resolve_texts(letters(spark, d), _places(spark, d), "o_orderkey")
+    return gazetteer.resolve_texts(letters(spark, d).drop("ts"), _places(spark, d), "o_orderkey")
 
 
 @query("j7_ocr_words", "SELECT * REPLACE (CASE WHEN grade = 'green' AND door_confidence < 70 THEN 'yellow' ELSE grade END AS grade) FROM resolved", STOPS_SQL, LETTERS_SQL, _FREE)
 def _(spark, d):
-    return gazetteer.resolve_texts(letters(spark, d), _places(spark, d), "o_orderkey", ocr_words="words")
+    return gazetteer.resolve_texts(letters(spark, d).drop("ts"), _places(spark, d), "o_orderkey", ocr_words="words")
 
 
 # The whole way of a text
@@ -552,7 +552,7 @@ def _remembered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return letters(spark, d).join(table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts")), "o_orderkey").select("o_orderkey", "ts", "text")
+    return letters(spark, d).select("o_orderkey", "ts", "text")
 
 
 _KEPT = "(m.phone_key IS NOT NULL AND r.confidence < 70)"

@@ -140,8 +140,8 @@ LETTERS_SQL = f"letters AS (SELECT *, {_READ['duckdb']} AS words FROM (SELECT o_
 
 
 def letters(spark: SparkSession, folder: str) -> DataFrame:
-    """(o_orderkey, text, words)."""
-    return table(spark, folder, "orders").selectExpr("o_orderkey", f"{_letter('spark')} AS text").selectExpr("*", f"{_READ['spark']} AS words")
+    """(o_orderkey, ts, text, words)."""
+    return table(spark, folder, "orders").selectExpr("o_orderkey", "o_orderdate AS ts", f"{_letter('spark')} AS text").selectExpr("*", f"{_READ['spark']} AS words")
 
 
 # Districts as (oid, name, search key).

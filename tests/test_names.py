@@ -112,3 +112,26 @@ def test_empty_tables(spark, places):
     assert gazetteer.resolve_texts(none, places, "id").collect() == []
     some = spark.createDataFrame([(1, "yeni mah gül sokak 5")], "id int, text string")
     assert [r["precision"] for r in gazetteer.resolve_texts(some, places.limit(0), "id").collect()] == ["yok"]
+
+
+def test_texts_are_neither_broadcast_nor_shuffled_to_find_names(spark, places, tmp_path):
+    """Names made in the session have no known size, and a text's file is far smaller than the rows of its words."""
+    spark.range(200).selectExpr("id", "concat('yeni mah gül sokak no ', id % 9, ' kale') AS text", "array(named_struct('text', 'kale', 'confidence', 1.0D)) AS ocr").write.parquet(f"file://{tmp_path}/t")
+    texts = spark.read.parquet(f"file://{tmp_path}/t").selectExpr("*", "split(text, ' ') AS words")
+    known = spark.createDataFrame([("road", "gül sokak"), ("quarter", "yeni")], "kind string, name string")
+    plan = names.runs_of_words(texts, known, "id", "words", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    found = gazetteer.resolve_texts(texts, places, "id", ocr_words="ocr")
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 200
+
+
+def test_a_common_road_is_not_tried_in_every_district(spark):
+    """A road of 500 districts, of which the text names one or none: the greatest named place counts, as of all that could be tried."""
+    rows = [(f"D{i:03}", "Yeni", "Gül Sokak", str(i % 7), float(i), 1.0) for i in range(500)]
+    places = spark.createDataFrame(rows, "district string, quarter string, road string, door string, lat double, lng double")
+    texts = spark.createDataFrame([(1, "yeni gül sokak 3"), (2, "yeni gül sokak 3 d010"), (3, "yeni gül sokak 5 d010"), (4, "gül sokak 3 d010 d003"), (5, "yeni gül sokak 99")], "id int, text string")
+    found = {r["id"]: (r["district"], r["door"], r["confidence"]) for r in gazetteer.resolve_texts(texts, places, "id").collect()}
+    assert found == {1: ("D493", "3", 90), 2: ("D010", "3", 100), 3: ("D495", "5", 90), 4: ("D010", "3", 70), 5: ("D499", None, 60)}
+    plan = gazetteer.resolve_texts(texts, places, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "area" in plan and "has_district" not in plan
