@@ -4,15 +4,17 @@ A query applies an operator to a whole table made from the test data (``sources.
 result for another engine. Metres are compared as whole ones, since sines differ in the last bit between engines.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text
 from ..operators import gazetteer, intake, layout, ledger, memory, merge, ocr, report, route
 from ..sources import store
-from ..sources.proxies import DAYS_SQL, DISTRICTS_SQL, INVOICES_SQL, LETTERS_SQL, READINGS_SQL, ROUTES_SQL, STOPS_SQL, days, districts, invoices, letters, readings, routes, stops, table
+from ..sources.proxies import DAYS_SQL, DISTRICTS_SQL, INVOICES_SQL, LETTERS_SQL, READINGS_SQL, ROUTES_SQL, STOPS_SQL, days, districts, invoices, letters, plain_readings, read_words, readings, routes, stops, table
 from ..streaming import arrivals, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -735,9 +737,15 @@ query("m11_save_day", "SELECT business_date, CASE WHEN day(business_date) = 10 T
 
 @query("m12_join_readings", "SELECT a.doc_id, md5(a.text || chr(10) || coalesce(b.text, '')) AS text_md5, greatest(a.confidence, b.confidence) AS confidence, len(a.words) + len(b.words) AS n, len(string_split(a.text, chr(10))) + len(string_split(b.text, chr(10))) AS n_lines FROM readings a JOIN readings b ON a.doc_id = b.doc_id AND a.attempt = 0 AND b.attempt = 1", READINGS_SQL)
 def _(spark, d):
-    rows = readings(spark, d).select("doc_id", "attempt", F.struct("text", "confidence", "words", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"))).alias("lines")).alias("r"))
-    pairs = rows.where("attempt = 0").join(rows.where("attempt = 1").select("doc_id", F.col("r").alias("other")), "doc_id")
-    both = pairs.withColumn("j", ocr.joined(F.col("r"), F.col("other")))
+    # words and lines are made from texts once these have met
+    rows = plain_readings(spark, d)
+    pairs = rows.where("attempt = 0").join(rows.where("attempt = 1").select("doc_id", *[F.col(c).alias(f"other_{c}") for c in ("attempt", "text", "confidence")]).hint("merge"), "doc_id")
+
+    def reading(of: str) -> Column:
+        lines = F.transform(F.split(of + "text", "\n"), lambda x: F.struct(x.alias("text")))
+        return F.struct(F.col(of + "text").alias("text"), F.col(of + "confidence").alias("confidence"), read_words(of + "text", of + "attempt").alias("words"), lines.alias("lines"))
+
+    both = pairs.withColumn("j", ocr.joined(reading(""), reading("other_")))
     return both.select("doc_id", F.md5(F.col("j.text").cast("binary")).alias("text_md5"), "j.confidence", F.size("j.words").cast("bigint").alias("n"), F.size("j.lines").cast("bigint").alias("n_lines"))
 
 
@@ -797,10 +805,25 @@ query("i10_zoom_gate", f"SELECT p_partkey FROM frames WHERE {_SCALE} < 0.95", _F
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """The documents as pages of 120 characters a line, a dark pixel for each visible one, turned by some degrees."""
-    docs = table(spark, d, "documents").where("text is not null").selectExpr("doc_id", "transform(sequence(0, cast(length(text) / 120 AS int)), k -> substr(text, k * 120 + 1, 120)) AS lines", "tan(radians(doc_id % 11 - 5)) AS slope")
-    place = "cast(i div 120 AS int) - 20 - cast(round((i % 120 - 60) * slope) AS int)"
-    dark = f"{place} >= 0 AND ({place}) % 4 < 2 AND coalesce(substr(get(lines, cast(({place}) div 4 AS int)), cast(i % 120 AS int) + 1, 1), '') NOT IN ('', ' ', chr(10))"
-    return docs.selectExpr("doc_id", "120 AS width", f"transform(sequence(0, 120 * (size(lines) * 4 + 40) - 1), i -> if({dark}, 20, 230)) AS grey")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.expr("tan(radians(doc_id % 11 - 5))").alias("slope"))
+    return docs.mapInArrow(_drawn, "doc_id long, width int, grey array<int>")
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages, some at a time: a page's pixels are looked up at once in its characters, four lines of pixels each."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            shift = (np.arange(120) - 60) * row["slope"]
+            shift = (np.sign(shift) * np.floor(np.abs(shift) + 0.5)).astype(np.int64)
+            marks = np.frombuffer(row["text"].encode("utf-32-le"), "<u4")
+            lines = len(marks) // 120 + 1
+            seen = np.zeros(lines * 120, bool)
+            seen[: len(marks)] = (marks != 32) & (marks != 10)
+            place = np.arange(lines * 4 + 40)[:, None] - 20 - shift
+            inside = (place >= 0) & (place % 4 < 2) & (place // 4 < lines)
+            dark = inside & seen.reshape(lines, 120)[np.where(inside, place // 4, 0), np.arange(120)]
+            grey = pa.array(np.where(dark, 20, 230).astype(np.int32).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([120], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(grey)], pa.int32()), grey)], ["doc_id", "width", "grey"])
 
 
 query("i12_skew_angle")(lambda spark, d: layout.skew_angles(_pages(spark, d), "doc_id"))

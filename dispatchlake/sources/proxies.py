@@ -1,6 +1,6 @@
 """Delivery tables made from the star-schema test tables, and the same in SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -161,10 +161,18 @@ def districts(spark: SparkSession) -> DataFrame:
 
 #: OCR readings: the words of a document with made-up confidences, four attempts each.
 def readings(spark: SparkSession, folder: str) -> DataFrame:
+    return plain_readings(spark, folder).withColumn("words", read_words("text", "attempt")).select("doc_id", "attempt", "text", "words", "confidence")
+
+
+def plain_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """The readings without their words, which are several times as large as their texts."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"), F.split("text", " ").alias("parts"), "text").select(
-        "doc_id", "attempt", "text", F.transform("parts", lambda w, i: F.struct(w.alias("text"), ((i * 37 + F.col("doc_id") * 11 + F.col("attempt") * 29) % 101).cast("double").alias("confidence"))).alias("words"), ((F.col("doc_id") * 31 + F.col("attempt") * 47) % 101).cast("double").alias("confidence")
-    )
+    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"), "text").withColumn("confidence", ((F.col("doc_id") * 31 + F.col("attempt") * 47) % 101).cast("double"))
+
+
+def read_words(text: str, attempt: str) -> Column:
+    """The words of a reading, made from its text."""
+    return F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("text"), ((i * 37 + F.col("doc_id") * 11 + F.col(attempt) * 29) % 101).cast("double").alias("confidence")))
 
 
 READINGS_SQL = """readings AS (

@@ -1,12 +1,14 @@
 """The ledger's operators on small tables: edge cases of the rules, batch against stream."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from dispatchlake.functions import dates, geo, text
 from dispatchlake.operators import gazetteer, ledger, memory, merge, ocr, report, route
+from dispatchlake.plans import registry
 from dispatchlake.sources import store
 from dispatchlake.streaming import arrivals
 
@@ -355,3 +357,21 @@ def test_names_at_one_place_are_not_paired(spark, tmp_path):
     name = lambda i: None if i in (500, 700) else i % 300
     want = {i: next(j for j in range(i) if None in (name(i), name(j)) or name(i) == name(j)) for i in range(300, 1000)}
     assert {r["stop_id"]: r["same_as"] for r in found.collect()} == want
+
+
+def test_readings_meet_before_their_words_are_made(spark):
+    plan = registry.QUERIES["m12_join_readings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" in plan and "transform(" not in plan[plan.index("Join ") :]
+
+
+def test_pages_are_drawn_by_arrays_with_every_pixel(spark, tmp_path):
+    text = "".join(chr(97 + i % 26) if i % 6 else " \n"[i % 4 == 0] for i in range(300)) + "ğ😀z"
+    spark.createDataFrame([(9, text), (5, ""), (6, None)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    table = registry._pages(spark, f"file://{tmp_path}")
+    assert "MapInArrow" in table._jdf.queryExecution().executedPlan().toString()
+    found = {r["doc_id"]: r["grey"] for r in table.collect()}
+    assert set(found) == {9, 5} and set(found[5]) == {230} and len(found[5]) == 120 * 44
+    for i, grey in enumerate(found[9]):
+        place = i // 120 - 20 - math.copysign(math.floor(abs((i % 120 - 60) * math.tan(math.radians(4))) + 0.5), i % 120 - 60)
+        at = int(place // 4) * 120 + i % 120
+        assert grey == (20 if place >= 0 and place % 4 < 2 and at < len(text) and text[at] not in " \n" else 230)
