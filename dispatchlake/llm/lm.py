@@ -36,17 +36,17 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut, uncut
-from .tokens import mixed, utf8
+from .tokens import chunks, mixed
 
 END = b"\n"  # no word holds white space
 HEAD = 262_144
@@ -59,6 +59,8 @@ CLASSES = 32
 ROUNDS = 2
 #: Tokens that are sorted together in a task, and (about) those of a shard.
 CHUNK, SHARD = 600_000, 1_000_000
+#: Bytes of texts that are split at a time.
+READ = 8_000_000
 #: Precision of the weights' Gaussian priors: shared and pairs', and in-class.
 RIDGE, RIDGE_WORD = 1.0, 0.3
 PAIR_STEPS, WORD_STEPS = 4, 6
@@ -76,9 +78,23 @@ def fold() -> str:
 
 
 def tokens(text: bytes) -> list[bytes]:
-    out = text.lower().split()
-    out.append(END)
-    return out
+    """A text's tokens; many texts' are read by :func:`words_of`."""
+    return [*text.lower().split(), END]
+
+
+def words_of(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Lower-cased words of the texts, without their ends, some MB at a time, and how many each text has."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts, "")
+    for a, b in chunks(pc.binary_length(texts).to_pylist(), READ):
+        found = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(a, b - a)))
+        words, bounds = found.values, found.offsets.to_numpy()
+        full = pc.binary_length(words).to_numpy() > 0
+        if not full.all():  # white space at a text's ends
+            bounds = np.concatenate(([0], np.cumsum(full)))[bounds]
+            words = words.filter(pa.array(full))
+        yield words, np.diff(bounds)
 
 
 def shape(word: bytes) -> int:
@@ -127,19 +143,22 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held: list[pa.RecordBatch] = []
 
-    def flush() -> pa.RecordBatch:
-        out = pa.record_batch({"word": pa.array(list(seen), pa.binary()).cast(pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-        seen.clear()
-        return out
+    def summed() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.record_batch({"word": table["word"].combine_chunks(), "n": table["n_sum"].combine_chunks()})
 
     for batch in batches:
-        for text in utf8(batch["text"]):
-            seen.update(tokens(text))
-            if len(seen) > 200_000:
-                yield flush()
-    yield flush()
+        for words, sizes in words_of(batch["text"]):
+            found = pc.value_counts(words)
+            held += [pa.record_batch({"word": found.field(0), "n": found.field(1)}), pa.record_batch({"word": pa.array([END.decode()], words.type), "n": pa.array([len(sizes)], pa.int64())})]
+            if sum(map(len, held)) > 400_000:
+                held = [summed()]
+                if len(held[0]) > 200_000:
+                    yield held.pop()
+    if held:
+        yield summed()
 
 
 def head_of(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
@@ -185,8 +204,13 @@ class Vocabulary:
         self._fill(head.split(b" ") if head else [], unpacked(counts).astype(np.float64), unpacked(unit, np.int32), shards)
 
     @cached_property
-    def rank(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.head)}
+    def words(self) -> pa.Array:
+        return pa.array(self.head, pa.binary()).cast(pa.string())
+
+    @cached_property
+    def end(self) -> int:
+        """The number of a text's end."""
+        return self.head.index(END) if END in self.head else len(self.head) + shape(END)
 
     def feature(self, pairs: np.ndarray) -> np.ndarray:
         """The in-class feature of a context (word before, word before that): the former, and a bucket of the latter."""
@@ -198,6 +222,10 @@ class Vocabulary:
     def shard(self, keys: np.ndarray) -> np.ndarray:
         return (mixed(self.feature(keys >> _BITS).astype(np.uint64)) % np.uint64(self.shards)).astype(np.int32)
 
+    def by_shard(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' order by shard; equal ones stay as they are (16 bits are sorted by radix)."""
+        return np.argsort(self.shard(keys).astype(np.uint16 if self.shards <= 1 << 16 else np.int32), kind="stable")
+
 
 def _keys(rows: list[np.ndarray], start: int) -> np.ndarray:
     """(word before, word before that, word) of all tokens of the texts, as one number each."""
@@ -221,16 +249,25 @@ def _dealt(vocabulary: Vocabulary, keys: np.ndarray) -> Iterator[tuple[int, slic
 def _by_shard(vocabulary: Vocabulary, keys: np.ndarray) -> np.ndarray:
     """Their order by shard and key."""
     order = np.argsort(keys, kind="stable")
-    return order[np.argsort(vocabulary.shard(keys[order]), kind="stable")]
+    return order[vocabulary.by_shard(keys[order])]
 
 
-def _numbered(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """The words' numbers, and those beyond the head."""
-    at = np.fromiter(map(vocabulary.rank.get, words, repeat(-1)), np.int64, len(words))
+def _numbered(vocabulary: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words' numbers, and where which words beyond the head stand."""
+    at = pc.index_in(words, vocabulary.words.cast(words.type)).fill_null(-1).to_numpy().astype(np.int64)
     other = np.flatnonzero(at < 0)
-    rest = [words[i] for i in other.tolist()]
+    rest = words.take(pa.array(other)).cast(pa.binary()).to_pylist()
     at[other] = [len(vocabulary.head) + shape(w) for w in rest]
-    return at, rest
+    return at, other, rest
+
+
+def _texts(vocabulary: Vocabulary, at: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The numbers of each text's tokens, its end included."""
+    ended = np.insert(at, np.cumsum(sizes), vocabulary.end)
+    first = 0
+    for last in np.cumsum(sizes + 1).tolist():
+        yield ended[first:last]
+        first = last
 
 
 def _events(shared: Broadcast):
@@ -243,7 +280,7 @@ def _events(shared: Broadcast):
 
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(_keys(held, vocabulary.start), return_counts=True)
-            order = np.argsort(vocabulary.shard(keys), kind="stable")
+            order = vocabulary.by_shard(keys)
             keys, n = keys[order], n[order]
             parts = list(_dealt(vocabulary, keys))
             return pa.record_batch({
@@ -253,12 +290,13 @@ def _events(shared: Broadcast):
             })
 
         for batch in batches:
-            for text in utf8(batch["text"]):
-                held.append(_numbered(vocabulary, tokens(text))[0])
-                size += len(held[-1])
-                if size >= CHUNK:
-                    yield flush()
-                    held, size = [], 0
+            for words, sizes in words_of(batch["text"]):
+                for at in _texts(vocabulary, _numbered(vocabulary, words)[0], sizes):
+                    held.append(at)
+                    size += len(at)
+                    if size >= CHUNK:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
@@ -435,10 +473,22 @@ class Model:
 
 
 def _unit_sums(units: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
-    order = np.argsort(units, kind="stable")
-    sorted_ = units[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-    out[sorted_[first]] += np.add.reduceat(rows[order], first, axis=0)
+    if (units[1:] < units[:-1]).any():
+        order = np.argsort(units.astype(np.uint16), kind="stable")  # few enough units for a radix sort
+        units, rows = units[order], rows[order]
+    bounds = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1], [True])))
+    first, size = bounds[:-1], np.diff(bounds)
+    sums = rows[first]
+    # units of many rows one by one, the others' second rows together, then their third ones and so on
+    many = size > 32
+    for i in np.flatnonzero(many).tolist():
+        sums[i] = rows[bounds[i] : bounds[i + 1]].sum(0)
+    rest, k = np.flatnonzero(~many & (size > 1)), 1
+    while len(rest):
+        sums[rest] += rows[first[rest] + k]
+        k += 1
+        rest = rest[size[rest] > k]
+    out[units[first]] += sums
 
 
 def _gradient(model: Model, first_round: bool):
@@ -496,15 +546,17 @@ class Shard:
         model, pair, word = self.model, keys >> _BITS, keys & _MASK
         kind = model.classes[word].astype(np.int64)
         out = -np.log10(model.sizes)[kind]
-        pairs, row = np.unique(pair, return_inverse=True)
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))[: len(pair)]
+        first = np.flatnonzero(new)
+        pairs, row, bounds = pair[first], np.cumsum(new) - 1, np.append(first, len(pair))
         for k in range(0, len(pairs), _PAIRS):
             part = pairs[k : k + _PAIRS]
+            mine = slice(bounds[k], bounds[k + len(part)])
             logits = model.logits(part)
             at, ok = _found(self.pairs, part)
             logits[ok] += self.weights[at[ok]]
             logits -= logits.max(1, keepdims=True)
             logits -= np.log(np.exp(logits).sum(1, keepdims=True, dtype=np.float64)).astype(np.float32)
-            mine = (row >= k) & (row < k + _PAIRS)
             out[mine] += logits[row[mine] - k, kind[mine]] / _LN10
         at, ok = _found(self.features, model.vocabulary.feature(pair))
         for table, values, key, sign in ((self.groups, self.log_norm, at * CLASSES + kind, -1), (self.words, self.v, at << _BITS | word, 1)):
@@ -535,6 +587,7 @@ def _asked(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         logs = np.log10(vocabulary.counts + 1.0)
+        ends = [END] if vocabulary.end >= len(logs) else []
         chunk = TaskContext.get().partitionId() << 24  # a row is its chunk and 16 bits
         held: list[np.ndarray] = []
         info: list[tuple] = []
@@ -558,15 +611,19 @@ def _asked(shared: Broadcast):
             return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds_, strict=True)], names=[c.split()[0] for c in _SENT.split(", ")])
 
         for batch in batches:
-            for doc_id, held_out, text in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), utf8(batch["text"]), strict=True):
-                at, rest = _numbered(vocabulary, tokens(text))
-                tail, known = Counter(rest), at[at < len(logs)]
-                held.append(at)
-                info.append((doc_id, held_out, len(at), len(known), float(logs[known].sum()), [w.decode() for w in tail], list(tail.values())))
-                size += len(at)
-                if size >= CHUNK or len(held) == 65_535:
-                    yield flush()
-                    held, info, size, chunk = [], [], 0, chunk + 1
+            of = zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), strict=True)
+            for words, sizes in words_of(batch["text"]):
+                numbers, other, rest = _numbered(vocabulary, words)
+                first = 0
+                for at, last, (doc_id, held_out) in zip(_texts(vocabulary, numbers, sizes), np.searchsorted(other, np.cumsum(sizes)).tolist(), of):  # noqa: B905 (the batch's texts come in pieces)
+                    tail, known = Counter(rest[first:last] + ends), at[at < len(logs)]
+                    first = last
+                    held.append(at)
+                    info.append((doc_id, held_out, len(at), len(known), float(logs[known].sum()), [w.decode() for w in tail], list(tail.values())))
+                    size += len(at)
+                    if size >= CHUNK or len(held) == 65_535:
+                        yield flush()
+                        held, info, size, chunk = [], [], 0, chunk + 1
         if held:
             yield flush()
 
@@ -628,7 +685,7 @@ def _class_sums(classes: np.ndarray, shared: Broadcast):
         vocabulary = shared.value
         n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            at = classes[_numbered(vocabulary, utf8(batch["word"]))[0]]
+            at = classes[_numbered(vocabulary, batch["word"])[0]]
             n += np.bincount(at, batch["n"].to_numpy(), CLASSES).astype(np.int64)
             v += np.bincount(at, minlength=CLASSES)
         yield pa.record_batch({"class": np.arange(CLASSES, dtype=np.int32), "n": n, "v": v})

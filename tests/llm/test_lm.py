@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,32 @@ def test_nothing_to_learn_from(no_docs, spark):
     only_held = next(i for i in range(100) if held(i))
     row = op.scored(spark.createDataFrame([(only_held, "a b")], "doc_id long, text string")).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["held_out"], row["base_score"]) == (3, 0, 0, True, 0.0)
+
+
+def test_words_are_read_many_texts_at_a_time(monkeypatch):
+    texts = ["".join(map(chr, range(300))), None, "", " \t a B\x1cc\x85d ", "x", " \n", "İI É x"]
+    monkeypatch.setattr(op, "READ", 8)
+    got = [(words.type, words.to_pylist(), sizes.tolist()) for words, sizes in op.words_of(pa.array(texts))]
+    assert len(got) > 2
+    flat = iter([w.encode() for _, words, _ in got for w in words])
+    assert [[next(flat) for _ in range(n)] for _, _, sizes in got for n in sizes] == [(t or "").encode().lower().split() for t in texts]
+
+
+@pytest.mark.parametrize("head", [[b"b", op.END, b"a"], [b"b"], []])
+def test_tokens_are_numbered_with_their_ends(head):
+    vocabulary = op.Vocabulary(head, np.ones(len(head)), 10)
+    number = lambda w: head.index(w) if w in head else len(head) + op.shape(w)
+    ((words, sizes),) = op.words_of(pa.array(["A b", "", "zz b zz"]))
+    at, other, rest = op._numbered(vocabulary, words)
+    assert rest == [w for w in (b"a", b"b", b"zz", b"b", b"zz") if w not in head] and len(other) == len(rest)
+    assert [x.tolist() for x in op._texts(vocabulary, at, sizes)] == [[number(w) for w in t] for t in ([b"a", b"b", op.END], [op.END], [b"zz", b"b", b"zz", op.END])]
+
+
+def test_rows_are_summed_by_unit():
+    rng = np.random.default_rng(1)
+    for units in (rng.integers(0, 50, 999), np.sort(rng.zipf(1.3, 999) % 60), np.zeros(5, np.int64)):
+        rows, out = rng.integers(0, 9, (len(units), 4)).astype(np.float32), np.ones((60, 4), np.float32)
+        want = out.copy()
+        np.add.at(want, units, rows)
+        op._unit_sums(units, rows, out)
+        assert (out == want).all()
