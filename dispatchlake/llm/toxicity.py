@@ -171,11 +171,11 @@ class Kernel:
         size = max(1, (1 << 20) // max(1, len(i)))
         for at in range(0, len(x), size):
             part = x[at : at + size]
-            found = self.row[(part[:, i] * self.size + part[:, j]) * self.size + part[:, k]]
-            row, which = np.nonzero(found)
-            if len(row):
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                out[at + row[first]] = np.add.reduceat(self.table[found[row, which]] * weight[which][:, None], first, axis=0)
+            part, mine = np.ascontiguousarray(part.T), out[at : at + size]
+            for found, heavy in zip(self.row[(part[i] * self.size + part[j]) * self.size + part[k]], weight, strict=True):
+                (hit,) = found.nonzero()
+                if len(hit):  # one triple of places of all rows at a time: sums of many short runs would cost more
+                    mine[hit] += self.table[found[hit]] * heavy
         return out
 
 

@@ -198,3 +198,15 @@ def test_scores_are_those_of_the_definitions(sample, model, monkeypatch):
         monkeypatch.setattr(op, name, value)
     windows = model.windows()
     assert np.allclose([model.score([t], windows)[0] for t in texts[:-1]], want[:-1], atol=2e-3)
+
+
+def test_kernel_values_are_sums_over_shared_subsequences():
+    kernel = op.Kernel(["^abc", "^cabbage", "zzz"], 1)
+    strings = ["^abc", "^xyw", "^abcabbagez", "qqqq", "^zzzzzzz", "^bcabage"]
+
+    def shared(a: str, b: str) -> float:
+        x, y = op.subsequences(a), op.subsequences(b)
+        return sum(v * y[k] for k, v in x.items())
+
+    want = [[shared(s, m) / (shared(s, s) * shared(m, m)) ** 0.5 for m in kernel.landmarks] for s in strings]
+    assert np.allclose(kernel(strings), want, atol=1e-5) and not kernel(["^xyw"]).any()
