@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,9 +145,9 @@ _MATCH = pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("item_first
 def _judged(items: Items, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.lower() for t in utf8(batch["text"])]
-            for first, last in chunks([len(t) for t in texts], SHARD_BYTES):
-                words = Words(texts[first:last], ALNUM)
+            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist()
+            for first, last in chunks(sizes, SHARD_BYTES):
+                words = Words([t.lower() for t in utf8(batch["text"][first:last])], ALNUM)
                 hit, text, item, matches = _match(words, items, window)
                 spans, ids, found = ([[] for _ in range(last - first)] for _ in range(3))
                 turn = words.text_of[1:] != words.text_of[:-1]

@@ -23,6 +23,8 @@ _LETTERS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.ui
 
 #: Bytes of text worked on at a time.
 CHUNK_BYTES = 2 << 20
+#: Bytes of words that are hashed at a time.
+_HASHED = 1 << 18
 
 
 @lru_cache(maxsize=8)
@@ -67,14 +69,19 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        if not len(self):
-            return np.zeros(0, np.uint64)
-        n = len(self.raw)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_LETTERS[self.raw] * powers(_BYTE_BASE, n), out=sums[1:])
-        back = powers(pow(_BYTE_BASE, -1, 1 << 64), n)
-        return mixed((sums[self.ends] - sums[self.starts]) * back[self.starts])
+        out = np.empty(len(self), np.uint64)
+        a = 0
+        # some words at a time: a word's hash doesn't depend on where its bytes stand
+        while a < len(self):
+            at = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.ends, at + _HASHED, side="right")))
+            n = int(self.ends[b - 1] - at)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_LETTERS[self.raw[at : at + n]] * powers(_BYTE_BASE, n), out=sums[1:])
+            starts, ends = self.starts[a:b] - at, self.ends[a:b] - at
+            out[a:b] = mixed((sums[ends] - sums[starts]) * powers(pow(_BYTE_BASE, -1, 1 << 64), n)[starts])
+            a = b
+        return out
 
 
 def sequence_hashes(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:

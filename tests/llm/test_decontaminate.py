@@ -1,11 +1,13 @@
 """Decontamination against a brute-force search of all windows."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import pytest
 
 from dispatchlake.llm import decontaminate as op
+from dispatchlake.llm.tokens import ALNUM, Words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -101,3 +103,16 @@ def test_contaminated_rows_go_and_the_others_stay_whole(docs, items, block_words
 def test_empty_tables(docs, no_docs, items):
     assert op.contamination(no_docs, items).collect() == []
     assert {r["n_hit"] for r in op.contamination(docs, items.limit(0)).collect()} == {0}
+
+
+def test_hashes_are_made_in_little_memory():
+    """Of some MB of words, and of one word longer than what is hashed at a time, as of each word alone."""
+    text = b"w" * 600_000 + b" " + b" ".join(b"w%d" % (i % 5000) for i in range(1_000_000))
+    found = Words([text], ALNUM)
+    tracemalloc.start()
+    hashes = found.hashes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(hashes) + (40 << 20)
+    for i in (0, 1, 2, 5000, 77_777, 1_000_000):
+        assert hashes[i] == Words([text[found.starts[i] : found.ends[i]]], ALNUM).hashes()[0]
