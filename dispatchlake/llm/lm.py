@@ -537,12 +537,22 @@ class Shard:
             p = share * np.exp(v) / self._norm(share, v, group)[group]
             v += np.clip((times - total[group] * p - RIDGE_WORD * v) / (total[group] * p * (1 - p) + RIDGE_WORD), -1, 1)
         self.v, self.log_norm = v, np.log(self._norm(share, v, group))
+        #: the counts' own keys are scored once, as they are asked for again and again
+        self.keys, self.known = keys, self._scores(keys)
 
     def _norm(self, share: np.ndarray, v: np.ndarray, group: np.ndarray) -> np.ndarray:
         return 1 + np.bincount(group, share * (np.exp(v) - 1), len(self.groups))
 
     def scores(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the tokens' probabilities, less that of (count + 1): what the caller knows. ``keys`` in order."""
+        at, ok = _found(self.keys, keys)
+        out = np.empty(len(keys))
+        out[ok] = self.known[at[ok]]
+        if not ok.all():
+            out[~ok] = self._scores(keys[~ok])
+        return out
+
+    def _scores(self, keys: np.ndarray) -> np.ndarray:
         model, pair, word = self.model, keys >> _BITS, keys & _MASK
         kind = model.classes[word].astype(np.int64)
         out = -np.log10(model.sizes)[kind]

@@ -152,3 +152,23 @@ def test_rows_are_summed_by_unit():
         np.add.at(want, units, rows)
         op._unit_sums(units, rows, out)
         assert (out == want).all()
+
+
+def test_a_shard_scores_the_keys_of_its_counts_once(monkeypatch):
+    """Asked for them again, it sums no logits; new keys among them don't change that, or the others' scores."""
+    class Held:
+        value = op.Vocabulary([b"a", b"b", b"c", op.END], np.array([9.0, 7.0, 5.0, 4.0]), 25)
+
+    rng, shape = np.random.default_rng(1), (op.UNITS, op.CLASSES)
+    one, two = (rng.normal(size=shape).astype(np.float32) for _ in range(2))
+    classes = (np.arange(Held.value.start + 1) % op.CLASSES).astype(np.int8)
+    model = op.Model(Held, classes, np.zeros(op.CLASSES, np.float32), np.full(op.CLASSES, 8.0), one, two)
+    key = lambda before, skip, word: before << 2 * op._BITS | skip << op._BITS | word
+    counted = np.array(sorted(key(i % 4, i // 4 % 3, i % 3) for i in range(12)), np.int64)
+    shard = op.Shard(model, counted, np.arange(1, 13))
+    asked = np.array(sorted([*counted.tolist(), key(0, 3, 1), key(2, 3, 0)]), np.int64)
+    whole, seen, logits = shard._scores(asked), [], op.Model.logits
+    monkeypatch.setattr(op.Model, "logits", lambda self, pairs: seen.append(len(pairs)) or logits(self, pairs))
+    assert np.allclose(shard.scores(asked), whole, rtol=0, atol=1e-6) and sum(seen) == 2
+    seen.clear()
+    assert len(shard.scores(counted)) == 12 and not seen
