@@ -100,28 +100,35 @@ def resolve_texts(texts: DataFrame, gazetteer: DataFrame, key: str, text: str =
     at = F.array_position(F.transform("after", lambda w: w.rlike(DOOR)), True)
     road = F.struct(F.col("name").alias("g_road"), "begin", F.when(at > 0, F.get("after", (at - 1).cast("int"))).alias("g_door"), (F.col("begin") + F.col("size") + at).cast("int").alias("door_place"))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
-    finds = found.groupBy(key).agg(F.collect_list(of("road", road)).alias("roads"), F.collect_set(of("quarter", F.col("name"))).alias("quarters"), F.collect_set(of("district", F.col("name"))).alias("districts"))
+    sets = {f"{kind}s": F.sort_array(F.collect_set(of(kind, F.col("name")))) for kind in ("quarter", "district")}
+    finds = cut(found.groupBy(key).agg(F.collect_list(of("road", road)).alias("roads"), *[c.alias(n) for n, c in sets.items()]))
+    # What can be found of a road only depends on its question: its door and what else the text names. Each different one is asked once.
+    question = ["g_road", "g_door", "quarters", "districts"]
+    asked = finds.select(key, F.explode("roads").alias("r"), "quarters", "districts").select(key, "r.*", "quarters", "districts").withColumn("g_door", F.coalesce("g_door", F.lit(""))).where("size(quarters) + size(districts) > 0")
     # A road is looked up in the districts that the text names, and in the quarters that it names: there the best of all districts
     # stands for them, as they only differ by their names. What is found again in a named district is less by NO_DISTRICT.
     area = lambda everywhere: lambda name: F.named_struct(F.lit("everywhere"), F.lit(everywhere), F.lit("area"), name)
     areas = F.concat(F.transform("districts", area(False)), F.transform("quarters", area(True)))
-    roads = finds.select(key, F.explode("roads").alias("r"), "quarters", areas.alias("areas")).select(key, "r.*", "quarters", F.explode("areas").alias("a")).select(key, "g_road", "begin", "g_door", "door_place", "quarters", "a.*")
+    roads = asked.select(*question).distinct().select(*question, F.explode(areas).alias("a")).select(*question, "a.*")
     both = g.select(F.lit(False).alias("everywhere"), F.col("g_district").alias("area"), "g_quarter", "g_road", "g_door", "place").unionByName(g.select(F.lit(True).alias("everywhere"), F.col("g_quarter").alias("area"), "g_quarter", "g_road", "g_door", "place"))
     spot = ["everywhere", "area", "g_quarter", "g_road"]
-    tried = roads.join(cut(both.groupBy(*spot).agg(F.max("place").alias("road_place"))), ["everywhere", "area", "g_road"])
-    tried = tried.withColumn("has_quarter", F.col("everywhere") | F.array_contains("quarters", F.col("g_quarter"))).drop("quarters")
+    tried = roads.join(cut(both.groupBy(*spot).agg(F.max("place").alias("road_place"))).hint("merge"), ["everywhere", "area", "g_road"])
+    tried = tried.withColumn("has_quarter", F.col("everywhere") | F.array_contains("quarters", F.col("g_quarter")))
     doors = both.where("g_door <> ''").groupBy(*spot, "g_door").agg(F.max("place").alias("door_there"))
     tried = tried.join(doors.hint("merge"), [*spot, "g_door"], "left")
     confidence = F.lit(40) + F.when(F.col("has_quarter"), 30).otherwise(0) + F.when(F.col("door_there").isNotNull(), 30).otherwise(0) - F.when(F.col("everywhere"), NO_DISTRICT).otherwise(0)
     place = F.coalesce("door_there", "road_place")
-    best = F.max(F.struct(confidence.alias("confidence"), (-F.col("begin")).alias("first"), place["district"].alias("district"), place["quarter"].alias("quarter"), place["road"].alias("road"), F.when(F.col("door_there").isNotNull(), place["door"]).alias("door"), place["lat"].alias("lat"), place["lng"].alias("lng"), F.when(F.col("door_there").isNotNull(), F.col("g_door")).alias("g_door"), "door_place"))
+    there = F.struct(confidence.alias("confidence"), place["district"].alias("district"), place["quarter"].alias("quarter"), place["road"].alias("road"), F.when(F.col("door_there").isNotNull(), place["door"]).alias("door"), place["lat"].alias("lat"), place["lng"].alias("lng"), F.when(F.col("door_there").isNotNull(), F.col("g_door")).alias("g_door"))
+    answers = tried.groupBy(*question).agg(F.max(there).alias("there"))
+    answered = asked.join(answers.hint("merge"), question)
+    best = F.max(F.struct(F.col("there.confidence").alias("confidence"), (-F.col("begin")).alias("first"), *[F.col(f"there.{c}").alias(c) for c in ("district", "quarter", "road", "door", "lat", "lng", "g_door")], "door_place"))
     own = rows.select(key)
     if ocr_words:  # only numbers can be doors, so only they go on
         read = F.flatten(F.transform(ocr_words, lambda w: F.transform(F.split(search_key(F.coalesce(w["text"], F.lit(""))), " "), lambda t: F.struct(t.alias("t"), w["confidence"].alias("confidence")))))
         places = F.transform("_words", lambda w, i: F.struct(w.alias("t"), (i + 1).alias("place")))
         own = rows.select(key, F.filter(places, lambda x: x["t"].rlike(DOOR)).alias("_numbers"), F.filter(read, lambda x: x["t"].rlike(DOOR)).alias("_read"))
     # merged: a text's files say little of the size of what is made from it, which is nothing for the driver
-    out = own.join(tried.groupBy(key).agg(best.alias("b")).hint("merge"), key, "left").withColumn("confidence", F.coalesce("b.confidence", F.lit(0)))
+    out = own.join(answered.groupBy(key).agg(best.alias("b")).hint("merge"), key, "left").withColumn("confidence", F.coalesce("b.confidence", F.lit(0)))
     grade = _grade(F.col("confidence"))
     if ocr_words:
         same = F.filter("_read", lambda x: x["t"] == F.col("b.g_door"))

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import DEGREE_M, EARTH_M, around, cell
 from ..functions.text import plain_name, trimmed
+from ..sources.shared import cut
 from .graphs import components
 from .ledger import DAY, NEAR_M
 
@@ -227,11 +228,11 @@ def _records(rows: pd.DataFrame) -> list[dict]:
     return rows.astype(object).where(rows.notna(), None).to_dict("records")
 
 
-def scans(stops: DataFrame) -> DataFrame:
-    """The columns of the fold from any table that has some of them."""
+def scans(stops: DataFrame, number: Column | None = None) -> DataFrame:
+    """The columns of the fold from any table that has some of them; ``number`` (stop_id unless given) sorts scans of the same time."""
     have = {c: F.col(c) if c in stops.columns else F.lit(None) for c in _SCAN if c not in ("plain", "scan_id")}
     kinds = {"pieces": "int", "confidence": "int", "lat": "double", "lng": "double", "road_offset_m": "double", "warnings": "array<string>"}
-    return stops.select(DAY, "ts", F.col("stop_id").cast("long").alias("scan_id"), *[c.cast(kinds.get(n, "string")).alias(n) for n, c in have.items()], plain_name(F.col("name")).alias("plain"))
+    return stops.select(DAY, "ts", (F.col("stop_id").cast("long") if number is None else number).alias("scan_id"), *[c.cast(kinds.get(n, "string")).alias(n) for n, c in have.items()], plain_name(F.col("name")).alias("plain"))
 
 
 def connected(scans_: DataFrame) -> DataFrame:
@@ -281,6 +282,8 @@ def merge_scans(scans_: DataFrame, split: bool = False) -> DataFrame:
     sorted_ = parts.repartition(DAY, "component").sortWithinPartitions(*order)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema.fields)
     taken = sorted_.mapInArrow(_taken, f"{schema}, number string, n long, at int, how string, better boolean, placed boolean, adds boolean")
+    # written, so the sorted scans' shuffle files can go before stops are aggregated
+    taken = cut(taken.drop("doc_no", "plain", *(() if split else ("ts", "scan_id"))))
 
     new, n = F.col("how").isNull(), F.col("n")
     f = {c: _full(c, kind) for c, kind in taken.dtypes}
@@ -296,7 +299,7 @@ def merge_scans(scans_: DataFrame, split: bool = False) -> DataFrame:
         **{p: F.coalesce(last(f[p], F.col("better")), F.min_by(f[p], F.when(f[p].isNotNull(), n))) for p in PARTS},
         "raw_text": F.min_by(f["raw_text"], n), "merged_on": F.max_by("how", n), "status": F.lit("pending"),
     }
-    stops = taken.groupBy(DAY, "component", "at").agg(*[c.alias(k) for k, c in fields.items()], F.max_by(place, F.when(F.col("placed"), n)).alias("place"), F.min_by(F.struct("ts", "scan_id"), n).alias("first"))
+    stops = taken.groupBy(DAY, "component", "at").agg(*[c.alias(k) for k, c in fields.items()], F.max_by(place, F.when(F.col("placed"), n)).alias("place"), *([F.min_by(F.struct("ts", "scan_id"), n).alias("first")] if split else []))
     number = F.row_number().over(Window.partitionBy(DAY).orderBy(F.asc_nulls_last("first.ts"), F.asc_nulls_last("first.scan_id"))) if split else F.col("at") + 1
     columns = [c.split() for c in STOP_SCHEMA.split(", ")]
     stops = stops.select("*", "place.*").withColumn("stop_id", number)

@@ -571,7 +571,7 @@ _KEPT = "(m.phone_key IS NOT NULL AND r.confidence < 70)"
     _KNOWN,
 )
 def _(spark, d):
-    """Every letter's fields and address, or the remembered one, as one plan."""
+    """Every letter's fields and address, or the remembered one."""
     found = intake.scans_of_texts(_texts(spark, d), _places(spark, d), _remembered(spark, d), "o_orderkey")
     return found.select("business_date", "o_orderkey", "doc_no", "name", "pieces", "quarter", "road", "lat", "precision", "confidence", "grade", "from_memory")
 

@@ -43,3 +43,15 @@ def test_no_texts(spark, tables):
 def test_some_addresses_are_remembered(spark):
     kinds = {(r["from_memory"], r["precision"]) for r in registry.QUERIES["chain_texts_to_scans"](spark, "/root/testdata/sf0.001").select("from_memory", "precision").collect()}
     assert {(True, "kapi"), (False, "kapi"), (False, "yol")} <= kinds
+
+
+def test_only_the_last_step_is_left(spark, tables):
+    """Steps are written one by one, so their shuffle files don't add up; texts of one time are in the order of key and place."""
+    at = dt.datetime(2024, 1, 5, 9, 0)
+    texts = spark.createDataFrame([(i, at, f"Çıkış Belgesi: {1000000 + i}\nadres yok\nÇıkış Belgesi: {2000000 + i}\nYeni mah. Gül sokak No:{5 + i % 2 * 2} Kale") for i in (10, 9, 2, 100)], "id int, ts timestamp_ntz, text string")
+    stops = intake.stops_of_texts(texts, *tables, "id")
+    plan = stops._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    found = sorted((r["stop_id"], r["doc_no"], r["frames"], r["door"]) for r in stops.collect())
+    # the second documents of 100, 10 and 2 are at one place
+    assert found == [(1, "1000002", 1, None), (2, "2000002", 3, "5"), (3, "1000009", 1, None), (4, "2000009", 1, "7"), (5, "1000010", 1, None), (6, "1000100", 1, None)]
